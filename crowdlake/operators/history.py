@@ -14,13 +14,16 @@ CAMERA = ["camera_id"]
 
 def _history(df: DataFrame, keys: Sequence[str], seconds: float, id_col: str, present: Column | None):
     """Rows with a crowd, halo included, and the window of each row's history."""
+    whole = int(seconds)
+    if whole != seconds:
+        raise ValueError("history windows are whole seconds")
     d = with_time_halo(df, before=seconds)
     parts = [*keys, "_chunk"]
     if present is not None:
         w = Window.partitionBy(*parts).orderBy("t", id_col).rowsBetween(Window.unboundedPreceding, 0)
         d = d.withColumn("_seg", F.sum(F.when(present, 0).otherwise(1)).over(w)).where(present)
         parts.append("_seg")
-    return d, Window.partitionBy(*parts).orderBy("t").rangeBetween(-seconds, 0)
+    return d, Window.partitionBy(*parts).orderBy("t").rangeBetween(-whole, 0)
 
 
 def history_window(

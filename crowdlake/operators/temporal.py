@@ -91,6 +91,7 @@ def throttle(
     keys = list(keys)
     t = order[0]
     key_schema = [df.schema[k] for k in keys]
+    columns, schema, order = list(df.columns), df.schema, list(order)
     chunked = df.withColumn("_chunk", chunk_of(t, width))
     chunk_keys = keys + ["_chunk"]
     long = T.StructField("_chunk", T.LongType())
@@ -124,7 +125,7 @@ def throttle(
     )
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
+        pdf = pdf.sort_values(order)
         ts = pdf[t].tolist()
         last = pdf["_last"].iloc[0]
         k = _next_allowed(ts, None if pd.isna(last) else float(last), gap, strict)
@@ -132,9 +133,9 @@ def throttle(
         while k < len(ts):
             kept.append(k)
             k = _next_allowed(ts, ts[k], gap, strict, k + 1)
-        return pdf.iloc[kept][df.columns]
+        return pdf.iloc[kept][columns]
 
-    return chunked.join(carried, chunk_keys).groupBy(*chunk_keys).applyInPandas(keep, df.schema)
+    return chunked.join(carried, chunk_keys).groupBy(*chunk_keys).applyInPandas(keep, schema)
 
 
 # --- sessions, de-duplication, gates ---------------------------------------------------------

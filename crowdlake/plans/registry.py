@@ -88,8 +88,9 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def rounded(df, *names: str, digits: int = 6):
-    """Round computed doubles, so results agree across engines."""
+def rounded(df, *names: str, digits: int = 6, nudge: float = 0.0):
+    """Round computed doubles, so results agree across engines. ``nudge`` moves values that are
+    exact in decimals off the rounding ties; the check adds the same."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    return df.withColumns({n: F.round(F.col(n) + nudge if nudge else F.col(n), digits) for n in names})

@@ -231,7 +231,7 @@ _ALERTS = f"""select camera_id, frame_id, t, r, c, zone, ['A', 'B', 'C'][r + 1]
 @query(
     "zone_gps_alerts",
     sql(
-        """select camera_id, frame_id, cell, zone, density, occupancy_pct, gps_lat, gps_lon,
+        """select camera_id, frame_id, cell, zone, density, gps_lat, gps_lon,
         '[' || zone || '] ' || camera_id || ' Zone ' || cell || ' (' || cast(floor(pct) as bigint) || '% capacity) — GPS: '
         || case when gps_lat <> 0 then gps_lat || 'N ' || gps_lon || 'E' else 'GPS pending' end
         || ' — estimated ' || cast(floor(score) as bigint) || ' people' as message from alerts""",
@@ -244,5 +244,5 @@ _ALERTS = f"""select camera_id, frame_id, t, r, c, zone, ['A', 'B', 'C'][r + 1]
 )
 def zone_gps_alerts(spark, sf):
     return alerts.cell_alerts(_dimmed(spark, sf)).select(
-        "camera_id", "frame_id", "cell", "zone", "density", "occupancy_pct", "gps_lat", "gps_lon", "message"
+        "camera_id", "frame_id", "cell", "zone", "density", "gps_lat", "gps_lon", "message"
     )

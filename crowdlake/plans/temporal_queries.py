@@ -159,7 +159,7 @@ def _fold(values: str, step: str, order: str = "t", lead: int = 60, part: str =
 @query(
     "stabilized_counts",
     sql(
-        f"""select event_id, round(s.v, 6) as stable from (
+        f"""select event_id, round(s.v + 1e-9, 6) as stable from (
         select event_id, {_fold("{'v': case when rn = 1 then greatest(target, det) else 0e0 end, 'x': target, 'd': det}", "{'v': greatest(x.d, s.v + 0.65 * (x.x - s.v)), 'x': 0e0, 'd': 0e0}")} as s
         from (select *, row_number() over (partition by camera_id order by t) as rn,
           quantile_cont(raw, 0.5) over (partition by camera_id order by t rows 2 preceding) as target
@@ -174,7 +174,7 @@ def stabilized_counts(spark, sf):
 
     d = with_calibration(A.samples(spark, sf), A.cameras(spark, sf))
     d = d.withColumn("density", F.col("count")).withColumn("detections", F.col("event_id") % 90)
-    return rounded(T.stabilize(d).select("event_id", "stable"), "stable")
+    return rounded(T.stabilize(d).select("event_id", "stable"), "stable", nudge=1e-9)
 
 
 _COMPOSITE = """select *, case when density < 1 then 0 else 0.4 * (1 - exp(-density / 1200)) + 0.3 * motion / (motion + 5)
@@ -202,27 +202,27 @@ def composite_risk_scores(spark, sf):
 @query(
     "smoothed_pressure",
     sql(
-        f"""select frame_id, round(s.v, 6) as pressure from (
+        f"""select frame_id, round(s.v + 1e-9, 6) as pressure from (
         select frame_id, {_fold("{'v': case when density < 1 then 0e0 else 0.15 * risk * 100 end, 'x': risk * 100, 'e': density < 1}", "{'v': case when x.e then 0e0 else 0.85 * s.v + 0.15 * x.x end, 'x': 0e0, 'e': false}", lead=260)} as s from composite)""",
         "observations",
         composite=_COMPOSITE,
     ),
 )
 def smoothed_pressure(spark, sf):
-    return rounded(R.pressure(A.observations(spark, sf)).select("frame_id", "pressure"), "pressure")
+    return rounded(R.pressure(A.observations(spark, sf)).select("frame_id", "pressure"), "pressure", nudge=1e-9)
 
 
 @query(
     "smoothed_cell_speed",
     sql(
-        f"""select frame_id, r, c, round(s.v, 6) as speed from (
+        f"""select frame_id, r, c, round(s.v + 1e-9, 6) as speed from (
         select frame_id, r, c, {_fold("{'v': 0.35 * score, 'x': score}", "{'v': 0.35 * x.x + 0.65 * s.v, 'x': 0e0}", lead=110, part="camera_id, r, c")} as s from zones)""",
         "zones",
     ),
 )
 def smoothed_cell_speed(spark, sf):
     d = T.ema(A.zones(spark, sf), "score", 0.35, "speed", None, ["camera_id", "r", "c"], ["t", "frame_id"])
-    return rounded(d.select("frame_id", "r", "c", "speed"), "speed")
+    return rounded(d.select("frame_id", "r", "c", "speed"), "speed", nudge=1e-9)
 
 
 # History since the scene was last empty, frames with a crowd only.
