@@ -39,21 +39,20 @@ def resolve_paths(paths: DataFrame, cameras: DataFrame) -> DataFrame:
         "camera_id",
         F.inline(
             F.array(
-                F.struct(F.trim(F.lit("/"), F.col("source_path")).alias("key"), F.lit("source").alias("role"), F.lit(0).alias("prio")),
-                F.struct(F.trim(F.lit("/"), F.col("output_path")).alias("key"), F.lit("output").alias("role"), F.lit(1).alias("prio")),
+                F.struct(F.trim(F.col("source_path"), F.lit("/")).alias("key"), F.lit("source").alias("role"), F.lit(0).alias("prio")),
+                F.struct(F.trim(F.col("output_path"), F.lit("/")).alias("key"), F.lit("output").alias("role"), F.lit(1).alias("prio")),
             )
         ),
     )
     # A path registered twice belongs to the output.
     known = known.where("key <> ''").groupBy("key").agg(F.max_by(F.struct("camera_id", "role"), "prio").alias("_hit"))
-    path = F.trim(F.lit("/"), F.coalesce("path", F.lit("")))
-    prefix, name = F.substring_index(path, "/", 1), F.expr("substring(_p, length(substring_index(_p, '/', 1)) + 2)")
-    norm = S.normalize_camera_id(name)
-    tries = F.array(
-        F.col("_p"),
-        F.when(F.contains("_p", F.lit("/")), F.concat(F.substring_index("_p", "/", 1), F.lit("/"), F.replace(norm, F.lit("-"), F.lit("")))),
-        F.when(F.contains("_p", F.lit("/")), F.concat(F.substring_index("_p", "/", 1), F.lit("/"), norm)),
-    )
+    path = F.trim(F.coalesce("path", F.lit("")), F.lit("/"))
+    norm = S.normalize_camera_id(F.expr("substring(_p, length(substring_index(_p, '/', 1)) + 2)"))
+
+    def respelled(name):
+        return F.when(F.contains("_p", F.lit("/")), F.concat(F.substring_index("_p", "/", 1), F.lit("/"), name))
+
+    tries = F.array(F.col("_p"), respelled(F.replace(norm, F.lit("-"), F.lit(""))), respelled(norm))
     distinct = paths.select("path").distinct().withColumn("_p", path)
     cand = distinct.select("path", F.posexplode(tries).alias("_n", "key")).join(known, "key")
     best = cand.groupBy("path").agg(F.min_by("_hit", "_n").alias("_hit"))
@@ -67,7 +66,7 @@ def ready_paths(polls: DataFrame) -> DataFrame:
     item = polls.where("ok").select("poll_id", "t", F.explode("items").alias("_i"))
     ready = F.coalesce("_i.ready", "_i.available", F.lit(False))
     online = F.coalesce(F.col("_i.online"), ready)
-    name = F.trim(F.lit("/"), F.coalesce("_i.name", F.lit("")))
+    name = F.trim(F.coalesce("_i.name", F.lit("")), F.lit("/"))
     return item.where(ready & online & (name != "")).select("poll_id", "t", name.alias("path")).distinct()
 
 
