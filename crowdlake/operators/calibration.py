@@ -48,19 +48,22 @@ def accuracy_of(mean_error: Column) -> Column:
 
 def count_accuracy(df: DataFrame, by: Sequence[str] = ("camera_id",)) -> DataFrame:
     """Bounded accuracy from the mean absolute percentage error; empty scenes divide by one."""
-    return df.groupBy(*by).agg(
+    return df.where(F.col("actual_count") >= 0).groupBy(*by).agg(
         accuracy_of(F.avg(pct_error("predicted_count", "actual_count"))).alias("accuracy_percent"),
         F.count(F.lit(1)).alias("samples"),
     )
 
 
 def validate_calibration(
-    labels: DataFrame, target: float = 90.0, order: str = "sample_no", width: float = 40_000.0
+    labels: DataFrame,
+    target: float = 90.0,
+    order: Sequence[str] = ("sample_no", "predicted_count", "actual_count"),
+    width: float = 40_000.0,
 ) -> DataFrame:
     """Calibration profile per camera, validated on every fifth sample of each angle (its last one if
     it has under five). Cameras with under 10 samples or 3 training samples are left out."""
     by_angle = ["camera_id", "angle"]
-    d = number_rows(labels.where(_usable()), by_angle, [order], t=order, width=width)
+    d = number_rows(labels.where(_usable()), by_angle, list(order), t=order[0], width=width)
     sizes = d.groupBy(*by_angle).agg(F.count(F.lit(1)).alias("_size"))
     d = d.join(sizes, by_angle)
     held = F.when(F.col("_size") < 5, F.col("rn") == F.col("_size")).otherwise(F.col("rn") % 5 == 0)
