@@ -1 +1,361 @@
-"""Pending."""
+"""Forecast candidates, scoring, selection and learned models over the sampled histories."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crowdlake.operators import autoregressive as AR, forecast as X, learned as N
+from crowdlake.operators.materialize import materialize
+from crowdlake.operators.scale import number_rows
+from crowdlake.plans.registry import query, rounded, sql
+from crowdlake.plans.temporal_queries import HIST, count_history
+from crowdlake.sources import adapters as A, sinks
+
+_W = "partition by camera_id, session_id order by rn"
+_FEATURES = f"""select *, s.l as level, case when rn = 1 then 0 else greatest(-lim, least(lim, s.b)) end as trend from (
+    select *, quantile_cont(value, 0.5) over ({_W} rows 7 preceding) as recent_level,
+      greatest(1, coalesce(quantile_cont(abs(diff), 0.9) over ({_W} rows 38 preceding), 1)) as lim,
+      case when coalesce(stddev_pop(diff) over ({_W} rows 38 preceding), 0) < 1e-9 then 0 else stddev_pop(diff) over ({_W} rows 38 preceding) end
+        / greatest(1, avg(value) over ({_W} rows 7 preceding)) as noise,
+      list_reduce(list({{'l': case when rn = 1 then value else 0e0 end, 'b': case when rn = 1 then coalesce(nxt - value, 0e0) else 0e0 end, 'x': value}}) over ({_W} rows unbounded preceding),
+        lambda s, x: {{'l': 0.45e0 * x.x + 0.55e0 * (s.l + 0.98e0 * s.b), 'b': 0.15e0 * (0.45e0 * x.x + 0.55e0 * (s.l + 0.98e0 * s.b) - s.l) + 0.85e0 * 0.98e0 * s.b, 'x': 0e0}}) as s
+    from (select *, value - lag(value) over ({_W}) as diff, lead(value) over ({_W}) as nxt from hist))"""
+_CANDS = """select f.*, label, seconds, steps, greatest(0, level + trend * 0.98e0 * (1 - 0.98e0 ** steps) / 0.02e0) as p_holt,
+    recent_level as p_recent_level, (greatest(0, level + trend * 0.98e0 * (1 - 0.98e0 ** steps) / 0.02e0) + recent_level) / 2 as p_ensemble
+    from features f cross join horizons"""
+
+
+def _err(p: str) -> str:
+    return f"case when observed is null then null when {p} = 0 and observed = 0 then 0e0 else least(1, abs({p} - observed) / greatest(1, observed)) end"
+
+
+_SCORED = f"""select *, {_err("p_holt")} as e_holt, {_err("p_recent_level")} as e_recent_level, {_err("p_ensemble")} as e_ensemble from (
+    select c.*, case when o.t - (c.t + c.seconds) <= 22.5 then o.value end as observed, case when o.t - (c.t + c.seconds) <= 22.5 then o.t end as obs_t
+    from cands c asof left join hist o on c.camera_id = o.camera_id and c.session_id = o.session_id and c.t + c.seconds <= o.t)"""
+
+
+def _rolled(source: str, errors: list[str], rows: int) -> str:
+    stats = ", ".join(f"avg({e}) over w as {e}_mean, quantile_cont({e}, 0.9) over w as {e}_p90, count({e}) over w as {e}_n" for e in errors)
+    return f"""select * from (select camera_id, session_id, label, obs_t as t, rn, {stats} from {source} where obs_t is not null
+        window w as (partition by camera_id, session_id, label order by obs_t, rn rows {rows - 1} preceding))
+        qualify row_number() over (partition by camera_id, session_id, label, t order by rn desc) = 1"""
+
+
+_MODELS = ["ensemble", "holt", "recent_level"]
+_KNOWN = f"""select c.*, {", ".join(f"r.e_{m}_{s}" for m in _MODELS for s in ("mean", "p90", "n"))}
+    from scored c asof left join rolled r on c.camera_id = r.camera_id and c.session_id = r.session_id and c.label = r.label and c.t >= r.t"""
+_LIST = ", ".join(f"case when e_{m}_n >= 8 then {{'e': e_{m}_mean, 'm': '{m}'}} end" for m in _MODELS)
+
+
+def _choose(prefix: str, suffix: str) -> str:
+    return "case model " + " ".join(f"when '{m}' then {prefix}_{m}{suffix}" for m in _MODELS) + " end"
+
+
+_CHOSEN = f"""select *, {_choose("p", "")} as predicted, {_choose("e", "_mean")} as c_mean, {_choose("e", "_p90")} as c_p90, {_choose("e", "_n")} as c_n
+    from (select *, coalesce(list_min(list_filter([{_LIST}], lambda x: x is not null)).m, 'ensemble') as model from known)"""
+_SHORT = "label in ('15s', '30s', '1m', '5m', '15m')"
+_INTERVALS = f"""select *, cast(greatest(0, round_even(predicted, 0)) as bigint) as people_count,
+    cast(greatest(0, round_even(predicted - greatest(2, predicted * err), 0)) as bigint) as lower_count,
+    cast(greatest(0, round_even(predicted + greatest(2, predicted * err), 0)) as bigint) as upper_count,
+    case when measured then round_even(greatest(0, 100 * (1 - c_mean)), 1) when {_SHORT} and noise <= 0.2 then greatest(85, round_even(100 * (1 - guess), 1))
+      else round_even(100 * (1 - guess), 1) end as confidence_percent, coalesce(c_n, 0) as validation_samples
+    from (select *, case when measured then c_p90 else guess end as err from (select *, coalesce(c_n >= 8, false) as measured,
+      case when noise = 0 then 0 else least(1, greatest(0.02, noise * sqrt(steps))) end as guess from chosen))"""
+_QUALITY = """select *, case when good = 9 then 'target_met' when good > 0 then 'partially_verified' else 'needs_calibration' end as snapshot_quality,
+    case when first_count > value + greatest(2, value * 0.02) then 'rising' when first_count < value - greatest(2, value * 0.02) then 'falling' else 'stable' end as trend_label
+    from (select *, count(*) filter (where trusted) over o as good, min(case when label = '15s' then people_count end) over o as first_count
+      from (select *, validation_samples >= 8 and confidence_percent >= 85 as trusted from intervals)
+      window o as (partition by camera_id, session_id, rn))"""
+_ISSUED = f"select *, {_err('people_count')} as e_issued from quality"
+_FINAL = """select *, case when n > 0 then round_even(greatest(0, 100 * (1 - m / n)), 1) end as accuracy_percent from (
+    select *, sum(e_issued_n) over o as n, sum(e_issued_mean * e_issued_n) over o as m
+    from (select i.*, k.e_issued_mean, k.e_issued_n from issued i asof left join iroll k
+      on i.camera_id = k.camera_id and i.session_id = k.session_id and i.label = k.label and i.t >= k.t)
+    window o as (partition by camera_id, session_id, rn))"""
+
+CHAIN = {"features": _FEATURES, "cands": _CANDS, "scored": _SCORED}
+SELECT = {**CHAIN, "rolled": _rolled("scored", [f"e_{m}" for m in _MODELS], 100), "known": _KNOWN, "chosen": _CHOSEN, "intervals": _INTERVALS}
+FULL = {**SELECT, "quality": _QUALITY, "issued": _ISSUED, "iroll": _rolled("issued", ["e_issued"], 500), "final": _FINAL}
+TABLES = (*HIST, "horizons")
+ID = ["camera_id", "session_id", "event_id"]
+
+
+@query(
+    "holt_forecasts",
+    sql("select event_id, label, round(p_holt, 6) as holt, round(p_ensemble, 6) as ensemble, round(noise, 6) as noise from cands", *TABLES, features=_FEATURES, cands=_CANDS),
+)
+def holt_forecasts(spark, sf):
+    d = X.candidates(count_history(spark, sf))
+    d = d.select("event_id", "label", F.col("p_holt").alias("holt"), F.col("p_ensemble").alias("ensemble"), "noise")
+    return rounded(d, "holt", "ensemble", "noise")
+
+
+@query(
+    "recent_level_and_noise",
+    sql("select event_id, round(recent_level, 6) as recent_level, round(noise, 6) as noise, round(lim, 6) >= 1 as limited from features", *HIST, features=_FEATURES),
+)
+def recent_level_and_noise(spark, sf):
+    d = X.holt_features(count_history(spark, sf)).select("event_id", "recent_level", "noise", F.lit(True).alias("limited"))
+    return rounded(d, "recent_level", "noise")
+
+
+@query(
+    "daily_seasonal_forecasts",
+    sql(
+        """select h.camera_id, h.rn, label, round(p.value, 6) as predicted from allrows h cross join horizons z
+        join allrows p on p.camera_id = h.camera_id and p.rn = h.rn - 720 + z.steps where h.rn >= 720""",
+        "samples",
+        "horizons",
+        allrows="select camera_id, count as value, row_number() over (partition by camera_id order by t) as rn from samples",
+    ),
+)
+def daily_seasonal_forecasts(spark, sf):
+    s = A.samples(spark, sf).select("camera_id", F.lit(0).alias("session_id"), "t", "event_id", F.col("count").alias("value"))
+    d = X.daily_seasonal(number_rows(s, X.KEYS, ["t", "event_id"]), day_seconds=10_800)
+    labels = F.array(*[F.lit(h) for h, _ in X.K.HORIZONS])
+    d = d.select("camera_id", "rn", F.inline(F.arrays_zip(labels.alias("label"), F.col("preds").alias("predicted"))))
+    return rounded(d, "predicted")
+
+
+@query("autoregressive_forecasts")
+def autoregressive_forecasts(spark, sf):
+    d = AR.ar_ridge(count_history(spark, sf))
+    return d.select("camera_id", "session_id", "rn", *[F.col("preds")[i].alias(f"predicted_{h}") for i, (h, _) in enumerate(X.K.HORIZONS)])
+
+
+def _scored(spark, sf):
+    hist = count_history(spark, sf)
+    return materialize(X.score_predictions(X.candidates(hist), hist))
+
+
+@query(
+    "scored_predictions",
+    sql(
+        "select event_id, label, round(observed, 6) as observed, round(e_holt, 6) as e_holt, round(e_recent_level, 6) as e_recent_level, round(e_ensemble, 6) as e_ensemble from scored",
+        *TABLES,
+        **CHAIN,
+    ),
+)
+def scored_predictions(spark, sf):
+    d = _scored(spark, sf).select("event_id", "label", "observed", "e_holt", "e_recent_level", "e_ensemble")
+    return rounded(d, "observed", "e_holt", "e_recent_level", "e_ensemble")
+
+
+@query(
+    "forecast_model_accuracy",
+    sql(
+        """select camera_id, label, model, round(avg(e), 6) as mean_error, round(quantile_cont(e, 0.9), 6) as p90_error, count(*) as scores
+        from (select camera_id, label, unnest(['holt', 'recent_level', 'ensemble']) as model, unnest([e_holt, e_recent_level, e_ensemble]) as e from scored where observed is not null)
+        group by 1, 2, 3""",
+        *TABLES,
+        **CHAIN,
+    ),
+)
+def forecast_model_accuracy(spark, sf):
+    return rounded(X.forecast_accuracy(_scored(spark, sf)), "mean_error", "p90_error")
+
+
+@query(
+    "rolling_prediction_errors",
+    sql(
+        """select camera_id, session_id, label, obs_event, round(e_holt_mean, 6) as mean_error, round(e_holt_p90, 6) as p90_error, e_holt_n as scores
+        from (select r.*, h.event_id as obs_event from rolled r join hist h on r.camera_id = h.camera_id and r.session_id = h.session_id and r.t = h.t)""",
+        *TABLES,
+        **{k: SELECT[k] for k in ("features", "cands", "scored", "rolled")},
+    ),
+)
+def rolling_prediction_errors(spark, sf):
+    hist = count_history(spark, sf)
+    rolled = X.rolling_errors(materialize(X.score_predictions(X.candidates(hist), hist)), ["e_holt"], 100)
+    d = rolled.join(hist.select(*X.KEYS, "t", F.col("event_id").alias("obs_event")), [*X.KEYS, "t"])
+    d = d.select(
+        *X.KEYS, "label", "obs_event", F.col("e_holt_mean").alias("mean_error"), F.col("e_holt_p90").alias("p90_error"), F.col("e_holt_n").alias("scores")
+    )
+    return rounded(d, "mean_error", "p90_error")
+
+
+def _selected(spark, sf):
+    scored = _scored(spark, sf)
+    errors = [f"e_{m}" for m in X.models_of(scored)]
+    return X.select_model(X.with_known_errors(scored.drop(*errors), X.rolling_errors(scored, errors, 100)))
+
+
+@query(
+    "champion_models",
+    sql("select event_id, label, model, round(predicted, 6) as predicted from chosen", *TABLES, **{k: v for k, v in SELECT.items() if k != "intervals"}),
+)
+def champion_models(spark, sf):
+    return rounded(_selected(spark, sf).select("event_id", "label", "model", "predicted"), "predicted")
+
+
+@query(
+    "forecast_intervals",
+    sql("select event_id, label, people_count, lower_count, upper_count, confidence_percent, validation_samples from intervals", *TABLES, **SELECT),
+)
+def forecast_intervals(spark, sf):
+    d = X.prediction_interval(_selected(spark, sf))
+    return d.select("event_id", "label", "people_count", "lower_count", "upper_count", "confidence_percent", "validation_samples")
+
+
+@query(
+    "rolling_origin_backtest",
+    sql(
+        """select event_id, label, model, people_count, lower_count, upper_count, confidence_percent, trusted, snapshot_quality, trend_label as trend,
+        accuracy_percent from final""",
+        *TABLES,
+        **FULL,
+    ),
+)
+def rolling_origin_backtest(spark, sf):
+    return X.backtest(count_history(spark, sf)).select(
+        "event_id", "label", "model", "people_count", "lower_count", "upper_count", "confidence_percent", "trusted",
+        "snapshot_quality", "trend", "accuracy_percent",
+    )
+
+
+@query("backtest_all_models")
+def backtest_all_models(spark, sf):
+    """Backtest with the autoregressive and the seasonal candidate as well."""
+    hist = count_history(spark, sf)
+    extra = {"autoregressive": AR.ar_ridge(hist), "daily_seasonal": X.daily_seasonal(hist, day_seconds=10_800)}
+    return X.backtest(hist, extra).groupBy("camera_id", "label", "model").agg(
+        F.count(F.lit(1)).alias("forecasts"), F.round(F.avg("e_issued"), 6).alias("mean_error")
+    )
+
+
+@query(
+    "forecast_surges",
+    sql(
+        """select event_id, arg_min(label, seconds) as horizon, arg_min(people_count, seconds) as predicted_count, round_even(arg_min(g, seconds), 1) as growth_percent
+        from (select *, case when value > 0 then (people_count - value) / greatest(1, value) * 100 when people_count > 50 then 100 else 0 end as g,
+          case when confidence_percent = 0 then 85 else confidence_percent end as c from intervals)
+        where label in ('15s', '30s', '1m', '5m', '15m') and people_count > value and g >= 65 and c >= 85 group by 1""",
+        *TABLES,
+        **SELECT,
+    ),
+)
+def forecast_surges(spark, sf):
+    d = X.surge(X.prediction_interval(_selected(spark, sf)))
+    return d.select("event_id", "horizon", "predicted_count", "growth_percent")
+
+
+@query(
+    "forecast_snapshots",
+    sql(
+        """select camera_id, session_id, rn as samples, case when rn >= 3 then 'ready' else 'collecting' end as status,
+        case when rn >= 3 then any_value(snapshot_quality) else 'validating' end as quality_status,
+        case when rn >= 3 then any_value(trend_label) else 'unknown' end as trend,
+        case when rn >= 3 then string_agg(label || '=' || people_count, ',' order by seconds) else '' end as predictions,
+        case when rn >= 3 then string_agg(distinct model, ',' order by model) else '' end as models_selected from quality group by 1, 2, 3""",
+        *TABLES,
+        **{k: FULL[k] for k in (*SELECT, "quality")},
+    ),
+)
+def forecast_snapshots(spark, sf):
+    d = X.forecast_snapshot(X.backtest(count_history(spark, sf)), min_samples=3)
+    listed = F.transform("predictions", lambda p: F.concat(p["label"], F.lit("="), p["people_count"]))
+    return d.select(
+        "camera_id", "session_id", "samples", "status", "quality_status", "trend",
+        F.array_join(listed, ",").alias("predictions"), F.array_join("models_selected", ",").alias("models_selected"),
+    )
+
+
+@query(
+    "wide_forecasts",
+    sql(
+        """select event_id, max(people_count) filter (where label = '15s') as predicted_15s, max(lower_count) filter (where label = '1m') as lower_1m,
+        max(upper_count) filter (where label = '60m') as upper_60m, max(model) filter (where label = '5m') as model_5m,
+        max(confidence_percent) filter (where label = '180m') as accuracy_180m, bool_or(trusted) filter (where label = '15m') as trusted_15m
+        from quality group by 1""",
+        *TABLES,
+        **{k: FULL[k] for k in (*SELECT, "quality")},
+    ),
+)
+def wide_forecasts(spark, sf):
+    hist = count_history(spark, sf)
+    wide = sinks.forecast_wide(X.backtest(hist))
+    d = wide.join(hist.select(*X.KEYS, "t", "event_id"), [*X.KEYS, "t"])
+    return d.select("event_id", "predicted_15s", "lower_1m", "upper_60m", "model_5m", "accuracy_180m", "trusted_15m")
+
+
+# Samples are sparse at small scale: a minute's interval gives runs long enough for windows.
+_STEPS = {"15s": 1, "30s": 1, "1m": 1, "5m": 5, "15m": 15, "30m": 30, "60m": 60, "120m": 120, "180m": 180}
+_RUNS = """select *, row_number() over (partition by camera_id, session_id, run_id order by t) as pos,
+    count(*) over (partition by camera_id, session_id, run_id) as len
+    from (select *, sum(case when t - p > 90 then 1 else 0 end) over (partition by camera_id, session_id order by t) as run_id
+      from (select *, lag(t) over (partition by camera_id, session_id order by t) as p from hist))"""
+_TARGETS = ", ".join(
+    f"case when pos + {s} <= lim then (ln(1 + lead(value, {s}) over w) - centre) / scale end as y_{h}" for h, s in _STEPS.items()
+)
+_EXAMPLES = f"""select * from (select *, {_TARGETS} from (
+    select *, pos >= split as held_out, case when pos >= split then len else split end as lim from (
+    select *, greatest(21, floor(len * 0.8e0)) as split, list_last(logs) as centre, greatest(0.05, list_stddev_pop(logs)) as scale from (
+    select *, list(ln(1 + greatest(value, 0))) over (partition by camera_id, session_id, run_id order by pos rows 19 preceding) as logs from runs)))
+    window w as (partition by camera_id, session_id, run_id order by pos))
+    where len(logs) = 20 and pos < len and coalesce({", ".join(f"y_{h}" for h in _STEPS)}) is not null"""
+
+
+def _examples(spark, sf):
+    return materialize(N.training_set(count_history(spark, sf), interval=60.0))
+
+
+@query(
+    "learned_training_set",
+    sql(
+        """select event_id, held_out, round(centre, 6) as centre, round(scale, 6) as scale, round((logs[1] - centre) / scale, 6) as oldest,
+        round(y_15s, 6) as y_15s, round(y_5m, 6) as y_5m, round(y_30m, 6) as y_30m from examples""",
+        *HIST,
+        runs=_RUNS,
+        examples=_EXAMPLES,
+    ),
+)
+def learned_training_set(spark, sf):
+    d = _examples(spark, sf).select(
+        "event_id", "held_out", "centre", "scale", F.col("features")[0].alias("oldest"),
+        F.col("targets")[0].alias("y_15s"), F.col("targets")[3].alias("y_5m"), F.col("targets")[5].alias("y_30m"),
+    )
+    return rounded(d, "centre", "scale", "oldest", "y_15s", "y_5m", "y_30m")
+
+
+@query("learned_model_accuracy")
+def learned_model_accuracy(spark, sf):
+    """Fit on the training examples, then accuracy per horizon on the held-out ones."""
+    examples = _examples(spark, sf)
+    return rounded(N.score_learned(examples, N.fit_learned(examples)), "accuracy_percent")
+
+
+_METRICS = """select label, 100 * (1 - avg(e_holt) filter (where rn % 5 = 0)) as accuracy_percent, count(e_holt) filter (where rn % 5 = 0) as validation_samples,
+    count(e_holt) filter (where rn % 5 <> 0) as training_samples from scored where observed is not null group by 1"""
+
+
+def _metrics(spark, sf):
+    held = F.col("rn") % 5 == 0
+    return _scored(spark, sf).where("observed is not null").groupBy("label").agg(
+        (100 * (1 - F.avg(F.when(held, F.col("e_holt"))))).alias("accuracy_percent"),
+        F.count_if(held).alias("validation_samples"),
+        F.count_if(~held).alias("training_samples"),
+    )
+
+
+@query(
+    "model_approval",
+    sql(
+        """select coalesce(bool_and(accuracy_percent >= 30) filter (where validation_samples >= 30), false) as approved,
+        count(*) filter (where validation_samples >= 30) as evaluated_horizons,
+        case when coalesce(bool_and(accuracy_percent >= 30) filter (where validation_samples >= 30), false) then 'active' else 'shadow validation' end as status
+        from metrics""",
+        *TABLES,
+        **CHAIN,
+        metrics=_METRICS,
+    ),
+)
+def model_approval(spark, sf):
+    return N.approve_model(_metrics(spark, sf), target=30.0)
+
+
+@query(
+    "approved_horizons",
+    sql("select label from metrics where accuracy_percent >= 40 and training_samples >= 64 and validation_samples >= 30", *TABLES, **CHAIN, metrics=_METRICS),
+)
+def approved_horizons(spark, sf):
+    return N.approved_horizons(_metrics(spark, sf), target=40.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crowdlake.functions import scalars as S
-from crowdlake.operators import alerts, history as H, hotspots as P, risk as R, temporal as T
+from crowdlake.operators import alerts, forecast as X, history as H, hotspots as P, risk as R, temporal as T
 from crowdlake.operators.scale import asof, exact_percentile, keep_latest
 from crowdlake.plans.registry import query, rounded, sql
 from crowdlake.plans.scalar_queries import _ALERTS, _DIMMED, _dimmed
@@ -25,8 +25,7 @@ def sessions(spark, sf):
 
 def count_history(spark, sf):
     """Sampled, median-smoothed counts with row numbers, per camera and session."""
-    kept = T.throttle(sessions(spark, sf), KEYS, T.sample_interval(15))
-    return T.rolling_median(kept, 5, "count", "value", KEYS)
+    return X.count_history(sessions(spark, sf))
 
 
 @query(
