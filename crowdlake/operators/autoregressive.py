@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, types as T
 
 from crowdlake import constants as K
 from crowdlake.functions import scalars as S
-from crowdlake.operators.scale import with_row_halo
+from crowdlake.operators.scale import spread, with_row_halo
 
 SERIES, CAP, PENALTY = 1000, 5760, 0.05
 ORIGINS_PER_BLOCK = 250
@@ -74,4 +74,4 @@ def ar_ridge(hist: DataFrame, keys: Sequence[str] = ("camera_id", "session_id"),
         return out.assign(preds=pd.Series([found[i].tolist() for i in done], index=out.index, dtype=object))
 
     halo = with_row_halo(hist.select(*keys, "rn", "value"), SERIES - 1, size=ORIGINS_PER_BLOCK)
-    return halo.groupBy(*keys, "_chunk").applyInPandas(solve, schema)
+    return spread(halo, *keys, "_chunk").groupBy(*keys, "_chunk").applyInPandas(solve, schema)

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crowdlake.functions import scalars as S
-from crowdlake.operators.frames import CELL, FRAME, grid_rows
+from crowdlake.operators.frames import CELL, FRAME, fill_grid
+from crowdlake.operators.scale import spread
 
 
 def filter_detections(df: DataFrame, cls: int = 0, min_conf: float = 0.30) -> DataFrame:
@@ -32,8 +33,8 @@ def _centres(df: DataFrame, rows: int, cols: int, frame_h: int, frame_w: int) ->
 def detection_zones(df: DataFrame, frame_h: int, frame_w: int) -> DataFrame:
     """Box centres counted into the 3x3 grid; frames whose boxes are all invalid give zeros."""
     d = _centres(df, 3, 3, frame_h, frame_w)
-    cells = [[F.count_if((F.col("_gr") == k // 3) & (F.col("_gc") == k % 3)).alias("people")] for k in range(9)]
-    return grid_rows(d, cells)
+    counts = d.groupBy(*FRAME, (F.col("_gr") * 3 + F.col("_gc")).alias("_z")).agg(F.count(F.lit(1)).alias("people"))
+    return fill_grid(counts, {"people": F.lit(0).cast("bigint")})
 
 
 def detections_to_density(
@@ -48,20 +49,29 @@ def detections_to_density(
     kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
     taps = F.array(*[F.struct(F.lit(k - radius).alias("o"), F.lit(wt).alias("wt")) for k, wt in enumerate(kernel)])
     d = _centres(df, map_h, map_w, frame_h, frame_w).where("_gr is not null")
-    d = d.select(*FRAME, F.col("_gr").alias("row"), F.col("_gc").alias("col")).repartition(*FRAME)
+    d = d.select(*FRAME, F.col("_gr").alias("row"), F.col("_gc").alias("col"))
+    d = spread(d, *FRAME)
     d = d.groupBy(*CELL).agg(F.count(F.lit(1)).cast("double").alias("d"))
-    # The frame total rides along as a cell value so no join is needed later.
-    d = d.withColumn("_n", F.sum("d").over(Window.partitionBy(*FRAME)))
+    # Mass that stays inside the map is known before blurring, so cells are scaled while few.
+    inside = d.withColumn("_kept", F.col("d") * _kept_mass("row", map_h, kernel) * _kept_mass("col", map_w, kernel))
+    frame = Window.partitionBy(*FRAME)
+    d = inside.withColumn("d", F.col("d") * F.sum("d").over(frame) / F.sum("_kept").over(frame)).drop("_kept")
     for axis, extent in (("col", map_w), ("row", map_h)):
         d = (
             d.withColumn("_k", F.explode(taps))
             .withColumn(axis, F.col(axis) + F.col("_k.o"))
             .where(F.col(axis).between(0, extent - 1))
             .groupBy(*CELL)
-            .agg(F.sum(F.col("d") * F.col("_k.wt")).alias("d"), F.max("_n").alias("_n"))
+            .agg(F.sum(F.col("d") * F.col("_k.wt")).alias("d"))
         )
-    mass = F.sum("d").over(Window.partitionBy(*FRAME))
-    return d.select(*CELL, (F.col("d") * F.col("_n") / mass).alias("d"))
+    return d
+
+
+def _kept_mass(axis: str, extent: int, kernel: list[float]) -> Column:
+    """Kernel mass that falls inside ``0..extent-1`` around each position."""
+    radius = len(kernel) // 2
+    kept = [sum(wt for k, wt in enumerate(kernel) if 0 <= pos + k - radius < extent) for pos in range(extent)]
+    return F.element_at(F.array(*[F.lit(v) for v in kept]), F.col(axis) + 1)
 
 
 def allocate_zones(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from crowdlake import constants as K
 from crowdlake.functions import scalars as S
-from crowdlake.operators.frames import FRAME, grid_rows
+from crowdlake.operators.frames import FRAME, fill_grid
 
 
 def compensate_flow(df: DataFrame) -> DataFrame:
@@ -31,15 +31,13 @@ def motion_metrics(compensated: DataFrame, floor: float = K.MOTION_FLOOR) -> Dat
 def speed_grid(compensated: DataFrame, h: int, w: int, floor: float = K.MOTION_FLOOR) -> DataFrame:
     """Median speed per cell; zero where fewer than 8 % of its vectors move."""
     zone = S.tail_thirds("row", h) * 3 + S.tail_thirds("col", w)
-    d = compensated.withColumn("_z", zone)
-    cells = []
-    for k in range(9):
-        here = F.col("_z") == k
-        moving = here & (F.col("mag") > floor)
-        ratio = F.count_if(moving) / F.greatest(F.count_if(here), F.lit(1))
-        median = F.percentile(F.when(moving, F.col("mag")), F.lit(0.5))
-        cells.append([F.when(ratio < K.MIN_ACTIVE_RATIO, 0.0).otherwise(median).alias("speed")])
-    return grid_rows(d, cells)
+    moving = F.col("mag") > floor
+    cells = compensated.groupBy(*FRAME, zone.alias("_z")).agg(
+        F.when(F.count_if(moving) / F.count(F.lit(1)) < K.MIN_ACTIVE_RATIO, 0.0)
+        .otherwise(F.percentile(F.when(moving, F.col("mag")), F.lit(0.5)))
+        .alias("speed")
+    )
+    return fill_grid(cells, {"speed": F.lit(0.0)})
 
 
 def gate_motion(zones: DataFrame) -> DataFrame:
@@ -58,20 +56,16 @@ def gate_motion(zones: DataFrame) -> DataFrame:
 def opposing_cells(compensated: DataFrame, h: int, w: int, zones: DataFrame | None = None) -> DataFrame:
     """Opposing-flow score and danger flag of each cell: minority share on the worse axis."""
     zone = S.tail_thirds("row", h) * 3 + S.tail_thirds("col", w)
-    d = compensated.withColumn("_z", zone)
-    cells = []
-    for k in range(9):
-        here = F.col("_z") == k
-        moving = here & (F.col("mag") > K.OPPOSING_FLOOR)
-        n = F.count_if(moving)
-
-        def minority(axis):
-            return F.least(F.count_if(moving & (F.col(axis) > 0)), F.count_if(moving & (F.col(axis) < 0)))
-
-        enough = (n >= 10) & (n / F.greatest(F.count_if(here), F.lit(1)) >= K.MIN_ACTIVE_RATIO)
-        score = F.when(enough, F.greatest(minority("fx"), minority("fy")) / n).otherwise(0.0)
-        cells.append([score.alias("opposing")])
-    out = grid_rows(d, cells)
+    moving = F.col("mag") > K.OPPOSING_FLOOR
+    n = F.count_if(moving)
+
+    def minority(axis):
+        return F.least(F.count_if(moving & (F.col(axis) > 0)), F.count_if(moving & (F.col(axis) < 0)))
+
+    enough = (n >= 10) & (n / F.count(F.lit(1)) >= K.MIN_ACTIVE_RATIO)
+    score = F.when(enough, F.greatest(minority("fx"), minority("fy")) / n).otherwise(0.0)
+    cells = compensated.groupBy(*FRAME, zone.alias("_z")).agg(score.alias("opposing"))
+    out = fill_grid(cells, {"opposing": F.lit(0.0)})
     if zones is not None:
         out = out.join(zones.select(*FRAME, "r", "c", "score"), FRAME + ["r", "c"], "left")
         crowded = F.coalesce(F.col("score") >= K.MIN_HOTSPOT, F.lit(True))

@@ -18,6 +18,7 @@ from crowdlake.operators.materialize import materialize
 from crowdlake.operators.scale import (
     asof,
     exact_percentile,
+    frame_percentile,
     home_rows,
     number_rows,
     with_row_halo,
@@ -91,7 +92,7 @@ def holt_features(hist: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
     recent = w.rowsBetween(-7, 0)
     changes = w.rowsBetween(-38, 0)
-    limit = F.greatest(F.lit(1.0), F.coalesce(F.percentile(F.abs("_diff"), F.lit(0.9)).over(changes), F.lit(1.0)))
+    limit = F.greatest(F.lit(1.0), F.coalesce(frame_percentile(F.abs("_diff"), 0.9, changes), F.lit(1.0)))
     spread = F.coalesce(F.stddev_pop("_diff").over(changes), F.lit(0.0))
     # Equal changes spread by rounding dust only.
     noise = F.when(spread < 1e-9, 0.0).otherwise(spread / F.greatest(F.lit(1.0), F.avg("value").over(recent)))
@@ -102,7 +103,7 @@ def holt_features(hist: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         F.when(first, x).otherwise(state(v_level)).alias("level"),
         F.when(first, 0.0).otherwise(state(v_trend)).alias("_trend"),
         limit.alias("_limit"),
-        F.percentile("value", F.lit(0.5)).over(recent).alias("recent_level"),
+        frame_percentile("value", 0.5, recent).alias("recent_level"),
         noise.alias("noise"),
     )
     trend = F.greatest(-F.col("_limit"), F.least(F.col("_limit"), F.col("_trend")))
@@ -200,9 +201,11 @@ def score_predictions(
     )
 
 
-def rolling_errors(scored: DataFrame, errors: Sequence[str], rows: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Mean, 90th percentile and count of the newest ``rows`` errors per horizon, as of each
-    observation time (``t``). Adds ``<error>_mean``, ``<error>_p90`` and ``<error>_n``."""
+def rolling_errors(
+    scored: DataFrame, errors: Sequence[str], rows: int, keys: Sequence[str] = KEYS, p90: bool = True
+) -> DataFrame:
+    """Mean, count and, if wanted, 90th percentile of the newest ``rows`` errors per horizon, as of each
+    observation time (``t``). Adds ``<error>_mean``, ``<error>_n`` and ``<error>_p90``."""
     own = [*keys, "label"]
     d = scored.where("obs_t is not null").select(*own, "obs_t", F.col("rn").alias("_origin"), *errors)
     d = number_rows(d, own, ["obs_t", "_origin"], t="obs_t")
@@ -211,7 +214,8 @@ def rolling_errors(scored: DataFrame, errors: Sequence[str], rows: int, keys: Se
     stats = {}
     for e in errors:
         stats[f"{e}_mean"] = F.avg(e).over(w)
-        stats[f"{e}_p90"] = F.percentile(e, F.lit(0.9)).over(w)
+        if p90:
+            stats[f"{e}_p90"] = frame_percentile(e, 0.9, w)
         stats[f"{e}_n"] = F.count(e).over(w)
     d = home_rows(d.select("*", *[c.alias(n) for n, c in stats.items()]))
     # Several predictions may meet the same observation; the newest origin saw them all.
@@ -345,13 +349,13 @@ def backtest(
     d = d.drop(*helpers)
     issued = d.withColumn("e_issued", F.when(F.col("observed").isNotNull(), S.relative_error("people_count", "observed")))
     issued = materialize(issued)
-    known = rolling_errors(issued, ["e_issued"], K.HORIZON_ERROR_WINDOW, keys)
+    known = rolling_errors(issued, ["e_issued"], K.HORIZON_ERROR_WINDOW, keys, p90=False)
     d = with_known_errors(issued, known, keys)
     w = Window.partitionBy(*keys, "rn")
     n = F.sum("e_issued_n").over(w)
     mean = F.sum(F.col("e_issued_mean") * F.col("e_issued_n")).over(w) / n
     accuracy = F.when(n > 0, F.bround(F.greatest(F.lit(0.0), 100.0 * (1.0 - mean)), 1))
-    return d.withColumn("accuracy_percent", accuracy).drop("e_issued_mean", "e_issued_p90", "e_issued_n")
+    return d.withColumn("accuracy_percent", accuracy).drop("e_issued_mean", "e_issued_n")
 
 
 def surge(forecasts: DataFrame, current: str = "value", keys: Sequence[str] = KEYS) -> DataFrame:

@@ -131,23 +131,25 @@ def frame_metrics(df: DataFrame) -> DataFrame:
     )
 
 
-def grid_rows(df: DataFrame, cells: list[list[Column]], keys=None) -> DataFrame:
-    """Aggregate to one struct per grid cell and frame and return all cells, empty ones included."""
+def fill_grid(per_cell: DataFrame, defaults: dict[str, Column], keys=None) -> DataFrame:
+    """All nine cells of every frame from rows of occupied ones (``_z`` 0..8, null for none)."""
     keys = keys or FRAME
-    structs = [
-        F.struct(F.lit(k // 3).alias("r"), F.lit(k % 3).alias("c"), *exprs) for k, exprs in enumerate(cells)
+    cells = [
+        F.struct(
+            F.lit(k // 3).alias("r"),
+            F.lit(k % 3).alias("c"),
+            *[F.coalesce(F.max(F.when(F.col("_z") == k, F.col(n))), empty).alias(n) for n, empty in defaults.items()],
+        )
+        for k in range(9)
     ]
-    wide = df.groupBy(*keys).agg(F.array(*structs).alias("_cells"))
-    return wide.select(*keys, F.inline("_cells"))
+    return per_cell.groupBy(*keys).agg(F.array(*cells).alias("_cells")).select(*keys, F.inline("_cells"))
 
 
 def zone_scores(df: DataFrame, h: int, w: int) -> DataFrame:
     """3x3 sums and area-normalized sums over exact integer thirds."""
     zone = S.equal_thirds("row", h) * 3 + S.equal_thirds("col", w)
-    cells = []
-    for k in range(9):
-        r, c = divmod(k, 3)
-        area = ((r + 1) * h // 3 - r * h // 3) * ((c + 1) * w // 3 - c * w // 3)
-        total = F.sum(F.when(F.col("_z") == k, F.col("d")).otherwise(0.0))
-        cells.append([total.alias("score"), (total / float(max(1, area))).alias("score_per_area")])
-    return grid_rows(df.withColumn("_z", zone), cells)
+    sums = df.groupBy(*FRAME, zone.alias("_z")).agg(F.sum("d").alias("score"))
+    rows = [(k + 1) * h // 3 - k * h // 3 for k in range(3)]
+    cols = [(k + 1) * w // 3 - k * w // 3 for k in range(3)]
+    area = F.element_at(F.array(*[F.lit(float(max(1, a * b))) for a in rows for b in cols]), F.col("r") * 3 + F.col("c") + 1)
+    return fill_grid(sums, {"score": F.lit(0.0)}).withColumn("score_per_area", F.col("score") / area)

@@ -209,6 +209,26 @@ def asof(
     )
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Partition by ``cols`` into the configured number of shuffle partitions, for steps whose cost lies
+    in computing: adaptive execution merges partitions by bytes alone."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
+def frame_percentile(value: Column | str, q: float, window) -> Column:
+    """Linear-interpolated percentile of the non-null values in a short row frame."""
+    ordered = F.sort_array(F.collect_list(value).over(window))
+
+    def interpolate(a):
+        rank = F.lit(q) * (F.size(a) - 1)
+        lo, hi = F.floor(rank).cast("int"), F.ceil(rank).cast("int")
+        low = F.get(a, lo)
+        return low + (F.get(a, hi) - low) * (rank - lo)
+
+    # One-element transform: the frame is collected and sorted once.
+    return F.get(F.transform(F.array(ordered), interpolate), F.lit(0))
+
+
 def exact_percentile(
     df: DataFrame, keys: Sequence[str], value: str, q: float, name: str = "pct", accuracy: int = 10_000
 ) -> DataFrame:

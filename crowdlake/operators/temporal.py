@@ -14,6 +14,7 @@ from crowdlake.functions import scalars as S
 from crowdlake.operators.scale import (
     asof,
     chunk_of,
+    frame_percentile,
     home_rows,
     number_rows,
     with_previous,
@@ -211,7 +212,7 @@ def rolling_median(
     """Median of the newest ``k`` values, fewer at the start. Leaves the row number ``rn``."""
     d = with_row_halo(ensure_rn(df, keys, order), k - 1)
     w = Window.partitionBy(*keys, "_chunk").orderBy("rn").rowsBetween(-(k - 1), 0)
-    return home_rows(d.withColumn(out, F.percentile(col, F.lit(0.5)).over(w)))
+    return home_rows(d.withColumn(out, frame_percentile(col, 0.5, w)))
 
 
 def _decay_layout(alpha: float) -> tuple[int, int]:
