@@ -60,7 +60,9 @@ ALERT_COOLDOWN = 60.0
 NOTIFY_COOLDOWN = 30.0
 STALE_AFTER = 20.0
 
-# Seconds of one key's timeline handled together by one task.
+# Longest stretch of one key's timeline handled together by one task, in seconds.
 CHUNK_SECONDS = 3600.0
-# Rows of one key's timeline handled together by one task.
+# Rows a chunk of time should not exceed; denser timelines get shorter chunks.
+CHUNK_ROWS = 1_000_000
+# Rows of one key's timeline handled together where frames count rows.
 BLOCK_ROWS = 1000

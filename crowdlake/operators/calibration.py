@@ -58,12 +58,11 @@ def validate_calibration(
     labels: DataFrame,
     target: float = 90.0,
     order: Sequence[str] = ("sample_no", "predicted_count", "actual_count"),
-    width: float = 40_000.0,
 ) -> DataFrame:
     """Calibration profile per camera, validated on every fifth sample of each angle (its last one if
     it has under five). Cameras with under 10 samples or 3 training samples are left out."""
     by_angle = ["camera_id", "angle"]
-    d = number_rows(labels.where(_usable()), by_angle, list(order), t=order[0], width=width)
+    d = number_rows(labels.where(_usable()), by_angle, list(order), t=order[0])
     sizes = d.groupBy(*by_angle).agg(F.count(F.lit(1)).alias("_size"))
     d = d.join(sizes, by_angle)
     held = F.when(F.col("_size") < 5, F.col("rn") == F.col("_size")).otherwise(F.col("rn") % 5 == 0)
@@ -112,17 +111,15 @@ def with_calibration(df: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def pick_calibration_rows(
-    hist: DataFrame, n: int = 60, source_width: float = 3600.0, count_width: float = 10.0
-) -> DataFrame:
+def pick_calibration_rows(hist: DataFrame, n: int = 60) -> DataFrame:
     """Middle row of every source by time, then ``n`` rows evenly spaced by count.
 
     ``hist`` holds ``source, second, count`` and an ``event_id`` for ties.
     """
-    d = number_rows(hist, ["source"], ["second", "event_id"], t="second", width=source_width)
+    d = number_rows(hist, ["source"], ["second", "event_id"], t="second")
     sizes = hist.groupBy("source").agg(F.count(F.lit(1)).alias("_size"))
     middle = d.join(sizes, "source").where(F.col("rn") == F.floor(F.col("_size") / 2) + 1).drop("rn", "_size")
-    ranked = number_rows(middle, [], ["count", "source"], t="count", width=count_width, name="rank")
+    ranked = number_rows(middle, [], ["count", "source"], t="count", name="rank")
     m = hist.select("source").distinct().agg(F.count(F.lit(1)).alias("m"))
     spread = F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),

@@ -55,6 +55,7 @@ def count_history(
     interval = sample_interval(interval)
     k = max(3, round(smooth_seconds / interval))
     kept = materialize(throttle(samples, keys, interval))
+    kept = number_rows(kept, keys, ["t", "event_id"], width=K.CHUNK_SECONDS)
     return materialize(rolling_median(kept, k + (k % 2 == 0), "count", "value", keys))
 
 
@@ -191,7 +192,7 @@ def score_predictions(
     (``observed``, ``obs_t``), and the error of every candidate (``e_<model>``)."""
     left = cands.withColumnRenamed("t", "origin_t").withColumn("t", F.col("origin_t") + F.col("seconds"))
     right = hist.select(*keys, "t", F.col("value").alias("observed"))
-    d = asof(left, right, keys, ["observed"], "forward", K.TOLERANCE_INTERVALS * interval)
+    d = asof(left, right, keys, ["observed"], "forward", K.TOLERANCE_INTERVALS * interval, width=K.CHUNK_SECONDS)
     d = d.withColumnRenamed("t", "target_t").withColumnsRenamed({"origin_t": "t", "matched_t": "obs_t"})
     return d.withColumns(
         {
@@ -208,7 +209,7 @@ def rolling_errors(
     observation time (``t``). Adds ``<error>_mean``, ``<error>_n`` and ``<error>_p90``."""
     own = [*keys, "label"]
     d = scored.where("obs_t is not null").select(*own, "obs_t", F.col("rn").alias("_origin"), *errors)
-    d = number_rows(d, own, ["obs_t", "_origin"], t="obs_t")
+    d = number_rows(d, own, ["obs_t", "_origin"], t="obs_t", width=K.CHUNK_SECONDS)
     d = with_row_halo(d, rows - 1)
     w = Window.partitionBy(*own, "_chunk").orderBy("rn").rowsBetween(-(rows - 1), 0)
     stats = {}
@@ -226,7 +227,7 @@ def rolling_errors(
 def with_known_errors(cands: DataFrame, rolled: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     own = [*keys, "label"]
     stats = [c for c in rolled.columns if c not in (*own, "t")]
-    return asof(cands, rolled, own, stats).drop("matched_t")
+    return asof(cands, rolled, own, stats, width=K.CHUNK_SECONDS).drop("matched_t")
 
 
 def _horizon_target(target: float) -> Column:

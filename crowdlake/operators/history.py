@@ -7,17 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crowdlake.constants import MIN_CROWD
-from crowdlake.operators.scale import home_rows, with_time_halo
+from crowdlake.operators.scale import chunk_width, home_rows, with_time_halo
 
 CAMERA = ["camera_id"]
 
 
-def _history(df: DataFrame, keys: Sequence[str], seconds: float, id_col: str, present: Column | None):
+def _history(
+    df: DataFrame, keys: Sequence[str], seconds: float, id_col: str, present: Column | None, width: float | None = None
+):
     """Rows with a crowd, halo included, and the window of each row's history."""
     whole = int(seconds)
     if whole != seconds:
         raise ValueError("history windows are whole seconds")
-    d = with_time_halo(df, before=seconds)
+    d = with_time_halo(df, chunk_width(df, keys, "t", width), before=seconds)
     parts = [*keys, "_chunk"]
     if present is not None:
         w = Window.partitionBy(*parts).orderBy("t", id_col).rowsBetween(Window.unboundedPreceding, 0)
@@ -51,12 +53,13 @@ def growth_rate(
     id_col: str = "frame_id",
     present: Column | None = None,
     out: str = "growth",
+    width: float | None = None,
 ) -> DataFrame:
     """Least-squares slope of ``col`` on time over its mean, per second; 0 below three entries.
 
     Adds ``out`` and ``out_n``. With ``present``, history restarts at rows where it fails and those rows are left out.
     """
-    d, w = _history(df, keys, seconds, id_col, present)
+    d, w = _history(df, keys, seconds, id_col, present, width)
     n = F.count(F.lit(1)).over(w)
     span = F.max("t").over(w) - F.min("t").over(w)
     # Time from the chunk's start keeps the sums of squares small.

@@ -39,7 +39,7 @@ def runs(hist: DataFrame, interval: float = K.SAMPLE_INTERVAL) -> DataFrame:
     """Histories cut at gaps over 1.5 intervals, with the row number ``pos`` in each run and its length."""
     keys = ["camera_id", "session_id"]
     d = sessionize_gaps(hist, interval * K.TOLERANCE_INTERVALS, keys)
-    d = number_rows(d, RUN, ["t", "event_id"], name="pos")
+    d = number_rows(d, RUN, ["t", "event_id"], name="pos", width=K.CHUNK_SECONDS)
     return d.join(d.groupBy(*RUN).agg(F.count(F.lit(1)).alias("run_rows")), RUN)
 
 

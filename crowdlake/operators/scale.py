@@ -1,7 +1,8 @@
 """Ordered computation per key without ever placing a whole key in one task.
 
-A camera's timeline is cut into chunks (of time or of rows).  Three building blocks cover
-every ordered operator of the library:
+A camera's timeline is cut into chunks of time, shortened until the busiest holds about a million
+rows, or into chunks of an exact number of rows. Three building blocks cover every ordered operator
+of the library:
 
 * a *halo*: rows a neighbouring chunk needs for its frames are copied into it, windows run
   per (key, chunk) and only home rows are kept;
@@ -18,19 +19,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from crowdlake.constants import BLOCK_ROWS, CHUNK_SECONDS
+from crowdlake.constants import BLOCK_ROWS, CHUNK_ROWS, CHUNK_SECONDS
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
-def chunk_of(t: str, width: float) -> Column:
-    return F.floor(F.col(t) / F.lit(float(width)))
+def chunk_width(df: DataFrame, keys: Sequence[str], t: str, width: float | None = None) -> Column:
+    """Chunk length: ``width`` if given, else the longest for which the busiest minute of any key
+    would fill a chunk with at most ``CHUNK_ROWS`` rows, between a second and ``CHUNK_SECONDS``.
+
+    The automatic choice is a scalar subquery over per-minute counts: no extra job, no collected rows.
+    Pass ``width`` where the rate of rows is bounded anyway, as after a throttle.
+    """
+    if width is not None:
+        return F.lit(float(width))
+    probe = 60.0
+    busiest = df.groupBy(*keys, F.floor(F.col(t) / probe).alias("_minute")).agg(F.count(F.lit(1)).alias("_n"))
+    fitting = F.floor(F.lit(probe * CHUNK_ROWS) / F.max("_n"))
+    length = F.greatest(F.lit(1.0), F.least(F.lit(CHUNK_SECONDS), fitting))
+    return busiest.agg(F.coalesce(length, F.lit(CHUNK_SECONDS)).alias("w")).scalar()
+
+
+def chunk_of(t: str, width: Column) -> Column:
+    return F.floor(F.col(t) / width)
 
 
 def with_time_halo(
-    df: DataFrame, t: str = "t", before: float = 0.0, after: float = 0.0, width: float = CHUNK_SECONDS
+    df: DataFrame, width: Column, t: str = "t", before: float = 0.0, after: float = 0.0
 ) -> DataFrame:
     """Add ``_chunk`` and ``_home``; a row is copied to each chunk whose frames reach it.
 
@@ -53,14 +70,14 @@ def with_running(
     order: Sequence[str],
     values: dict[str, tuple[str, Column]],
     t: str = "t",
-    width: float = CHUNK_SECONDS,
+    width: float | None = None,
     exclusive: bool = False,
 ) -> DataFrame:
     """Running ``sum``, ``max`` or ``last`` (newest non-null) per key in ``order``.
 
     ``values`` maps an output name to (kind, expression). ``exclusive`` leaves out the current row.
     """
-    d = df.withColumn("_chunk", chunk_of(t, width))
+    d = df.withColumn("_chunk", chunk_of(t, chunk_width(df, keys, t, width)))
     for name, (_, expr) in values.items():
         d = d.withColumn(f"_in_{name}", expr)
 
@@ -120,7 +137,7 @@ def with_previous(
     order: Sequence[str],
     values: dict[str, Column],
     t: str = "t",
-    width: float = CHUNK_SECONDS,
+    width: float | None = None,
 ) -> DataFrame:
     """Values of the preceding row of the key (``lag``), nulls included."""
     packed = F.struct(*[e.alias(n) for n, e in values.items()])
@@ -133,7 +150,7 @@ def number_rows(
     keys: Sequence[str],
     order: Sequence[str],
     t: str = "t",
-    width: float = CHUNK_SECONDS,
+    width: float | None = None,
     name: str = "rn",
 ) -> DataFrame:
     """1-based row number per key."""
@@ -162,7 +179,7 @@ def asof(
     direction: str = "backward",
     tolerance: float | None = None,
     t: str = "t",
-    width: float = CHUNK_SECONDS,
+    width: float | None = None,
 ) -> DataFrame:
     """Attach to each left row the nearest right row at or before (``backward``) / at or after
     (``forward``) its time, within ``tolerance`` seconds. Adds ``values`` and ``matched_t``.
@@ -189,8 +206,9 @@ def asof(
     else:
         tol = float(tolerance)
         reach = {"after": tol} if forward else {"before": tol}
-        halo = with_time_halo(sides.where("_side = 1"), t, width=width, **reach)
-        core = with_time_halo(sides.where("_side = 0"), t, width=width)
+        length = chunk_width(sides, keys, t, width)
+        halo = with_time_halo(sides.where("_side = 1"), length, t, **reach)
+        core = with_time_halo(sides.where("_side = 0"), length, t)
         both = core.unionByName(halo)
         order = [t, "_side"] if forward else [t, F.desc("_side")]
         w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
@@ -253,7 +271,7 @@ def exact_percentile(
         F.when(F.lit(q + eps >= 1), F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
     )
     # A rank may fall one row outside the bracket: keep the neighbours on both sides of it.
-    j = d.join(bracket, list(keys)) if keys else d.crossJoin(F.broadcast(bracket))
+    j = d.join(bracket, list(keys))
     slot = F.when(F.col("_v") < F.col("_lo"), F.lit(0)).when(F.col("_v") <= F.col("_hi"), F.lit(1)).otherwise(F.lit(2))
     counts = (
         j.withColumn("_slot", slot)

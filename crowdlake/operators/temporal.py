@@ -14,6 +14,7 @@ from crowdlake.functions import scalars as S
 from crowdlake.operators.scale import (
     asof,
     chunk_of,
+    chunk_width,
     frame_percentile,
     home_rows,
     number_rows,
@@ -80,7 +81,7 @@ def throttle(
     gap: float,
     order: Sequence[str] = ORDER,
     strict: bool = False,
-    width: float = K.CHUNK_SECONDS,
+    width: float | None = None,
 ) -> DataFrame:
     """Keep a row if it is the first or at least ``gap`` seconds (more, if ``strict``) after the last
     *kept* row of its key.
@@ -93,18 +94,19 @@ def throttle(
     t = order[0]
     key_schema = [df.schema[k] for k in keys]
     columns, schema, order = list(df.columns), df.schema, list(order)
-    chunked = df.withColumn("_chunk", chunk_of(t, width))
+    chunked = df.withColumn("_width", chunk_width(df, keys, t, width))
+    chunked = chunked.withColumn("_chunk", chunk_of(t, F.col("_width")))
     chunk_keys = keys + ["_chunk"]
     long = T.StructField("_chunk", T.LongType())
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
         ts = sorted(pdf[t].tolist())
-        entries, outs = _chunk_exits(ts, pdf["_chunk"].iloc[0] * width, gap, strict)
+        entries, outs = _chunk_exits(ts, pdf["_start"].iloc[0], gap, strict)
         return pdf[chunk_keys].head(1).assign(_entries=[entries], _exits=[outs])
 
     doubles = T.ArrayType(T.DoubleType())
     reports = (
-        chunked.select(*chunk_keys, F.col(t).cast("double").alias(t))
+        chunked.select(*chunk_keys, F.col(t).cast("double").alias(t), (F.col("_chunk") * F.col("_width")).alias("_start"))
         .groupBy(*chunk_keys)
         .applyInPandas(
             report, T.StructType([*key_schema, long, T.StructField("_entries", doubles), T.StructField("_exits", doubles)])
@@ -136,7 +138,7 @@ def throttle(
             k = _next_allowed(ts, ts[k], gap, strict, k + 1)
         return pdf.iloc[kept][columns]
 
-    return chunked.join(carried, chunk_keys).groupBy(*chunk_keys).applyInPandas(keep, schema)
+    return chunked.drop("_width").join(carried, chunk_keys).groupBy(*chunk_keys).applyInPandas(keep, schema)
 
 
 # --- sessions, de-duplication, gates ---------------------------------------------------------

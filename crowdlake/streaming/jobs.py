@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from crowdlake.constants import CHUNK_SECONDS
 from crowdlake.operators import fleet, forecast
 from crowdlake.operators.scale import keep_latest
 from crowdlake.operators.temporal import mode_gate
@@ -92,7 +91,7 @@ def latest_forecasts(tail: DataFrame, keys: Sequence[str] = forecast.KEYS) -> Da
     return forecast.candidates(numbered).join(last, [*keys, "rn"])
 
 
-def forecast_stream(samples: DataFrame, path: str, checkpoint: str, tail_rows: int = 1000, width: float = CHUNK_SECONDS):
+def forecast_stream(samples: DataFrame, path: str, checkpoint: str, tail_rows: int = 1000):
     """Forecast every camera a micro-batch touches from the newest rows of its history.
 
     ``samples`` are accepted, smoothed samples (``camera_id, session_id, t, event_id, value``). The
