@@ -244,12 +244,12 @@ _HELD = """select *, case when size < 5 then rn = size else rn % 5 = 0 end as he
 @query(
     "validated_calibration_profiles",
     sql(
-        """select f.camera_id, round(f.s, 6) as scale, round(f.b, 6) as bias, round(acc, 2) as validated_accuracy_percent,
+        """select f.camera_id, round(f.s, 6) as scale, round(f.b, 6) as bias, round_even(acc, 2) as validated_accuracy_percent,
         acc >= 90 and worst >= 90 as target_met, by_angle, f.n as sample_count
         from (select camera_id, greatest(0, regr_slope(actual_count, predicted_count)) as s, regr_intercept(actual_count, predicted_count) as b, count(*) as n
               from labels_in where actual_count >= 0 group by 1) f
         join (select camera_id, 100 - sum(e) / sum(n) * 100 as acc, min(round_even(100 - e / n * 100, 2)) as worst,
-                string_agg(angle || '=' || printf('%.2f', 100 - e / n * 100), ',' order by angle) as by_angle
+                string_agg(angle || '=' || printf('%.2f', round_even(100 - e / n * 100, 2)), ',' order by angle) as by_angle
               from (select h.camera_id, angle, count(*) as n, sum(abs(greatest(0, predicted_count * ts + tb) - actual_count) / greatest(actual_count, 1)) as e
                 from held h join (select camera_id, greatest(0, regr_slope(actual_count, predicted_count)) as ts, regr_intercept(actual_count, predicted_count) as tb
                   from held where not held group by 1) t on h.camera_id = t.camera_id where held group by 1, 2) group by 1) v
