@@ -244,7 +244,7 @@ _HELD = """select *, case when size < 5 then rn = size else rn % 5 = 0 end as he
 @query(
     "validated_calibration_profiles",
     sql(
-        """select f.camera_id, round(f.s, 6) as scale, round(f.b, 6) as bias, round_even(acc, 2) as validated_accuracy_percent,
+        """select f.camera_id, round(round_even(f.s, 8), 6) as scale, round(round_even(f.b, 8), 6) as bias, round_even(acc, 2) as validated_accuracy_percent,
         acc >= 90 and worst >= 90 as target_met, by_angle, f.n as sample_count
         from (select camera_id, greatest(0, regr_slope(actual_count, predicted_count)) as s, regr_intercept(actual_count, predicted_count) as b, count(*) as n
               from labels_in where actual_count >= 0 group by 1) f
