@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crowdlake.functions import scalars as S
+from crowdlake.operators.materialize import materialize
 from crowdlake.operators.scale import number_rows
 
 
@@ -66,7 +67,7 @@ def validate_calibration(
     sizes = d.groupBy(*by_angle).agg(F.count(F.lit(1)).alias("_size"))
     d = d.join(sizes, by_angle)
     held = F.when(F.col("_size") < 5, F.col("rn") == F.col("_size")).otherwise(F.col("rn") % 5 == 0)
-    d = d.withColumn("_held", held)
+    d = materialize(d.withColumn("_held", held))
     ts, tb, tn = _fit(~F.col("_held"))
     s, b, n = _fit(F.lit(True))
     fits = d.groupBy("camera_id").agg(
@@ -119,8 +120,10 @@ def pick_calibration_rows(hist: DataFrame, n: int = 60) -> DataFrame:
     d = number_rows(hist, ["source"], ["second", "event_id"], t="second")
     sizes = hist.groupBy("source").agg(F.count(F.lit(1)).alias("_size"))
     middle = d.join(sizes, "source").where(F.col("rn") == F.floor(F.col("_size") / 2) + 1).drop("rn", "_size")
+    # One row per source is left.
+    middle = materialize(middle)
     ranked = number_rows(middle, [], ["count", "source"], t="count", name="rank")
-    m = hist.select("source").distinct().agg(F.count(F.lit(1)).alias("m"))
+    m = middle.agg(F.count(F.lit(1)).alias("m"))
     spread = F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),
         lambda i: S.half_even(i * (F.col("m") - 1) / F.lit(float(max(1, n - 1)))) + 1,

@@ -101,7 +101,10 @@ def path_changes(polls: DataFrame, ready: DataFrame) -> DataFrame:
 def current_state(updates: DataFrame, order: Sequence[str] = ("t", "event_id"), keys: Sequence[str] = CAMERA) -> DataFrame:
     """Newest row per camera; analytics fields of inactive cameras return to their defaults."""
     cols = [c for c in updates.columns if c not in keys]
-    latest = updates.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+    # The newest time alone is a hash aggregate; only rows that carry it are compared as a whole.
+    top = updates.groupBy(*keys).agg(F.max(order[0]).alias("_top"))
+    newest = updates.join(top, list(keys)).where(F.col(order[0]) == F.col("_top"))
+    latest = newest.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
     if "analytics_active" in cols:
         for name, default in ANALYTICS.items():
             if name in cols:

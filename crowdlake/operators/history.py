@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crowdlake.constants import MIN_CROWD
-from crowdlake.operators.scale import chunk_width, home_rows, with_time_halo
+from crowdlake.operators.scale import Width, chunk_width, home_rows, with_time_halo
 
 CAMERA = ["camera_id"]
 
 
 def _history(
-    df: DataFrame, keys: Sequence[str], seconds: float, id_col: str, present: Column | None, width: float | None = None
+    df: DataFrame, keys: Sequence[str], seconds: float, id_col: str, present: Column | None, width: Width = None
 ):
     """Rows with a crowd, halo included, and the window of each row's history."""
     whole = int(seconds)
@@ -53,7 +53,7 @@ def growth_rate(
     id_col: str = "frame_id",
     present: Column | None = None,
     out: str = "growth",
-    width: float | None = None,
+    width: Width = None,
 ) -> DataFrame:
     """Least-squares slope of ``col`` on time over its mean, per second; 0 below three entries.
 

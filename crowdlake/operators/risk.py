@@ -9,21 +9,26 @@ from pyspark.sql import DataFrame, functions as F
 from crowdlake import constants as K
 from crowdlake.functions import scalars as S
 from crowdlake.operators.history import growth_rate
-from crowdlake.operators.scale import with_previous
+from crowdlake.operators.scale import Width, chunk_width, with_running
 from crowdlake.operators.temporal import CAMERA, ema
 
 ORDER = ["t", "frame_id"]
 
 
-def peak_growth(df: DataFrame, keys: Sequence[str] = CAMERA, order: Sequence[str] = ORDER) -> DataFrame:
+def peak_growth(
+    df: DataFrame, keys: Sequence[str] = CAMERA, order: Sequence[str] = ORDER, width: Width = None
+) -> DataFrame:
     """Relative change of the peak against the previous frame, in [0, 1] with 0.5 = unchanged.
 
-    An empty previous frame, or none, counts as unchanged.
+    An empty previous frame, or none, counts as unchanged. Also numbers the rows (``rn``).
     """
-    d = with_previous(df, keys, order, {"_peak": F.col("peak"), "_density": F.col("density")})
-    known = (F.col("_density") >= K.MIN_CROWD) & (F.col("_peak") > 0)
-    change = F.when(known, (F.col("peak") - F.col("_peak")) / F.col("_peak")).otherwise(0.0)
-    return d.withColumn("growth_term", (S.clamp(change, -1.0, 1.0) + 1.0) / 2.0).drop("_peak", "_density")
+    before = F.struct(F.col("peak"), F.col("density"))
+    d = with_running(
+        df, keys, order, {"rn": ("sum", F.lit(1).cast("bigint")), "_last": ("last_before", before)}, order[0], width
+    )
+    known = (F.col("_last.density") >= K.MIN_CROWD) & (F.col("_last.peak") > 0)
+    change = F.when(known, (F.col("peak") - F.col("_last.peak")) / F.col("_last.peak")).otherwise(0.0)
+    return d.withColumn("growth_term", (S.clamp(change, -1.0, 1.0) + 1.0) / 2.0).drop("_last")
 
 
 def composite_risk(df: DataFrame, keys: Sequence[str] = CAMERA, order: Sequence[str] = ORDER) -> DataFrame:
@@ -46,7 +51,8 @@ def pressure(df: DataFrame, keys: Sequence[str] = CAMERA, order: Sequence[str] =
 def risk_index(df: DataFrame, keys: Sequence[str] = CAMERA, order: Sequence[str] = ORDER) -> DataFrame:
     """Index 0-100 with label, causes and confidence; its average runs over frames with a crowd."""
     present = F.col("density") >= K.MIN_CROWD
-    d = growth_rate(df, "density", 10.0, keys, order[-1], present)
+    width = chunk_width(df, keys, order[0])
+    d = growth_rate(df, "density", 10.0, keys, order[-1], present, width=width)
     d = (
         d.withColumn("density_term", S.sat_exp("density", 1000.0))
         .withColumn("motion_term", S.sat_ratio("motion", 6.0))
@@ -64,7 +70,7 @@ def risk_index(df: DataFrame, keys: Sequence[str] = CAMERA, order: Sequence[str]
         + 0.15 * F.col("growth_term")
         + 0.10 * F.col("opposing_term")
     )
-    d = ema(d.withColumn("_raw", S.clamp(raw, 0.0, 1.0)), "_raw", K.PRESSURE_ALPHA, "_smooth", None, keys, order)
+    d = ema(d.withColumn("_raw", S.clamp(raw, 0.0, 1.0)), "_raw", K.PRESSURE_ALPHA, "_smooth", None, keys, order, width)
     spread = F.abs(F.col("density_term") - F.col("motion_term")) * 0.05
     sure = F.least(0.85 + 0.01 * F.col("growth_n"), F.lit(0.96)) - spread
     d = (

@@ -26,13 +26,20 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
-def chunk_width(df: DataFrame, keys: Sequence[str], t: str, width: float | None = None) -> Column:
+# A chunk length: seconds, a column made by ``chunk_width``, or None for the automatic choice.
+Width = float | Column | None
+
+
+def chunk_width(df: DataFrame, keys: Sequence[str], t: str, width: Width = None) -> Column:
     """Chunk length: ``width`` if given, else the longest for which the busiest minute of any key
     would fill a chunk with at most ``CHUNK_ROWS`` rows, between a second and ``CHUNK_SECONDS``.
 
     The automatic choice is a scalar subquery over per-minute counts: no extra job, no collected rows.
-    Pass ``width`` where the rate of rows is bounded anyway, as after a throttle.
+    Pass ``width`` where the rate of rows is bounded anyway, as after a throttle. Operators made of
+    several steps choose once, on their input, and pass the choice on.
     """
+    if isinstance(width, Column):
+        return width
     if width is not None:
         return F.lit(float(width))
     probe = 60.0
@@ -70,60 +77,46 @@ def with_running(
     order: Sequence[str],
     values: dict[str, tuple[str, Column]],
     t: str = "t",
-    width: float | None = None,
-    exclusive: bool = False,
+    width: Width = None,
 ) -> DataFrame:
-    """Running ``sum``, ``max`` or ``last`` (newest non-null) per key in ``order``.
+    """Running values per key in ``order``: ``values`` maps an output name to (kind, expression).
 
-    ``values`` maps an output name to (kind, expression). ``exclusive`` leaves out the current row.
+    Kinds are ``sum``, ``max`` and ``last`` (newest non-null); ``max_before`` and ``last_before`` leave
+    out the current row.
     """
     d = df.withColumn("_chunk", chunk_of(t, chunk_width(df, keys, t, width)))
     for name, (_, expr) in values.items():
         d = d.withColumn(f"_in_{name}", expr)
+    kinds = {name: kind.removesuffix("_before") for name, (kind, _) in values.items()}
 
     stamp = F.struct(*_cols(order))
     totals = []
-    for name, (kind, _) in values.items():
+    for name, kind in kinds.items():
         v = F.col(f"_in_{name}")
-        if kind == "last":
-            totals.append(F.max_by(v, F.when(v.isNotNull(), stamp)).alias(f"_tot_{name}"))
-        else:
-            totals.append(getattr(F, kind)(v).alias(f"_tot_{name}"))
-    carry_window = (
-        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
+        total = F.max_by(v, F.when(v.isNotNull(), stamp)) if kind == "last" else getattr(F, kind)(v)
+        totals.append(total.alias(f"_tot_{name}"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = d.groupBy(*keys, "_chunk").agg(*totals)
     carry = carry.select(
-        *keys,
-        "_chunk",
-        *[
-            _over(kind, F.col(f"_tot_{name}"), carry_window).alias(f"_carry_{name}")
-            for name, (kind, _) in values.items()
-        ],
-    )
-    local_window = (
-        Window.partitionBy(*keys, "_chunk")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+        *keys, "_chunk", *[_over(k, F.col(f"_tot_{n}"), earlier).alias(f"_carry_{n}") for n, k in kinds.items()]
     )
-    d = d.select(
-        "*",
-        *[
-            _over(kind, F.col(f"_in_{name}"), local_window).alias(f"_loc_{name}")
-            for name, (kind, _) in values.items()
-        ],
-    ).join(carry, [*keys, "_chunk"], "left")
+
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    local = []
     for name, (kind, _) in values.items():
+        frame = inside.rowsBetween(Window.unboundedPreceding, -1 if kind.endswith("_before") else 0)
+        local.append(_over(kinds[name], F.col(f"_in_{name}"), frame).alias(f"_loc_{name}"))
+    d = d.select("*", *local).join(carry, [*keys, "_chunk"], "left")
+
+    out = {}
+    for name, kind in kinds.items():
         a, b = F.col(f"_loc_{name}"), F.col(f"_carry_{name}")
         if kind == "sum":
-            zero = F.lit(0)
-            out = F.coalesce(a, zero) + F.coalesce(b, zero)
-        elif kind == "max":
-            out = F.greatest(a, b)
+            out[name] = F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
         else:
-            out = F.coalesce(a, b)
-        d = d.withColumn(name, out).drop(f"_in_{name}", f"_loc_{name}", f"_carry_{name}")
-    return d.drop("_chunk")
+            out[name] = F.greatest(a, b) if kind == "max" else F.coalesce(a, b)
+    kept = [c for c in df.columns if c not in out]
+    return d.select(*kept, *[c.alias(n) for n, c in out.items()])
 
 
 def _over(kind: str, value: Column, window) -> Column:
@@ -137,11 +130,11 @@ def with_previous(
     order: Sequence[str],
     values: dict[str, Column],
     t: str = "t",
-    width: float | None = None,
+    width: Width = None,
 ) -> DataFrame:
     """Values of the preceding row of the key (``lag``), nulls included."""
     packed = F.struct(*[e.alias(n) for n, e in values.items()])
-    d = with_running(df, keys, order, {"_prev": ("last", packed)}, t, width, exclusive=True)
+    d = with_running(df, keys, order, {"_prev": ("last_before", packed)}, t, width)
     return d.select("*", *[F.col("_prev")[n].alias(n) for n in values]).drop("_prev")
 
 
@@ -150,7 +143,7 @@ def number_rows(
     keys: Sequence[str],
     order: Sequence[str],
     t: str = "t",
-    width: float | None = None,
+    width: Width = None,
     name: str = "rn",
 ) -> DataFrame:
     """1-based row number per key."""
@@ -179,7 +172,7 @@ def asof(
     direction: str = "backward",
     tolerance: float | None = None,
     t: str = "t",
-    width: float | None = None,
+    width: Width = None,
 ) -> DataFrame:
     """Attach to each left row the nearest right row at or before (``backward``) / at or after
     (``forward``) its time, within ``tolerance`` seconds. Adds ``values`` and ``matched_t``.

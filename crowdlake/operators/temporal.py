@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from crowdlake import constants as K
 from crowdlake.functions import scalars as S
 from crowdlake.operators.scale import (
+    Width,
     asof,
     chunk_of,
     chunk_width,
@@ -81,7 +82,7 @@ def throttle(
     gap: float,
     order: Sequence[str] = ORDER,
     strict: bool = False,
-    width: float | None = None,
+    width: Width = None,
 ) -> DataFrame:
     """Keep a row if it is the first or at least ``gap`` seconds (more, if ``strict``) after the last
     *kept* row of its key.
@@ -146,7 +147,7 @@ def throttle(
 
 def dedupe_seq(df: DataFrame, keys: Sequence[str] = CAMERA, seq: str = "seq", order: Sequence[str] = ORDER) -> DataFrame:
     """Drop rows whose sequence number is not above every earlier one; null numbers always pass."""
-    d = with_running(df, keys, order, {"_top": ("max", F.col(seq))}, t=order[0], exclusive=True)
+    d = with_running(df, keys, order, {"_top": ("max_before", F.col(seq))}, t=order[0])
     return d.where(F.col(seq).isNull() | (F.col(seq) > F.coalesce("_top", F.lit(-1)))).drop("_top")
 
 
@@ -165,9 +166,10 @@ def sessionize_gaps(
 ) -> DataFrame:
     """Number runs of rows whose neighbours are at most ``max_gap`` seconds apart, from 0."""
     t = order[0]
-    d = with_previous(df, keys, order, {"_before": F.col(t)}, t=t)
+    width = chunk_width(df, keys, t)
+    d = with_previous(df, keys, order, {"_before": F.col(t)}, t, width)
     split = F.coalesce((F.col(t) - F.col("_before") > max_gap).cast("int"), F.lit(0))
-    d = with_running(d, keys, order, {"run_id": ("sum", split)}, t=t)
+    d = with_running(d, keys, order, {"run_id": ("sum", split)}, t, width)
     return d.drop("_before")
 
 
@@ -190,8 +192,11 @@ def presence_states(polls: DataFrame, confirm: int = 2, keys: Sequence[str] = CA
 
     Online at once; offline after ``confirm`` successive misses; failed polls change nothing.
     """
-    good = number_rows(polls.where("poll_ok"), keys, ["t", "poll_id"], name="_n")
-    d = with_running(good, keys, ["_n"], {"_seen": ("last", F.when(F.col("ready"), F.col("_n")))}, exclusive=True)
+    good = polls.where("poll_ok")
+    width = chunk_width(good, keys, "t")
+    good = number_rows(good, keys, ["t", "poll_id"], width=width, name="_n")
+    seen = F.when(F.col("ready"), F.col("_n"))
+    d = with_running(good, keys, ["_n"], {"_seen": ("max_before", seen)}, width=width)
     since = F.col("_n") - F.col("_seen")
     event = (
         F.when(F.col("ready") & (F.col("_seen").isNull() | (since > confirm)), "online")
@@ -204,8 +209,8 @@ def presence_states(polls: DataFrame, confirm: int = 2, keys: Sequence[str] = CA
 # --- smoothing -------------------------------------------------------------------------------
 
 
-def ensure_rn(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return df if "rn" in df.columns else number_rows(df, keys, order, t=order[0])
+def ensure_rn(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: Width = None) -> DataFrame:
+    return df if "rn" in df.columns else number_rows(df, keys, order, order[0], width)
 
 
 def rolling_median(
@@ -232,6 +237,7 @@ def ema(
     reset_on: Column | None = None,
     keys: Sequence[str] = CAMERA,
     order: Sequence[str] = ORDER,
+    width: Width = None,
 ) -> DataFrame:
     """Exponential average seeded with 0; rows where ``reset_on`` holds give 0 and start over.
 
@@ -239,7 +245,7 @@ def ema(
     scaled back. Values older than the lead-in weigh less than a rounding error.
     """
     lead, size = _decay_layout(alpha)
-    d = with_row_halo(ensure_rn(df, keys, order), lead, size=size)
+    d = with_row_halo(ensure_rn(df, keys, order, width), lead, size=size)
     reset = F.coalesce(reset_on, F.lit(False)) if reset_on is not None else F.lit(False)
     w = Window.partitionBy(*keys, "_chunk").orderBy("rn")
     d = d.withColumn("_seg", F.sum(reset.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -268,17 +274,20 @@ def stabilize(
     """
     detected = F.greatest(F.lit(0.0), F.col("detections").cast("double"))
     raw = F.greatest(S.apply_calibration("density", scale, bias), detected)
-    d = rolling_median(df.withColumn("_raw", raw), k, "_raw", "_target", keys, order).drop("_raw")
+    d = ensure_rn(df.withColumn("_raw", raw), keys, order)
+    lead, size = (0, K.BLOCK_ROWS) if alpha >= 1.0 else _decay_layout(alpha)
+    # One halo serves both: medians cut short at its start are older than the lead-in.
+    d = with_row_halo(d, lead + k - 1, size=size)
+    w = Window.partitionBy(*keys, "_chunk").orderBy("rn")
+    d = d.withColumn("_target", frame_percentile("_raw", 0.5, w.rowsBetween(-(k - 1), 0))).drop("_raw")
     if alpha >= 1.0:
-        return d.withColumn(out, F.greatest("_target", detected)).drop("_target")
-    lead, size = _decay_layout(alpha)
-    d = with_row_halo(d, lead, size=size)
+        return home_rows(d.withColumn(out, F.greatest("_target", detected))).drop("_target")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     pos = F.col("rn") - F.col("_chunk") * size + lead
     d = d.withColumn("_grow", F.pow(F.lit(1.0 - alpha), -pos))
-    w = Window.partitionBy(*keys, "_chunk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
     weight = F.when(F.col("rn") == 1, 1.0).otherwise(alpha)
-    d = d.withColumn("_sum", F.sum(F.col("_target") * weight * F.col("_grow")).over(w))
-    d = d.withColumn("_lift", F.max(detected * F.col("_grow") - F.col("_sum")).over(w))
+    d = d.withColumn("_sum", F.sum(F.col("_target") * weight * F.col("_grow")).over(upto))
+    d = d.withColumn("_lift", F.max(detected * F.col("_grow") - F.col("_sum")).over(upto))
     value = (F.col("_sum") + F.greatest(F.lit(0.0), F.col("_lift"))) / F.col("_grow")
     return home_rows(d.withColumn(out, value)).drop("_target", "_grow", "_sum", "_lift")
 
@@ -290,9 +299,10 @@ def alert_ticker(active: DataFrame, keys: Sequence[str] = CAMERA) -> DataFrame:
     """One alert per camera and tick from (``tick, t, pos, alert``): most severe first in list order,
     else the last listed. Hidden after 30 s of being shown without a break, dimmed after 10 s."""
     own = [*keys, "alert"]
-    d = with_previous(active, own, ["t"], {"_before": F.col("tick")})
+    width = chunk_width(active, own, "t")
+    d = with_previous(active, own, ["t"], {"_before": F.col("tick")}, width=width)
     fresh = F.coalesce(F.col("_before") != F.col("tick") - 1, F.lit(True))
-    d = with_running(d, own, ["t"], {"_since": ("last", F.when(fresh, F.col("t")))})
+    d = with_running(d, own, ["t"], {"_since": ("max", F.when(fresh, F.col("t")))}, width=width)
     # Words that mark the two severity classes.
     severity = (
         F.when(F.col("alert").rlike("CRITICAL|EVACUATE|STAMPEDE"), 0)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from crowdlake.functions import scalars as S
 from crowdlake.operators import alerts, forecast as X, history as H, hotspots as P, risk as R, temporal as T
+from crowdlake.operators.materialize import materialize
 from crowdlake.operators.scale import asof, exact_percentile, keep_latest
 from crowdlake.plans.registry import query, rounded, sql
 from crowdlake.plans.scalar_queries import _ALERTS, _DIMMED, _dimmed
@@ -25,7 +26,7 @@ def sessions(spark, sf):
 
 def count_history(spark, sf):
     """Sampled, median-smoothed counts with row numbers, per camera and session."""
-    return X.count_history(sessions(spark, sf))
+    return X.count_history(materialize(sessions(spark, sf)))
 
 
 @query(
@@ -48,7 +49,7 @@ def sampled_count_growth(spark, sf):
 
 @query("throttled_samples", sql("select camera_id, session_id, event_id from hist", *HIST))
 def throttled_samples(spark, sf):
-    return T.throttle(sessions(spark, sf), KEYS, 15.0).select("camera_id", "session_id", "event_id")
+    return T.throttle(materialize(sessions(spark, sf)), KEYS, 15.0).select("camera_id", "session_id", "event_id")
 
 
 @query("reset_sessions", sql("select camera_id, event_id, session_id from sessions", "samples", "resets", "sessions"))

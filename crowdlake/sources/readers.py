@@ -8,9 +8,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from crowdlake.constants import CHUNK_SECONDS
 from crowdlake.functions import scalars as S
 from crowdlake.operators.frames import unpack_frames
-from crowdlake.operators.scale import asof
+from crowdlake.operators.materialize import materialize
+from crowdlake.operators.scale import asof, number_rows
 from crowdlake.operators.temporal import rolling_median
 
 HISTORY_COLUMNS = ["timestamp_utc", "camera_id", "session_id", "raw_observed_count", "observed_count"]
@@ -151,6 +153,7 @@ def history_from_frames(counts: DataFrame, interval: float = 15.0, k: int = 5) -
         "source", F.explode(F.sequence(F.lit(0), steps - 1)).alias("sample_no")
     ).withColumn("t", F.col("sample_no") * F.lit(float(interval)))
     d = asof(instants, counts.select("source", "t", "count"), ["source"], ["count"]).where("count is not null")
+    d = number_rows(materialize(d), ["source"], ["t", "sample_no"], width=CHUNK_SECONDS)
     d = rolling_median(d, k, "count", "_median", ["source"], ["t", "sample_no"])
     return d.select(
         F.timestamp_add("MICROSECOND", (F.col("t") * 1e6).cast("bigint"), F.lit("2026-01-01 00:00:00+00:00").cast("timestamp")).alias("ts"),
