@@ -160,10 +160,11 @@ def tail_thirds(pos, extent) -> Column:
 
 
 def relative_error(predicted, observed) -> Column:
+    """Error bounded by 1; null where either side is unknown."""
     p, o = _c(predicted), _c(observed)
-    return F.when((p == 0) & (o == 0), 0.0).otherwise(
-        F.least(F.lit(1.0), F.abs(p - o) / F.greatest(F.lit(1.0), o))
-    )
+    error = F.when((p == 0) & (o == 0), 0.0).otherwise(F.least(F.lit(1.0), F.abs(p - o) / F.greatest(F.lit(1.0), o)))
+    # least() skips nulls, so unknown sides are kept apart.
+    return F.when(p.isNotNull() & o.isNotNull(), error)
 
 
 def horizon_steps(seconds: float, interval: float = K.SAMPLE_INTERVAL) -> int:

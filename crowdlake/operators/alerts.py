@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from crowdlake import constants as K
 from crowdlake.functions import scalars as S
+from crowdlake.operators.materialize import materialize
 from crowdlake.operators.scale import keep_latest
 from crowdlake.operators.temporal import throttle
 
@@ -42,7 +43,9 @@ def cell_alerts(zones: DataFrame) -> DataFrame:
 
 def alert_cooldown(alerts: DataFrame, gap: float = K.ALERT_COOLDOWN) -> DataFrame:
     """Alerts to dispatch: HIGH and CRITICAL, at most one per cell and ``gap`` seconds."""
-    return throttle(alerts.where(F.col("zone").isin(*DISPATCHED)), ["camera_id", "cell"], gap, ["t", "frame_id"])
+    # Severe alerts are few next to the cells they come from, and the throttle reads them three times.
+    severe = materialize(alerts.where(F.col("zone").isin(*DISPATCHED)))
+    return throttle(severe, ["camera_id", "cell"], gap, ["t", "frame_id"])
 
 
 def notify_cooldown(df: DataFrame, gap: float = K.NOTIFY_COOLDOWN, order=("t", "event_id")) -> DataFrame:
@@ -57,7 +60,7 @@ def notifications(state: DataFrame, surges: DataFrame, dims: DataFrame, limit: i
     """
     d = state.join(surges, ["camera_id", "t", "event_id"], "left")
     d = d.where(F.col("horizon").isNotNull() | (F.col("risk_level") == "STAMPEDE"))
-    d = notify_cooldown(d)
+    d = notify_cooldown(materialize(d))
     d = keep_latest(d, [], limit, ["t", "event_id"])
     place = dims.select(
         "camera_id",

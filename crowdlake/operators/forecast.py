@@ -195,10 +195,7 @@ def score_predictions(
     d = asof(left, right, keys, ["observed"], "forward", K.TOLERANCE_INTERVALS * interval, width=K.CHUNK_SECONDS)
     d = d.withColumnRenamed("t", "target_t").withColumnsRenamed({"origin_t": "t", "matched_t": "obs_t"})
     return d.withColumns(
-        {
-            f"e_{m}": F.when(F.col("observed").isNotNull(), S.relative_error(f"p_{m}", "observed"))
-            for m in models_of(cands)
-        }
+        {f"e_{m}": S.relative_error(f"p_{m}", "observed") for m in models_of(cands)}
     )
 
 
@@ -348,7 +345,7 @@ def backtest(
     )
     helpers = [c for c in d.columns if c[:2] in ("p_", "e_") or c.startswith("chosen_")]
     d = d.drop(*helpers)
-    issued = d.withColumn("e_issued", F.when(F.col("observed").isNotNull(), S.relative_error("people_count", "observed")))
+    issued = d.withColumn("e_issued", S.relative_error("people_count", "observed"))
     issued = materialize(issued)
     known = rolling_errors(issued, ["e_issued"], K.HORIZON_ERROR_WINDOW, keys, p90=False)
     d = with_known_errors(issued, known, keys)

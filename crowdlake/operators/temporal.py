@@ -19,6 +19,7 @@ from crowdlake.operators.scale import (
     frame_percentile,
     home_rows,
     number_rows,
+    spread,
     with_previous,
     with_row_halo,
     with_running,
@@ -106,12 +107,11 @@ def throttle(
         return pdf[chunk_keys].head(1).assign(_entries=[entries], _exits=[outs])
 
     doubles = T.ArrayType(T.DoubleType())
-    reports = (
-        chunked.select(*chunk_keys, F.col(t).cast("double").alias(t), (F.col("_chunk") * F.col("_width")).alias("_start"))
-        .groupBy(*chunk_keys)
-        .applyInPandas(
-            report, T.StructType([*key_schema, long, T.StructField("_entries", doubles), T.StructField("_exits", doubles)])
-        )
+    times = chunked.select(
+        *chunk_keys, F.col(t).cast("double").alias(t), (F.col("_chunk") * F.col("_width")).alias("_start")
+    )
+    reports = spread(times, *chunk_keys).groupBy(*chunk_keys).applyInPandas(
+        report, T.StructType([*key_schema, long, T.StructField("_entries", doubles), T.StructField("_exits", doubles)])
     )
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,7 +139,7 @@ def throttle(
             k = _next_allowed(ts, ts[k], gap, strict, k + 1)
         return pdf.iloc[kept][columns]
 
-    return chunked.drop("_width").join(carried, chunk_keys).groupBy(*chunk_keys).applyInPandas(keep, schema)
+    return spread(chunked.drop("_width"), *chunk_keys).join(carried, chunk_keys).groupBy(*chunk_keys).applyInPandas(keep, schema)
 
 
 # --- sessions, de-duplication, gates ---------------------------------------------------------

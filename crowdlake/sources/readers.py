@@ -68,17 +68,19 @@ def read_csv_by_name(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def parse_count_history(raw: DataFrame) -> DataFrame:
-    """Typed count history of each camera's highest session; unknown columns are dropped."""
+    """Typed count history of each camera's highest session. Unknown columns are dropped, and so are rows
+    without a readable time and count."""
     for name in HISTORY_COLUMNS:
         if name not in raw.columns:
             raw = raw.withColumn(name, F.lit(None).cast("string"))
     d = raw.select(
-        F.to_timestamp("timestamp_utc").alias("ts"),
+        F.try_to_timestamp("timestamp_utc").alias("ts"),
         "camera_id",
         F.coalesce(F.expr("try_cast(session_id as int)"), F.lit(0)).alias("session_id"),
         F.expr("try_cast(raw_observed_count as double)").alias("raw_count"),
-        F.greatest(F.lit(0.0), F.expr("try_cast(observed_count as double)")).alias("count"),
-    )
+        F.expr("try_cast(observed_count as double)").alias("count"),
+    ).where("ts is not null and count is not null and not isnan(count)")
+    d = d.withColumn("count", F.greatest(F.lit(0.0), F.col("count")))
     newest = d.groupBy("camera_id").agg(F.max("session_id").alias("session_id"))
     return d.join(newest, ["camera_id", "session_id"])
 

@@ -16,6 +16,7 @@ def make_session() -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "localhost")
         .config("spark.driver.bindAddress", "127.0.0.1")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="crowdlake-cp-"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="crowdlake-wh-"))
         .config(
             "spark.sql.streaming.stateStore.providerClass",

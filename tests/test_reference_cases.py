@@ -322,7 +322,7 @@ def test_ready_path_fallbacks(spark):
 
 
 def test_count_history_files_match_by_name(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("timestamp_utc,camera_id,session_id,observed_count\n2026-01-01T00:00:00Z,c,1,5\n2026-01-01T00:00:15Z,c,2,-3\n")
+    (tmp_path / "a.csv").write_text("timestamp_utc,camera_id,session_id,observed_count\n2026-01-01T00:00:00Z,c,1,5\n2026-01-01T00:00:15Z,c,2,-3\nbroken,c,2,4\n2026-01-01T00:00:30Z,c,2,?\n")
     (tmp_path / "b.csv").write_text("observed_count,extra,camera_id,timestamp_utc\n7,x,d,2026-01-01T00:00:30+00:00\n")
     out = readers.read_count_history(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
     got = sorted((r["camera_id"], r["session_id"], r["count"], r["ts"].isoformat()) for r in out.collect())
