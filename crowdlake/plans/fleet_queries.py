@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from crowdlake.functions import scalars as S
 from crowdlake.operators import alerts as L, calibration as C, fleet, risk as R, temporal as T
 from crowdlake.plans.registry import query, rounded, sql
-from crowdlake.sources import adapters as A
+from crowdlake.sources import adapters as A, sinks
 
 # The instant the state is looked at, in seconds after the epoch of ``t``.
 NOW = 25_930.0
@@ -241,10 +241,7 @@ _HELD = """select *, case when size < 5 then rn = size else rn % 5 = 0 end as he
     row_number() over (partition by camera_id, angle order by sample_no, predicted_count, actual_count) as rn from labels_in where actual_count >= 0)"""
 
 
-@query(
-    "validated_calibration_profiles",
-    sql(
-        """select f.camera_id, round(round_even(f.s, 8), 6) as scale, round(round_even(f.b, 8), 6) as bias, round_even(acc, 2) as validated_accuracy_percent,
+_PROFILES = """select f.camera_id, round(round_even(f.s, 8), 6) as scale, round(round_even(f.b, 8), 6) as bias, round_even(acc, 2) as validated_accuracy_percent,
         acc >= 90 and worst >= 90 as target_met, by_angle, f.n as sample_count
         from (select camera_id, greatest(0, regr_slope(actual_count, predicted_count)) as s, regr_intercept(actual_count, predicted_count) as b, count(*) as n
               from labels_in where actual_count >= 0 group by 1) f
@@ -253,11 +250,10 @@ _HELD = """select *, case when size < 5 then rn = size else rn % 5 = 0 end as he
               from (select h.camera_id, angle, count(*) as n, sum(abs(greatest(0, predicted_count * ts + tb) - actual_count) / greatest(actual_count, 1)) as e
                 from held h join (select camera_id, greatest(0, regr_slope(actual_count, predicted_count)) as ts, regr_intercept(actual_count, predicted_count) as tb
                   from held where not held group by 1) t on h.camera_id = t.camera_id where held group by 1, 2) group by 1) v
-        on f.camera_id = v.camera_id""",
-        "labels_in",
-        held=_HELD,
-    ),
-)
+        on f.camera_id = v.camera_id"""
+
+
+@query("validated_calibration_profiles", sql(_PROFILES, "labels_in", held=_HELD))
 def validated_calibration_profiles(spark, sf):
     d = C.validate_calibration(labels(spark, sf))
     listed = F.transform(F.array_sort(F.map_entries("accuracy_by_angle")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.2f", e["value"])))
@@ -267,6 +263,21 @@ def validated_calibration_profiles(spark, sf):
     return rounded(d, "scale", "bias")
 
 
+@query(
+    "calibration_verdict",
+    sql(
+        """select bool_and(target_met) as approved, count(*) as profiles,
+        coalesce(string_agg(camera_id, ',' order by camera_id) filter (where not target_met), '') as failed from profiles""",
+        "labels_in",
+        held=_HELD,
+        profiles=_PROFILES,
+    ),
+)
+def calibration_verdict(spark, sf):
+    d = sinks.publish_verdict(C.validate_calibration(labels(spark, sf)))
+    return d.withColumn("failed", F.array_join("failed", ","))
+
+
 @query(
     "calibration_row_picks",
     sql(

@@ -134,7 +134,7 @@ def zone_gps_centroids(spark, sf):
 )
 def calibrated_counts(spark, sf):
     cams = A.cameras(spark, sf).select("camera_id", "scale", "bias")
-    default = cams.limit(1).select(F.lit("default").alias("camera_id"), F.lit(1.5).alias("scale"), F.lit(2.0).alias("bias"))
+    default = cams.agg(F.max(F.lit("default")).alias("camera_id"), F.max(F.lit(1.5)).alias("scale"), F.max(F.lit(2.0)).alias("bias"))
     d = C.with_calibration(A.samples(spark, sf), cams.unionByName(default))
     d = d.withColumn("calibrated", S.apply_calibration("count", "scale", "bias"))
     return rounded(d.select("event_id", "camera_id", "scale", "bias", "calibrated"), "scale", "bias", "calibrated")

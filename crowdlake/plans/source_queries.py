@@ -234,6 +234,22 @@ def alert_geojson_features(spark, sf):
     return parsed.join(ids, "_n").select("i.frame_id", "i.cell", F.to_json("f").alias("feature"))
 
 
+@query(
+    "alert_log_lines",
+    sql(
+        "select frame_id, cell, to_json({'camera_id': camera_id, 'frame_id': frame_id, 'cell': cell, 'zone': zone, 'density': density, 'timestamp': density * 2}) as line from alerts",
+        "zones",
+        "capacity",
+        "cameras",
+        dimmed=_DIMMED,
+        alerts=_ALERTS,
+    ),
+)
+def alert_log_lines(spark, sf):
+    fired = L.cell_alerts(_dimmed(spark, sf)).select("camera_id", "frame_id", "cell", "zone", "density")
+    return sinks.alert_log(fired, at=F.col("density") * 2).select("frame_id", "cell", "line")
+
+
 _FEED_LINES = """select case page_id % 6 when 0 then url when 1 then replace(url, 'http://', 'rtsp://user:pw@') when 2 then '# ' || url
     when 3 then ['dji_mini3', ' DJI_Air3', 'parrot_anafi', 'hikvision ', 'not_a_preset'][cast(page_id % 5 + 1 as int)]
     when 4 then cast(page_id % 4 as string) else '  ' end as value from pages"""

@@ -26,7 +26,7 @@ def sessions(spark, sf):
 
 def count_history(spark, sf):
     """Sampled, median-smoothed counts with row numbers, per camera and session."""
-    return X.count_history(materialize(sessions(spark, sf)))
+    return X.count_history(materialize(sessions(spark, sf).drop("event_type")))
 
 
 @query(
@@ -49,7 +49,7 @@ def sampled_count_growth(spark, sf):
 
 @query("throttled_samples", sql("select camera_id, session_id, event_id from hist", *HIST))
 def throttled_samples(spark, sf):
-    return T.throttle(materialize(sessions(spark, sf)), KEYS, 15.0).select("camera_id", "session_id", "event_id")
+    return T.throttle(materialize(sessions(spark, sf).drop("event_type")), KEYS, 15.0).select("camera_id", "session_id", "event_id")
 
 
 @query("reset_sessions", sql("select camera_id, event_id, session_id from sessions", "samples", "resets", "sessions"))

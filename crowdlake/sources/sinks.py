@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crowdlake.constants import HORIZONS
 from crowdlake.operators.scale import keep_latest
@@ -48,9 +48,15 @@ def write_telemetry(df: DataFrame, path: str, mode: str = "append") -> None:
     telemetry_text(df).write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
 
 
+def alert_log(alerts: DataFrame, at: Column | None = None) -> DataFrame:
+    """One JSON ``line`` per alert with its dispatch time, now unless ``at`` is given."""
+    columns = [F.col(c) for c in alerts.columns]
+    stamped = F.struct(*columns, (F.current_timestamp() if at is None else at).alias("timestamp"))
+    return alerts.withColumn("line", F.to_json(stamped))
+
+
 def write_alert_log(alerts: DataFrame, path: str, mode: str = "append") -> None:
-    """JSON lines, each with its dispatch time."""
-    alerts.withColumn("timestamp", F.current_timestamp()).write.mode(mode).json(path)
+    alert_log(alerts).select("line").write.mode(mode).text(path)
 
 
 def alert_features(alerts: DataFrame) -> DataFrame:
@@ -74,10 +80,20 @@ def alerts_geojson(alerts: DataFrame, limit: int = 1000) -> DataFrame:
     )
 
 
+def publish_verdict(profiles: DataFrame) -> DataFrame:
+    """One row: whether every profile met its target, how many there are and which did not."""
+    failed = F.when(~F.col("target_met"), F.col("camera_id"))
+    return profiles.agg(
+        F.bool_and("target_met").alias("approved"),
+        F.count(F.lit(1)).alias("profiles"),
+        F.array_sort(F.collect_set(failed)).alias("failed"),
+    )
+
+
 def publish_profiles(profiles: DataFrame, path: str) -> bool:
     """Replace the active profiles if every one met its target; else write them to ``<path>.rejected``
     and leave the active ones alone. An empty table is an error."""
-    verdict = profiles.agg(F.bool_and("target_met").alias("ok")).first()["ok"]
+    verdict = publish_verdict(profiles).first()["approved"]
     if verdict is None:
         raise ValueError("there are no calibration profiles")
     profiles.write.mode("overwrite").json(path if verdict else f"{path}.rejected")
