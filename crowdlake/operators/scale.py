@@ -270,10 +270,20 @@ def exact_percentile(
         j.withColumn("_slot", slot)
         .withColumn("_dv", F.when(F.col("_slot") == 1, F.col("_v")))
         .groupBy(*keys, "_slot", "_dv")
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last"), F.max("_n").alias("_n"))
+        .agg(
+            F.count(F.lit(1)).alias("_c"),
+            *[F.min("_v").alias("_first"), F.max("_v").alias("_last"), F.max("_n").alias("_n")],
+            *[F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi")],
+        )
+    )
+    # Even the few values inside are ordered in 256 slices of the bracket.
+    span = F.col("_hi") - F.col("_lo")
+    slice_no = F.when(span > 0, F.floor((F.col("_dv") - F.col("_lo")) / span * 255)).otherwise(F.lit(0))
+    counts = counts.withColumn(
+        "_slice", F.when(F.col("_slot") == 0, -1).when(F.col("_slot") == 2, 256).otherwise(slice_no).cast("double")
     )
-    w = Window.partitionBy(*keys).orderBy("_slot", "_dv").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
+    ranked = with_running(counts, keys, ["_slot", "_dv"], {"_end": ("sum", F.col("_c"))}, "_slice", 1.0)
+    ranked = ranked.withColumn("_start", F.col("_end") - F.col("_c"))
     rank = F.lit(q) * (F.col("_n") - 1)
     lo_rank, hi_rank = F.floor(rank), F.ceil(rank)
 
