@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from crowdlake.llm import mixing, quality, url_filter
+from crowdlake.llm import mixing, quality, simhash, topk, url_filter
 from crowdlake.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -106,3 +106,30 @@ def op10_url_filters(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.judge(pages, url_filter.rules_table(spark, URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+# ---------------------------------------------------------------- 5: exact top-k search
+
+ORACLES["op5_exact_top_k"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q, b.q) as bigint) as score
+    from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+@query
+def op5_exact_top_k(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+# ---------------------------------------------------------------- 8: SimHash near-duplicates
+
+
+@query
+def op8_simhash_near_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    printed = simhash.with_fingerprint(docs).select("doc_id", "fingerprint")
+    return simhash.grouped(printed)
