@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from crowdlake.llm import mixing, quality, simhash, topk, url_filter
+from crowdlake.llm import mixing, piece_scan, quality, simhash, token_counts, topk, url_filter
 from crowdlake.llm.common import table
 
+#: The vocabulary of the token queries, in a package that is installed wherever tasks run.
+VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -133,3 +137,23 @@ def op8_simhash_near_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     printed = simhash.with_fingerprint(docs).select("doc_id", "fingerprint")
     return simhash.grouped(printed)
+
+
+# ---------------------------------------------------------------- 3: piece encoding and decoding
+
+
+@query
+def op3_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = piece_scan.decode(piece_scan.encode(docs, VOCABULARY), VOCABULARY)
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))
+    return both.select("doc_id", F.size("tokens").alias("n_tokens"), "tokens", same.alias("round_trip"))
+
+
+# ---------------------------------------------------------------- 7: token counts
+
+
+@query
+def op7_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.with_counts(docs, VOCABULARY).select("doc_id", "n_bytes", "n_tokens", "over_limit")
