@@ -215,6 +215,11 @@ def _array(parts: list[np.ndarray]) -> pd.Series:
     return pd.Series([x.astype(np.int32) for x in parts], dtype=object)
 
 
+def _plain(df: pd.DataFrame) -> pd.DataFrame:
+    """With texts as objects, which become one Arrow array whatever their number."""
+    return df.astype({c: object for c in ("key", "w", "matrix") if c in df})
+
+
 def _packed(m: Matrix) -> str:
     return ";".join(f"{i},{j},{x!r}" for i, row in m.items() for j, x in row.items())
 
@@ -236,7 +241,7 @@ def _split(path: str, size: int, rows: int = 64):
                 for x in windows(text, size, context):
                     ready.append(x)
                     if len(ready) == rows or x[-1]:
-                        yield pd.DataFrame(ready, columns=names).assign(key=key)
+                        yield _plain(pd.DataFrame(ready, columns=names).assign(key=key))
                         ready = []
 
     return run
@@ -247,14 +252,14 @@ def _matrices(path: str):
         encoder = _encoder(path)
         for b in batches:
             rows = zip(b["w"], b["p"], b["q"], b["first"], b["last"], strict=True)
-            yield b[["key", "chunk"]].assign(matrix=[_packed(encoder.matrix(*r)) for r in rows])
+            yield _plain(b[["key", "chunk"]].assign(matrix=[_packed(encoder.matrix(*r)) for r in rows]))
 
     return run
 
 
 def _product(pdf: pd.DataFrame) -> pd.DataFrame:
     ms = [_unpacked(m) for m in pdf.sort_values("chunk")["matrix"]]
-    return pdf[["key", "block"]].head(1).assign(matrix=_packed(functools.reduce(combined, ms)))
+    return _plain(pdf[["key", "block"]].head(1).assign(matrix=_packed(functools.reduce(combined, ms))))
 
 
 def _block_path(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -262,13 +267,13 @@ def _block_path(pdf: pd.DataFrame) -> pd.DataFrame:
     ms = [_unpacked(m) for m in pdf["matrix"]]
     ends = functools.reduce(combined, ms)[START]
     states = traced(ms, START, max(ends, key=ends.get))
-    return pdf[["key", "block"]].assign(entry=[s[0] for s in states], exit=[s[1] for s in states])
+    return _plain(pdf[["key", "block"]].assign(entry=[s[0] for s in states], exit=[s[1] for s in states]))
 
 
 def _chunk_path(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("chunk")
     states = traced([_unpacked(m) for m in pdf["matrix"]], int(pdf["entry"].iloc[0]), int(pdf["exit"].iloc[0]))
-    return pdf[["key", "chunk"]].assign(entry=[s[0] for s in states], exit=[s[1] for s in states])
+    return _plain(pdf[["key", "chunk"]].assign(entry=[s[0] for s in states], exit=[s[1] for s in states]))
 
 
 def _paths(path: str):
@@ -276,7 +281,7 @@ def _paths(path: str):
         encoder = _encoder(path)
         for b in batches:
             rows = zip(b["w"], b["p"], b["q"], b["entry"], b["exit"], strict=True)
-            yield b[["key", "chunk"]].assign(ids=_array([encoder.path(*r) for r in rows]).to_numpy())
+            yield _plain(b[["key", "chunk"]].assign(ids=_array([encoder.path(*r) for r in rows]).to_numpy()))
 
     return run
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from crowdlake.llm import mixing, piece_scan, quality, simhash, token_counts, topk, url_filter
+from crowdlake.llm import mixing, piece_scan, quality, simhash, token_counts, topk, toxicity, url_filter
 from crowdlake.llm.common import table
 
 #: The vocabulary of the token queries, in a package that is installed wherever tasks run.
@@ -157,3 +157,14 @@ def op3_sentencepiece(spark, sf_dir):
 def op7_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.with_counts(docs, VOCABULARY).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+# ---------------------------------------------------------------- 1: toxicity
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
