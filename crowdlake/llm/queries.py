@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from crowdlake.llm import mixing, piece_scan, quality, simhash, token_counts, topk, toxicity, url_filter
+from crowdlake.llm import licenses, mixing, pii, piece_scan, quality, simhash, token_counts, topk, toxicity, url_filter
 from crowdlake.llm.common import table
 
 #: The vocabulary of the token queries, in a package that is installed wherever tasks run.
@@ -168,3 +168,20 @@ def op1_toxicity(spark, sf_dir):
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+# ---------------------------------------------------------------- 2: personal data
+
+
+@query
+def op2_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.annotated(docs, pii.fit(docs)).select("doc_id", *pii.ADDED)
+
+
+# ---------------------------------------------------------------- 9: license scans
+
+
+@query
+def op9_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
