@@ -270,7 +270,9 @@ def annotated(docs: DataFrame, model: Model, text: str = "text", threshold: floa
     )
 
 
-def _masked(text: str, spans: str) -> str:
+def _masked(text: str | None, spans: str | None) -> str | None:
+    if not text or not spans:
+        return text
     out, done = [], 0
     for kind, a, b in (s.split(":") for s in spans.split(",")):
         start, end = int(a), int(b)
@@ -287,4 +289,4 @@ def masked(annotated_docs: DataFrame, text: str = "text", spans: str = "spans")
     def mask(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([_masked(t, s) for t, s in zip(texts, found, strict=True)], dtype=object)
 
-    return annotated_docs.withColumn(text, F.when(F.col(spans) != "", mask(F.col(text), F.col(spans))).otherwise(F.col(text)))
+    return annotated_docs.withColumn(text, mask(F.col(text), F.col(spans)))
