@@ -1,22 +1,51 @@
-"""A corpus pipeline: filter, deduplicate, mask, mix and encode the documents of a folder of tables."""
+"""A corpus pipeline: drop toxic texts, deduplicate, mask personal data, mix the sources and encode."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crowdlake.llm import mixing
+from crowdlake.llm import mixing, pii, piece_scan, simhash, toxicity
 from crowdlake.llm.common import table
+from crowdlake.llm.queries import VOCABULARY
 from crowdlake.operators.materialize import materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labels of ``sf_dir``, does not reject."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each near-duplicate group."""
+    return simhash.deduplicated(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data in the text replaced by its kind; n_chars follows the text."""
+    masked = pii.masked(pii.annotated(docs, pii.fit(docs)))
+    return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
     return mixing.mixed(docs)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents with the piece ids of their texts."""
+    return piece_scan.encode(docs, VOCABULARY)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("pii", mask_personal_data),
     ("mixing", mix_sources),
+    ("sentencepiece", encode_pieces),
 ]
 
 #: The stages have no SQL form; tests hold them against brute force.
@@ -24,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents of ``sf_dir``, each written to the shared folder for the next."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
