@@ -101,7 +101,7 @@ def _numbers(text: str) -> Iterator[Candidate]:
         if m and 10 <= sum(map(str.isdigit, m[0])) <= 15:
             yield Candidate("phone", *m.span(), True, 1, 0)
         elif not taken and not m:
-            for m in _NATIONAL.finditer(text, a, b):
+            for m in _NATIONAL.finditer(text, a - (text[a - 1 : a] == "("), b):
                 closed = ("(" in m[0]) == (")" in m[0])
                 yield Candidate("phone", *m.span(), False, 1 if closed else -1, 0)
 

@@ -1,0 +1,473 @@
+"""The numbered operators against brute force, on small tables with nulls, ties, repeats and clashing names."""
+
+import functools
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
+
+from crowdlake.llm import licenses, mixing, pii, piece_scan, quality, simhash, token_counts, topk, toxicity, url_filter
+from crowdlake.llm.components import components
+from crowdlake.llm.pieces import pieces
+from crowdlake.llm.queries import QUERIES, VOCABULARY
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"word{i % 977}" for i in range(30000))
+ODD = [None, "", " \n\t ", "one", "x" * 50000, LONG, "a\x00b ▁ 日本 𝒳", "same same same same same same " * 40]
+
+
+def odd_docs(spark):
+    rows = [(i, t, None if i % 3 else "en", None if i % 4 == 0 else "s" + str(i % 2), None) for i, t in enumerate(ODD)]
+    return spark.createDataFrame([*rows, rows[3], (None, "null id", None, None, None), (None, None, None, None, None)], DOCS)
+
+
+def empty_docs(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def texts(spark, sf, n=None):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    return [(r.doc_id, r.text or "") for r in rows][:n]
+
+
+# ---------------------------------------------------------------- 1
+
+
+def test_toxicity_held_out_accuracy(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    got = QUERIES["op1_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert len(got) > 50 and np.mean([r.predicted == r.toxic for r in got]) >= 0.93
+    assert np.mean([r.predicted for r in got if r.toxic == 0]) <= 0.03
+
+
+def test_toxicity_folds_disguises_and_spares_exceptions():
+    model = toxicity.Model({" moron": 5.0, " idio": 4.0}, ("moron mountain",))
+    for disguised in ("M0R0N", "mоrоn", "mör0n!!!", "moron###"):
+        assert model.hits(toxicity.folded(disguised)) == {0: 5.0}, disguised
+    assert model.hits(toxicity.folded("an 1diot")) == {3: 4.0}
+    assert not model.hits(toxicity.folded("the moron mountain is high"))
+    assert not model.hits(toxicity.folded("oxymoron in 2010"))
+
+
+def test_toxicity_edge_cases(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(odd_docs(spark), none)
+    got = toxicity.scored(odd_docs(spark).withColumn("score", F.lit("clash")), model).collect()
+    assert len(got) == odd_docs(spark).count() and all(r.score == 0 and r.predicted == 0 for r in got)
+    one_class = spark.createDataFrame([(1, 1), (2, 1), (None, 0), (3, None)], "doc_id long, toxic int")
+    assert toxicity.fit(odd_docs(spark), one_class).prior == 1
+    assert toxicity.scored(empty_docs(spark), model).count() == 0
+
+
+def test_toxicity_weights_what_only_toxic_texts_have(spark):
+    rows = [(i, f"plain words here number{i}" + (" zorgblat" if i % 2 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    assert " zorgblat " in model.weights and not any("plain" in t for t in model.weights)
+    assert model.score("a zorgblat") > 0.5 > model.score("plain words")
+
+
+# ---------------------------------------------------------------- 2
+
+
+def brute_spans(t):
+    out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, "ip", m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        total = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits)))
+        if 14 <= len(digits) <= 19 and total % 10 == 0:
+            out.append((m.start(), 2, "card", m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 10 <= sum(map(str.isdigit, m[0])) <= 15:
+            out.append((m.start(), 3, "phone", m.end()))
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(out)]
+
+
+def test_pii_strict_matches(spark, sf):
+    random.seed(2)
+    parts = [*"0123456789" * 2, *"  ..--()++@@ab%_\n", "255.", "1.2.3.4", "4242 4242 4242 4242", "a@b.c", "+1 (017) 555-7713", "日"]
+    made = [(-i, "".join(random.choice(parts) for _ in range(random.randint(1, 40)))) for i in range(1, 4000)]
+    rows = made + texts(spark, sf)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.annotated(docs, pii.fit(docs)).collect()}
+    for i, t in rows:
+        want = brute_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in pii.BASE_KINDS] == [sum(w.startswith(k) for w in want) for k in pii.BASE_KINDS]
+        assert set(want) <= set(got[i].spans.split(","))
+
+
+def test_pii_learns_reliabilities_and_adds_lookalikes(spark):
+    rows = [(i, f"write to someone{i}@site{i}.com or call +1 (20{i % 10}) 555-01{i % 90 + 10} today") for i in range(200)]
+    rows += [(200 + i, f"call (20{i % 10}) 555-01{i % 90 + 10} or write to ann{i} [at] site [dot] com") for i in range(60)]
+    rows += [(300 + i, f"order 7{i:015d} shipped, part 555-01{i % 90 + 10}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs)
+    assert set(model.reliability) == set(pii.LABELERS)
+    got = {r.doc_id: r.spans.split(",") for r in pii.annotated(docs, model).collect()}
+    assert all(s[0].startswith("phone:5:") and s[1].startswith("email:") for i, s in got.items() if 200 <= i < 300)
+    clean = [s for i, s in got.items() if i >= 300 and s != [""]]
+    assert all(x.startswith("card:") for s in clean for x in s)  # only numbers that pass the strict check
+    assert len(clean) < 12
+
+
+def test_pii_edge_cases(spark):
+    docs = odd_docs(spark).withColumn("spans", F.lit("clash"))
+    out = pii.masked(pii.annotated(docs, pii.fit(docs)))
+    assert out.count() == docs.count() and {r.spans for r in out.collect()} == {""}
+    assert [r.text for r in out.orderBy("doc_id", "text").collect()] == [r.text for r in docs.orderBy("doc_id", "text").collect()]
+    assert pii.annotated(empty_docs(spark), pii.fit(empty_docs(spark))).count() == 0
+    assert pii._masked("mail a@b.com or +1 (017) 555-7713.", "email:5:12,phone:16:33") == "mail [EMAIL] or [PHONE]."
+
+
+# ---------------------------------------------------------------- 3 and 7
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+
+
+PARTS = ["a", "b", "the", " ", "  ", "\n", "▁", "é", "日本", "𝒳", "\x00", "    ", "<s>", "ing", "1", "...", "\t", "\r\n", "ab" * 30, "aaaa" * 20, "tion"]
+
+
+def made_texts(n):
+    random.seed(1)
+    return ["".join(random.choice(PARTS) for _ in range(random.randint(0, 40))) for _ in range(n)]
+
+
+def test_pieces_equal_the_library(spark, sf, library):
+    rows = list(enumerate(made_texts(400))) + texts(spark, sf) + [(None, None), (7, LONG), (7, LONG)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tokens", F.lit("clash"))
+    got = piece_scan.decode(piece_scan.encode(docs, VOCABULARY, size=500), VOCABULARY).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.tokens == library.encode(r.text or "")
+        assert r.decoded == (r.text or "").replace("▁", " ")
+    assert piece_scan.encode(empty_docs(spark), VOCABULARY).count() == 0
+
+
+def test_scan_gives_the_same_path_for_any_chunks(library):
+    encoder = piece_scan.Encoder(VOCABULARY)
+    for text in filter(None, made_texts(400)):
+        for size in (1, 3, 17):
+            chunks = list(piece_scan.windows(text, size, encoder.v.longest))
+            matrices = [encoder.matrix(*c[1:]) for c in chunks]
+            half = len(matrices) // 2  # the product is associative
+            halves = [functools.reduce(piece_scan.combined, m) for m in (matrices[:half], matrices[half:]) if m]
+            total = functools.reduce(piece_scan.combined, matrices)
+            assert functools.reduce(piece_scan.combined, halves) == total
+            ends = total[piece_scan.START]
+            states = piece_scan.traced(matrices, piece_scan.START, max(ends, key=ends.get))
+            ids = [i for c, s in zip(chunks, states, strict=True) for i in encoder.path(*c[1:4], *s).tolist()]
+            assert ids == library.encode(text)
+
+
+def test_products_take_the_best_weight():
+    a = {0: {1: -1.0, 2: -5.0}}
+    b = {1: {7: -9.0}, 2: {7: -1.0, 8: 0.0}}
+    assert piece_scan.combined(a, b) == {0: {7: -6.0, 8: -5.0}}
+    assert piece_scan.traced([a, b], 0, 7) == [(0, 2), (2, 7)]
+
+
+def test_token_counts_equal_the_library(spark, sf, library):
+    rows = list(enumerate(made_texts(400))) + texts(spark, sf) + [(None, None), (None, "x"), (7, LONG), (8, "ab" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("N_Tokens", F.lit("clash"))
+    got = token_counts.with_counts(docs, VOCABULARY).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n = len(library.encode(r.text or ""))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((r.text or "").encode()), n, n > 4096)
+    assert token_counts.with_counts(empty_docs(spark), VOCABULARY).count() == 0
+
+
+def test_whole_tokens_are_proved(library):
+    v = pieces(VOCABULARY)
+    whole = token_counts.whole_tokens(v)
+    assert len(whole) > 30000
+    for p in random.Random(3).sample(sorted(w for w in whole if w.startswith("▁") and w.strip("▁")), 2000):
+        assert library.encode(p[1:].replace("▁", " ")) == [v.id[p]]
+
+
+# ---------------------------------------------------------------- 4
+
+
+def brute_quality(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    twice = {g for g in grams if grams.count(g) > 1} if len(grams) < 400 else {g for g, n in __import__("collections").Counter(grams).items() if n > 1}
+    covered = {i + k for i, g in enumerate(grams) if g in twice for k in range(5)}
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+
+
+def test_quality_measures(spark, sf):
+    rows = texts(spark, sf) + list(enumerate(ODD, 10**6)) + [(10**7 + i, " ".join(random.Random(i).choices("abc", k=i))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("clash"))
+    for r in quality.judge(docs, sample_rows=50).collect():
+        want = brute_quality(r.text or "")
+        assert tuple(r[m] for m in quality.MEASURES) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert not (r.kept and r.base_failed)
+
+
+def test_quality_order_changes_no_verdict(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    names = list(quality.rules())
+    verdicts = []
+    for order in (names, names[::-1]):
+        monkeypatch.setattr(quality, "ordered", lambda *a, order=order, **k: [(n, 0.0, 0.0) for n in order])
+        verdicts.append(sorted((r.doc_id, r.kept) for r in quality.judge(docs).collect()))
+    assert verdicts[0] == verdicts[1] and 0 < sum(k for _, k in verdicts[0]) < len(verdicts[0])
+
+
+def test_quality_orders_by_rejections_per_cost(spark):
+    rows = [(i, "an ordinary line of text with enough words " + (" ".join(f"###{k}" for k in range(9)) if i % 2 else "plain")) for i in range(100)]
+    found = quality.ordered(spark.createDataFrame(rows, "doc_id long, text string"), quality.rules())
+    assert found[0][0] == "symbols" and found[0][1] >= 0.5
+    assert quality.judge(empty_docs(spark)).count() == 0
+
+
+def test_quality_is_native(spark, sf):
+    plan = QUERIES["op4_quality_rules"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# ---------------------------------------------------------------- 5
+
+
+def brute_topk(rows, k=5):
+    good = {(i, tuple(int(np.floor(256.0 * x)) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    out = []
+    for q, a in good:
+        if q % 50 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    return sorted(out)
+
+
+def test_topk_with_ties_copies_and_bad_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=6))]) for i in range(300)]
+    rows += [(1000 + i, rows[50][1]) for i in range(200)]  # one very common vector
+    rows += [(2000, None), (2050, [1.0, None]), (2100, [float("nan")] * 6), (2150, [float("inf")] * 6), (2200, []), (2250, [0.0] * 6), (None, [9.0] * 6), rows[0]]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("q", F.lit("clash"))
+    got = topk.search(vectors, F.col("vec_id") % 50 == 0, entries=64, batch=3).collect()
+    assert sorted(map(tuple, got)) == brute_topk(rows)
+    assert topk.search(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.search(vectors.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_topk_bounds_stop_early():
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-5, 6, size=(5000, 8))
+    vectors[:20] = 100
+    rows, scores = topk.SortedLists(vectors).best(np.full(8, 3), 6)
+    assert 6 <= len(rows) <= 24 and set(scores) == {2400}
+
+
+# ---------------------------------------------------------------- 6
+
+
+def test_targets_fill_to_the_caps(spark):
+    sizes = {"a": 1000, "b": 10, "c": 500, "d": 1, None: 70}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame([*sizes.items()], "source string, source_size long")).collect()}
+    weights = dict(zip(["a", "b", "c", "d", None], [1, 2, 3, 1, 2]))
+    total, capped = sum(sizes.values()), set()
+    while True:
+        level = (total - sum(3 * sizes[s] for s in capped)) / sum(w for s, w in weights.items() if s not in capped)
+        over = {s for s, w in weights.items() if s not in capped and level * w > 3 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+    assert got == pytest.approx({s: 3 * sizes[s] if s in capped else level * w for s, w in weights.items()})
+
+
+def test_mix_follows_targets_and_reruns_agree(spark):
+    rows = [(i, "w " * (1 + i % 7), None, ["a", "b", None, "c"][min(i % 10, 3)], None) for i in range(4000)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("taken", F.lit("clash"))
+    got = mixing.mix(docs, keep_text=False).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7), keep_text=False).collect()))
+    taken = {}
+    for r in got:
+        assert r.taken in (0, r.size, 2 * r.size, 3 * r.size) and r.taken == r.copies * r.size
+        taken.setdefault((r.source, r.target), []).append(r.taken)
+    for (_, target), words in taken.items():
+        assert abs(sum(words) - target) <= 14
+    assert sum(map(sum, taken.values())) <= sum(r.size for r in got)
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
+
+
+def test_mix_edge_cases(spark):
+    assert mixing.mix(odd_docs(spark)).count() == odd_docs(spark).count()
+    assert mixing.mix(empty_docs(spark)).count() == 0
+    zero = spark.createDataFrame([(1, None, None, "s", 0), (2, "", None, None, 0)], DOCS)
+    assert {(r.size, r.target, r.taken) for r in mixing.mix(zero).collect()} == {(0, 0.0, 0)}
+
+
+# ---------------------------------------------------------------- 8
+
+
+def brute_fingerprint(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t.translate({i: i + 32 for i in range(65, 91)}))
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints):
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(prints))]
+
+
+def test_fingerprints(spark, sf):
+    rows = texts(spark, sf, 150) + [(10**6 + i, t or "") for i, t in enumerate(ODD)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {i: brute_fingerprint(t) for i, t in rows}
+    assert {r.doc_id: r.fingerprint for r in got} == {i: f"{x:016x}" for i, x in want.items()}
+    ids = sorted(want)
+    roots = brute_components([want[i] for i in ids])
+    assert {r.doc_id: r.component_id for r in got} == {i: ids[c] for i, c in zip(ids, roots)}
+
+
+@pytest.mark.parametrize("dense,block", [(64, 4096), (3, 8), (0, 5)])
+def test_links_lose_no_connection(spark, dense, block):
+    rng = random.Random(dense)
+    prints = {rng.getrandbits(64) for _ in range(150)} | {0, 2**64 - 1}
+    for p in list(prints):
+        for _ in range(rng.randint(0, 4)):
+            p ^= functools.reduce(lambda a, b: a | b, (1 << rng.randrange(64) for _ in range(rng.randint(1, 6))))
+            prints.add(p)
+    prints = sorted(prints)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+    found = simhash.links(table, dense=dense, block=block).collect()
+    assert all(((r.u ^ r.v) & (2**64 - 1)).bit_count() <= 4 for r in found)
+    roots = {r.node: r.root for r in components(spark.createDataFrame(found, "u long, v long")).collect()} if found else {}
+    mine = {}
+    for p in prints:
+        mine.setdefault(roots.get(signed(p), signed(p)), set()).add(p)
+    want = {}
+    for p, c in zip(prints, brute_components(prints)):
+        want.setdefault(c, set()).add(p)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501), (7, 7), (None, 3)], "u long, v long")
+    assert {(r.node, r.root) for r in components(links).collect()} == {(i, 0) for i in range(1, 101)} | {(501, 500)}
+    assert components(links.limit(0)).count() == 0
+
+
+def test_near_duplicate_edge_cases(spark):
+    docs = odd_docs(spark).withColumn("Fingerprint", F.lit("clash"))
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == docs.count()
+    blank = [r for r in got if r.doc_id in (0, 1, 2)]
+    assert {(r.fingerprint, r.component_id) for r in blank} == {("0" * 16, 0)}
+    assert [r.component_id for r in got if r.text == "null id"] == [None]
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert len([r for r in kept.collect() if r.text == "null id"]) == 1
+    assert len([r for r in kept.collect() if not (r.text or "").strip()]) == 1
+    assert simhash.deduplicated(empty_docs(spark)).count() == 0
+
+
+# ---------------------------------------------------------------- 9
+
+
+def test_licenses_report_coverage_and_spans(spark):
+    rng = random.Random(4)
+    noise = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    rows, want = [], {}
+    for i, (name, text) in enumerate(licenses.TEMPLATES.items()):
+        before = noise(50) + "\n"
+        rows.append((i, before + text.upper() + "\n" + noise(50)))
+        want[i] = (name, 1.0, len(before))
+        words = text.split()
+        if len(words) > 30:
+            for k in (5, 12, 20):
+                words[k] = "changed"
+            rows.append((100 + i, before + " ".join(words) + noise(5)))
+            want[100 + i] = (name, None, len(before))
+    rows += [(1000, noise(5000)), (1001, None), (1002, ""), (1003, "İ " + licenses.TEMPLATES["MIT"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("clash"))
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert set(got) == set(want) | {1003} and got[1003].start == 2
+    for i, (name, cover, start) in want.items():
+        assert got[i].license == name and got[i].start == start and (cover is None or got[i].coverage == cover)
+        assert got[i].coverage > 0.85
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_alignment_is_a_banded_common_subsequence():
+    index = licenses.Index((("t", "one two three four five six"),))
+    for found in ("one two three four five six", "one two x three four five six", "one three four five", "two three six"):
+        words, best = found.split(), 0
+        for mask in range(1 << len(words)):
+            pick = [w for i, w in enumerate(words) if mask >> i & 1]
+            it = iter(index.tokens[0])
+            if all(w in it for w in pick):
+                best = max(best, len(pick))
+        assert index.align(0, words, 0, 4)[0] == best
+
+
+def test_every_run_of_five_template_words_meets_the_index():
+    index = licenses._index(tuple(licenses.TEMPLATES.items()))
+    for tokens in index.tokens:
+        for i in range(len(tokens) - 4):
+            assert any(tuple(tokens[j : j + 3]) in index.grams for j in range(i, i + 3))
+
+
+# ---------------------------------------------------------------- 10
+
+
+def test_url_filters_against_all_rules(spark):
+    rng = random.Random(6)
+    rules = [("block", "com/"), ("allow", "com/"), ("allow", "a.com/x"), ("block", "a.com/x/y"), ("block", "b.a.com/"), ("allow", "org/é/"), ("block", None)]
+    table = url_filter.rules_table(spark, [r for r in rules if r[1]]).unionByName(
+        spark.createDataFrame([("block", None, "/")], "action string, host string, path string")
+    )
+    hosts = ["a.com", "B.A.com", "x.b.a.com", "xa.com", "com", "org", "q.org", "", "a..com", "a.com:80", ".com"]
+    urls = [f"{rng.choice(['http', 'x'])}://{h}{p}" for h in hosts for p in ("", "/", "/x", "/xz/y", "/x/y?q=/z", "/é/#/x", "#/x/y", "?a://b")]
+    urls += [None, "", "no url", "http:/a.com/", "://", "http://" + "a." * 3000 + "com/" + "x/" * 3000]
+    rows = [(i if i % 5 else None, u) for i, u in enumerate(urls + urls[:3])]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("Verdict", F.lit("clash"))
+    got = url_filter.judge(pages, table).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        rest = r.url.split("://", 1)[1] if r.url and "://" in r.url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.lower()
+        fits = []
+        for action, rule in rules:
+            if rule:
+                h, _, p = rule.partition("/")
+                if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
+                    fits.append((len(rule), len(h), action, rule))
+        best = max(fits, default=(0, 0, "allow", None))
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, best[3], best[2]), r.url
+    assert url_filter.judge(pages.limit(0), table).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, table.limit(0), default="block").collect()} == {"block"}
