@@ -56,20 +56,29 @@ def traced(matrices: list[Matrix], entry: int, exit: int) -> list[tuple[int, int
 
 
 class Encoder:
-    """Encodes with one vocabulary; remembers up to ``remember`` segments and compatible pairs."""
+    """Encodes with one vocabulary.
 
-    def __init__(self, path: str, remember: int = 500_000):
+    Remembers the newest ``remember`` to twice as many segments, and as many compatible pairs at most.
+    """
+
+    def __init__(self, path: str, remember: int = 300_000):
         self.v: Pieces = pieces(path)
         self.remember = remember
         self.dtype = np.uint16 if len(self.v.text) <= 65536 else np.uint32
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.bytes = {p: np.array([i], self.dtype).tobytes() for p, i in self.v.id.items()}
+        self.reach: dict[str, int] = {}  # the longest piece by its first three characters
+        for p in self.v.id:
+            if len(p) > 2:
+                self.reach[p[:3]] = max(len(p), self.reach.get(p[:3], 0))
 
     def fits(self, left: str, right: str) -> bool:
         key = (left, right)
         ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) >= self.remember // 2:
+            if len(self.pairs) >= self.remember:
                 self.pairs.clear()
             ok = self.pairs[key] = self.v.merged(left + right) == [left, right]
         return ok
@@ -106,20 +115,26 @@ class Encoder:
 
     def segment(self, text: str) -> bytes:
         """Ids of a segment that starts at a cut. As the path is unique, the longest fitting piece is tried first."""
-        vocabulary, longest, fits, n = self.v.id, self.v.longest, self.fits, len(text)
+        known, reach, pairs, n = self.bytes, self.reach, self.pairs, len(text)
         out: list[str] = []
-        at, dead = 0, set()
+        at, last, dead = 0, "", set()
         while at < n:
-            for end in range(min(n, at + longest), at, -1):
+            end = min(n, at + reach.get(text[at : at + 3], 2))
+            while end > at:
                 piece = text[at:end]
-                if end not in dead and (end == at + 1 or piece in vocabulary) and (not out or fits(out[-1], piece)):
-                    out.append(piece)
-                    at = end
-                    break
-            else:
+                if (piece in known or end == at + 1) and end not in dead:
+                    ok = pairs.get((last, piece)) if last else True
+                    if ok or (ok is None and self.fits(last, piece)):
+                        break
+                end -= 1
+            if end > at:
+                out.append(piece)
+                at, last = end, piece
+            else:  # nothing leads on from here
                 dead.add(at)
                 at -= len(out.pop())
-        return np.array([i for p in out for i in self.v.ids_of(p)], self.dtype).tobytes()
+                last = out[-1] if out else ""
+        return b"".join([known[p] if p in known else np.array(self.v.ids_of(p), self.dtype).tobytes() for p in out])
 
     def segments_ids(self, parts: list[str]) -> bytes:
         known = self.known
@@ -128,10 +143,12 @@ class Encoder:
         except KeyError:
             pass
         if len(known) >= self.remember:
-            known.clear()
+            self.old, self.known = known, {}
+            known = self.known
+        old = self.old
         for p in parts:
             if p not in known:
-                known[p] = self.segment(p)
+                known[p] = old[p] if p in old else self.segment(p)
         return b"".join(map(known.__getitem__, parts))
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -307,7 +324,7 @@ def scanned(texts: DataFrame, path: str, size: int, block: int = 64) -> DataFram
     return ids.groupBy("key").agg(in_order.alias("parts")).select("key", F.flatten("parts.ids").alias("tokens"))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", into: str = "tokens", size: int = 16384) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", into: str = "tokens", size: int = 65536) -> DataFrame:
     """``docs`` with the piece ids of each whole text in ``into``, as the vocabulary's own library gives them.
 
     Null and empty texts have no pieces. Texts of more than ``size`` characters go through the scan, once for
