@@ -201,13 +201,9 @@ def fleet_view(state: DataFrame, location: str | None = None, category: str | No
 
 def telemetry_summary(df: DataFrame, now, keys: Sequence[str] = CAMERA, seconds: float = 10.0) -> DataFrame:
     """Means over each camera's last seconds, or over its last five rows if none are that recent."""
-    newest = keep_latest(df, keys, 500, ["t", "event_id"])
-    w = Window.partitionBy(*keys)
-    recent = F.lit(now) - F.col("t") <= seconds
-    d = newest.withColumn("_hot", F.count_if(recent).over(w)).withColumn(
-        "_rank", F.row_number().over(w.orderBy(F.desc("t"), F.desc("event_id")))
-    )
-    d = d.where(F.when(F.col("_hot") > 0, recent).otherwise(F.col("_rank") <= 5))
+    recent = F.coalesce(F.lit(now) - F.col("t") <= seconds, F.lit(False))
+    five = keep_latest(df, keys, 5, ["t", "event_id"]).withColumn("_hot", F.max(recent.cast("int")).over(Window.partitionBy(*keys)))
+    d = df.where(recent).unionByName(five.where("_hot = 0").drop("_hot"))
 
     def mean(name):
         return F.coalesce(F.avg(name), F.lit(0.0))

@@ -297,20 +297,19 @@ def exact_percentile(
 def keep_latest(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[str]) -> DataFrame:
     """Newest ``n`` rows per key, by ``order`` descending.
 
-    Spark limits the group inside every map task before the exchange, up to
-    ``spark.sql.optimizer.windowGroupLimitThreshold`` rows; above it a salted first ranking does.
+    A first ranking is spread over as many salts as there are shuffle partitions, so that a hot key's rows
+    are never ranked in one task; at most ``n`` of each salt are ranked again.
     """
     newest = [F.col(c).desc() for c in order]
     if not keys:
         return df.orderBy(*newest).limit(n)
-    if n > 1000:
-        salt = F.pmod(F.xxhash64(*order), F.lit(64))
-        first = Window.partitionBy(*keys, "_part").orderBy(*newest)
-        df = (
-            df.withColumn("_part", salt)
-            .withColumn("_r", F.row_number().over(first))
-            .where(F.col("_r") <= n)
-            .drop("_part")
-        )
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = Window.partitionBy(*keys, "_part").orderBy(*newest)
+    df = (
+        df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(salts)))
+        .withColumn("_r", F.row_number().over(first))
+        .where(F.col("_r") <= n)
+        .drop("_part", "_r")
+    )
     final = Window.partitionBy(*keys).orderBy(*newest)
     return df.withColumn("_r", F.row_number().over(final)).where(F.col("_r") <= n).drop("_r")

@@ -35,23 +35,23 @@ TABLES = {
     "labels_in": """select concat('drone-', cast(l_suppkey % 10 + 1 as string)) as camera_id,
         l_orderkey * 8 + l_linenumber as sample_no, l_quantity * 10 as predicted_count,
         cast(floor(l_quantity * 12 + 4 + (l_linenumber - 3) * l_discount * 100) as double) as actual_count,
-        lower(l_returnflag) as angle from lineitem where l_orderkey % 20 = 0""",
+        lower(l_returnflag) as angle from lineitem""",
     "presence": f"""select event_id as poll_id, {_T} as t, {_CAM} as camera_id, event_type <> 'signup' as poll_ok,
         event_type <> 'error' and event_type <> 'click' as ready from events""",
     "modes": f"""select event_id, {_T} as t, case when event_type = 'signup' then 'viewing' else 'counting' end as mode
-        from events where event_type in ('signup', 'purchase') and event_id % 7 = 0""",
+        from events where event_type in ('signup', 'purchase')""",
     "telemetry": f"""select {_CAM} as camera_id, event_id, {_T} as t,
         case when event_type = 'error' then null else value / 100 end as latency_s, value / 250 as infer_s,
         event_id % 4 as reconnects, (event_id * 13 % 200) / 10e0 as drop_pct, 10 + event_id % 25 as fps from events""",
     "stats_updates": f"""select concat(case when event_id % 2 = 0 then 'drone' else 'Drone-' end, cast(user_id % 8 + 1 as string)) as drone_id,
         {_T} as t, event_id, case when event_id % 10 = 0 then null else cast(floor(event_id / 3) as bigint) end as analytics_seq,
         value as density_score, event_type <> 'click' as analytics_active from events""",
-    "cameras": """select concat('drone-', cast(n_nationkey + 1 as string)) as camera_id, r_name as location,
+    "cameras": """select concat('drone-', cast(n_nationkey + case when n_nationkey < 7 then 1 else 2 end as string)) as camera_id, r_name as location,
         case when n_nationkey % 2 = 0 then 'DRONE' else 'CCTV' end as category, 20e0 + n_nationkey as altitude_m,
         0.9e0 + n_nationkey * 0.03e0 as scale, n_nationkey - 3e0 as bias,
         16.98e0 + n_nationkey * 0.001e0 as lat_min, 16.983e0 + n_nationkey * 0.001e0 as lat_max,
         81.73e0 as lon_min, 81.7325e0 as lon_max
-        from nation join region on n_regionkey = r_regionkey where n_nationkey < 7""",
+        from nation join region on n_regionkey = r_regionkey""",
     "cells": "select cast(k // 3 as int) as r, cast(k % 3 as int) as c from (select unnest(range(0, 9)) as k)",
     "capacity": """select cast(k // 3 as int) as r, cast(k % 3 as int) as c,
         [300e0, 400e0, 300e0, 350e0, 500e0, 350e0, 300e0, 400e0, 300e0][k + 1] as capacity from (select unnest(range(0, 9)) as k)""",

@@ -106,7 +106,6 @@ def flow_cells(spark, sf_dir):
 def labels(spark, sf_dir):
     return (
         table(spark, sf_dir, "lineitem")
-        .where("l_orderkey % 20 = 0")
         .selectExpr(
             "concat('drone-', cast(l_suppkey % 10 + 1 as string)) as camera_id",
             "l_orderkey",
@@ -131,7 +130,7 @@ def presence(spark, sf_dir):
 def modes(spark, sf_dir):
     return (
         events(spark, sf_dir)
-        .where("event_type in ('signup', 'purchase') and event_id % 7 = 0")
+        .where("event_type in ('signup', 'purchase')")
         .selectExpr(
             "event_id", f"{T} as t", "case when event_type = 'signup' then 'viewing' else 'counting' end as mode"
         )
@@ -165,10 +164,10 @@ def stats_updates(spark, sf_dir):
 def cameras(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return (
-        nation.where("n_nationkey < 7")
-        .join(region, nation.n_regionkey == region.r_regionkey)
+        nation.join(region, nation.n_regionkey == region.r_regionkey)
         .selectExpr(
-            "concat('drone-', cast(n_nationkey + 1 as string)) as camera_id",
+            # drone-8 has samples but no row here.
+            "concat('drone-', cast(n_nationkey + if(n_nationkey < 7, 1, 2) as string)) as camera_id",
             "r_name as location",
             "case when n_nationkey % 2 = 0 then 'DRONE' else 'CCTV' end as category",
             "20e0 + n_nationkey as altitude_m",
