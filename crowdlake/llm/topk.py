@@ -1,8 +1,8 @@
 """Exact top-k inner products by aggregation without random access.
 
-Vectors are dealt into blocks. Within a block every component is a sorted list; a query reads its lists from
-the end that helps it most, keeps for each vector a lower and an upper bound of the score, and stops when no
-vector outside the best can still qualify. The survivors' scores are resolved, and the blocks' best rows are
+Vectors are dealt into blocks. Within a block every component is a sorted list; queries read their lists from
+the end that helps most, keep for each vector a lower and an upper bound of the score, and stop when no vector
+outside the best can still qualify. The survivors' scores are resolved, and the blocks' best rows are
 merged. Equal vectors are one entry with the smallest ids that could ever be returned.
 """
 
@@ -25,60 +25,86 @@ def quantized(vector: Column, scale: int = 256) -> Column:
 
 
 class SortedLists:
-    """The block's vectors (n x d) as one ascending list a component."""
+    """The block's vectors (n x d) as one sorted list a component, known by each vector's place in it."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(vectors, self.order.T, axis=0).T.copy()
-
-    def best(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and exact scores of all vectors whose score is at least the k-th highest of the block."""
-        n = len(self.vectors)
-        dims = np.flatnonzero(query[: self.vectors.shape[1]])
-        weights = query[dims]
-        if n <= k or not len(dims):
-            return np.arange(n), self.vectors[:, dims] @ weights
-        worst = weights * np.where(weights > 0, self.values[dims, 0], self.values[dims, -1])
-        partial, seen = np.zeros(n, np.int64), np.zeros((n, len(dims)), bool)
-        at, step, left = 0, 32, np.arange(n)
-        while at < n and len(left) > 4 * k:
-            upto = min(n, at + step)
-            for j, d in enumerate(dims):
-                part = slice(at, upto) if weights[j] < 0 else slice(n - upto, n - at)
-                rows = self.order[d, part]
-                partial[rows] += weights[j] * self.values[d, part]
-                seen[rows, j] = True
-            edge = weights * np.where(weights > 0, self.values[dims, n - upto], self.values[dims, upto - 1])
-            unseen = ~seen
-            lower, upper = partial + unseen @ worst, partial + unseen @ edge
-            bar = np.partition(lower, n - k)[n - k]
-            left = np.flatnonzero(upper >= bar)
-            at, step = upto, step * 2
-        return left, self.vectors[left][:, dims] @ weights
-
-
-def _search(k: int):
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.values = np.take_along_axis(vectors, order, axis=0)
+        self.place = np.empty(vectors.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(vectors), dtype=np.int32)[:, None], axis=0)
+
+    def best(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows, with exact scores, that may be among the block's ``k`` best or tie with them.
+
+        All queries read their lists to the same depth, from the high end for a positive component and from
+        the low end for a negative one. What a vector's lists have shown is summed; the rest lies between
+        the list's far end and the value at the depth. The depth doubles until no other row can qualify.
+        """
+        n, d = self.vectors.shape
+        queries = np.pad(queries, ((0, 0), (0, max(0, d - queries.shape[1]))))[:, :d]
+        largest = float(max(np.abs(self.vectors).max(initial=0), 1)) * float(max(np.abs(queries).max(initial=0), 1)) * max(d, 1)
+        kind = np.float64 if largest < 2**52 else np.int64  # whole numbers either way
+        vectors, weights = self.vectors.astype(kind), queries.T.astype(kind)
+        up, down = np.maximum(weights, 0), np.minimum(weights, 0)
+        out: list = [None] * len(queries)
+        open_, depth = np.arange(len(queries)), max(32, n // 8)
+        while len(open_):
+            if depth >= n or n <= 4 * k:
+                for q in open_:
+                    out[q] = self._resolved(np.arange(n), queries[q], k)
+                break
+            high, low = (self.place >= n - depth).astype(kind), (self.place < depth).astype(kind)
+            u, w = up[:, open_], down[:, open_]
+            at_high, at_low = self.values[n - depth][:, None], self.values[depth - 1][:, None]
+            first, last = self.values[0][:, None], self.values[-1][:, None]
+            shown = (vectors * high) @ u + (vectors * low) @ w
+            lower = shown + (1 - high) @ (u * first) + (1 - low) @ (w * last)
+            upper = shown + (1 - high) @ (u * at_high) + (1 - low) @ (w * at_low)
+            bar = np.partition(lower, n - k, axis=0)[n - k]
+            left = upper >= bar
+            done = left.sum(axis=0) <= 4 * k
+            for i in np.flatnonzero(done):
+                out[open_[i]] = self._resolved(np.flatnonzero(left[:, i]), queries[open_[i]], k)
+            open_ = open_[~done]
+            depth *= 2
+        return out
+
+    def _resolved(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        scores = self.vectors[rows] @ query
+        if len(rows) > k:
+            keep = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
+            rows, scores = rows[keep], scores[keep]
+        return rows, scores
+
+
+def _search(k: int, together: int = 256):
     def of_block(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(entries) and len(queries):
-            width = max(map(len, entries["q"]))
-            vectors = np.zeros((len(entries), width), np.int64)
-            for i, v in enumerate(entries["q"]):
-                vectors[i, : len(v)] = v
-            lists, ids = SortedLists(vectors), entries["ids"].tolist()
-            for query_id, q in zip(queries["vec_id"], queries["q"], strict=True):
-                rows, scores = lists.best(np.asarray(q, np.int64), k + 1)
-                found = [(-s, i) for r, s in zip(rows.tolist(), scores.tolist(), strict=True) for i in ids[r] if i != query_id]
-                for s, i in sorted(found)[:k]:
-                    out["query_id"].append(query_id)
-                    out["vec_id"].append(i)
-                    out["score"].append(-s)
+            lists, ids = SortedLists(_matrix(entries["q"])), entries["ids"].tolist()
+            asked, names = _matrix(queries["q"]), queries["vec_id"].tolist()
+            for i in range(0, len(asked), together):
+                found = lists.best(asked[i : i + together], k + 1)
+                for query_id, (rows, scores) in zip(names[i : i + together], found, strict=True):
+                    hits = [(-s, v) for r, s in zip(rows.tolist(), scores.tolist(), strict=True) for v in ids[r] if v != query_id]
+                    for s, v in sorted(hits)[:k]:
+                        out["query_id"].append(query_id)
+                        out["vec_id"].append(v)
+                        out["score"].append(-s)
         return pd.DataFrame(out).astype("int64")
 
     return of_block
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    width = max(map(len, vectors))
+    out = np.zeros((len(vectors), width), np.int64)
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    return out
+
+
 def search(
     vectors: DataFrame, queries: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding", entries: int = 4096, batch: int = 1024
 ) -> DataFrame:

@@ -266,12 +266,21 @@ def test_topk_with_ties_copies_and_bad_vectors(spark):
     assert topk.search(vectors.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_topk_bounds_stop_early():
+def test_topk_bounds(monkeypatch):
     rng = np.random.default_rng(1)
     vectors = rng.integers(-5, 6, size=(5000, 8))
-    vectors[:20] = 100
-    rows, scores = topk.SortedLists(vectors).best(np.full(8, 3), 6)
-    assert 6 <= len(rows) <= 24 and set(scores) == {2400}
+    vectors[:7] = 100
+    queries = rng.integers(-3, 4, size=(40, 8))
+    queries[0] = 3
+    lists, seen = topk.SortedLists(vectors), []
+    resolve = topk.SortedLists._resolved
+    monkeypatch.setattr(topk.SortedLists, "_resolved", lambda self, rows, q, k: seen.append(len(rows)) or resolve(self, rows, q, k))
+    for q, (rows, scores) in zip(queries, lists.best(queries, 6)):
+        want = np.sort(vectors @ q)[::-1][:6]
+        assert np.array_equal(np.sort(scores)[::-1][:6], want) and np.array_equal(vectors[rows] @ q, scores)
+    assert min(seen) <= 24  # the first query stops early
+    big = np.array([[2**40, -(2**40)], [2**40 + 1, 5]] * 20)
+    assert [s.max() for _, s in topk.SortedLists(big).best(np.array([[2**20, 1]]), 2)] == [(2**40 + 1) * 2**20 + 5]
 
 
 # ---------------------------------------------------------------- 6
