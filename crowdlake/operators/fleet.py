@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crowdlake import constants as K
 from crowdlake.functions import scalars as S
-from crowdlake.operators.scale import keep_latest, with_previous, with_running
+from crowdlake.operators.scale import keep_latest, number_rows, with_running
 
 CAMERA = ["camera_id"]
-ANALYTICS = {"people_count": 0, "risk_index": 0.0, "confidence": 1.0, "motion": 0.0, "turbulence": 0.0}
+# What the fields that belong to counting return to when no result is valid.
+ANALYTICS = {
+    "people_count": 0,
+    "comp_zone": "SAFE",
+    "pressure": 0.0,
+    "stampede_prob": 0.0,
+    "risk_index": 0.0,
+    "risk_level": "SAFE",
+    "confidence": 1.0,
+    "primary_causes": [],
+    "motion_speed": 0.0,
+    "turbulence": 0.0,
+    "hotspot_alert": "",
+    "opposing_alert": "",
+    "gps_alerts": [],
+    "zone_scores": None,
+}
 
 
 # --- lookups ---------------------------------------------------------------------------------
@@ -72,26 +88,31 @@ def ready_paths(polls: DataFrame) -> DataFrame:
 
 def missed_cameras(polls: DataFrame, ready: DataFrame, cameras: DataFrame) -> DataFrame:
     """Cameras not published in each successful poll. ``polls(poll_id, ok)``, ``ready(poll_id, camera_id)``."""
-    everyone = cameras.agg(F.collect_set("camera_id")).scalar()
-    seen = ready.groupBy("poll_id").agg(F.collect_set("camera_id").alias("_seen"))
-    d = polls.where("ok").select("poll_id").distinct().join(seen, "poll_id", "left")
-    nobody = F.array().cast("array<string>")
-    return d.select("poll_id", F.explode(F.array_except(everyone, F.coalesce("_seen", nobody))).alias("camera_id"))
+    n = int(polls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Every poll meets every camera through a key: cameras are dealt into groups, polls go to each group.
+    everyone = cameras.select("camera_id").distinct().withColumn("_group", F.pmod(F.xxhash64("camera_id"), F.lit(n)).cast("int"))
+    asked = polls.where("ok").select("poll_id").distinct().withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return asked.join(everyone, "_group").drop("_group").join(ready.select("poll_id", "camera_id"), ["poll_id", "camera_id"], "left_anti")
 
 
 def path_changes(polls: DataFrame, ready: DataFrame) -> DataFrame:
     """Paths that appeared or vanished since the previous successful poll."""
-    sets = ready.groupBy("poll_id").agg(F.collect_set("path").alias("_set"))
+    # Polls get ordinals; a path appears at one that does not follow one of its own, and vanishes at the next.
+    numbered = number_rows(polls.where("ok").select("poll_id", "t").distinct(), [], ["t", "poll_id"])
+    seen = ready.select("poll_id", "path").distinct().join(numbered.select("poll_id", "rn"), "poll_id").select("path", "rn")
+    next_ = seen.select("path", (F.col("rn") + 1).alias("rn"))
+    kinds = (
+        seen.join(next_, ["path", "rn"], "left_anti").withColumn("_new", F.lit(True))
+        .unionByName(next_.join(seen, ["path", "rn"], "left_anti").withColumn("_new", F.lit(False)))
+    )
+
+    def paths(new: bool) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("_new") == new, F.col("path"))))
+
+    changes = kinds.groupBy("rn").agg(paths(True).alias("appeared"), paths(False).alias("vanished"))
     nothing = F.array().cast("array<string>")
-    d = polls.where("ok").select("poll_id", "t").distinct().join(sets, "poll_id", "left")
-    d = d.withColumn("_set", F.coalesce("_set", nothing))
-    d = with_previous(d, [], ["t", "poll_id"], {"_before": F.col("_set")})
-    before = F.coalesce("_before", nothing)
-    return d.select(
-        "poll_id",
-        "t",
-        F.array_sort(F.array_except("_set", before)).alias("appeared"),
-        F.array_sort(F.array_except(before, "_set")).alias("vanished"),
+    return numbered.join(changes, "rn", "left").select(
+        "poll_id", "t", F.coalesce("appeared", nothing).alias("appeared"), F.coalesce("vanished", nothing).alias("vanished")
     )
 
 
@@ -105,14 +126,17 @@ def current_state(updates: DataFrame, order: Sequence[str] = ("t", "event_id"),
     top = updates.groupBy(*keys).agg(F.max(order[0]).alias("_top"))
     newest = updates.join(top, list(keys)).where(F.col(order[0]) == F.col("_top"))
     latest = newest.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
-    if "analytics_active" in cols:
-        for name, default in ANALYTICS.items():
-            if name in cols:
-                kind = latest.schema[name].dataType
-                latest = latest.withColumn(
-                    name, F.when(F.col("analytics_active"), F.col(name)).otherwise(F.lit(default)).cast(kind)
-                )
-    return latest
+    return reset_analytics(latest, ~F.coalesce("analytics_active", F.lit(False))) if "analytics_active" in cols else latest
+
+
+def reset_analytics(df: DataFrame, when: Column) -> DataFrame:
+    """Return the counting fields of ``df`` to their defaults where ``when`` holds."""
+    back = {}
+    for name, default in ANALYTICS.items():
+        if name in df.columns:
+            value = F.array() if default == [] else F.lit(default)
+            back[name] = F.when(when, value.cast(df.schema[name].dataType)).otherwise(F.col(name))
+    return df.withColumns(back) if back else df
 
 
 def freshness(latest: DataFrame, now, ttl: float = K.STALE_AFTER) -> DataFrame:
@@ -121,11 +145,7 @@ def freshness(latest: DataFrame, now, ttl: float = K.STALE_AFTER) -> DataFrame:
     age = now - F.col("t")
     stale = (F.col("analytics_status") == "active") & (age > ttl)
     d = latest.withColumn("age_s", F.bround(F.greatest(F.lit(0.0), age), 1))
-    d = d.withColumn("_stale", F.coalesce(stale, F.lit(False)))
-    for name, default in ANALYTICS.items():
-        if name in latest.columns:
-            kind = latest.schema[name].dataType
-            d = d.withColumn(name, F.when(F.col("_stale"), F.lit(default)).otherwise(F.col(name)).cast(kind))
+    d = reset_analytics(d.withColumn("_stale", F.coalesce(stale, F.lit(False))), F.col("_stale"))
     return d.withColumn("analytics_status", F.when(F.col("_stale"), "stale").otherwise(F.col("analytics_status"))).drop("_stale")
 
 

@@ -16,6 +16,7 @@ Only chunk totals are ever ordered per whole key; they grow with elapsed time, n
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -59,12 +60,31 @@ def with_time_halo(
     """Add ``_chunk`` and ``_home``; a row is copied to each chunk whose frames reach it.
 
     ``before``/``after`` are the seconds a frame looks back/ahead. Extra copies are harmless, so
-    the reach is widened slightly against rounding.
+    the reach is widened slightly against rounding. A chunk is never shorter than twice the reach: however
+    dense one key is, a row is copied about one and a half times. Rows with a null time share a chunk.
     """
     slack = 1e-3
-    lo = F.floor((F.col(t) - (after + slack if after else 0.0)) / width)
-    hi = F.floor((F.col(t) + (before + slack if before else 0.0)) / width)
-    return df.withColumn("_home", chunk_of(t, width)).withColumn("_chunk", F.explode(F.sequence(lo, hi)))
+    width = chunk_for(width, before + after)
+    lo = F.coalesce(F.floor((F.col(t) - (after + slack if after else 0.0)) / width), F.lit(TIMELESS))
+    hi = F.coalesce(F.floor((F.col(t) + (before + slack if before else 0.0)) / width), F.lit(TIMELESS))
+    home = F.coalesce(chunk_of(t, width), F.lit(TIMELESS))
+    return df.withColumn("_home", home).withColumn("_chunk", F.explode(F.sequence(lo, hi)))
+
+
+# The chunk of rows without a time.
+TIMELESS = -(1 << 62)
+
+
+def chunk_for(width: Column, reach: float) -> Column:
+    """``width``, but at least twice the seconds that a frame reaches."""
+    return F.greatest(width, F.lit(2.0 * reach)) if reach else width
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on ``keys``, where null equals null; the keys are the left ones."""
+    theirs = right.select(*[F.col(k).alias(f"_right_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(theirs, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def home_rows(df: DataFrame) -> DataFrame:
@@ -106,7 +126,7 @@ def with_running(
     for name, (kind, _) in values.items():
         frame = inside.rowsBetween(Window.unboundedPreceding, -1 if kind.endswith("_before") else 0)
         local.append(_over(kinds[name], F.col(f"_in_{name}"), frame).alias(f"_loc_{name}"))
-    d = d.select("*", *local).join(carry, [*keys, "_chunk"], "left")
+    d = join_keys(d.select("*", *local), carry, [*keys, "_chunk"])
 
     out = {}
     for name, kind in kinds.items():
@@ -201,7 +221,7 @@ def asof(
         reach = {"after": tol} if forward else {"before": tol}
         length = chunk_width(sides, keys, t, width)
         halo = with_time_halo(sides.where("_side = 1"), length, t, **reach)
-        core = with_time_halo(sides.where("_side = 0"), length, t)
+        core = with_time_halo(sides.where("_side = 0"), chunk_for(length, tol), t)
         both = core.unionByName(halo)
         order = [t, "_side"] if forward else [t, F.desc("_side")]
         w = Window.partitionBy(*keys, "_chunk").orderBy(*order)

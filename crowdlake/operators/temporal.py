@@ -15,7 +15,9 @@ from crowdlake.operators.scale import (
     Width,
     asof,
     chunk_of,
+    chunk_for,
     chunk_width,
+    join_keys,
     frame_percentile,
     home_rows,
     number_rows,
@@ -89,14 +91,14 @@ def throttle(
     *kept* row of its key.
 
     The choice is sequential, but a chunk only needs to know when the row kept before it was. Each
-    chunk reports where every possible entry would leave it; those short reports are followed per
-    key, and each chunk then keeps its rows on its own.
+    chunk, at least two gaps long, reports where every possible entry would leave it: no more entries than
+    it has rows in its first gap. The reports are followed per key, and each chunk then keeps its own rows.
     """
     keys = list(keys)
     t = order[0]
     key_schema = [df.schema[k] for k in keys]
     columns, schema, order = list(df.columns), df.schema, list(order)
-    chunked = df.withColumn("_width", chunk_width(df, keys, t, width))
+    chunked = df.withColumn("_width", chunk_for(chunk_width(df, keys, t, width), gap))
     chunked = chunked.withColumn("_chunk", chunk_of(t, F.col("_width")))
     chunk_keys = keys + ["_chunk"]
     long = T.StructField("_chunk", T.LongType())
@@ -139,7 +141,7 @@ def throttle(
             k = _next_allowed(ts, ts[k], gap, strict, k + 1)
         return pdf.iloc[kept][columns]
 
-    return spread(chunked.drop("_width"), *chunk_keys).join(carried, chunk_keys).groupBy(*chunk_keys).applyInPandas(keep, schema)
+    return join_keys(spread(chunked.drop("_width"), *chunk_keys), carried, chunk_keys, "inner").groupBy(*chunk_keys).applyInPandas(keep, schema)
 
 
 # --- sessions, de-duplication, gates ---------------------------------------------------------
@@ -173,12 +175,13 @@ def sessionize_gaps(
     return d.drop("_before")
 
 
-def mode_gate(updates: DataFrame, modes: DataFrame, default: str = "counting", salts: int = 16) -> DataFrame:
+def mode_gate(updates: DataFrame, modes: DataFrame, default: str = "counting", salts: int | None = None) -> DataFrame:
     """Add the operating mode in force, when it began, and the analytics status it implies.
 
-    Modes are few and apply to every camera, so they are replicated to a fixed number of camera
-    groups for the as-of match. Only rows with status ``active`` may refresh analytics.
+    Modes are few and apply to every camera, so they are replicated to as many camera groups as there are
+    shuffle partitions (or ``salts``) for the as-of match. Only rows with status ``active`` may refresh analytics.
     """
+    salts = salts or int(updates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = updates.withColumn("_salt", F.pmod(F.xxhash64("camera_id"), F.lit(salts)).cast("int"))
     right = modes.select("t", "mode").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     d = asof(left, right, ["_salt"], ["mode"]).drop("_salt")
