@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_used: set[str] = set()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -15,7 +18,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
@@ -23,9 +26,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver ends."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/crowdlake-{spark.sparkContext.applicationId}"
+    if folder not in _used:
+        _used.add(folder)
+        atexit.register(_drop, spark, folder)
+    return folder
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet and read it back: lineage ends here, executors may be lost, and later
     steps still prune columns and see true sizes."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/crowdlake-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
