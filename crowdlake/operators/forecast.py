@@ -108,7 +108,7 @@ def holt_features(hist: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         noise.alias("noise"),
     )
     trend = F.greatest(-F.col("_limit"), F.least(F.col("_limit"), F.col("_trend")))
-    return home_rows(d.withColumn("trend", trend).drop("_trend", "_limit"))
+    return home_rows(d.withColumn("trend", trend).drop("_trend")).withColumnRenamed("_limit", "trend_limit")
 
 
 def daily_seasonal(

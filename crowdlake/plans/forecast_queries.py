@@ -92,11 +92,11 @@ def holt_forecasts(spark, sf):
 
 @query(
     "recent_level_and_noise",
-    sql("select event_id, round(recent_level, 6) as recent_level, round(noise, 6) as noise, round(lim, 6) >= 1 as limited from features", *HIST, features=_FEATURES),
+    sql("select event_id, round(recent_level, 6) as recent_level, round(noise, 6) as noise, round(lim, 6) as trend_limit from features", *HIST, features=_FEATURES),
 )
 def recent_level_and_noise(spark, sf):
-    d = X.holt_features(count_history(spark, sf)).select("event_id", "recent_level", "noise", F.lit(True).alias("limited"))
-    return rounded(d, "recent_level", "noise")
+    d = X.holt_features(count_history(spark, sf)).select("event_id", "recent_level", "noise", "trend_limit")
+    return rounded(d, "recent_level", "noise", "trend_limit")
 
 
 @query(

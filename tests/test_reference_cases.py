@@ -160,9 +160,9 @@ def test_growth_uses_real_times(spark):
 
 
 def test_high_risk_has_five_causes(spark):
-    rows = [(i, d, 0.0, 0.0, 0.0) for i, d in enumerate((300, 600, 900))] + [(3 + i * 0.1, 1500, 8.0, 6.0, 0.9) for i in range(30)]
+    rows = [(i, d, 0.0, 0.0, 0.0) for i, d in enumerate((300, 600, 900))] + [(3 + i * 0.1, 1500 + 40 * i, 8.0, 6.0, 0.9) for i in range(30)]
     last = R.risk_index(observations(spark, rows)).orderBy(F.desc("t")).first()
-    assert last["risk_index"] > 65 and len(last["primary_causes"]) >= 4
+    assert last["risk_index"] > 75 and len(last["primary_causes"]) == 5
     assert 0.5 <= last["confidence"] <= 0.98
 
 

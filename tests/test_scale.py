@@ -212,4 +212,66 @@ def test_scans_prune_columns_and_push_filters(spark, sf):
     plan = entry.queries()["person_detections"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "l_shipdate" not in plan
     plan = entry.queries()["calibration_fits"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "l_comment" not in plan and "PushedFilters: [IsNotNull(l_orderkey)" in plan
+    assert "l_comment" not in plan and "l_shipdate" not in plan
+    plan = entry.queries()["mode_gated_updates"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "In(event_type, [purchase,signup])" in plan
+
+
+def test_telemetry_summary_averages_every_recent_row(spark):
+    from crowdlake.operators import fleet
+
+    rows = [("a", i, 90.0 + i / 200, float(i), 1.0, 0, 0.0, 10.0) for i in range(2000)]
+    rows += [("b", i, float(i), float(i), 1.0, i, 0.0, 10.0) for i in range(8)] + [("b", 99, None, 5.0, 1.0, 0, 0.0, 1.0)]
+    names = "camera_id STRING, event_id INT, t DOUBLE, latency_s DOUBLE, infer_s DOUBLE, reconnects INT, drop_pct DOUBLE, fps DOUBLE"
+    got = {r["camera_id"]: r for r in fleet.telemetry_summary(spark.createDataFrame(rows, names), 100.0).collect()}
+    assert got["a"]["rows_used"] == 2000 and got["a"]["latency_ms"] == 999.5 * 1000
+    assert got["b"]["rows_used"] == 5 and got["b"]["latency_ms"] == 5000
+
+
+def test_halo_copies_stay_few_beside_a_dense_key(spark, tiny_chunks):
+    rows = [("dense", i, i / 100.0) for i in range(20_000)] + [("thin", i, float(i)) for i in range(200)] + [("thin", -1, None)]
+    df = spark.createDataFrame(rows, "camera_id STRING, event_id INT, t DOUBLE")
+    copies = scale.with_time_halo(df, scale.chunk_width(df, ["camera_id"], "t"), before=120.0)
+    assert copies.count() <= 2 * len(rows)
+    assert scale.home_rows(copies).count() == len(rows)  # the row without a time stays
+
+
+def test_null_keys_are_one_key(spark, tiny_chunks):
+    rows = [(None, i, float(i * 40)) for i in range(6)] + [("a", i, float(i * 40)) for i in range(3)] + [("a", -1, None)]
+    df = spark.createDataFrame(rows, "camera_id STRING, event_id INT, t DOUBLE")
+    got = scale.number_rows(df, ["camera_id"], ["t", "event_id"], width=60.0).collect()
+    assert sorted(r["rn"] for r in got if r["camera_id"] is None) == [1, 2, 3, 4, 5, 6]
+    assert sorted((r["event_id"], r["rn"]) for r in got if r["camera_id"]) == [(-1, 1), (0, 2), (1, 3), (2, 4)]
+
+
+def test_newest_rows_of_a_hot_key(spark):
+    df = spark.range(5000).selectExpr("if(id % 100 = 0, 'b', 'a') as k", "cast(id as double) as t", "id as event_id")
+    for n in (1, 3, 1500):
+        got = scale.keep_latest(df, ["k"], n, ["t", "event_id"]).groupBy("k").agg(F.count("*").alias("n"), F.min("t").alias("low")).collect()
+        assert {r["k"]: r["n"] for r in got} == {"a": min(n, 4950), "b": min(n, 50)}
+
+
+def test_an_inactive_camera_loses_every_counting_field(spark):
+    from crowdlake.operators import fleet
+
+    row = ("a", 1.0, 1, False, 9, "HIGH", 2.0, 0.5, 80.0, "STAMPEDE", 0.4, ["x"], 3.0, 4.0, "h", "o", [{"k": "v"}], [[1.0]])
+    schema = """camera_id STRING, t DOUBLE, event_id INT, analytics_active BOOLEAN, people_count INT, comp_zone STRING, pressure DOUBLE,
+        stampede_prob DOUBLE, risk_index DOUBLE, risk_level STRING, confidence DOUBLE, primary_causes ARRAY<STRING>, motion_speed DOUBLE,
+        turbulence DOUBLE, hotspot_alert STRING, opposing_alert STRING, gps_alerts ARRAY<MAP<STRING, STRING>>, zone_scores ARRAY<ARRAY<DOUBLE>>"""
+    got = fleet.current_state(spark.createDataFrame([row], schema)).first().asDict()
+    assert {k: got[k] for k in fleet.ANALYTICS} == fleet.ANALYTICS
+    aged = spark.createDataFrame([row], schema).withColumn("analytics_status", F.lit("active"))
+    got = fleet.freshness(aged, 1000.0).first().asDict()
+    assert {k: got[k] for k in fleet.ANALYTICS} == fleet.ANALYTICS and got["analytics_status"] == "stale"
+
+
+def test_path_changes_follow_each_path(spark):
+    from crowdlake.operators import fleet
+
+    polls = spark.createDataFrame([(i, float(i), i != 2) for i in range(5)], "poll_id INT, t DOUBLE, ok BOOLEAN")
+    ready = spark.createDataFrame([(0, "a"), (0, "b"), (1, "b"), (3, "b"), (3, "a"), (3, "a")], "poll_id INT, path STRING")
+    got = [(r["poll_id"], r["appeared"], r["vanished"]) for r in fleet.path_changes(polls, ready).orderBy("poll_id").collect()]
+    assert got == [(0, ["a", "b"], []), (1, [], ["a"]), (3, ["a"], []), (4, [], ["a", "b"])]
+    cameras = spark.createDataFrame([("a",), ("c",), ("c",)], "camera_id STRING")
+    missed = fleet.missed_cameras(polls, ready.withColumnRenamed("path", "camera_id"), cameras).collect()
+    assert sorted(map(tuple, missed)) == [(0, "c"), (1, "a"), (1, "c"), (3, "c"), (4, "a"), (4, "c")]
