@@ -55,10 +55,13 @@ def notify_cooldown(df: DataFrame, gap: float = K.NOTIFY_COOLDOWN, order=("t", "
 def notifications(state: DataFrame, surges: DataFrame, dims: DataFrame, limit: int = 200) -> DataFrame:
     """Newest surge notifications: a forecast surge or a STAMPEDE label, cooled down per camera.
 
-    ``state`` holds ``camera_id, t, event_id, people_count, risk_index, risk_level, confidence``;
-    ``surges`` one row per surging (camera_id, t, event_id); ``dims`` camera location and GPS bounds.
+    ``state`` holds ``camera_id, t, event_id, people_count, risk_index, risk_level, confidence`` and, where
+    known, ``primary_causes``; ``surges`` one row per surging (camera_id, t, event_id), as ``surge`` gives
+    them; ``dims`` camera location and GPS bounds. The rows are what :func:`alert_outbox` takes.
     """
-    d = state.join(surges, ["camera_id", "t", "event_id"], "left")
+    at = ["camera_id", "t", "event_id"]
+    sure = F.col("confidence_percent") if "confidence_percent" in surges.columns else F.lit(85.0)
+    d = state.join(surges.select(*at, "horizon", "predicted_count", "growth_percent", sure.alias("_sure")), at, "left")
     d = d.where(F.col("horizon").isNotNull() | (F.col("risk_level") == "STAMPEDE"))
     d = notify_cooldown(materialize(d))
     d = keep_latest(d, [], limit, ["t", "event_id"])
@@ -69,10 +72,14 @@ def notifications(state: DataFrame, surges: DataFrame, dims: DataFrame, limit: i
         F.bround((F.col("lon_min") + F.col("lon_max")) / 2, 6).alias("gps_lon"),
     )
     d = d.join(place, "camera_id", "left")
+    # The texts of a notification.
     surge_text = F.concat(
-        F.lit("Predicted crowd surge to "), "predicted_count", F.lit(" pax in next "), "horizon"
-    )
+        F.lit("Predicted crowd surge to "), "predicted_count", F.lit(" pax (+"), S.half_even("growth_percent"),
+        F.lit("% growth) in next "), "horizon", F.lit(" [Confidence: "), S.half_even("_sure"), F.lit("%]"),
+    )
     plain_text = F.concat(F.col("people_count"), F.lit(" pax detected at "), F.col("camera_id"))
+    causes = F.col("primary_causes") if "primary_causes" in state.columns else F.array().cast("array<string>")
+    lat, lon = F.coalesce("gps_lat", F.lit(0.0)), F.coalesce("gps_lon", F.lit(0.0))
     return d.select(
         F.concat(F.lit("notif-"), "event_id", F.lit("-"), "camera_id").alias("notification_id"),
         "camera_id",
@@ -80,14 +87,17 @@ def notifications(state: DataFrame, surges: DataFrame, dims: DataFrame, limit: i
         "event_id",
         "location",
         F.lit("STAMPEDE").alias("severity"),
+        F.lit("STAMPEDE").alias("risk_level"),
         "risk_index",
         "people_count",
         S.confidence_pct("confidence").alias("confidence_percent"),
         "horizon",
         "predicted_count",
         "growth_percent",
-        F.coalesce("gps_lat", F.lit(0.0)).alias("gps_lat"),
-        F.coalesce("gps_lon", F.lit(0.0)).alias("gps_lon"),
+        causes.alias("primary_causes"),
+        lat.alias("gps_lat"),
+        lon.alias("gps_lon"),
+        F.format_string("https://maps.google.com/?q=%.6f,%.6f", lat, lon).alias("maps_url"),
         F.concat(F.lit("STAMPEDE WARNING: "), F.coalesce(surge_text, plain_text)).alias("message"),
         F.lit(True).alias("unread"),
     )
@@ -98,29 +108,37 @@ def notification_counts(df: DataFrame) -> DataFrame:
 
 
 def alert_outbox(alerts: DataFrame) -> DataFrame:
-    """One multi-line message per alert, absent parts left out.
+    """One multi-line message per cell alert or notification, absent parts left out.
 
-    Reads ``zone, camera_id, location, cell, occupancy_pct, density`` and, where present,
-    ``horizon, predicted_count, growth_percent, confidence_percent, primary_causes, message, gps_lat, gps_lon``.
+    Reads ``camera_id`` and, where present, ``zone`` (else ``risk_level``), ``cell`` (else "Sector 1"),
+    ``occupancy_pct`` (else ``risk_index``), ``density`` (else ``people_count``), ``location, horizon,
+    predicted_count, growth_percent, confidence_percent, primary_causes, message, gps_lat, gps_lon``.
     """
     have = set(alerts.columns)
 
     def opt(name, default=None):
         return F.col(name) if name in have else F.lit(default)
 
+    def first(name, other, default):
+        return F.coalesce(opt(name), opt(other), F.lit(default))
+
+    zone, cell = first("zone", "risk_level", "?"), opt("cell", "Sector 1")
+    index, crowd = first("occupancy_pct", "risk_index", 0.0).cast("double"), first("density", "people_count", 0)
+
     predicted = opt("predicted_count")
     lat, lon = opt("gps_lat", 0.0), opt("gps_lon", 0.0)
     causes = F.col("primary_causes") if "primary_causes" in have else F.lit(None).cast("array<string>")
     located = lat != 0.0
     lines = [
-        F.concat(F.col("zone"), F.lit(" STAMPEDE WARNING ALERT")),
+        # The lines of a message.
+        F.concat(zone, F.lit(" STAMPEDE WARNING ALERT")),
         F.concat(F.lit("Device: "), "camera_id", F.lit(" | Location: "),
-                 F.coalesce(opt("location"), F.lit("unknown")), F.lit(" ("), "cell", F.lit(")")),
-        F.concat(F.lit("Risk Level: "), "zone", F.lit(" (Index: "), F.format_string("%.1f", "occupancy_pct"), F.lit("/100)")),
-        F.concat(F.lit("Current Crowd: ~"), "density", F.lit(" people")),
+                 F.coalesce(opt("location"), F.lit("unknown")), F.lit(" ("), cell, F.lit(")")),
+        F.concat(F.lit("Risk Level: "), zone, F.lit(" (Index: "), F.format_string("%.1f", index), F.lit("/100)")),
+        F.concat(F.lit("Current Crowd: ~"), crowd, F.lit(" people")),
         F.when(
             predicted.isNotNull(),
-            F.concat(F.lit("Forecast ("), opt("horizon", "5m"), F.lit("): "), F.col("density"), F.lit(" -> "), predicted,
+            F.concat(F.lit("Forecast ("), opt("horizon", "5m"), F.lit("): "), crowd, F.lit(" -> "), predicted,
                      F.lit(" pax (+"), S.half_even(opt("growth_percent", 0.0)), F.lit("% growth)")),
         ),
         F.when(predicted.isNotNull(), F.concat(F.lit("Prediction Confidence: "), opt("confidence_percent", 85.0), F.lit("%"))),

@@ -156,7 +156,7 @@ def feed_health_reports(spark, sf):
     return fleet.feed_health(frames, NOW)
 
 
-_SURGES = """select camera_id, t, event_id, '5m' as horizon, people_count * 2 as predicted_count from updates where event_id % 5 = 0"""
+_SURGES = """select camera_id, t, event_id, '5m' as horizon, people_count * 2 as predicted_count from updates where people_count between 50 and 64"""
 _NOTES = """select u.*, g.horizon, g.predicted_count from updates u left join surges g using (camera_id, t, event_id)
     where g.horizon is not null or people_count >= 65"""
 _NOTED = """select n.* from notes n join keep k on n.camera_id = k.camera_id and n.t = k.t order by n.t desc limit 200"""
@@ -167,7 +167,7 @@ _KEEP = """select camera_id, min(t) as t from notes group by 1 union all
 def _notifications(spark, sf):
     u = updates(spark, sf).withColumn("risk_index", F.col("people_count").cast("double"))
     u = u.withColumn("risk_level", S.band("risk_index", (65.0,), ("NO STAMPEDE", "STAMPEDE")))
-    surges = u.where("event_id % 5 = 0").select(
+    surges = u.where("people_count between 50 and 64").select(
         "camera_id", "t", "event_id", F.lit("5m").alias("horizon"), (F.col("people_count") * 2).alias("predicted_count"),
         F.lit(100.0).alias("growth_percent"),
     )
@@ -180,7 +180,7 @@ def _notifications(spark, sf):
         """select 'notif-' || event_id || '-' || n.camera_id as notification_id, location, people_count,
         greatest(85, case when confidence <= 1 then round_even(confidence * 100, 1) else round_even(confidence, 1) end) as confidence_percent,
         coalesce(round_even((lat_min + lat_max) / 2, 6), 0) as gps_lat, coalesce(round_even((lon_min + lon_max) / 2, 6), 0) as gps_lon,
-        'STAMPEDE WARNING: ' || coalesce('Predicted crowd surge to ' || predicted_count || ' pax in next ' || horizon,
+        'STAMPEDE WARNING: ' || coalesce('Predicted crowd surge to ' || predicted_count || ' pax (+100% growth) in next ' || horizon || ' [Confidence: 85%]',
           people_count || ' pax detected at ' || n.camera_id) as message
         from noted n left join cameras k on n.camera_id = k.camera_id""",
         "stats_updates",

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crowdlake.operators import autoregressive as AR, forecast as X, learned as N
+from crowdlake.functions import scalars as S
+from crowdlake.operators import alerts as L, autoregressive as AR, forecast as X, learned as N
 from crowdlake.operators.materialize import materialize
 from crowdlake.operators.scale import number_rows
 from crowdlake.plans.registry import query, rounded, sql
@@ -239,6 +240,53 @@ def forecast_surges(spark, sf):
     return d.select("event_id", "horizon", "predicted_count", "growth_percent")
 
 
+_SURGE_ROWS = """select camera_id, session_id, event_id, any_value(t) as t, cast(round_even(any_value(value), 0) as bigint) as people_count,
+        arg_min(label, seconds) as horizon, arg_min(people_count, seconds) as predicted_count, round_even(arg_min(g, seconds), 1) as growth_percent, arg_min(c, seconds) as sure
+        from (select *, case when value > 0 then (people_count - value) / greatest(1, value) * 100 when people_count > 50 then 100 else 0 end as g,
+          case when confidence_percent = 0 then 85 else confidence_percent end as c from intervals)
+        where label in ('15s', '30s', '1m', '5m', '15m') and people_count > value and g >= 65 and c >= 85 group by 1, 2, 3"""
+_SURGE_STATE = """select h.camera_id, h.event_id, h.t, cast(round_even(h.value, 0) as bigint) as people_count, round_even(h.value, 0) as risk_index,
+        g.horizon, g.predicted_count, g.growth_percent, g.sure from hist h left join surge_rows g using (camera_id, session_id, event_id)
+        where g.horizon is not null or h.value >= 65"""
+_SURGE_KEEP = """select camera_id, min(t) as t from surge_state group by 1 union all
+        select k.camera_id, min(n.t) from surge_keep k join surge_state n on n.camera_id = k.camera_id and n.t - k.t > 30 group by 1"""
+
+
+@query(
+    "surge_outbox_messages",
+    sql(
+        """select n.event_id, concat_ws(chr(10), 'STAMPEDE STAMPEDE WARNING ALERT',
+        'Device: ' || n.camera_id || ' | Location: ' || coalesce(location, 'unknown') || ' (Sector 1)',
+        'Risk Level: STAMPEDE (Index: ' || printf('%.1f', risk_index) || '/100)', 'Current Crowd: ~' || people_count || ' people',
+        case when predicted_count is not null then 'Forecast (' || horizon || '): ' || people_count || ' -> ' || predicted_count || ' pax (+'
+          || cast(round_even(growth_percent, 0) as bigint) || '% growth)' end,
+        case when predicted_count is not null then 'Prediction Confidence: 90.0%' end,
+        'Action: STAMPEDE WARNING: ' || coalesce('Predicted crowd surge to ' || predicted_count || ' pax (+' || cast(round_even(growth_percent, 0) as bigint)
+            || '% growth) in next ' || horizon || ' [Confidence: ' || cast(round_even(sure, 0) as bigint) || '%]',
+          people_count || ' pax detected at ' || n.camera_id),
+        case when lat_min is not null then 'GPS: ' || round_even((lat_min + lat_max) / 2, 6) || 'N, ' || round_even((lon_min + lon_max) / 2, 6) || 'E' end,
+        case when lat_min is not null then 'Maps: https://maps.google.com/?q=' || round_even((lat_min + lat_max) / 2, 6) || ',' || round_even((lon_min + lon_max) / 2, 6) end) as body
+        from surge_state n join surge_keep k on n.camera_id = k.camera_id and n.t = k.t left join cameras c on n.camera_id = c.camera_id
+        order by n.t desc, n.event_id desc limit 200""",
+        *TABLES,
+        "cameras",
+        **SELECT,
+        surge_rows=_SURGE_ROWS,
+        surge_state=_SURGE_STATE,
+        surge_keep=_SURGE_KEEP,
+    ),
+)
+def surge_outbox_messages(spark, sf):
+    """Forecast surges and high counts become notifications, and these become messages; the newest 200."""
+    forecasts = materialize(X.prediction_interval(_selected(spark, sf)))
+    state = count_history(spark, sf).select(
+        "camera_id", "t", "event_id", S.half_even("value").alias("people_count"), F.bround("value").alias("risk_index"),
+        S.band("value", (65.0,), ("NO STAMPEDE", "STAMPEDE")).alias("risk_level"), F.lit(0.9).alias("confidence"),
+    )
+    notes = L.notifications(state, X.surge(forecasts), A.cameras(spark, sf))
+    return L.alert_outbox(notes).select("event_id", "body")
+
+
 @query(
     "forecast_snapshots",
     sql(

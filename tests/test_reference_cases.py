@@ -398,3 +398,19 @@ def test_two_and_four_level_zones(spark):
     df = spark.createDataFrame([(x,) for x in (0.1, 0.3, 0.6, 0.9)], "x DOUBLE")
     got = [tuple(r) for r in df.select(S.risk_zone("x"), S.risk_zone("x", "four_level"), S.risk_zone("x", "two_level", (0.25,))).collect()]
     assert got == [("NO STAMPEDE", "SAFE", "NO STAMPEDE"), ("NO STAMPEDE", "WATCH", "STAMPEDE"), ("NO STAMPEDE", "HIGH", "STAMPEDE"), ("STAMPEDE", "CRITICAL", "STAMPEDE")]
+
+
+def test_surges_become_notifications_and_messages(spark):
+    at = "camera_id STRING, t DOUBLE, event_id INT"
+    state = spark.createDataFrame(
+        [("drone-1", 1.0, 1, 100, 40.0, "NO STAMPEDE", 0.5, ["Growing"]), ("drone-2", 1.0, 2, 900, 91.0, "STAMPEDE", 93.0, []), ("drone-1", 9.0, 3, 100, 80.0, "STAMPEDE", 0.9, [])],
+        f"{at}, people_count BIGINT, risk_index DOUBLE, risk_level STRING, confidence DOUBLE, primary_causes ARRAY<STRING>",
+    )
+    surges = spark.createDataFrame([("drone-1", 1.0, 1, "5m", 180, 80.0, 88.0)], f"{at}, horizon STRING, predicted_count BIGINT, growth_percent DOUBLE, confidence_percent DOUBLE")
+    dims = spark.createDataFrame([("drone-1", "North", 1.0, 2.0, 3.0, 4.0)], "camera_id STRING, location STRING, lat_min DOUBLE, lat_max DOUBLE, lon_min DOUBLE, lon_max DOUBLE")
+    notes = L.notifications(state, surges, dims)
+    body = {r["event_id"]: r["body"] for r in L.alert_outbox(notes).collect()}
+    assert set(body) == {1, 2}  # the third falls into the cooldown of the first
+    assert "Forecast (5m): 100 -> 180 pax (+80% growth)" in body[1] and "Primary Drivers: Growing" in body[1]
+    assert "Predicted crowd surge to 180 pax (+80% growth) in next 5m [Confidence: 88%]" in body[1] and "(Sector 1)" in body[1]
+    assert "GPS: 1.5N, 3.5E" in body[1] and "Risk Level: STAMPEDE (Index: 91.0/100)" in body[2] and "GPS" not in body[2]
