@@ -15,6 +15,19 @@ def filter_detections(df: DataFrame, cls: int = 0, min_conf: float = 0.30) -> Da
     return df.where((F.col("cls") == cls) & (F.col("conf") >= min_conf))
 
 
+def with_frames(df: DataFrame, frames: DataFrame) -> DataFrame:
+    """Add a row without a box for each of ``frames`` that ``df`` has none of, so that its counts are zero."""
+    missing = frames.select(*FRAME).distinct().join(df.select(*FRAME).distinct(), FRAME, "left_anti")
+    return df.unionByName(missing, allowMissingColumns=True)
+
+
+def all_zones(zones: DataFrame, frames: DataFrame, value: str) -> DataFrame:
+    """Nine zones for each of ``frames``; zones that a frame lacks have a zero ``value``."""
+    cells = F.array(*[F.struct(F.lit(i // 3).alias("r"), F.lit(i % 3).alias("c")) for i in range(9)])
+    grid = frames.select(*FRAME).distinct().select(*FRAME, F.inline(cells))
+    return grid.join(zones, [*FRAME, "r", "c"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+
+
 def _finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 

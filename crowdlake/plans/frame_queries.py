@@ -153,7 +153,7 @@ def person_detections(spark, sf):
     "detection_zone_counts",
     sql(
         """select f.camera_id, f.frame_id, z.r, z.c, count(d.frame_id) as people
-        from (select distinct camera_id, frame_id from people) f cross join cells z
+        from (select distinct camera_id, frame_id from detections) f cross join cells z
         left join people d on d.camera_id = f.camera_id and d.frame_id = f.frame_id and d.r = z.r and d.c = z.c
         group by 1, 2, 3, 4""",
         "detections",
@@ -165,14 +165,15 @@ def person_detections(spark, sf):
     ),
 )
 def detection_zone_counts(spark, sf):
-    return D.detection_zones(D.filter_detections(A.detections(spark, sf)), 360, 640)
+    boxes = A.detections(spark, sf)
+    return D.detection_zones(D.with_frames(D.filter_detections(boxes), boxes), 360, 640)
 
 
 @query(
     "detection_density_zones",
     sql(
         """select f.camera_id, f.frame_id, z.r, z.c, round(coalesce(sum(m.d), 0), 6) as people
-        from (select distinct camera_id, frame_id from blurred) f cross join cells z
+        from (select distinct camera_id, frame_id from detections) f cross join cells z
         left join blurred m on m.camera_id = f.camera_id and m.frame_id = f.frame_id
         and m.row >= z.r * 12 // 3 and m.row < (z.r + 1) * 12 // 3 and m.col >= z.c * 20 // 3 and m.col < (z.c + 1) * 20 // 3
         group by 1, 2, 3, 4""",
@@ -191,10 +192,10 @@ def detection_zone_counts(spark, sf):
     ),
 )
 def detection_density_zones(spark, sf):
-    people = D.filter_detections(A.detections(spark, sf))
-    dense = D.detections_to_density(people, 12, 20, 360, 640)
+    boxes = A.detections(spark, sf)
+    dense = D.detections_to_density(D.filter_detections(boxes), 12, 20, 360, 640)
     zones = M.zone_scores(dense, 12, 20).select("camera_id", "frame_id", "r", "c", F.col("score").alias("people"))
-    return rounded(zones, "people")
+    return rounded(D.all_zones(zones, boxes, "people"), "people")
 
 
 _ALLOC_IN = """select camera_id, frame_id, r, c, floor(score) as density, (frame_id + r * 5 + c) % 4 as detected,
@@ -266,14 +267,15 @@ def closeup_fused_zones(spark, sf):
         count(*) filter (where label = 'truck') as trucks, count(*) filter (where label = 'bus') as buses,
         count(*) filter (where label in ('motorcycle', 'bicycle')) as bikes, count(*) filter (where label = 'uav') as uavs,
         count(label) as listed, least(100e0, round_even(count(label) / 150e0 * 100, 1)) as occupancy_rate
-        from (select *, case cls when 1 then 'bicycle' when 2 then 'car' when 3 then 'motorcycle' when 4 then 'uav'
-          when 5 then 'bus' when 7 then 'truck' end as label from detections where conf >= 0.2) group by 1, 2""",
+        from (select *, case when conf >= 0.2 then case cls when 1 then 'bicycle' when 2 then 'car' when 3 then 'motorcycle'
+          when 4 then 'uav' when 5 then 'bus' when 7 then 'truck' end end as label from detections) group by 1, 2""",
         "detections",
     ),
 )
 def vehicle_frame_counts(spark, sf):
-    d = A.detections(spark, sf).where("conf >= 0.2").withColumn("label", S.vehicle_label("cls"))
-    return D.vehicle_counts(d)
+    boxes = A.detections(spark, sf)
+    d = boxes.where("conf >= 0.2").withColumn("label", S.vehicle_label("cls"))
+    return D.vehicle_counts(D.with_frames(d, boxes))
 
 
 _BLOBS = """select *, case when area > 276 then case when aspect > 1.6 then 'truck' else 'bus' end
