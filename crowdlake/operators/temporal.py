@@ -147,8 +147,16 @@ def throttle(
 # --- sessions, de-duplication, gates ---------------------------------------------------------
 
 
-def dedupe_seq(df: DataFrame, keys: Sequence[str] = CAMERA, seq: str = "seq", order: Sequence[str] = ORDER) -> DataFrame:
-    """Drop rows whose sequence number is not above every earlier one; null numbers always pass."""
+def dedupe_seq(
+    df: DataFrame, keys: Sequence[str] = CAMERA, seq: str = "seq", order: Sequence[str] = ORDER, resets: DataFrame | None = None
+) -> DataFrame:
+    """Drop rows whose sequence number is not above every earlier one; null numbers always pass.
+
+    Numbers start anew at each of ``resets`` (keys and time), as after a change of feed or mode.
+    """
+    if resets is not None:
+        sessions = sessionize_resets(df, resets, keys, order[0]).withColumnRenamed("session_id", "_session")
+        return dedupe_seq(sessions, [*keys, "_session"], seq, order).drop("_session")
     d = with_running(df, keys, order, {"_top": ("max_before", F.col(seq))}, t=order[0])
     return d.where(F.col(seq).isNull() | (F.col(seq) > F.coalesce("_top", F.lit(-1)))).drop("_top")
 

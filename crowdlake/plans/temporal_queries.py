@@ -86,6 +86,27 @@ def deduplicated_updates(spark, sf):
     return T.dedupe_seq(u).select("event_id", "seq")
 
 
+@query(
+    "deduplicated_updates_with_resets",
+    sql(
+        """select event_id, seq from (select *, max(seq) over (partition by camera_id, session_id order by t rows between unbounded preceding and 1 preceding) as top
+          from (select s.camera_id, s.event_id, s.t, session_id, case when event_id % 10 = 0 then null else cast(floor(event_id / 3) as bigint) + event_id * 7 % 50 end as seq
+            from sessions s))
+        where seq is null or seq > coalesce(top, -1)""",
+        "samples",
+        "resets",
+        "sessions",
+    ),
+)
+def deduplicated_updates_with_resets(spark, sf):
+    u = A.stats_updates(spark, sf).select(
+        S.normalize_camera_id("drone_id").alias("camera_id"), "event_id", "t",
+        (F.col("analytics_seq") + F.col("event_id") * 7 % 50).alias("seq"),
+    )
+    resets = u.where("event_id % 997 = 5").select("camera_id", "t")
+    return T.dedupe_seq(u, resets=resets).select("event_id", "seq")
+
+
 @query(
     "mode_gated_updates",
     sql(

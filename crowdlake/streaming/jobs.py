@@ -65,9 +65,20 @@ def read_state(spark: SparkSession, path: str, before: int | None = None) -> Dat
     return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
 
 
-def current_state_stream(updates: DataFrame, path: str, checkpoint: str, order: Sequence[str] = ("t", "event_id")):
+def _drop_versions(spark: SparkSession, path: str, before: int) -> None:
+    jvm = spark.sparkContext._jvm
+    for v in _versions(spark, path):
+        if v < before:
+            old = jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def current_state_stream(
+    updates: DataFrame, path: str, checkpoint: str, order: Sequence[str] = ("t", "event_id"), versions: int = 3
+):
     """Maintain one row per camera: each micro-batch is reduced to its newest rows, merged with the
-    version before it and written as the next version."""
+    version before it and written as the next version. The newest ``versions`` stay, for readers at work
+    and for a batch that is run again."""
     spark = updates.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -75,6 +86,7 @@ def current_state_stream(updates: DataFrame, path: str, checkpoint: str, order:
         old = read_state(spark, path, before=batch_id)
         both = newest if old is None else newest.unionByName(old)
         fleet.current_state(both, order).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        _drop_versions(spark, path, batch_id - versions + 1)
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
@@ -91,12 +103,13 @@ def latest_forecasts(tail: DataFrame, keys: Sequence[str] = forecast.KEYS) -> Da
     return forecast.candidates(numbered).join(last, [*keys, "rn"])
 
 
-def forecast_stream(samples: DataFrame, path: str, checkpoint: str, tail_rows: int = 1000):
+def forecast_stream(samples: DataFrame, path: str, checkpoint: str, tail_rows: int = 5760):
     """Forecast every camera a micro-batch touches from the newest rows of its history.
 
     ``samples`` are accepted, smoothed samples (``camera_id, session_id, t, event_id, value``). The
     history is appended below ``path/history``, partitioned by day of the batch's times, so a batch
-    reads only the days its tails can reach.
+    reads only the days its tails can reach. ``tail_rows`` is a day of samples, which the daily model looks
+    back to.
     """
     spark = samples.sparkSession
     day = 86_400.0

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from crowdlake import constants as K
@@ -68,7 +68,7 @@ class DedupeSeq(_Keyed):
         for i, s in enumerate(d[self.seq].tolist()):
             if pd.isna(s):
                 kept.append(i)
-            elif s > top:
+            elif int(s) > top:
                 kept.append(i)
                 top = int(s)
         self.state.update((top,))
@@ -169,7 +169,10 @@ def notify_cooldown_stream(df: DataFrame, gap: float = K.NOTIFY_COOLDOWN) -> Dat
 
 
 def dedupe_stream(df: DataFrame, keys: Sequence[str] = ("camera_id",), seq: str = "seq", order=("t", "event_id")) -> DataFrame:
-    return _apply(df, keys, DedupeSeq(seq, order), df.schema)
+    # Numbers travel as text: beside nulls pandas would make them doubles, which blur above 2 ** 53.
+    text = df.withColumn(seq, F.col(seq).cast("string"))
+    kept = _apply(text, keys, DedupeSeq(seq, order), text.schema)
+    return kept.withColumn(seq, F.col(seq).cast(df.schema[seq].dataType))
 
 
 def presence_stream(polls: DataFrame, confirm: int = 2) -> DataFrame:

@@ -145,3 +145,24 @@ def test_session_summary(spark, sf, sliced):
     # Sessions still open at the watermark are not emitted.
     closed = want.where(F.col("last") < s.agg(F.max("t")).first()[0] - 400)
     assert got.count() >= closed.count() > 0
+
+
+def test_large_sequence_numbers_stay_apart_beside_nulls(spark, tmp_path):
+    big = 9007199254740992
+    rows = [("a", 1.0, 1, big), ("a", 2.0, 2, None), ("a", 3.0, 3, big + 1), ("a", 4.0, 4, big + 1)]
+    df = spark.createDataFrame(rows, "camera_id STRING, t DOUBLE, event_id INT, seq BIGINT")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = P.dedupe_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r["event_id"], r["seq"]) for r in got.collect()) == [(1, big), (2, None), (3, big + 1)]
+    assert sorted(r["event_id"] for r in T.dedupe_seq(df).collect()) == [1, 2, 3]
+
+
+def test_frames_are_read_and_unpacked(spark, sf, tmp_path):
+    A.packed_density(spark, sf).limit(3).write.parquet(f"{tmp_path}/packed")
+    cells = readers.read_frames(spark, f"{tmp_path}/packed")
+    assert cells.count() == 3 * 64 and {"row", "col", "d"} <= set(cells.columns)
+    cells.write.parquet(f"{tmp_path}/cells")
+    assert readers.read_frames(spark, f"{tmp_path}/cells").count() == 3 * 64
