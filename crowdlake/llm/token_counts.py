@@ -8,6 +8,7 @@ distinct pre-token that a worker meets.
 from __future__ import annotations
 
 import functools
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,8 +67,6 @@ def _runs(v: Pieces, segment: str) -> list[str]:
 
 def _long(v: Pieces, text: str) -> list[str]:
     """What :meth:`Pieces.merged` gives, in n log n steps, for long runs."""
-    import heapq
-
     n = len(text)
     part, after, before = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list = []

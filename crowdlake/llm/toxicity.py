@@ -33,7 +33,7 @@ BEGINNINGS = range(4, 11)
 
 _FOLD = {ord(a): b for a, b in LOOKALIKES.items()} | dict.fromkeys(range(0x300, 0x370)) | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
 _SPACES = {i: " " for i in range(128) if not chr(i).isalnum()}
-_PUT = re.compile(r"(?:(?<=[a-z])|(?<![^\s\"'(]))[013457 8@$!|]{1,2}(?=[a-z])".replace(" ", ""))
+_PUT = re.compile(r"(?:(?<=[a-z])|(?<![^\s\"'(]))[0134578@$!|]{1,2}(?=[a-z])")
 _TO_LETTERS = str.maketrans(SUBSTITUTES)
 
 
