@@ -190,7 +190,8 @@ def fit(
         .withColumn("toxic", (F.col("toxic") > 0).cast("int"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    texts = materialize(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic"))
+    # At most sample_rows ids: broadcast, so that no text is shuffled.
+    texts = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
     toxic = _totals(texts.where("toxic = 1").mapInPandas(_counts(None), _COUNTED)).where(F.col("texts1") >= min_texts)
     candidates = frozenset(r.term for r in toxic.select("term").collect())
     counted = {r.term: r for r in _totals(texts.mapInPandas(_counts(candidates | {"\0"}), _COUNTED)).collect()}
