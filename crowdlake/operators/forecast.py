@@ -334,8 +334,9 @@ def backtest(
 ) -> DataFrame:
     """Forecast from every sample of a history with the models chosen by the errors known then.
 
-    Adds ``accuracy_percent``, the accuracy of forecasts issued earlier, as known at the origin.
+    Plugged-in models (:func:`register_model`) and those in ``extra`` are candidates as well. Adds ``accuracy_percent``, the accuracy of forecasts issued earlier, as known at the origin.
     """
+    extra = {**registered_models(hist), **(extra or {})}
     scored = materialize(score_predictions(candidates(hist, extra, shadow, keys, interval), hist, keys, interval))
     errors = [f"e_{m}" for m in models_of(scored)]
     rolled = rolling_errors(scored, errors, K.CANDIDATE_ERROR_WINDOW, keys)
