@@ -1,6 +1,7 @@
 """Toxicity: a weighted lexicon, learned from labelled texts and matched by an Aho-Corasick automaton.
 
-Texts are folded first (case, accents, look-alike letters, digits and signs put for letters). The lexicon has
+Texts are folded first (case, accents, look-alike letters, digits and signs put for letters; i and l are one
+letter). A sign in or beside a word is read in the way that makes an entry, if one does. The lexicon has
 words and word beginnings, each with the log of how much more often it stands in toxic texts. Every word
 counts its heaviest entry; phrases that show an entry to be harmless cancel it. The sums, divided by the
 text's length in several ways, go through a logistic curve fitted on the same labelled texts.
@@ -26,26 +27,54 @@ from crowdlake.operators.materialize import materialize
 
 #: Letters of other alphabets that look like Latin ones.
 LOOKALIKES = dict(zip("авекмнорстухіѕјԁԛԝαβεηικνορτυχωɡıł", "abekmhopctyxisjdqwabehiknoptuxwgil", strict=True))
-#: Digits and signs put for letters.
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
+LOOKALIKES |= dict(  # Cyrillic, Armenian, phonetic and crossed letters, and others
+    "ӏl һh ѵv єe ҽe гr пn ьb яr ґr ҟk ҍb աw եt ցg գq զq էt յj հh ոn ռn ղn մu սu օo քp ժd վy ɑa əe ɛe ƒf ɦh ɩi ɪi ʝj ʟl ʍm ɱm ɴn ɲn ɾr ʀr ʂs ƽs"
+    " ƭt ʋv ɯw ᴡw ʏy ƴy ʐz ƶz øo đd ħh ŧt ƀb ɓb ɗd ɠg γy σo δd πn ςc ϳj נj ×x ∂d €e £l ¢c ¡i".split()
+)
+#: Digits put for letters. They are letters in any word that has a letter.
+SUBSTITUTES = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g"}
+#: Signs put for letters. They may as well end a word; until that is settled, a capital stands for them.
+SIGNS = {"!": "i", "|": "i", "+": "t", "$": "s", "@": "a"}
 #: Lengths of the word beginnings that may become entries.
 BEGINNINGS = range(4, 11)
 
-_FOLD = {ord(a): b for a, b in LOOKALIKES.items()} | dict.fromkeys(range(0x300, 0x370)) | {0x200B: None, 0x200C: None, 0x200D: None, 0xAD: None}
-_SPACES = {i: " " for i in range(128) if not chr(i).isalnum()}
-_PUT = re.compile(r"(?:(?<=[a-z])|(?<![^\s\"'(]))[0134578@$!|]{1,2}(?=[a-z])")
-_TO_LETTERS = str.maketrans(SUBSTITUTES)
+_UNSEEN = [i for i in (*range(0x10000), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE1000)) if unicodedata.category(chr(i)) in ("Cf", "Me")]
+_BLOCKS = (0x300, 0x370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE00, 0xFE10), (0xFE20, 0xFE30), (0x180B, 0x1810), (0xE0100, 0xE01F0)
+_FOLD = {i: None for a, b in _BLOCKS for i in range(a, b)} | dict.fromkeys((*_UNSEEN, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0))
+_FOLD |= {ord(a): b for a, b in LOOKALIKES.items()}
+# i and l are one letter, since 1, ! and | stand for both.
+_SPACES = {i: " " for i in range(128) if not chr(i).isalnum()} | {ord("i"): "l"}
+_SPACES |= {i: " " for i in (*range(0xA0, 0xC0), *range(0x2010, 0x2070), *range(0x3000, 0x3040)) if not chr(i).isalnum()}
+_PUT = re.compile(r"(?<=[a-z])[0-9!|+$@]+|(?<![0-9!|+$@])[0-9!|+$@]++(?=[a-z])")
+_TO_LETTERS = str.maketrans(SUBSTITUTES | {c: x.replace("i", "l").upper() for c, x in SIGNS.items()})
+_SIGN = re.compile("[LTSA]")
+_BEFORE_LETTERS = re.compile("[LTSA]++(?! |$)")
+_LEFT = dict.fromkeys(map(ord, "LTSA"), " ")
+_SIGNED = re.compile("(?<= )[^ LTSA]*+[LTSA][^ ]*")
 
 
 def folded(text: str | None) -> str:
-    """Lower case, without accents, look-alikes and substitutes; words between single or more spaces."""
+    """Lower case, without accents, look-alikes and substitutes; words between single or more spaces.
+
+    i and l are both l. Capitals are signs that may be letters or not; :func:`plain` or :meth:`Model.settled` decides.
+    """
     t = (text or "").lower()
     if not t.isascii():
-        t = unicodedata.normalize("NFKD", t).translate(_FOLD)
+        t = unicodedata.normalize("NFKD", t).lower().translate(_FOLD)
     t = _PUT.sub(lambda m: m[0].translate(_TO_LETTERS), t)
     return " " + t.translate(_SPACES) + " "
 
 
+def plain(t: str) -> str:
+    """A folded text whose signs are letters if a letter follows, else spaces. Its length stays."""
+    return _BEFORE_LETTERS.sub(lambda m: m[0].lower(), t).translate(_LEFT) if _SIGN.search(t) else t
+
+
+def entry(term: str) -> str:
+    """An entry in the folded letters, with its spaces at the ends."""
+    return " " * term.startswith(" ") + " ".join(plain(folded(term)).split()) + " " * term.endswith(" ")
+
+
 def terms_of(word: str) -> list[str]:
     """The entries that could match a word: its beginnings, and itself as a whole."""
     return [" " + word[:k] for k in BEGINNINGS if k <= len(word)] + [f" {word} "]
@@ -65,16 +94,51 @@ class Model:
 
     def matcher(self):
         if not self.automaton:
-            a = ahocorasick.Automaton()
+            terms: dict[str, float] = {}
             for term, w in self.weights.items():
+                e = entry(term)
+                terms[e] = max(w, terms.get(e, w))
+            a = ahocorasick.Automaton()
+            for term, w in terms.items():
                 a.add_word(term, (len(term), w))
             for phrase in self.exceptions:
-                p = f" {phrase} "
+                p = f" {entry(phrase)} "
                 a.add_word(p, (len(p), -1.0))
             a.make_automaton()
-            self.automaton.append(a)
+            begun = sorted({len(t) - 1 for t in terms if not t.endswith(" ")})
+            self.automaton.extend((a, terms, begun, max(map(len, terms), default=0)))
         return self.automaton[0]
 
+    def settled(self, text: str) -> str:
+        """A folded text with each sign read as the letter or the end of a word that makes the heaviest entry."""
+        return plain(_SIGNED.sub(self._read, text)) if _SIGN.search(text) else text
+
+    def _read(self, m: re.Match) -> str:
+        self.matcher()
+        _, terms, begun, longest = self.automaton
+        word, letters = m[0], m[0].lower()
+        signs = [i for i, c in enumerate(word) if c in "LTSA"]
+        found = []
+        ends = [*signs, len(word)]
+        for k, a in enumerate([0, *(i + 1 for i in signs)]):
+            for b in (a + n for n in begun if a + n <= len(word)):
+                if w := terms.get(" " + letters[a:b]):
+                    found.append((-w, a, -b, False))
+            for b in ends[k:]:
+                if b - a > longest:
+                    break
+                if b > a and (w := terms.get(f" {letters[a:b]} ")):
+                    found.append((-w, a, -b, True))
+        out = list(word)
+        for _, a, b, whole in sorted(found):
+            b = -b
+            rims = [i for i in (a - 1, b if whole else -1) if 0 <= i < len(out)]
+            if " " not in out[a:b] and all(out[i] in "LTSA " for i in rims):
+                out[a:b] = letters[a:b]
+                for i in rims:
+                    out[i] = " "
+        return "".join(out)
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "automaton"}
 
@@ -83,6 +147,7 @@ class Model:
 
     def hits(self, text: str) -> dict[int, float]:
         """Weight of the heaviest entry at each matched word of a folded text, by position."""
+        text = self.settled(text)
         best: dict[int, float] = {}
         harmless = []
         if self.weights:
@@ -98,7 +163,7 @@ class Model:
         return best
 
     def features(self, text: str | None) -> list[float]:
-        t = folded(text)
+        t = self.settled(folded(text))
         n, found = len(t.split()), self.hits(t)
         s = sum(found.values())
         top = max(found.values(), default=0.0)
@@ -119,7 +184,7 @@ def _counts(wanted: frozenset[str] | None):
         for b in batches:
             for text, y in zip(b["text"], b["toxic"], strict=True):
                 seen: Counter = Counter()
-                parts = Counter(folded(text).split())
+                parts = Counter(plain(folded(text)).split())
                 words[y]["\0"] += sum(parts.values())
                 for word, n in parts.items():
                     for term in terms_of(word):
@@ -149,7 +214,7 @@ def _phrases(model: Model):
         seen = (Counter(), Counter())
         for b in batches:
             for text, y in zip(b["text"], b["toxic"], strict=True):
-                t = folded(text)
+                t = model.settled(folded(text))
                 found = set()
                 for at in model.hits(t):
                     after = t[at : at + 80].split()[:2]

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import itertools
 import random
 import re
 
@@ -54,6 +55,30 @@ def test_toxicity_folds_disguises_and_spares_exceptions():
     assert not model.hits(toxicity.folded("oxymoron in 2010"))
 
 
+def test_toxicity_finds_each_entry_under_every_substitution():
+    puts = {}
+    for table in (toxicity.SUBSTITUTES, toxicity.SIGNS, toxicity.LOOKALIKES):
+        for c, letter in table.items():
+            for x in "il" if letter in "il" else letter:
+                puts.setdefault(x, [x]).append(c)
+    words = ["clown", "loser", "worthless", "idiot", "disgusting", "hate", "ass", "evil", "kill", "shit"]
+    for word in words:
+        for model in (toxicity.Model({f" {word} ": 5.0}), toxicity.Model({f" {word}": 5.0})):
+            signs = [[c for c in puts.get(x, [x]) if c.isascii()] for x in word]
+            forms = {"".join(p) for p in itertools.islice(itertools.product(*signs), 20000)} if len(word) < 6 else set()
+            forms |= {word[:i] + c + word[j:] for i in range(len(word)) for j in (i + 1,) for c in puts.get(word[i], [])}
+            forms |= {word[:i] + "".join(s[-1] for s in signs[i:j]) + word[j:] for i in range(len(word)) for j in range(i, len(word) + 1)}
+            forms = {f for f in forms if re.search("[a-z]", f)}
+            for form in forms:
+                for text in (form, f"*{form}*", f"-{form}", f"[{form}]", f"{form}!", f"@{form}", f"{form[:2]}\ufeff{form[2:]}\u2060", form.upper() if form.isascii() else form):
+                    assert list(model.hits(toxicity.folded(text)).values()) == [5.0], text
+    model = toxicity.Model({" loser ": 5.0, " evil ": 4.0}, ("evil genius",))
+    for text in ("c1own 1oser", "l053r", "you|10$3r!!!", "evi!", "evi!!!", "\U0001d40b\U0001d428\U0001d42c\U0001d41e\U0001d42b", "“loser”"):
+        assert len(model.hits(toxicity.folded(text))) == 1, text
+    for text in ("evi! genius", "105 3", "$100 + 50 | 20!", "closer!", "!" * 500 + " a" + "!" * 500):
+        assert not model.hits(toxicity.folded(text)), text
+
+
 def test_toxicity_edge_cases(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(odd_docs(spark), none)
