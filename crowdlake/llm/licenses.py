@@ -1,14 +1,15 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment reports what matches.
 
 Templates are cut into overlapping three-word grams; of each window of three grams the one of least hash goes
-into an inverted index. A text is read once, gram by gram. Where its grams meet the index, the template is
-aligned with that part of the text inside a band around the diagonal, which gives the matched share of the
-template and the span of the text.
+into an inverted index. A text is read once, gram by gram. Where it meets the index, the template is aligned with that part of the text inside a
+band around the diagonal, which gives the matched share of the template and the span of the text. The deciding
+words (name, version, variant) must stand in the span without a gap.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -45,7 +46,8 @@ TEMPLATES = {
         " following conditions are met: Redistributions of source code must retain the above copyright notice, this list of"
         " conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice,"
         " this list of conditions and the following disclaimer in the documentation and/or other materials provided with the"
-        " distribution."
+        " distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or"
+        " promote products derived from this software without specific prior written permission."
     ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
@@ -62,7 +64,78 @@ TEMPLATES = {
         " distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
     "All rights reserved": "All rights reserved.",
+    "MIT-0": "Released under the MIT-0 License.",
+    "BSD": "Released under the BSD License.",
+    "BSD-2-Clause": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause": "Released under the BSD 3-Clause License.",
+    "ISC": "Released under the ISC License.",
+    "ISC notice": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
+        " granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+}
+_BSD = TEMPLATES["BSD-3-Clause notice"]
+_NEITHER = _BSD.index(" Neither the name")
+TEMPLATES["BSD-2-Clause notice"] = _BSD[:_NEITHER]
+TEMPLATES["BSD-4-Clause notice"] = (
+    _BSD[:_NEITHER] + " All advertising materials mentioning features or use of this software must display the following"
+    " acknowledgement: This product includes software developed by the organization." + _BSD[_NEITHER:]
+)
+
+#: By template, the words that tell it from its neighbours: phrases of which each must stand in the matched span
+#: without a gap. ``|`` parts forms of one phrase.
+DECIDING = {
+    "Apache-2.0": ("apache license", "2 0"),
+    "Apache-2.0 header": ("apache license", "2 0"),
+    "MIT": ("mit",),
+    "MIT-0": ("mit 0",),
+    "MIT notice": ("shall be included in all copies",),
+    "BSD": ("bsd license",),
+    "BSD-2-Clause": ("bsd 2 clause",),
+    "BSD-3-Clause": ("bsd 3 clause",),
+    "BSD-2-Clause notice": ("redistributions in binary form",),
+    "BSD-3-Clause notice": ("neither the name", "redistributions in binary form"),
+    "BSD-4-Clause notice": ("all advertising materials", "neither the name"),
+    "ISC": ("isc",),
+    "ISC notice": ("permission to use copy modify", "appear in all copies"),
+    "MPL-2.0": ("mozilla", "v 2 0|version 2 0|mpl 2 0"),
+    "All rights reserved": ("all rights reserved",),
 }
+# The GNU licenses, in a short form and with the header of a file.
+for _kind, _name, _versions in (("GPL", "", "23"), ("LGPL", "Lesser ", ("2.1", "3")), ("AGPL", "Affero ", "3")):
+    for _v in _versions:
+        _key, _gnu = f"{_kind}-{_v if '.' in _v else _v + '.0'}", f"gnu {_name.lower()}general"
+        _head = (
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU"
+            f" {_name}General Public License as published by the Free Software Foundation,"
+        )
+        _any = f"{_head} either version {_v} of the License, or (at your option) any later version."
+        TEMPLATES.setdefault(_key, f"This work is licensed under the GNU {_name}General Public License, version {_v}.")
+        TEMPLATES[f"{_key} short"] = f"This work is licensed under the GNU {_name}General Public License v{_v}."
+        TEMPLATES.setdefault(f"{_key}-or-later header", _any)
+        TEMPLATES.setdefault(f"{_key}-only header", f"{_head} version {_v} of the License.")
+        _n = _v.replace(".", " ")
+        DECIDING[_key] = DECIDING[f"{_key}-only header"] = _gnu, f"version {_n}"
+        DECIDING[f"{_key} short"] = _gnu, f"v{_n}"
+        DECIDING[f"{_key}-or-later header"] = _gnu, f"version {_n}", "any later version"
+# The Creative Commons licenses of each version.
+for _v, _law in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic")):
+    for _short, _long in (
+        ("BY", ""), ("BY-SA", "-ShareAlike"), ("BY-ND", "-NoDerivatives"), ("BY-NC", "-NonCommercial"),
+        ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives"),
+    ):
+        _texts = (
+            (f"Licensed under CC {_short} {_v}.", f"cc {_short} {_v}"),
+            (f"This work is licensed under a Creative Commons Attribution{_long} {_v} {_law} License.", f"attribution{_long} {_v}"),
+        )
+        for _text, _phrase in _texts:
+            _key = f"CC-{_short}-{_v}" + (" notice" if _phrase.startswith("a") else "")
+            if _text == TEMPLATES["CC-BY-SA-4.0"]:
+                _key = "CC-BY-SA-4.0"
+            elif _key == "CC-BY-SA-4.0":
+                _key = "CC-BY-SA-4.0 short"
+            TEMPLATES.setdefault(_key, _text)
+            DECIDING[_key] = (" ".join(re.findall(r"\w+", _phrase.lower())),)
 
 _WORD = re.compile(r"\w+")
 
@@ -81,16 +154,35 @@ def winnowed(tokens: list[str]) -> set[int]:
 class Index:
     """Inverted index from the grams of winnowed fingerprints to (template, position)."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...]):
+    def __init__(self, templates: tuple[tuple[str, str], ...], deciding: tuple[tuple[str, tuple[str, ...]], ...] = (), least: float = 0.8):
         self.names = [name for name, _ in templates]
         self.tokens = [words(text) for _, text in templates]
+        self.least = least
         self.grams: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
+        #: For each template its deciding phrases, each as forms with spaces around.
+        self.deciding: list[list[list[str]]] = []
+        given = dict(deciding)
         for t, tokens in enumerate(self.tokens):
             if len(tokens) < GRAM:
                 raise ValueError(f"template {self.names[t]!r} has fewer than {GRAM} words")
             for j in winnowed(tokens):
                 self.grams[tuple(tokens[j : j + GRAM])].append((t, j))
+            whole = f" {' '.join(tokens)} "
+            phrases = [[f" {form} " for form in phrase.split("|")] for phrase in given.get(self.names[t], ())]
+            # A template of the user's under a known name has its own words.
+            phrases = [forms for forms in phrases if any(form in whole for form in forms)]
+            self.deciding.append(phrases)
         self.grams = dict(self.grams)
+        self.sets = [frozenset(tokens) for tokens in self.tokens]
+
+    def band(self, t: int) -> int:
+        """As many words as a match may insert or miss."""
+        return max(4, math.ceil(len(self.tokens[t]) * max(1 - self.least, 1 / self.least - 1)))
+
+    def decided(self, t: int, found: list[str], a: int, b: int) -> bool:
+        """Whether the words from ``a`` to ``b`` have a form of each deciding phrase of the template."""
+        part = f" {' '.join(found[max(0, a) : b + 1])} "
+        return all(any(form in part for form in forms) for forms in self.deciding[t])
 
     def align(self, t: int, found: list[str], start: int, band: int) -> tuple[int, int, int]:
         """Matched words of template ``t`` and the first and last of them in ``found``, by banded alignment.
@@ -116,31 +208,39 @@ class Index:
         matched, _, first, last = max(row)
         return matched, first, last
 
-    def matches(self, text: str | None, least: float) -> list[tuple[str, float, int, int, int]]:
+    def hits(self, found: list[str]) -> dict[int, set[int]]:
+        """For each template the diagonals where the words meet the index."""
+        grams = self.grams
+        hits = defaultdict(set)
+        for i, gram in enumerate(zip(found, found[1:], found[2:])):
+            if gram in grams:
+                for t, j in grams[gram]:
+                    hits[t].add(i - j)
+        return hits
+
+    def matches(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, start, end) of a whole text, by start; spans don't overlap."""
         text = text or ""
         lower = text.lower()
         # Some letters become two in lower case; then each word is lowered by itself, so that positions hold.
         found = _WORD.findall(lower) if len(lower) == len(text) else [w.lower() for w in _WORD.findall(text)]
-        grams = self.grams
-        hits = defaultdict(list)
-        for i, gram in enumerate(zip(found, found[1:], found[2:])):
-            if gram in grams:
-                for t, j in grams[gram]:
-                    hits[t].append(i - j)
-        if not hits:
-            return []
         candidates = []
-        for t, diagonals in hits.items():
-            size = len(self.tokens[t])
-            band = max(4, size // 8)
+        for t, diagonals in self.hits(found).items():
+            size, band, vocabulary = len(self.tokens[t]), self.band(t), self.sets[t]
+            least = self.least * size - 1e-9
             last = None
             for d in sorted(diagonals):
-                if last is None or d - last > band // 2:  # near diagonals are one candidate
-                    last = d
-                    matched, a, b = self.align(t, found, d, band)
-                    if matched >= least * size:
-                        candidates.append((-matched / size, -matched, self.names[t], a, b))
+                if last is not None and d - last <= band // 2:  # near diagonals are one candidate
+                    continue
+                last = d
+                wide = band + band // 2  # reaches as far from the diagonals left out
+                near = found[max(0, d - wide) : max(0, d + size + wide)]
+                if sum(w in vocabulary for w in near) < least or not self.decided(t, near, 0, len(near)):
+                    continue
+                matched, a, b = self.align(t, found, d, wide)
+                length = max(size, b - a + 1)  # inserted words count like missing ones
+                if matched >= self.least * length - 1e-9 and self.decided(t, found, a, b):
+                    candidates.append((-matched / length, -matched, self.names[t], a, b))
         chosen: list = []
         for c in sorted(set(candidates)):
             if all(c[4] < o[3] or o[4] < c[3] for o in chosen):
@@ -152,26 +252,30 @@ class Index:
 
 
 @functools.cache
-def _index(templates: tuple[tuple[str, str], ...]) -> Index:
-    return Index(templates)
+def _index(templates: tuple[tuple[str, str], ...], deciding: tuple[tuple[str, tuple[str, ...]], ...] = (), least: float = 0.8) -> Index:
+    return Index(templates, deciding, least)
 
 
-def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> DataFrame:
+def scan(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, least: float = 0.8,
+    deciding: dict[str, tuple[str, ...]] = DECIDING,
+) -> DataFrame:
     """One row for each license notice found: id, license, coverage, n_matched, start, end.
 
-    A notice is a template of which at least the share ``least`` of the words stands in order in the text,
-    inside the band. Of overlapping notices the one of highest coverage, then of most words, stays. Positions
+    A notice is a template of which at least the share ``least`` of the words stands in order in the text; the
+    share is that of the longer of template and span, so that inserted words count against it. A span without the
+    template's ``deciding`` words is none. Of overlapping notices the one of highest coverage, then of most words, stays. Positions
     are code points, the end exclusive. Null and empty texts have none; repeated rows are each scanned. The
     templates are a parameter of the user's size and go to every task; texts never meet each other.
     """
     small_batches(docs.sparkSession)
-    given = tuple(templates.items())
+    given, needed = tuple(templates.items()), tuple(deciding.items())
 
     @F.pandas_udf("string")
     def notices(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = _index(given)
+        index = _index(given, needed, least)
         for part in texts:
-            yield pd.Series(["\n".join("\t".join(map(str, m)) for m in index.matches(t, least)) for t in part], dtype=object)
+            yield pd.Series(["\n".join("\t".join(map(str, m)) for m in index.matches(t)) for t in part], dtype=object)
 
     at = lambda i, kind: F.get("m", F.lit(i)).cast(kind)
     return (

@@ -474,6 +474,25 @@ def test_every_run_of_five_template_words_meets_the_index():
             assert any(tuple(tokens[j : j + 3]) in index.grams for j in range(i, i + 3))
 
 
+def test_licenses_need_their_deciding_words():
+    index = licenses._index(tuple(licenses.TEMPLATES.items()), tuple(licenses.DECIDING.items()))
+    for text, want in {
+        "Released under the BSD License.": ["BSD"],
+        "were released under the terms of this license": [],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        "This work is licensed under the GNU General Public License v3.": ["GPL-3.0 short"],
+        "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0"],
+        "Licensed under CC BY-NC-ND 4.0.": ["CC-BY-NC-ND-4.0"],
+        "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0 short"],
+        "Licensed under CC BY 3.0.": ["CC-BY-3.0"],
+        licenses.TEMPLATES["BSD-2-Clause notice"]: ["BSD-2-Clause notice"],
+        licenses.TEMPLATES["BSD-4-Clause notice"]: ["BSD-4-Clause notice"],
+        "Released under the very old and long MIT License.": [],
+    }.items():
+        assert [m[0] for m in index.matches(text)] == want, text
+
+
 # ---------------------------------------------------------------- 10
 
 
