@@ -1,7 +1,9 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment reports what matches.
 
 Templates are cut into overlapping three-word grams; of each window of three grams the one of least hash goes
-into an inverted index. A text is read once, gram by gram. Where it meets the index, the template is aligned with that part of the text inside a
+into an inverted index, and of short templates every gram. Besides, each template has anchors, of which every
+text that can match has one: its deciding words, or its longest words, one more than may be missing. A text is
+read once, gram by gram. Where it meets the index, the template is aligned with that part of the text inside a
 band around the diagonal, which gives the matched share of the template and the span of the text. The deciding
 words (name, version, variant) must stand in the span without a gap.
 """
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from crowdlake.llm.common import small_batches
 
 GRAM, WINDOW = 3, 3
+#: Templates of at most so many words are indexed with all their grams.
+SHORT = 16
 
 # Notices of public licenses, by name.
 TEMPLATES = {
@@ -152,27 +156,37 @@ def winnowed(tokens: list[str]) -> set[int]:
 
 
 class Index:
-    """Inverted index from the grams of winnowed fingerprints to (template, position)."""
+    """Inverted index from the grams of winnowed fingerprints, and from anchors, to (template, position)."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], deciding: tuple[tuple[str, tuple[str, ...]], ...] = (), least: float = 0.8):
         self.names = [name for name, _ in templates]
         self.tokens = [words(text) for _, text in templates]
         self.least = least
         self.grams: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
+        self.anchors: dict[str, list[tuple[int, int, tuple[str, ...]]]] = defaultdict(list)
         #: For each template its deciding phrases, each as forms with spaces around.
         self.deciding: list[list[list[str]]] = []
         given = dict(deciding)
         for t, tokens in enumerate(self.tokens):
             if len(tokens) < GRAM:
                 raise ValueError(f"template {self.names[t]!r} has fewer than {GRAM} words")
-            for j in winnowed(tokens):
+            for j in range(len(tokens) - GRAM + 1) if len(tokens) <= SHORT else winnowed(tokens):
                 self.grams[tuple(tokens[j : j + GRAM])].append((t, j))
             whole = f" {' '.join(tokens)} "
             phrases = [[f" {form} " for form in phrase.split("|")] for phrase in given.get(self.names[t], ())]
             # A template of the user's under a known name has its own words.
             phrases = [forms for forms in phrases if any(form in whole for form in forms)]
             self.deciding.append(phrases)
-        self.grams = dict(self.grams)
+            if phrases:
+                # Each match has one of the first phrase's forms, wherever that stands in the template.
+                j = next(whole[: whole.index(form) + 1].count(" ") - 1 for form in phrases[0] if form in whole)
+                for form in phrases[0]:
+                    self.anchors[form.split()[0]].append((t, j, tuple(form.split())))
+            else:
+                missing = int((1 - least) * len(tokens) + 1e-9)
+                for j in sorted(range(len(tokens)), key=lambda j: -len(tokens[j]))[: missing + 1]:
+                    self.anchors[tokens[j]].append((t, j, (tokens[j],)))
+        self.grams, self.anchors = dict(self.grams), dict(self.anchors)
         self.sets = [frozenset(tokens) for tokens in self.tokens]
 
     def band(self, t: int) -> int:
@@ -210,12 +224,18 @@ class Index:
 
     def hits(self, found: list[str]) -> dict[int, set[int]]:
         """For each template the diagonals where the words meet the index."""
-        grams = self.grams
+        grams, anchors = self.grams, self.anchors
         hits = defaultdict(set)
         for i, gram in enumerate(zip(found, found[1:], found[2:])):
             if gram in grams:
                 for t, j in grams[gram]:
                     hits[t].add(i - j)
+        if not anchors.keys().isdisjoint(found):
+            for i, word in enumerate(found):
+                if word in anchors:
+                    for t, j, form in anchors[word]:
+                        if len(form) == 1 or tuple(found[i : i + len(form)]) == form:
+                            hits[t].add(i - j)
         return hits
 
     def matches(self, text: str | None) -> list[tuple[str, float, int, int, int]]:

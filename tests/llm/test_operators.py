@@ -493,6 +493,24 @@ def test_licenses_need_their_deciding_words():
         assert [m[0] for m in index.matches(text)] == want, text
 
 
+def test_every_text_at_the_threshold_becomes_a_license_candidate():
+    rng = random.Random(5)
+    known = tuple(licenses.TEMPLATES.items())
+    for index in (licenses._index(known), licenses._index(known, tuple(licenses.DECIDING.items()))):
+        for t, tokens in enumerate(index.tokens):
+            for _ in range(200 if len(tokens) < 20 else 20):
+                gone = set(rng.sample(range(len(tokens)), rng.randint(0, int(len(tokens) * 0.2 + 1e-9))))
+                kept = [w for i, w in enumerate(tokens) if i not in gone]
+                for _ in range(rng.randint(0, int(len(kept) / 0.8 + 1e-9) - len(kept))):
+                    kept.insert(rng.randrange(1, len(kept)), "inserted")
+                if index.decided(t, kept, 0, len(kept)):
+                    assert t in index.hits(kept), kept
+                    a, b = [(m[3], m[4]) for m in index.matches(" ".join(kept))][0]
+                    assert b > a
+    for text in ("Licensed under the MIT License.", "Distributed under the MIT License.", "Released under MIT License."):
+        assert [m[:2] for m in licenses._index(known, tuple(licenses.DECIDING.items())).matches(text)] == [("MIT", 0.8)], text
+
+
 # ---------------------------------------------------------------- 10
 
 
