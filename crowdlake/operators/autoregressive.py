@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from crowdlake import constants as K
 from crowdlake.functions import scalars as S
@@ -56,8 +56,13 @@ def predict_origins(values: np.ndarray, lengths: list[int], ends: list[int], ste
     return out
 
 
-def ar_ridge(hist: DataFrame, keys: Sequence[str] = ("camera_id", "session_id"), interval: float = K.SAMPLE_INTERVAL) -> DataFrame:
-    """``(keys, rn, preds)`` for origins with enough history; one prediction per horizon."""
+def ar_ridge(
+    hist: DataFrame, keys: Sequence[str] = ("camera_id", "session_id"), interval: float = K.SAMPLE_INTERVAL, origin: str | None = None
+) -> DataFrame:
+    """``(keys, rn, preds)`` for origins with enough history; one prediction per horizon.
+
+    ``origin`` names a boolean column that marks the origins to predict from; without it all rows are.
+    """
     keys = list(keys)
     steps = [S.horizon_steps(sec, interval) for _, sec in K.HORIZONS]
     schema = T.StructType(
@@ -66,12 +71,13 @@ def ar_ridge(hist: DataFrame, keys: Sequence[str] = ("camera_id", "session_id"),
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
-        origins = np.flatnonzero((pdf["_home"] == pdf["_chunk"]).to_numpy())
+        origins = np.flatnonzero(((pdf["_home"] == pdf["_chunk"]) & pdf["_origin"]).to_numpy())
         rn = pdf["rn"].to_numpy()
         found = predict_origins(pdf["value"].to_numpy(), rn[origins].tolist(), (origins + 1).tolist(), steps)
         done = sorted(found)
         out = pdf.iloc[origins[done]][[*keys, "rn"]]
         return out.assign(preds=pd.Series([found[i].tolist() for i in done], index=out.index, dtype=object))
 
-    halo = with_row_halo(hist.select(*keys, "rn", "value"), SERIES - 1, size=ORIGINS_PER_BLOCK)
+    marked = F.coalesce(F.col(origin), F.lit(False)) if origin else F.lit(True)
+    halo = with_row_halo(hist.select(*keys, "rn", "value", marked.alias("_origin")), SERIES - 1, size=ORIGINS_PER_BLOCK)
     return spread(halo, *keys, "_chunk").groupBy(*keys, "_chunk").applyInPandas(solve, schema)

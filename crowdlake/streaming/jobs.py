@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from crowdlake.operators import fleet, forecast
-from crowdlake.operators.scale import keep_latest
+from crowdlake import constants as K
+from crowdlake.operators import autoregressive, fleet, forecast
+from crowdlake.operators.scale import join_keys, keep_latest
 from crowdlake.operators.temporal import mode_gate
 from crowdlake.streaming.processors import dedupe_stream
 
@@ -91,45 +93,71 @@ def current_state_stream(
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def latest_forecasts(tail: DataFrame, keys: Sequence[str] = forecast.KEYS) -> DataFrame:
-    """Forecasts from the newest sample of each history tail (``t, event_id, value``).
+#: Models that a stream computes beside Holt and the recent level; they vote in the ensemble if not in ``shadow``.
+STREAM_MODELS = ("daily_seasonal", "autoregressive")
 
-    Older samples than the tail weigh nothing in the level and trend.
-    """
-    w = Window.partitionBy(*keys).orderBy("t", "event_id")
-    # A tail is bounded by the number of rows kept per key.
-    numbered = tail.withColumn("rn", F.row_number().over(w).cast("bigint"))
-    last = numbered.groupBy(*keys).agg(F.max("rn").alias("rn"))
-    return forecast.candidates(numbered).join(last, [*keys, "rn"])
 
+def latest_forecasts(tail: DataFrame, keys: Sequence[str] = forecast.KEYS, shadow: Sequence[str] = STREAM_MODELS) -> DataFrame:
+    """Forecasts of all models from the newest sample of each history tail (``t, event_id, value``).
 
-def forecast_stream(samples: DataFrame, path: str, checkpoint: str, tail_rows: int = 5760):
+    ``rn``, if the tail has it, is the sample's number in its whole history; else the tail is the whole. A
+    tail of a day is enough for all models; older samples weigh nothing in the level and trend.
+    Plugged-in models see the tail. ``shadow`` models stay out of the ensemble.
+    """
+    w = Window.partitionBy(*keys).orderBy("t", "event_id")
+    if "rn" not in tail.columns:
+        # A tail is bounded by the number of rows kept per key.
+        tail = tail.withColumn("rn", F.row_number().over(w).cast("bigint"))
+    last = F.max("rn").over(Window.partitionBy(*keys))
+    numbered = tail.withColumn("_newest", F.col("rn") == last)
+    plain = numbered.drop("_newest")
+    extra = {
+        "daily_seasonal": forecast.daily_seasonal(plain, keys),
+        "autoregressive": autoregressive.ar_ridge(numbered, keys, origin="_newest"),
+        **forecast.registered_models(plain),
+    }
+    newest = numbered.where("_newest").select(*keys, "rn")
+    return forecast.candidates(plain, extra, shadow, keys).join(newest, [*keys, "rn"])
+
+
+def forecast_stream(
+    samples: DataFrame, path: str, checkpoint: str, tail_rows: int = 5760, shadow: Sequence[str] = STREAM_MODELS
+):
     """Forecast every camera a micro-batch touches from the newest rows of its history.
 
     ``samples`` are accepted, smoothed samples (``camera_id, session_id, t, event_id, value``). The
-    history is appended below ``path/history``, partitioned by day of the batch's times, so a batch
-    reads only the days its tails can reach. ``tail_rows`` is a day of samples, which the daily model looks
-    back to.
+    history is appended below ``path/history``, partitioned by day of the batch's times. Rows per camera and day
+    are counted from the key columns alone; of the values a batch reads only the days its tails reach, however
+    long a camera was silent. A tail has ``tail_rows`` rows, a day of samples at least, which the daily model
+    looks back to. Models in ``shadow`` are predicted but stay out of the ensemble; with ``shadow=()`` all vote.
     """
     spark = samples.sparkSession
     day = 86_400.0
+    tail_rows = max(tail_rows, round(day / K.SAMPLE_INTERVAL), autoregressive.SERIES)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumn("day", F.floor(F.col("t") / day))
         batch.write.mode("overwrite").partitionBy("day").parquet(f"{path}/history/batch_id={batch_id}")
         history = spark.read.option("basePath", f"{path}/history").parquet(f"{path}/history")
-        new = history.where(F.col("batch_id") == batch_id)
-        first_day = new.agg(F.min("day").alias("d")).first()["d"]
-        if first_day is None:
+        touched = history.where(F.col("batch_id") == batch_id).select(*forecast.KEYS).distinct()
+        known = join_keys(history.where(F.col("batch_id") <= batch_id), touched, forecast.KEYS, "left_semi")
+        newer = Window.partitionBy(*forecast.KEYS).orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+        counts = known.groupBy(*forecast.KEYS, "day").agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.withColumn("_newer", F.coalesce(F.sum("n").over(newer), F.lit(0))).persist()
+        days = [r["day"] for r in counts.where(F.col("_newer") < tail_rows).select("day").distinct().collect()]
+        if not days:
+            counts.unpersist()
             return
-        reach = max(1, int(tail_rows * 30 // day) + 1)
-        touched = new.select(*forecast.KEYS).distinct()
-        tail = (
-            history.where((F.col("day") >= first_day - reach) & (F.col("batch_id") <= batch_id))
-            .join(touched, forecast.KEYS, "left_semi")
-            .select(*forecast.KEYS, "t", "event_id", "value")
-        )
+        # Rows without a time are the oldest ones, as they are in the order of the tail.
+        reached = reduce(lambda a, b: a | b, [F.col("day").eqNullSafe(F.lit(d)) for d in days])
+        tail = known.where(reached).select(*forecast.KEYS, "t", "event_id", "value")
         tail = keep_latest(tail, forecast.KEYS, tail_rows, ["t", "event_id"])
-        latest_forecasts(tail).write.mode("overwrite").parquet(f"{path}/forecasts/batch_id={batch_id}")
+        total = counts.groupBy(*forecast.KEYS).agg(F.sum("n").alias("_total"))
+        back = F.row_number().over(Window.partitionBy(*forecast.KEYS).orderBy(F.desc("t"), F.desc("event_id")))
+        tail = join_keys(tail, total, forecast.KEYS).withColumn("rn", (F.col("_total") - back + 1).cast("bigint")).drop("_total")
+        tail.persist()
+        latest_forecasts(tail, shadow=shadow).write.mode("overwrite").parquet(f"{path}/forecasts/batch_id={batch_id}")
+        tail.unpersist()
+        counts.unpersist()
 
     return samples.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -1,5 +1,7 @@
 """Streams over a finite set of files give what the batch operators give on the same rows."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +131,27 @@ def test_forecast_stream(spark, sf, sliced, tmp_path):
     same(got, want, cols)
 
 
+def test_forecast_stream_has_all_models_of_the_batch_form(spark, tmp_path):
+    from crowdlake.operators import autoregressive as AR, forecast as X
+
+    # A long history, then silence for days, then one sample.
+    schema = "camera_id string, session_id int, t double, event_id long, value double, rn long"
+    row = lambda i, t: ("c", 0, t, i, 50.0 + 20 * math.sin(i / 40) + i % 7, i)
+    rows = [row(i, 15.0 * i) for i in range(1, 6001)]
+    late = [row(6001, 15.0 * 6000 + 10 * 86_400)]
+    for name, part in (("0", rows), ("1", late)):
+        spark.createDataFrame(part, schema).drop("rn").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("camera_id string, session_id int, t double, event_id long, value double").parquet(f"{tmp_path}/in")
+        q = jobs.forecast_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp", shadow=()).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+    hist = spark.createDataFrame(rows + late, schema)
+    extra = {"daily_seasonal": X.daily_seasonal(hist), "autoregressive": AR.ar_ridge(hist.withColumn("o", F.col("rn") == 6001), origin="o")}
+    want = X.candidates(hist, {**extra, **X.registered_models(hist)}).where("rn = 6001")
+    got = spark.read.parquet(f"{tmp_path}/out/forecasts").where("batch_id = 1")
+    assert got.where("p_daily_seasonal is not null and p_autoregressive is not null").count() == got.count() == want.count() > 0
+    same(got, want, ["camera_id", "label", "rn", *[F.round(c, 6) for c in want.columns if c.startswith("p_")]])
+
+
 def test_stats_stream_defaults(spark, sf, tmp_path):
     lines = A.events(spark, sf).selectExpr("to_json(struct(concat('Drone', user_id % 8 + 1) as drone_id, value as density_score)) as value")
     lines.coalesce(1).write.text(str(tmp_path / "json"))
