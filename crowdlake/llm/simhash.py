@@ -128,24 +128,27 @@ def links(prints: DataFrame, dense: int = 64, block: int = 4096) -> DataFrame:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """``(fp, component_id)`` from rows (fp, id): the least id among all fingerprints reachable over links.
+    """``(fp, component_id, root)`` from rows (fp, id): the least id among all fingerprints reachable over links.
 
-    Null ids are never the least; a component of null ids only has a null component_id.
+    Null ids are never the least; a component of null ids only has a null component_id. The root is one
+    fingerprint of the component.
     """
     known = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(known))
     member = known.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return member.join(least, "root").select("fp", "component_id")
+    return member.join(least, "root").select("fp", "component_id", "root")
 
 
-def grouped(printed: DataFrame, id: str = "doc_id") -> DataFrame:
+def grouped(printed: DataFrame, id: str = "doc_id", root: str | None = None) -> DataFrame:
     """Rows with a long ``fingerprint``: that as 16 hex digits, and component_id, the least ``id`` of the group.
 
-    No row is dropped; rows with a null id get a group like any other.
+    No row is dropped; rows with a null id get a group like any other. ``root`` names a column for one
+    fingerprint of the group, which tells groups apart that have no id.
     """
     printed = materialize(printed)
     found = classes(printed.select(F.col("fingerprint").alias("fp"), F.col(id).alias("id")))
+    found = found.withColumnRenamed("root", root) if root else found.drop("root")
     return (
         printed.join(found, F.col("fingerprint") == F.col("fp"))
         .withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
@@ -158,8 +161,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
     Texts without a word share fingerprint zero and so a group. Columns named like the added ones are replaced.
     """
+    return _near_duplicates(docs, id, text)
+
+
+def _near_duplicates(docs: DataFrame, id: str, text: str, root: str | None = None) -> DataFrame:
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("fingerprint", "component_id")])
-    return grouped(with_fingerprint(docs, text), id)
+    return grouped(with_fingerprint(docs, text), id, root)
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,10 +174,11 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 
     Repeated rows of that id leave one; a group of null ids leaves one.
     """
+    root = "_root" + "_" * max((len(c) for c in docs.columns), default=0)  # no column of docs is as long
     ranked = Window.partitionBy("component_id", "_lone").orderBy(F.col(id).asc_nulls_last(), F.xxhash64(*docs.columns))
-    lone = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
+    lone = F.when(F.col("component_id").isNull(), F.col(root))
     return (
-        near_duplicates(docs, id, text)
+        _near_duplicates(docs, id, text, root)
         .withColumn("_lone", lone)
         .where(F.col("component_id").isNull() | (F.col(id) == F.col("component_id")))
         .withColumn("_rank", F.row_number().over(ranked))

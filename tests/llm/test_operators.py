@@ -428,6 +428,17 @@ def test_near_duplicate_edge_cases(spark):
     assert simhash.deduplicated(empty_docs(spark)).count() == 0
 
 
+def test_linked_documents_without_ids_leave_one_row(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    near = [base, base.replace("w7 ", "changed "), base.replace("w90 ", "other ")]
+    docs = spark.createDataFrame([(None, t) for t in [*near, "something else altogether"]], "doc_id long, text string")
+    groups = simhash.near_duplicates(docs).collect()
+    prints = {int(r.fingerprint, 16) for r in groups if r.text in near}
+    assert len(prints) > 1 and len(set(brute_components(sorted(prints)))) == 1
+    kept = [r.text for r in simhash.deduplicated(docs).collect()]
+    assert len(kept) == 2 and len([t for t in kept if t in near]) == 1
+
+
 # ---------------------------------------------------------------- 9
 
 
