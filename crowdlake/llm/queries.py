@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from crowdlake.llm import licenses, mixing, pii, piece_scan, quality, simhash, token_counts, topk, toxicity, url_filter
+from crowdlake.llm import collocations, licenses, mixing, pii, piece_scan, quality, sharding, simhash, token_counts, topk, toxicity, url_filter, whitening
 from crowdlake.llm.common import table
 
 #: The vocabulary of the token queries, in a package that is installed wherever tasks run.
@@ -185,3 +185,75 @@ def op2_pii(spark, sf_dir):
 @query
 def op9_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# ---------------------------------------------------------------- 11: whitening of embeddings
+
+
+@query
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# ---------------------------------------------------------------- 12: collocations
+
+ORACLES["op12_collocations"] = r"""
+with d as (select row_number() over () as r, coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+    from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d)),
+g as (select lang, k, w[i:i+k-1] as g from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i
+    from (select lang, w, unnest(range(1, 6)) as k from p))),
+f as materialized (select lang, k, g, count(*) as f from g group by all having count(*) >= 100),
+n as (select lang, sum(len(w)) as n from p group by lang),
+cuts as (select f.lang, f.k, f.g, f.f as a, c, n.n, x.f as l, y.f as r,
+    (1000::hugeint * f.f::hugeint * n.n::hugeint) // (x.f::hugeint * y.f::hugeint) as score
+    from (select *, unnest(range(1, k)) as c from f where k > 1) f join n using (lang)
+    join f x on x.lang = f.lang and x.k = c and x.g = f.g[1:c] join f y on y.lang = f.lang and y.k = f.k - c and y.g = f.g[c+1:]),
+best as (select * from cuts qualify row_number() over (partition by lang, g order by score, c) = 1),
+inner_ as (select distinct lang, g[i:j] as g, f from (select *, unnest(range(i + 1, k + 1)) as j
+    from (select *, unnest(range(1, k)) as i from f where k > 2)) where j - i + 1 < k),
+kept as (select b.* from best b where not exists (select 1 from inner_ i where i.lang = b.lang and i.g = b.g and i.f >= b.a)),
+ranked as (select *, array_to_string(g, ' ') as phrase,
+    row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank from kept)
+select lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r,
+    cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= 2000
+"""
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    return collocations.mined(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+# ---------------------------------------------------------------- 13: sharding
+
+ORACLES["op13_sharding"] = r"""
+with recursive bits(i, k, c) as (select i::ubigint, 0, i::ubigint from range(256) t(i)
+    union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end from bits where k < 8),
+tbl as (select list(c order by i) as t from bits where k = 8),
+d as (select row_number() over () as row, doc_id, encode(coalesce(text, '')) as t, text from documents),
+b as (select row, doc_id, (octet_length(t) + 1)::bigint as size, list_transform(regexp_extract_all(hex(t), '..'), lambda x: ('0x' || x)::ubigint) as bytes from d),
+c as (select row, doc_id, size, xor(list_reduce(list_prepend(4294967295::ubigint, bytes),
+    lambda a, x: xor(a >> 8, tbl.t[(xor(a, x) & 255)::int + 1])), 4294967295::ubigint)::bigint as crc from b, tbl),
+h as (select *, md5(coalesce(doc_id::varchar, 'text ' || crc::varchar)) as key from c),
+v as (select *, ('0x' || key[1:3])::int as v from h),
+s as (select v, coalesce(sum(size), 0)::bigint as bytes, count(size) as n from range(4096) r(v) left join v using (v) group by v),
+o as (select *, row_number() over (order by bytes desc, v) as k from s),
+deal(k, v, shard, loads) as (
+    select 0::bigint, -1::bigint, -1::bigint, list_transform(range(16), lambda x: 0::bigint)
+    union all
+    select o.k, o.v, e.e - 1, list_transform(deal.loads, lambda x, i: case when i = e.e then x + o.bytes else x end)
+    from deal join o on o.k = deal.k + 1, lateral (select list_position(deal.loads, list_min(deal.loads))::bigint as e) e),
+m as (select deal.v, shard, coalesce(sum(n) over (partition by shard order by deal.v rows between unbounded preceding and 1 preceding), 0) as start
+    from deal join s on s.v = deal.v)
+select doc_id, size, crc as text_crc32, 'bytes' as law, shard::int as shard,
+    (start + row_number() over (partition by v order by key, size, crc, row) - 1)::bigint as slot, cast(null as int) as grown_shard
+from v join m using (v)
+"""
+
+
+@query
+def op13_sharding(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.sharded(docs, keep_text=False).drop("virtual_slot")
