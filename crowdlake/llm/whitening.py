@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from crowdlake.operators.materialize import materialize
 
+#: Squares below this share of the largest are rounding: products of doubles are not exact.
+DUST = 1e-13
 #: What :func:`whitened` adds.
 ADDED = ["component", "n", "deviation", "whitened", "explained", "identity_error"]
 
@@ -73,8 +75,7 @@ class Bidiagonal:
             q = v.copy()
             w = product(q)
         square = float(q @ w)
-        scale = max([*self.alpha, 0.0])
-        alpha = np.sqrt(square) if square > (1e-13 * scale) ** 2 and square > 0 else 0.0
+        alpha = np.sqrt(square) if square > DUST * max([*self.alpha, 0.0]) ** 2 else 0.0
         self.v.append(v)
         self.alpha.append(alpha)
         self.p.append(q / alpha if alpha else np.zeros(self.d))
@@ -95,7 +96,7 @@ class Bidiagonal:
             return v / np.linalg.norm(v)
         w = self._orthogonal(self.z[-1])
         beta = float(np.linalg.norm(w))
-        if beta <= 1e-12 * max([*self.alpha, 1e-300]):
+        if beta <= DUST * max([*self.alpha, 1e-300]):
             beta, w = 0.0, self._orthogonal(random.standard_normal(self.d))
         self.beta.append(beta)
         w = self._orthogonal(w / np.linalg.norm(w))
@@ -120,8 +121,8 @@ def whitened(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding",
     Vectors that are null or hold null or non-finite entries take no part, and neither do those of another length than
     the most frequent one (the longer of two equally frequent). Entries become x = floor(1024 c) + 100000. ``whitened`` is the
     centred x projected on the unit component and divided by its standard deviation, with divisor n; components are numbered
-    from 1 by falling variance, of either sign. Components without variance (a constant table, fewer rows than components)
-    are left out. ``deviation``, the sum of (n x - S)^2, is exact, and null where it passes 64 bits. ``explained`` is the share of the trace, ``identity_error`` the largest
+    from 1 by falling variance, of either sign. Components without variance (a constant table, fewer rows than components),
+    or with less than ``DUST`` of the trace, are left out. ``deviation``, the sum of (n x - S)^2, is exact, and null where it passes 64 bits. ``explained`` is the share of the trace, ``identity_error`` the largest
     deviation of whitened's covariance from the identity. Null ids are kept, repeated rows count each time. An empty table
     gives no rows. Other columns are not carried.
 
@@ -161,7 +162,7 @@ def whitened(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding",
     singular, right = work.decomposed()
     trace = float(_summed(x, lambda column: np.array([(centred(column) ** 2).sum()]), 1)[0]) / n
     variance = singular**2 / n
-    k = int(min(components, (variance > 1e-20 * max(trace, 1e-300)).sum())) if trace > 0 else 0
+    k = int(min(components, (variance > DUST * trace).sum())) if trace > 0 else 0
     axes, variance = right[:k], variance[:k]
     share = variance / trace if k else variance
 
