@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crowdlake import constants as K
@@ -73,61 +73,126 @@ def decode(normalized: Column, centre: Column, scale: Column) -> Column:
     return F.greatest(F.lit(0.0), F.expm1(logged))
 
 
+def gram(examples: DataFrame, horizons: Sequence[tuple[str, int]] = tuple(K.HORIZONS)) -> DataFrame:
+    """Sums of products of (1, features, target) over the unmasked training examples of every horizon:
+    ``(horizon, entry, total)`` with ``entry`` counting the square matrix row by row.
+
+    One pass serves all horizons. Tasks add up their batches, so the exchange holds one matrix a task and horizon.
+    """
+    train = examples.where("not held_out").select("features", "targets")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.array(b["features"].tolist(), float)
+            y = np.array([[np.nan if v is None else v for v in row] for row in b["targets"]], float)
+            ones = np.ones((len(x), 1))
+            mine = []
+            for i in range(y.shape[1]):
+                seen = ~np.isnan(y[:, i])
+                z = np.hstack([ones, x, y[:, i : i + 1]])[seen]
+                mine.append((z.T @ z).ravel())
+            total = np.array(mine) if total is None else total + np.array(mine)
+        if total is not None:
+            h, e = np.indices(total.shape)
+            yield pd.DataFrame({"horizon": h.ravel() + 1, "entry": e.ravel(), "total": total.ravel()})
+
+    parts = train.mapInPandas(partial, "horizon int, entry int, total double")
+    return parts.groupBy("horizon", "entry").agg(F.sum("total").alias("total"))
+
+
+def _eliminated(matrix: Column, size: int) -> Column:
+    """Gauss-Jordan elimination of an augmented matrix as a fold over its pivots. The matrices are positive definite
+    but for constant features, whose pivots are 0 and whose weights become 0."""
+
+    def pivot(m: Column, k: Column) -> Column:
+        row = F.get(m, k)
+        lead = F.get(row, k)
+        unit = F.transform(row, lambda v: F.when(lead > 1e-12, v / lead).otherwise(0.0))
+        return F.transform(
+            m, lambda r, i: F.when(i == k, unit).otherwise(F.zip_with(r, unit, lambda a, b: a - F.get(r, k) * b))
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), matrix, pivot)
+
+
 def fit_learned(
-    examples: DataFrame, horizons: Sequence[tuple[str, int]] = tuple(K.HORIZONS), penalty: float = 0.05
-) -> dict[str, LinearRegressionModel]:
-    """One regression per horizon on its unmasked training examples; horizons without any are left out."""
-    train = examples.where("not held_out").withColumn("x", array_to_vector("features"))
-    counts = train.select(
-        *[F.count(F.get(F.col("targets"), F.lit(i))).alias(label) for i, (label, _) in enumerate(horizons)]
-    ).first()
-    models = {}
-    for i, (label, _) in enumerate(horizons):
-        if counts[label]:
-            rows = train.select("x", F.get(F.col("targets"), F.lit(i)).alias("y")).where("y is not null")
-            models[label] = LinearRegression(featuresCol="x", labelCol="y", regParam=penalty).fit(rows)
-    return models
-
-
-def _apply(df: DataFrame, models: dict[str, LinearRegressionModel], horizons) -> list[Column]:
-    """Predicted counts per horizon as expressions: a dot product with each model's weights."""
+    examples: DataFrame, horizons: Sequence[tuple[str, int]] = tuple(K.HORIZONS), penalty: float = 0.05, window: int = WINDOW
+) -> DataFrame:
+    """One regression per horizon on its unmasked training examples: ``label, weights, intercept,
+    training_samples``; horizons without examples are left out.
+
+    A ridge on standardized features: the penalty adds that share to every feature's variance. All horizons
+    are solved from one pass over the examples.
+    """
+    size, side = window + 1, window + 3
+    sums = F.transform(F.array_sort(F.collect_list(F.struct("entry", "total"))), lambda e: e["total"])
+    d = gram(examples, horizons).groupBy("horizon").agg(sums.alias("g")).withColumn("n", F.get("g", F.lit(0))).where("n > 0")
+    at = lambda r, c: F.get(F.col("g"), r * side + c) / F.col("n")
+    index = F.sequence(F.lit(1), F.lit(size))
+    cov = lambda r, c: at(r, c) - at(F.lit(0), r) * at(F.lit(0), c)
+    y = F.lit(size + 1)
+    rows = F.transform(
+        index,
+        lambda r: F.concat(
+            F.transform(index, lambda c: cov(r, c) * F.when(r == c, 1.0 + penalty).otherwise(1.0)), F.array(cov(r, y))
+        ),
+    )
+    solved = F.transform(_eliminated(rows, size), lambda r: F.get(r, F.lit(size)))
+    d = d.withColumn("weights", solved).withColumn("_means", F.transform(index, lambda r: at(F.lit(0), r)))
+    products = F.zip_with("weights", "_means", lambda a, b: a * b)
+    labels = F.array(*[F.lit(label) for label, _ in horizons])
+    return d.select(
+        F.element_at(labels, F.col("horizon")).alias("label"),
+        "weights",
+        (at(F.lit(0), y) - F.aggregate(products, F.lit(0.0), lambda a, v: a + v)).alias("intercept"),
+        F.col("n").cast("bigint").alias("training_samples"),
+    )
+
+
+def _apply(models: DataFrame, horizons) -> list[Column]:
+    """Predicted counts per horizon as expressions: a dot product with each model's weights.
+
+    The few numbers of the models (one row per horizon) become literals.
+    """
+    fitted = {r["label"]: r for r in models.collect()}
     out = []
     for label, _ in horizons:
-        model = models.get(label)
+        model = fitted.get(label)
         if model is None:
             out.append(F.lit(None).cast("double"))
             continue
-        weights = F.array(*[F.lit(float(c)) for c in model.coefficients.toArray()])
-        dot = F.aggregate(F.zip_with("features", weights, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-        out.append(decode(dot + float(model.intercept), F.col("centre"), F.col("scale")))
+        out.append(_predicted(F.array(*[F.lit(float(c)) for c in model["weights"]]), F.lit(float(model["intercept"]))))
     return out
 
 
+def _predicted(weights: Column, intercept: Column) -> Column:
+    dot = F.aggregate(F.zip_with("features", weights, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    return decode(dot + intercept, F.col("centre"), F.col("scale"))
+
+
 def score_learned(
-    examples: DataFrame, models: dict[str, LinearRegressionModel], horizons: Sequence[tuple[str, int]] = tuple(K.HORIZONS)
+    examples: DataFrame, models: DataFrame, horizons: Sequence[tuple[str, int]] = tuple(K.HORIZONS)
 ) -> DataFrame:
-    """Held-out accuracy and example counts per horizon."""
-    preds = F.array(*_apply(examples, models, horizons))
-    d = examples.withColumn("_preds", preds)
-    rows = F.array(
-        *[
+    """Held-out accuracy (null without held-out examples) and example counts: one row per horizon, always."""
+    stats = []
+    for i, ((label, _), pred) in enumerate(zip(horizons, _apply(models, horizons), strict=True)):
+        target = F.get(F.col("targets"), F.lit(i))
+        actual = decode(target, F.col("centre"), F.col("scale"))
+        error = F.least(F.lit(1.0), F.abs(pred - actual) / F.greatest(F.lit(1.0), actual))
+        held = F.col("held_out") & target.isNotNull()
+        stats.append(
             F.struct(
                 F.lit(label).alias("label"),
-                F.get(F.col("targets"), F.lit(i)).alias("target"),
-                F.get(F.col("_preds"), F.lit(i)).alias("pred"),
+                (100.0 * (1.0 - F.avg(F.when(held, error)))).alias("accuracy_percent"),
+                F.count_if(held).alias("validation_samples"),
+                F.count_if(~F.col("held_out") & target.isNotNull()).alias("training_samples"),
             )
-            for i, (label, _) in enumerate(horizons)
-        ]
-    )
-    d = d.select("held_out", "centre", "scale", F.inline(rows)).where("target is not null")
-    actual = decode(F.col("target"), F.col("centre"), F.col("scale"))
-    error = F.least(F.lit(1.0), F.abs(F.col("pred") - actual) / F.greatest(F.lit(1.0), actual))
-    held = F.col("held_out")
-    return d.groupBy("label").agg(
-        (100.0 * (1.0 - F.avg(F.when(held, error)))).alias("accuracy_percent"),
-        F.count_if(held).alias("validation_samples"),
-        F.count_if(~held).alias("training_samples"),
-    )
+        )
+    # A global aggregate has a row even of no examples.
+    return examples.agg(F.array(*stats).alias("m")).select(F.inline("m"))
 
 
 def approve_model(metrics: DataFrame, target: float = K.TARGET_ACCURACY, min_validation: int = 30) -> DataFrame:
@@ -149,7 +214,7 @@ def approved_horizons(metrics: DataFrame, target: float = K.TARGET_ACCURACY) ->
 
 def learned_predictions(
     hist: DataFrame,
-    models: dict[str, LinearRegressionModel],
+    models: DataFrame,
     window: int = WINDOW,
     keys: Sequence[str] = ("camera_id", "session_id"),
     horizons: Sequence[tuple[str, int]] = tuple(K.HORIZONS),
@@ -157,4 +222,4 @@ def learned_predictions(
     """``(keys, rn, preds)`` for every origin with a full window, as a forecast candidate."""
     d = with_row_halo(hist, window - 1)
     d = _with_windows(d, Window.partitionBy(*keys, "_chunk").orderBy("rn"), window)
-    return home_rows(d).withColumn("preds", F.array(*_apply(d, models, horizons))).select(*keys, "rn", "preds")
+    return home_rows(d).withColumn("preds", F.array(*_apply(models, horizons))).select(*keys, "rn", "preds")

@@ -365,45 +365,62 @@ def learned_training_set(spark, sf):
     return rounded(d, "centre", "scale", "oldest", "y_15s", "y_5m", "y_30m")
 
 
-@query("learned_model_accuracy")
-def learned_model_accuracy(spark, sf):
-    """Fit on the training examples, then accuracy per horizon on the held-out ones."""
-    examples = _examples(spark, sf)
-    return rounded(N.score_learned(examples, N.fit_learned(examples)), "accuracy_percent")
+_H = list(_STEPS)
+# One matrix of sums per horizon, eliminated one pivot a step.
+_PAIRS = f"""select unnest({_H}) as label, unnest([{", ".join(f"y_{h}" for h in _H)}]) as y, held_out, centre, scale,
+    list_concat([1e0], list_transform(logs, lambda v: (v - centre) / scale), [centre / 10]) as x from examples"""
+_GRAM = """select label, i, j, sum(x[i] * case when j = 23 then y else x[j] end) as s from pairs, range(1, 23) a(i), range(1, 24) b(j)
+    where y is not null and not held_out group by all"""
+_COV = """select g.label, g.i, g.j, n.s as n, (g.s / n.s - a.s * b.s / n.s / n.s) * case when g.i = g.j then 1.05e0 else 1e0 end as v, a.s / n.s as mean
+    from gram g join gram n on n.label = g.label and n.i = 1 and n.j = 1 join gram a on a.label = g.label and a.i = 1 and a.j = g.i
+    join gram b on b.label = g.label and b.i = 1 and b.j = g.j where g.i > 1 and g.j > 1"""
+_SOLVED = """select label, 0 as k, list(r order by i) as m from (select label, i, list(v order by j) as r from cov group by 1, 2) group by 1
+    union all select label, k + 1, list_transform(m, lambda r, i: case when i = k + 1 then u else list_transform(r, lambda a, j: a - r[k + 1] * u[j]) end)
+    from (select *, list_transform(m[k + 1], lambda v: case when m[k + 1][k + 1] > 1e-12 then v / m[k + 1][k + 1] else 0e0 end) as u from solved where k < 21)"""
+_LEARNED = """select label, list_transform(m, lambda r: r[22]) as w,
+    (select s from gram g where g.label = solved.label and i = 1 and j = 23) / (select s from gram g where g.label = solved.label and i = 1 and j = 1)
+    - list_inner_product(list_transform(m, lambda r: r[22]), (select list(mean order by i) from (select distinct i, mean from cov c where c.label = solved.label))) as b
+    from solved where k = 21"""
+_LEARNED_METRICS = """select label, 100 * (1 - avg(least(1, abs(p - y) / greatest(1, y))) filter (where held_out and y is not null)) as accuracy_percent,
+    count(y) filter (where held_out) as validation_samples, count(y) filter (where not held_out) as training_samples from (
+    select q.label, held_out, case when y is not null then greatest(0, exp(greatest(0, least(20, centre + scale * y))) - 1) end as y,
+      greatest(0, exp(greatest(0, least(20, centre + scale * (b + list_inner_product(x[2:], w))))) - 1) as p
+    from (select unnest({H}) as label) q left join pairs using (label) left join learned using (label)) group by 1""".replace("{H}", str(_H))
+_METRICS = {"runs": _RUNS, "examples": _EXAMPLES, "pairs": _PAIRS, "gram": _GRAM, "cov": _COV, "solved": _SOLVED, "learned": _LEARNED, "metrics": _LEARNED_METRICS}
 
 
-_METRICS = """select label, 100 * (1 - avg(e_holt) filter (where rn % 5 = 0)) as accuracy_percent, count(e_holt) filter (where rn % 5 = 0) as validation_samples,
-    count(e_holt) filter (where rn % 5 <> 0) as training_samples from scored where observed is not null group by 1"""
+def _metrics(spark, sf):
+    examples = _examples(spark, sf)
+    return N.score_learned(examples, N.fit_learned(examples))
 
 
-def _metrics(spark, sf):
-    held = F.col("rn") % 5 == 0
-    return _scored(spark, sf).where("observed is not null").groupBy("label").agg(
-        (100 * (1 - F.avg(F.when(held, F.col("e_holt"))))).alias("accuracy_percent"),
-        F.count_if(held).alias("validation_samples"),
-        F.count_if(~held).alias("training_samples"),
-    )
+@query(
+    "learned_model_accuracy",
+    sql("select label, round(accuracy_percent, 4) as accuracy_percent, validation_samples, training_samples from metrics", *HIST, **_METRICS),
+)
+def learned_model_accuracy(spark, sf):
+    """Fit on the training examples, then accuracy per horizon on the held-out ones."""
+    return rounded(_metrics(spark, sf), "accuracy_percent", digits=4)
 
 
 @query(
     "model_approval",
     sql(
-        """select coalesce(bool_and(accuracy_percent >= 30) filter (where validation_samples >= 30), false) as approved,
+        """select coalesce(bool_and(accuracy_percent >= 85) filter (where validation_samples >= 30), false) as approved,
         count(*) filter (where validation_samples >= 30) as evaluated_horizons,
-        case when coalesce(bool_and(accuracy_percent >= 30) filter (where validation_samples >= 30), false) then 'active' else 'shadow validation' end as status
+        case when coalesce(bool_and(accuracy_percent >= 85) filter (where validation_samples >= 30), false) then 'active' else 'shadow validation' end as status
         from metrics""",
-        *TABLES,
-        **CHAIN,
-        metrics=_METRICS,
+        *HIST,
+        **_METRICS,
     ),
 )
 def model_approval(spark, sf):
-    return N.approve_model(_metrics(spark, sf), target=30.0)
+    return N.approve_model(_metrics(spark, sf))
 
 
 @query(
     "approved_horizons",
-    sql("select label from metrics where accuracy_percent >= 40 and training_samples >= 64 and validation_samples >= 30", *TABLES, **CHAIN, metrics=_METRICS),
+    sql("select label from metrics where accuracy_percent >= 85 and training_samples >= 64 and validation_samples >= 30", *HIST, **_METRICS),
 )
 def approved_horizons(spark, sf):
-    return N.approved_horizons(_metrics(spark, sf), target=40.0)
+    return N.approved_horizons(_metrics(spark, sf))

@@ -171,13 +171,28 @@ def test_learned_examples_and_accuracy(spark):
             assert y is None or math.isclose(y, (math.log1p(values[n + k - 1]) - centre) / scale, rel_tol=1e-9, abs_tol=1e-9)
     models = N.fit_learned(examples)
     metrics = {r["label"]: r for r in N.score_learned(examples, models).collect()}
+    fitted = {r["label"]: r for r in models.collect()}
+    assert list(metrics) == [label for label, _ in HORIZONS]
     for i, (label, _) in enumerate(HORIZONS):
+        train = [r for r in rows.values() if not r["held_out"] and r["targets"][i] is not None]
+        assert metrics[label]["training_samples"] == len(train) and (label in fitted) == bool(train)
+        if train:
+            # The normal equations of the ridge: a constant feature, the newest value's, has weight 0.
+            x, y = np.array([r["features"] for r in train]), np.array([r["targets"][i] for r in train])
+            cov, far = np.cov(x.T, bias=True), x - x.mean(axis=0)
+            cov += 0.05 * np.diag(np.diag(cov))
+            moving = np.diag(cov) > 1e-12
+            want = np.zeros(21)
+            want[moving] = np.linalg.solve(cov[np.ix_(moving, moving)], (far.T @ (y - y.mean()) / len(y))[moving])
+            assert np.allclose(fitted[label]["weights"], want, atol=1e-8) and not moving[19]
+            assert math.isclose(fitted[label]["intercept"], y.mean() - want @ x.mean(axis=0), abs_tol=1e-8)
         held = [r for r in rows.values() if r["held_out"] and r["targets"][i] is not None]
-        if label not in models or not held:
+        if label not in fitted or not held:
+            assert metrics[label]["accuracy_percent"] is None
             continue
         errors = []
         for r in held:
-            z = float(np.dot(models[label].coefficients.toArray(), r["features"]) + models[label].intercept)
+            z = float(np.dot(fitted[label]["weights"], r["features"]) + fitted[label]["intercept"])
             predicted, actual = (max(0.0, math.expm1(min(20.0, max(0.0, r["centre"] + y * r["scale"])))) for y in (z, r["targets"][i]))
             errors.append(min(1.0, abs(predicted - actual) / max(1.0, actual)))
         assert metrics[label]["validation_samples"] == len(held)
