@@ -18,6 +18,8 @@ from crowdlake.operators.materialize import materialize
 
 #: What ends a piece; within it, words are runs of anything but space and tab.
 ENDS = r"[.,;:!?\x0A-\x0D]"
+#: Phrases that tasks hold at once, some tens of megabytes.
+SMALL = 300_000
 
 
 @contextmanager
@@ -42,6 +44,11 @@ def _words(text: Column) -> Column:
 _IS_WORD = "word <> '' and word <> '\n'"
 
 
+def _small(phrases: DataFrame) -> DataFrame:
+    """A written table of phrases, to be broadcast if it has at most ``SMALL`` rows; else joins shuffle both sides."""
+    return F.broadcast(phrases) if phrases.count() <= SMALL else phrases
+
+
 def _sorted_by_place(occurrences: DataFrame) -> DataFrame:
     n = int(occurrences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return occurrences.repartition(n, "doc")
@@ -69,7 +76,7 @@ def mined(
 
     Counts and scores are exact: decimals of 38 digits hold ``1000 * a * n`` up to 10^17 words. A document's positions are
     merged in one task, its sort spilling to disk; a frequent word or phrase is spread with the documents that hold it and
-    counted before each exchange. The driver sees one number a length.
+    counted before each exchange. Tables of frequent words or pairs are broadcast up to ``SMALL`` rows. The driver sees a few numbers a length.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -85,7 +92,7 @@ def mined(
 
     names = level.select("lang", F.col("words")[0].alias("word"), "phrase")
     placed = rows.select("lang", "doc", F.posexplode("words").alias("pos", "word")).where(_IS_WORD)
-    relation = placed.join(names, ["lang", "word"]).select("doc", "pos", "phrase")
+    relation = placed.join(_small(names), ["lang", "word"]).select("doc", "pos", "phrase")
     for size in range(2, longest + 1):
         with _joined_by_document(spark):
             pairs = materialize(_longer(relation))
@@ -98,7 +105,7 @@ def mined(
         level = materialize(groups.join(heads, "head").join(tails, "tail").select("lang", F.concat("words", F.array("last")).alias("words"), "f", "phrase"))
         levels.append(level)
         if size < longest:
-            relation = pairs.join(groups.drop("f"), ["head", "tail"]).select("doc", "pos", "phrase")
+            relation = pairs.join(_small(groups.drop("f")), ["head", "tail"]).select("doc", "pos", "phrase")
 
     known = levels[0].select("lang", "words", "f")
     for longer in levels[1:]:
