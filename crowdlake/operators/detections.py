@@ -11,12 +11,20 @@ from crowdlake.operators.frames import CELL, FRAME, fill_grid
 from crowdlake.operators.scale import spread
 
 
+def qualifies(cls: int = 0, min_conf: float = 0.30) -> Column:
+    return (F.col("cls") == cls) & (F.col("conf") >= min_conf)
+
+
 def filter_detections(df: DataFrame, cls: int = 0, min_conf: float = 0.30) -> DataFrame:
-    return df.where((F.col("cls") == cls) & (F.col("conf") >= min_conf))
+    return df.where(qualifies(cls, min_conf))
 
 
 def with_frames(df: DataFrame, frames: DataFrame) -> DataFrame:
-    """Add a row without a box for each of ``frames`` that ``df`` has none of, so that its counts are zero."""
+    """Add a row without a box for each of ``frames`` that ``df`` has none of, so that its counts are zero.
+
+    For frames that come as a table of their own. Where unfiltered boxes are at hand, the operators below count the
+    qualifying ones of all (``where``), and no frame is lost in the first place.
+    """
     missing = frames.select(*FRAME).distinct().join(df.select(*FRAME).distinct(), FRAME, "left_anti")
     return df.unionByName(missing, allowMissingColumns=True)
 
@@ -32,10 +40,13 @@ def _finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
-def _centres(df: DataFrame, rows: int, cols: int, frame_h: int, frame_w: int) -> DataFrame:
+def _centres(df: DataFrame, rows: int, cols: int, frame_h: int, frame_w: int, where: Column | None = None) -> DataFrame:
+    """Add the grid cell of each box, null for invalid boxes and those that ``where`` does not hold for."""
     cx = (F.col("x1") + F.col("x2")) * 0.5
     cy = (F.col("y1") + F.col("y2")) * 0.5
     ok = _finite(cx) & _finite(cy)
+    if where is not None:
+        ok &= F.coalesce(where, F.lit(False))
 
     def index(x, extent, parts):
         return F.when(ok, S.clamp(F.floor(x * (parts / extent)), 0, parts - 1)).cast("int")
@@ -43,32 +54,37 @@ def _centres(df: DataFrame, rows: int, cols: int, frame_h: int, frame_w: int) ->
     return df.withColumn("_gr", index(cy, frame_h, rows)).withColumn("_gc", index(cx, frame_w, cols))
 
 
-def detection_zones(df: DataFrame, frame_h: int, frame_w: int) -> DataFrame:
-    """Box centres counted into the 3x3 grid; frames whose boxes are all invalid give zeros."""
-    d = _centres(df, 3, 3, frame_h, frame_w)
+def detection_zones(df: DataFrame, frame_h: int, frame_w: int, where: Column | None = None) -> DataFrame:
+    """Centres of the boxes that ``where`` holds for counted into the 3x3 grid; frames without a valid one give zeros."""
+    d = _centres(df, 3, 3, frame_h, frame_w, where)
     counts = d.groupBy(*FRAME, (F.col("_gr") * 3 + F.col("_gc")).alias("_z")).agg(F.count(F.lit(1)).alias("people"))
     return fill_grid(counts, {"people": F.lit(0).cast("bigint")})
 
 
 def detections_to_density(
-    df: DataFrame, map_h: int, map_w: int, frame_h: int, frame_w: int, sigma: float = 2.0
+    df: DataFrame, map_h: int, map_w: int, frame_h: int, frame_w: int, sigma: float = 2.0, where: Column | None = None
 ) -> DataFrame:
     """Gaussian pseudo-density whose sum is the number of valid boxes.
 
     Boxes are binned first, then blurred along columns and rows in turn. Partitioning by frame once
-    serves all four aggregations.
+    serves all four aggregations. With ``where`` only boxes it holds for have mass, and a frame without any keeps one
+    empty cell.
     """
     radius = (round(sigma * 8 + 1) | 1) // 2
     kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
     taps = F.array(*[F.struct(F.lit(k - radius).alias("o"), F.lit(wt).alias("wt")) for k, wt in enumerate(kernel)])
-    d = _centres(df, map_h, map_w, frame_h, frame_w).where("_gr is not null")
-    d = d.select(*FRAME, F.col("_gr").alias("row"), F.col("_gc").alias("col"))
+    d = _centres(df, map_h, map_w, frame_h, frame_w, where)
+    if where is None:
+        d = d.where("_gr is not null")
+    d = d.select(*FRAME, F.coalesce("_gr", F.lit(0)).alias("row"), F.coalesce("_gc", F.lit(0)).alias("col"), F.col("_gr").isNotNull().alias("_box"))
     d = spread(d, *FRAME)
-    d = d.groupBy(*CELL).agg(F.count(F.lit(1)).cast("double").alias("d"))
+    d = d.groupBy(*CELL).agg(F.count_if("_box").cast("double").alias("d"))
     # Mass that stays inside the map is known before blurring, so cells are scaled while few.
     inside = d.withColumn("_kept", F.col("d") * _kept_mass("row", map_h, kernel) * _kept_mass("col", map_w, kernel))
     frame = Window.partitionBy(*FRAME)
-    d = inside.withColumn("d", F.col("d") * F.sum("d").over(frame) / F.sum("_kept").over(frame)).drop("_kept")
+    d = inside.withColumn("d", F.col("d") * F.coalesce(F.try_divide(F.sum("d").over(frame), F.sum("_kept").over(frame)), F.lit(0.0))).drop("_kept")
+    if where is not None:
+        taps = F.when(F.col("d") > 0, taps).otherwise(F.array(F.struct(F.lit(0).alias("o"), F.lit(1.0).alias("wt"))))
     for axis, extent in (("col", map_w), ("row", map_h)):
         d = (
             d.withColumn("_k", F.explode(taps))

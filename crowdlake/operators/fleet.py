@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crowdlake import constants as K
 from crowdlake.functions import scalars as S
-from crowdlake.operators.scale import keep_latest, number_rows, with_running
+from crowdlake.operators.materialize import materialize
+from crowdlake.operators.scale import keep_latest, number_rows, with_previous, with_running
 
 CAMERA = ["camera_id"]
 # What the fields that belong to counting return to when no result is valid.
@@ -86,13 +87,26 @@ def ready_paths(polls: DataFrame) -> DataFrame:
     return item.where(ready & online & (name != "")).select("poll_id", "t", name.alias("path")).distinct()
 
 
-def missed_cameras(polls: DataFrame, ready: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Cameras not published in each successful poll. ``polls(poll_id, ok)``, ``ready(poll_id, camera_id)``."""
-    n = int(polls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Every poll meets every camera through a key: cameras are dealt into groups, polls go to each group.
-    everyone = cameras.select("camera_id").distinct().withColumn("_group", F.pmod(F.xxhash64("camera_id"), F.lit(n)).cast("int"))
-    asked = polls.where("ok").select("poll_id").distinct().withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return asked.join(everyone, "_group").drop("_group").join(ready.select("poll_id", "camera_id"), ["poll_id", "camera_id"], "left_anti")
+def missed_cameras(polls: DataFrame, ready: DataFrame, cameras: DataFrame, step: int = 100_000) -> DataFrame:
+    """Cameras not published in each successful poll. ``polls(poll_id, ok)``, ``ready(poll_id, camera_id)``.
+
+    Polls get gapless numbers; what a camera misses are the gaps between the numbers of its own polls. Only gaps are
+    expanded, ``step`` numbers a row at most, so the work follows the published and the missed rows, not polls times cameras.
+    """
+    # Any gapless numbering serves. By hash it needs no order over all polls: 4,096 counts are added up.
+    asked = polls.where("ok and poll_id is not null").select("poll_id").distinct()
+    asked = asked.withColumn("_bucket", F.pmod(F.xxhash64("poll_id"), F.lit(4096)).cast("double"))
+    numbered = materialize(number_rows(asked, [], ["_bucket", "poll_id"], t="_bucket", width=1.0).drop("_bucket"))
+    last = numbered.agg(F.coalesce(F.max("rn"), F.lit(0))).scalar()
+    everyone = cameras.select("camera_id").distinct()
+    mine = ready.select("poll_id", "camera_id").distinct().join(numbered, "poll_id").join(everyone, "camera_id").select("camera_id", "rn")
+    ends = everyone.select("camera_id", F.explode(F.array(F.lit(0).cast("bigint"), last + 1)).alias("rn"))
+    d = with_previous(mine.unionByName(ends), CAMERA, ["rn"], {"_before": F.col("rn")}, t="rn", width=float(step))
+    gaps = d.where("rn - _before > 1").select("camera_id", (F.col("_before") + 1).alias("_from"), (F.col("rn") - 1).alias("_to"))
+    parts = gaps.withColumn("_from", F.explode(F.expr(f"sequence(_from, _to, {step}L)")))
+    to = F.least("_to", F.col("_from") + (step - 1))
+    missed = parts.select("camera_id", F.explode(F.sequence("_from", to)).alias("rn"))
+    return missed.join(numbered, "rn").select("poll_id", "camera_id")
 
 
 def path_changes(polls: DataFrame, ready: DataFrame) -> DataFrame:

@@ -11,17 +11,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from crowdlake import constants as K
 from crowdlake.functions import scalars as S
+from crowdlake.operators.materialize import materialize
 from crowdlake.operators.scale import (
     Width,
     asof,
-    chunk_of,
     chunk_for,
     chunk_width,
     join_keys,
     frame_percentile,
     home_rows,
     number_rows,
-    spread,
     with_previous,
     with_row_halo,
     with_running,
@@ -38,7 +37,7 @@ def sample_interval(seconds: float) -> float:
 # --- greedy throttle -------------------------------------------------------------------------
 
 
-def _next_allowed(ts: list[float], last: float | None, gap: float, strict: bool, start: int = 0) -> int:
+def _next_allowed(ts: Sequence[float], last: float | None, gap: float, strict: bool, start: int = 0) -> int:
     """Index of the first time far enough from ``last``; ``len(ts)`` if there is none."""
     if last is None:
         return start
@@ -48,11 +47,16 @@ def _next_allowed(ts: list[float], last: float | None, gap: float, strict: bool,
     return j
 
 
-def _chunk_exits(ts: list[float], start: float, gap: float, strict: bool) -> tuple[list[float], list[float]]:
-    """For every row a chunk could accept first: the row it would then accept last.
+# A chunk as a function from the time kept last before it to the time kept last after it: the rows that could be accepted
+# first, and the row each would lead to at the end. Beyond the last of them nothing is accepted.
+Exits = tuple[list[float], list[float]]
 
-    Only rows within ``gap`` of the chunk's start, and the one after them, can come first. A later
-    entry never leads to an earlier exit, so of entries with one exit only the last is kept.
+
+def _chunk_exits(ts: list[float], start: float, gap: float, strict: bool) -> Exits:
+    """The function of one chunk.
+
+    Only rows within ``gap`` of the chunk's start, and the one after them, can come first. Of neighbouring
+    entries with one exit only the last is kept.
     """
     exits: dict[int, float] = {}
     entries, outs = [], []
@@ -68,17 +72,102 @@ def _chunk_exits(ts: list[float], start: float, gap: float, strict: bool) -> tup
             k = nxt
         for p in path:
             exits[p] = exits[k]
-        if outs and outs[-1] == exits[i]:
-            entries[-1] = ts[i]
-        else:
-            entries.append(ts[i])
-            outs.append(exits[i])
+        _extend(entries, outs, ts[i], exits[i])
         if ts[i] > start + gap:
             break
         i += 1
     return entries, outs
 
 
+def _extend(entries: list[float], outs: list[float], entry: float, out: float) -> None:
+    if outs and outs[-1] == out:
+        entries[-1] = entry
+    else:
+        entries.append(entry)
+        outs.append(out)
+
+
+def _after(f: Exits, last: float | None, gap: float, strict: bool) -> float | None:
+    """The time kept last after a chunk that was entered with ``last``."""
+    k = _next_allowed(f[0], last, gap, strict)
+    return f[1][k] if k < len(f[0]) else last
+
+
+def _composed(parts: list[Exits], start: float, gap: float, strict: bool) -> Exits:
+    """The function of neighbouring chunks together. It has no more entries than a chunk's: those within
+    ``gap`` of the common start and the one after them."""
+    entries: list[float] = []
+    outs: list[float] = []
+    for f in parts:
+        through = [_after(f, out, gap, strict) for out in outs]
+        mine: Exits = ([], [])
+        for entry, out in zip(entries, through):
+            _extend(*mine, entry, out)
+        # A row of this chunk comes first only where the earlier chunks accept none.
+        if not entries or entries[-1] <= start + gap:
+            for entry, out in zip(*f):
+                _extend(*mine, entry, out)
+                if entry > start + gap:
+                    break
+        entries, outs = mine
+    return entries, outs
+
+
+#: Chunks that one task follows or composes together.
+FAN = 64
+
+
+def _grouped(df: DataFrame, keys: Sequence[str], fn, extra: dict[str, T.DataType]) -> DataFrame:
+    schema = T.StructType([*[df.schema[k] for k in keys], *[T.StructField(n, kind) for n, kind in extra.items()]])
+    return df.groupBy(*keys).applyInPandas(fn, schema)
+
+
+def exit_levels(nodes: DataFrame, keys: Sequence[str], gap: float, strict: bool = False, fan: int = FAN) -> list[DataFrame]:
+    """``nodes`` (keys, ``_node, _parent, _start, _entries, _exits``) and, level by level, the composed functions of
+    ``fan`` neighbours, until no key has more than ``fan`` nodes. No task gets more than ``fan`` of them."""
+    doubles = T.ArrayType(T.DoubleType())
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_node")
+        start = float(pdf["_start"].iloc[0])
+        parts = [(e.tolist(), x.tolist()) for e, x in zip(pdf["_entries"], pdf["_exits"])]
+        entries, outs = _composed(parts, start, gap, strict)
+        return pdf[[*keys, "_parent"]].head(1).assign(_start=start, _entries=[entries], _exits=[outs])
+
+    levels = [nodes]
+    while (levels[-1].groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > fan:
+        up = _grouped(levels[-1], [*keys, "_parent"], compose, {"_start": T.DoubleType(), "_entries": doubles, "_exits": doubles})
+        up = up.withColumnRenamed("_parent", "_node").withColumn("_parent", F.floor(F.col("_node") / fan))
+        levels.append(materialize(up))
+    return levels
+
+
+def _entering(levels: list[DataFrame], keys: Sequence[str], gap: float, strict: bool) -> DataFrame:
+    """``(keys, _node, _last)``: the time kept last before each node of the lowest level."""
+
+    def follow(by: list[str]):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_node")
+            first = pdf["_last"].iloc[0]
+            last, seen = None if pd.isna(first) else float(first), []
+            for entries, outs in zip(pdf["_entries"], pdf["_exits"]):
+                seen.append(last)
+                last = _after((entries.tolist(), outs.tolist()), last, gap, strict)
+            return pdf[[*by, "_node"]].assign(_last=pd.Series(seen, index=pdf.index, dtype="float64"))
+
+        return run
+
+    # ``_node`` travels as a column of the result, not as a key of the group.
+    found = {"_node": T.LongType(), "_last": T.DoubleType()}
+    top = levels[-1].select(*keys, "_node", "_entries", "_exits").withColumn("_last", F.lit(None).cast("double"))
+    entering = _grouped(top, keys, follow(list(keys)), found)
+    for below in reversed(levels[:-1]):
+        came = entering.withColumnRenamed("_node", "_parent")
+        d = join_keys(below.select(*keys, "_parent", "_node", "_entries", "_exits"), came, [*keys, "_parent"], "inner")
+        entering = _grouped(d, [*keys, "_parent"], follow([*keys, "_parent"]), found).drop("_parent")
+    return entering
+
+
 def throttle(
     df: DataFrame,
     keys: Sequence[str],
@@ -86,62 +175,52 @@ def throttle(
     order: Sequence[str] = ORDER,
     strict: bool = False,
     width: Width = None,
+    fan: int = FAN,
 ) -> DataFrame:
     """Keep a row if it is the first or at least ``gap`` seconds (more, if ``strict``) after the last
-    *kept* row of its key.
+    *kept* row of its key. Rows without a time are dropped.
 
     The choice is sequential, but a chunk only needs to know when the row kept before it was. Each
-    chunk, at least two gaps long, reports where every possible entry would leave it: no more entries than
-    it has rows in its first gap. The reports are followed per key, and each chunk then keeps its own rows.
+    chunk, at least two gaps long, is a function of that time. The functions of ``fan`` neighbours are composed, those of
+    ``fan`` such groups again, and the times are handed down the same way: a parallel prefix in as many rounds as the
+    logarithm of the number of chunks. Only times travel; whole rows meet the kept times in one join.
     """
-    keys = list(keys)
-    t = order[0]
-    key_schema = [df.schema[k] for k in keys]
-    columns, schema, order = list(df.columns), df.schema, list(order)
-    chunked = df.withColumn("_width", chunk_for(chunk_width(df, keys, t, width), gap))
-    chunked = chunked.withColumn("_chunk", chunk_of(t, F.col("_width")))
-    chunk_keys = keys + ["_chunk"]
-    long = T.StructField("_chunk", T.LongType())
+    if gap <= 0 and not strict:
+        return df.where(F.col(order[0]).isNotNull())
+    keys, t = list(keys), order[0]
+    length = chunk_for(chunk_width(df, keys, t, width), gap)
+    times = df.select(*keys, F.col(t).cast("double").alias("_t")).where("_t is not null").withColumn("_width", length)
+    times = times.withColumn("_node", F.floor(F.col("_t") / F.col("_width")))
+    chunks = times.groupBy(*keys, "_node").agg(
+        F.sort_array(F.collect_list("_t")).alias("_ts"), (F.col("_node") * F.max("_width")).alias("_start")
+    )
+    doubles = T.ArrayType(T.DoubleType())
+    node = [*keys, "_node"]
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = sorted(pdf[t].tolist())
-        entries, outs = _chunk_exits(ts, pdf["_start"].iloc[0], gap, strict)
-        return pdf[chunk_keys].head(1).assign(_entries=[entries], _exits=[outs])
+        ts = pdf["_ts"].iloc[0].tolist()
+        entries, outs = _chunk_exits(ts, float(pdf["_start"].iloc[0]), gap, strict)
+        return pdf[[*node, "_start", "_ts"]].assign(_entries=[entries], _exits=[outs])
 
-    doubles = T.ArrayType(T.DoubleType())
-    times = chunked.select(
-        *chunk_keys, F.col(t).cast("double").alias(t), (F.col("_chunk") * F.col("_width")).alias("_start")
-    )
-    reports = spread(times, *chunk_keys).groupBy(*chunk_keys).applyInPandas(
-        report, T.StructType([*key_schema, long, T.StructField("_entries", doubles), T.StructField("_exits", doubles)])
-    )
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        last, seen = None, []
-        for entries, outs in zip(pdf["_entries"], pdf["_exits"]):
-            seen.append(last)
-            k = _next_allowed(list(entries), last, gap, strict)
-            if k < len(entries):
-                last = float(outs[k])
-        return pdf[chunk_keys].assign(_last=pd.Series(seen, index=pdf.index, dtype="float64"))
-
-    carried = reports.groupBy(*keys).applyInPandas(
-        follow, T.StructType([*key_schema, long, T.StructField("_last", T.DoubleType())])
-    )
+    reports = _grouped(chunks, node, report, {"_start": T.DoubleType(), "_ts": doubles, "_entries": doubles, "_exits": doubles})
+    reports = materialize(reports.withColumn("_parent", F.floor(F.col("_node") / fan)))
+    entering = _entering(exit_levels(reports.drop("_ts"), keys, gap, strict, fan), keys, gap, strict)
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        ts = pdf[t].tolist()
-        last = pdf["_last"].iloc[0]
+        ts, last = pdf["_ts"].iloc[0].tolist(), pdf["_last"].iloc[0]
         k = _next_allowed(ts, None if pd.isna(last) else float(last), gap, strict)
         kept = []
         while k < len(ts):
-            kept.append(k)
+            kept.append(ts[k])
             k = _next_allowed(ts, ts[k], gap, strict, k + 1)
-        return pdf.iloc[kept][columns]
+        return pdf[node].assign(_kept=[kept])
 
-    return join_keys(spread(chunked.drop("_width"), *chunk_keys), carried, chunk_keys, "inner").groupBy(*chunk_keys).applyInPandas(keep, schema)
+    kept = _grouped(join_keys(reports.select(*node, "_ts"), entering, node, "inner"), node, keep, {"_kept": doubles})
+    kept = kept.select(*keys, F.explode("_kept").alias("_t"))
+    # Of rows at one time the first in order is kept.
+    rows = join_keys(df.withColumn("_t", F.col(t).cast("double")), kept, [*keys, "_t"], "inner")
+    first = F.row_number().over(Window.partitionBy(*keys, "_t").orderBy(*order))
+    return rows.withColumn("_first", first).where("_first = 1").select(*df.columns)
 
 
 # --- sessions, de-duplication, gates ---------------------------------------------------------
@@ -183,16 +262,14 @@ def sessionize_gaps(
     return d.drop("_before")
 
 
-def mode_gate(updates: DataFrame, modes: DataFrame, default: str = "counting", salts: int | None = None) -> DataFrame:
+def mode_gate(updates: DataFrame, modes: DataFrame, default: str = "counting") -> DataFrame:
     """Add the operating mode in force, when it began, and the analytics status it implies.
 
-    Modes are few and apply to every camera, so they are replicated to as many camera groups as there are
-    shuffle partitions (or ``salts``) for the as-of match. Only rows with status ``active`` may refresh analytics.
+    Modes apply to every camera, so both tables are cut into the same stretches of time: a stretch gets its own changes and
+    the mode in force at its start, handed on from the stretches before. No change is copied. Only rows with status
+    ``active`` may refresh analytics.
     """
-    salts = salts or int(updates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = updates.withColumn("_salt", F.pmod(F.xxhash64("camera_id"), F.lit(salts)).cast("int"))
-    right = modes.select("t", "mode").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    d = asof(left, right, ["_salt"], ["mode"]).drop("_salt")
+    d = asof(updates, modes.select("t", "mode"), [], ["mode"])
     mode = F.coalesce("mode", F.lit(default))
     status = F.when(mode != "counting", "disabled").when(~F.col("analytics_active"), "starting").otherwise("active")
     return d.withColumn("analytics_status", status).withColumn("mode", mode).withColumnRenamed("matched_t", "mode_since")

@@ -165,8 +165,7 @@ def person_detections(spark, sf):
     ),
 )
 def detection_zone_counts(spark, sf):
-    boxes = A.detections(spark, sf)
-    return D.detection_zones(D.with_frames(D.filter_detections(boxes), boxes), 360, 640)
+    return D.detection_zones(A.detections(spark, sf), 360, 640, where=D.qualifies())
 
 
 @query(
@@ -192,10 +191,9 @@ def detection_zone_counts(spark, sf):
     ),
 )
 def detection_density_zones(spark, sf):
-    boxes = A.detections(spark, sf)
-    dense = D.detections_to_density(D.filter_detections(boxes), 12, 20, 360, 640)
+    dense = D.detections_to_density(A.detections(spark, sf), 12, 20, 360, 640, where=D.qualifies())
     zones = M.zone_scores(dense, 12, 20).select("camera_id", "frame_id", "r", "c", F.col("score").alias("people"))
-    return rounded(D.all_zones(zones, boxes, "people"), "people")
+    return rounded(zones, "people")
 
 
 _ALLOC_IN = """select camera_id, frame_id, r, c, floor(score) as density, (frame_id + r * 5 + c) % 4 as detected,
@@ -273,9 +271,9 @@ def closeup_fused_zones(spark, sf):
     ),
 )
 def vehicle_frame_counts(spark, sf):
-    boxes = A.detections(spark, sf)
-    d = boxes.where("conf >= 0.2").withColumn("label", S.vehicle_label("cls"))
-    return D.vehicle_counts(D.with_frames(d, boxes))
+    # Boxes below the confidence have no label: they keep their frame and count nothing.
+    label = F.when(F.col("conf") >= 0.2, S.vehicle_label("cls"))
+    return D.vehicle_counts(A.detections(spark, sf).withColumn("label", label))
 
 
 _BLOBS = """select *, case when area > 276 then case when aspect > 1.6 then 'truck' else 'bus' end

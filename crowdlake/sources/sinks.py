@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crowdlake.constants import HORIZONS
 from crowdlake.operators.scale import keep_latest
@@ -90,16 +92,60 @@ def publish_verdict(profiles: DataFrame) -> DataFrame:
     )
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The path as Hadoop's object and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    source, fs = _hadoop(spark, old)
+    if not fs.rename(source, _hadoop(spark, new)[0]):
+        raise OSError(f"cannot rename {old} to {new}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
 def publish_profiles(profiles: DataFrame, path: str) -> bool:
     """Replace the active profiles if every one met its target; else write them to ``<path>.rejected``
-    and leave the active ones alone. An empty table is an error."""
-    verdict = publish_verdict(profiles).first()["approved"]
+    and leave the active ones alone. An empty table is an error.
+
+    The new profiles are written beside the active ones and take their place by renaming: a failure at any moment
+    leaves a whole version for :func:`read_profiles`, which looks at ``<path>.previous`` if the crash came between the
+    two renames.
+    """
+    spark = profiles.sparkSession
+    verdict = profiles.agg(F.bool_and("target_met")).first()[0]
     if verdict is None:
         raise ValueError("there are no calibration profiles")
-    profiles.write.mode("overwrite").json(path if verdict else f"{path}.rejected")
+    target = path if verdict else f"{path}.rejected"
+    staged, previous = f"{path}.staged-{uuid.uuid4().hex}", f"{target}.previous"
+    try:
+        profiles.write.json(staged)
+        if _exists(spark, target):
+            _delete(spark, previous)
+            _rename(spark, target, previous)
+        _rename(spark, staged, target)
+    except BaseException:
+        _delete(spark, staged)
+        raise
     return bool(verdict)
 
 
+def read_profiles(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The active profiles: the newest version that was published as a whole."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(path if _exists(spark, f"{path}/_SUCCESS") else f"{path}.previous")
+
+
 def forecast_wide(forecasts: DataFrame) -> DataFrame:
     """Forecasts with seven columns per horizon, one row per camera, session and time."""
     parts = {

@@ -350,6 +350,37 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     assert spark.read.json(path).count() == 1 and spark.read.json(f"{path}.rejected").count() == 2
 
 
+def test_failed_publish_leaves_the_old_profiles(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "profiles")
+    table = lambda scale, met=True: spark.createDataFrame([("a", scale, met)], "camera_id STRING, scale DOUBLE, target_met BOOLEAN")
+    active = lambda: [r["scale"] for r in sinks.read_profiles(spark, path).collect()]
+    assert sinks.publish_profiles(table(1.0), path) and active() == [1.0]
+    # The write fails half-way.
+    broken = table(2.0).withColumn("scale", F.when(F.col("camera_id") == "a", F.raise_error(F.lit("lost")).cast("double")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish_profiles(broken, path)
+    assert active() == [1.0]
+    # The driver dies before the first rename, or between the two.
+    plain = sinks._rename
+    for allowed in (0, 1):
+        done = []
+
+        def dying(spark, old, new):
+            if len(done) == allowed:
+                raise RuntimeError("driver lost")
+            done.append(old)
+            plain(spark, old, new)
+
+        monkeypatch.setattr(sinks, "_rename", dying)
+        with pytest.raises(RuntimeError):
+            sinks.publish_profiles(table(3.0), path)
+        assert active() == [1.0]
+    monkeypatch.setattr(sinks, "_rename", plain)
+    assert sinks.publish_profiles(table(4.0), path) and active() == [4.0]
+    assert not sinks.publish_profiles(table(5.0, False), path) and active() == [4.0]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["profiles", "profiles.previous", "profiles.rejected"]
+
+
 def test_sinks_round_trip(spark, tmp_path):
     log = spark.createDataFrame(
         [("a", 1, "SAFE", 0.12345, 10.456, 0.5, 0.25, 0.1, 0.2, 8)],

@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import Window, functions as F
 
 import __spark_entry__ as entry
-from crowdlake.operators import forecast as X, history as H, scale, temporal as T
+from crowdlake.operators import fleet, forecast as X, history as H, scale, temporal as T
 from crowdlake.operators.detections import allocate_zones
 
 
@@ -154,6 +154,74 @@ def test_throttle_composition(ticks, gap, width, strict):
     assert got == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(st.integers(0, 4000), min_size=1, max_size=150),
+    st.sampled_from([5.0, 15.0, 40.0]),
+    st.sampled_from([90.0, 200.0]),
+    st.booleans(),
+    st.integers(1, 5),
+)
+def test_composed_exits(ticks, gap, width, strict, fan):
+    """The function of neighbouring chunks leads from any earlier time where the chunks lead one by one."""
+    ts = sorted(t / 4 for t in ticks)
+    chunks = sorted({t // width for t in ts})
+    parts = [T._chunk_exits([t for t in ts if t // width == c], c * width, gap, strict) for c in chunks]
+    for i in range(0, len(parts), fan):
+        start, group = chunks[i] * width, parts[i : i + fan]
+        f = T._composed(group, start, gap, strict)
+        own = [t for t in ts if start <= t <= start + gap]
+        assert len(f[0]) <= len(own) + 1 and f[0] == sorted(f[0])
+        for last in [None, *[start - d / 4 for d in range(1, 200, 7)]]:
+            want = last
+            for part in group:
+                want = T._after(part, want, gap, strict)
+            assert T._after(f, last, gap, strict) == want
+
+
+def test_throttle_sends_a_block_of_a_hot_key_at_most(spark):
+    """Ten million rows of one key: no task gets more than ``fan`` chunk functions, at any level."""
+    df = spark.range(10_000_000).selectExpr("'hot' as camera_id", "id as event_id", "id * 0.01D + id % 3 * 0.001D as t")
+    sizes = []
+    plain = T._grouped
+
+    def watched(d, keys, fn, extra):
+        if "_ts" not in d.columns:
+            sizes.append(d.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return plain(d, keys, fn, extra)
+
+    T._grouped = watched
+    try:
+        got = [r["t"] for r in T.throttle(df, ["camera_id"], 15.0, width=60.0, fan=16).select("t").orderBy("t").collect()]
+    finally:
+        T._grouped = plain
+    assert len(sizes) == 5 and max(sizes) <= 16  # composed twice, followed three times
+    assert all(15.0 <= b - a <= 15.02 for a, b in zip(got, got[1:])) and got[0] == 0.0 and got[-1] > 99_980
+
+
+def test_throttle_with_null_keys_ties_and_missing_times(spark):
+    rows = [(None, 1, 0.0), (None, 0, 0.0), ("a", 2, 5.0), ("a", 3, None), (None, 4, 20.0), ("a", 5, 6.0), ("a", 5, 6.0)]
+    df = spark.createDataFrame(rows, "camera_id STRING, event_id INT, t DOUBLE")
+    kept = lambda gap, **kw: sorted(r["event_id"] for r in T.throttle(df, ["camera_id"], gap, **kw).collect())
+    assert kept(15.0) == [0, 2, 4] and kept(1.0, strict=True) == [0, 2, 4] and kept(1.0) == [0, 2, 4, 5]
+    assert kept(0.0) == [0, 1, 2, 4, 5, 5] and kept(0.0, strict=True) == [0, 2, 4, 5]
+    assert T.throttle(df.where("false"), ["camera_id"], 15.0).count() == 0
+
+
+def test_missed_cameras_expand_gaps_only(spark, capsys):
+    polls = spark.range(40).selectExpr("id as poll_id", "id % 9 <> 4 as ok")
+    cameras = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "camera_id STRING")
+    ready = polls.where("ok").selectExpr("poll_id", "explode(array('a', 'z', if(poll_id % 4 = 0, 'b', 'a'))) as camera_id")
+    want = {(p, c) for p in range(40) if p % 9 != 4 for c in "abc" if not (c == "a" or (c == "b" and p % 4 == 0))}
+    for step in (3, 100_000):
+        got = [tuple(r) for r in fleet.missed_cameras(polls, ready, cameras, step).collect()]
+        assert len(got) == len(want) and set(got) == want
+    fleet.missed_cameras(polls, ready, cameras).explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert fleet.missed_cameras(polls.where("false"), ready, cameras).count() == 0
+
+
 def test_throttle_on_a_hot_key(hot, tiny_chunks):
     got = {r["event_id"] for r in T.throttle(hot, ["camera_id"], 15.0).collect()}
     want, last = set(), {}
