@@ -1,8 +1,8 @@
 """Phrase collocations by set-oriented mining (SETM).
 
 The relation of a length holds that length's frequent phrases, one row per occurrence: document, position of the
-first word and phrase number, sorted by place and written. The next length is the merge join of the relation with itself on
-document and adjacent position; its groups are counted and the infrequent ones go by a semi-join before the next
+first word and phrase number. The next length is the merge join of the relation with itself on document and adjacent
+position, written in buckets of documents, so that the following joins need no exchange; its groups are counted and the infrequent ones go by a semi-join before the next
 join. Every part of a frequent phrase is frequent, so nothing is lost.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crowdlake.llm.common import ascii_lower
-from crowdlake.operators.materialize import materialize
+from crowdlake.operators.materialize import materialize, materialize_by
 
 #: What ends a piece; within it, words are runs of anything but space and tab.
 ENDS = r"[.,;:!?\x0A-\x0D]"
@@ -49,17 +49,17 @@ def _small(phrases: DataFrame) -> DataFrame:
     return F.broadcast(phrases) if phrases.count() <= SMALL else phrases
 
 
-def _sorted_by_place(occurrences: DataFrame) -> DataFrame:
-    n = int(occurrences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return occurrences.repartition(n, "doc")
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _longer(relation: DataFrame) -> DataFrame:
-    """Occurrences (doc, pos, head, tail) of one word more: phrase ``head`` at a position, ``tail`` one word on."""
-    placed = _sorted_by_place(relation)
-    after = placed.select("doc", (F.col("pos") - 1).alias("pos"), F.col("phrase").alias("tail"))
-    heads = placed.withColumnRenamed("phrase", "head")
-    return heads.hint("merge").join(after, ["doc", "pos"])
+    """Occurrences (doc, pos, head, tail) of one word more: phrase ``head`` at a position, ``tail`` one word on.
+
+    A merge join by place of the relation, partitioned by document, with itself.
+    """
+    after = relation.select("doc", (F.col("pos") - 1).alias("pos"), F.col("phrase").alias("tail"))
+    return relation.withColumnRenamed("phrase", "head").hint("merge").join(after, ["doc", "pos"])
 
 
 def mined(
@@ -79,6 +79,7 @@ def mined(
     counted before each exchange. Tables of frequent words or pairs are broadcast up to ``SMALL`` rows. The driver sees a few numbers a length.
     """
     spark = docs.sparkSession
+    parts = _parts(spark)
     rows = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
         _words(F.col(text)).alias("words"),
@@ -92,10 +93,10 @@ def mined(
 
     names = level.select("lang", F.col("words")[0].alias("word"), "phrase")
     placed = rows.select("lang", "doc", F.posexplode("words").alias("pos", "word")).where(_IS_WORD)
-    relation = placed.join(_small(names), ["lang", "word"]).select("doc", "pos", "phrase")
+    relation = placed.join(_small(names), ["lang", "word"]).select("doc", "pos", "phrase").repartition(parts, "doc")
     for size in range(2, longest + 1):
         with _joined_by_document(spark):
-            pairs = materialize(_longer(relation))
+            pairs = materialize_by(_longer(relation), "doc", parts)
         groups = pairs.groupBy("head", "tail").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least)
         groups = materialize(groups.withColumn("phrase", F.monotonically_increasing_id()))
         if groups.isEmpty():

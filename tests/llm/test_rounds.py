@@ -145,13 +145,17 @@ def test_collocation_scores_are_exact_beyond_64_bits(spark):
 
 
 def test_pairs_are_joined_without_another_exchange(spark, capsys):
-    """One exchange of the relation, by document, serves both sides of the merge join."""
-    relation = spark.range(1000).selectExpr("id % 7 as doc", "cast(id as int) as pos", "id % 3 as phrase")
+    """One exchange of words by document serves both sides of the first merge join; later joins read buckets."""
+    relation = spark.range(1000).selectExpr("id % 7 as doc", "cast(id as int) as pos", "id % 3 as phrase").repartition(8, "doc")
     with collocations._joined_by_document(spark):
-        collocations._longer(relation).explain()
-    plan = capsys.readouterr().out
-    assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning(doc") + plan.count("ReusedExchange") <= 2
-    assert "hashpartitioning(doc#" in plan and "pos" not in "".join(re.findall(r"hashpartitioning\([^)]*\)", plan))
+        pairs = collocations._longer(relation)
+        pairs.explain()
+        written = collocations.materialize_by(pairs, "doc", 8)
+        collocations._longer(written.select("doc", "pos", "head").withColumnRenamed("head", "phrase")).explain()
+    first, later = capsys.readouterr().out.split("== Physical Plan ==")[1:]
+    assert "SortMergeJoin" in first and "pos" not in "".join(re.findall(r"hashpartitioning\([^)]*\)", first))
+    assert "SortMergeJoin" in later and "Exchange" not in later
+    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, pairs.collect()))
 
 
 # ---------------------------------------------------------------- 13
