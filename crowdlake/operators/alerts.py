@@ -64,7 +64,12 @@ def notifications(state: DataFrame, surges: DataFrame, dims: DataFrame, limit: i
     d = state.join(surges.select(*at, "horizon", "predicted_count", "growth_percent", sure.alias("_sure")), at, "left")
     d = d.where(F.col("horizon").isNotNull() | (F.col("risk_level") == "STAMPEDE"))
     d = notify_cooldown(materialize(d))
-    d = keep_latest(d, [], limit, ["t", "event_id"])
+    return described(keep_latest(d, [], limit, ["t", "event_id"]), dims)
+
+
+def described(d: DataFrame, dims: DataFrame) -> DataFrame:
+    """Place, texts and counts of chosen states with their surge (``horizon, predicted_count, growth_percent, _sure``)."""
+    have = d.columns
     place = dims.select(
         "camera_id",
         "location",
@@ -78,7 +83,7 @@ def notifications(state: DataFrame, surges: DataFrame, dims: DataFrame, limit: i
         F.lit("% growth) in next "), "horizon", F.lit(" [Confidence: "), S.half_even("_sure"), F.lit("%]"),
     )
     plain_text = F.concat(F.col("people_count"), F.lit(" pax detected at "), F.col("camera_id"))
-    causes = F.col("primary_causes") if "primary_causes" in state.columns else F.array().cast("array<string>")
+    causes = F.col("primary_causes") if "primary_causes" in have else F.array().cast("array<string>")
     lat, lon = F.coalesce("gps_lat", F.lit(0.0)), F.coalesce("gps_lon", F.lit(0.0))
     return d.select(
         F.concat(F.lit("notif-"), "event_id", F.lit("-"), "camera_id").alias("notification_id"),

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from crowdlake import constants as K
 
 
-def _ordered(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
+def ordered_rows(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
     chunks = list(rows)
     both = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
     return both.sort_values(list(order), kind="stable", ignore_index=True)
@@ -44,7 +44,7 @@ class Throttle(_Keyed):
         self.gap, self.strict = gap, strict
 
     def handleInputRows(self, key, rows, timerValues):
-        d = _ordered(rows, self.order)
+        d = ordered_rows(rows, self.order)
         (last,) = self.load()
         kept = []
         for i, t in enumerate(d[self.order[0]].tolist()):
@@ -62,7 +62,7 @@ class DedupeSeq(_Keyed):
         self.seq = seq
 
     def handleInputRows(self, key, rows, timerValues):
-        d = _ordered(rows, self.order)
+        d = ordered_rows(rows, self.order)
         (top,) = self.load()
         kept = []
         for i, s in enumerate(d[self.seq].tolist()):
@@ -83,7 +83,7 @@ class Presence(_Keyed):
         self.confirm = confirm
 
     def handleInputRows(self, key, rows, timerValues):
-        d = _ordered(rows, self.order)
+        d = ordered_rows(rows, self.order)
         d = d[d["poll_ok"]].reset_index(drop=True)
         online, misses = self.load()
         states, changes = [], []
@@ -110,7 +110,7 @@ class Sessions(_Keyed):
         self.max_gap, self.name = max_gap, name
 
     def handleInputRows(self, key, rows, timerValues):
-        d = _ordered(rows, self.order)
+        d = ordered_rows(rows, self.order)
         number, last = self.load()
         numbers = []
         resets = d["is_reset"].tolist() if "is_reset" in d else [False] * len(d)
@@ -133,7 +133,7 @@ class Freshness(_Keyed):
         self.ttl = ttl
 
     def handleInputRows(self, key, rows, timerValues):
-        d = _ordered(rows, self.order)
+        d = ordered_rows(rows, self.order)
         newest = float(d[self.order[0]].iloc[-1])
         last, timer = self.load()
         if last is not None and newest <= last:

@@ -1,12 +1,13 @@
 """Streams over a finite set of files give what the batch operators give on the same rows."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from crowdlake.functions import scalars as S
-from crowdlake.operators import fleet, temporal as T
+from crowdlake.operators import fleet, materialize as M, temporal as T
 from crowdlake.sources import adapters as A, readers
 from crowdlake.streaming import jobs, processors as P
 
@@ -189,3 +190,100 @@ def test_frames_are_read_and_unpacked(spark, sf, tmp_path):
     assert cells.count() == 3 * 64 and {"row", "col", "d"} <= set(cells.columns)
     cells.write.parquet(f"{tmp_path}/cells")
     assert readers.read_frames(spark, f"{tmp_path}/cells").count() == 3 * 64
+
+
+@pytest.fixture
+def two_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def counts_of_two_cameras():
+    """A busy camera, and one that surges, falls silent past every tolerance and comes back."""
+    rows = []
+    for i in range(120):
+        rows.append(("a", 0, 1000 + 15.0 * i, i, 40 + 12 * math.sin(i / 6) + i * 7 % 5))
+    for i in range(100):
+        t = 1000 + 15.0 * i + (700.0 if i >= 60 else 0.0) + (4.0 if i % 9 == 3 else 0.0)
+        rows.append(("b", 0, t, 1000 + i, 3.0 * 1.35 ** min(i % 30, 14) + i % 3))
+    return rows
+
+
+def test_forecasts_selection_surges_and_snapshots(spark, tmp_path, two_partitions):
+    from crowdlake.operators import forecast as X
+    from crowdlake.operators.scale import number_rows
+    from crowdlake.streaming import forecasts as FS
+
+    schema = "camera_id string, session_id int, t double, event_id long, value double"
+    samples = spark.createDataFrame(counts_of_two_cameras(), schema)
+    path = str(tmp_path / "in")
+    for i in range(3):
+        samples.where(F.floor((F.col("t") - 1000) / 800) == i).coalesce(1).write.mode("append").parquet(path)
+    stream = FS.with_event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    snaps = FS.snapshot_stream(FS.forecast_rows(FS.candidate_stream(stream)), min_samples=3)
+    got = drain(spark, snaps, "m_snaps").collect()
+
+    hist = number_rows(samples, X.KEYS, ["t", "event_id"])
+    back = M.materialize(X.backtest(hist))
+    want = {(r["camera_id"], r["t"]): r for r in X.forecast_snapshot(back, min_samples=3).collect()}
+    assert len(got) == len(want) == 220
+    fields = ["seconds", "label", "people_count", "lower_count", "upper_count", "confidence_percent", "validation_samples", "model", "trusted", "quality_status", "target_t"]
+    for r in got:
+        w = want[(r["camera_id"], r["t"])]
+        for c in ("status", "samples", "quality_status", "trend", "trusted_predictions", "models_selected", "accuracy_percent"):
+            assert r[c] == w[c], (c, r, w)
+        assert [[p[f] for f in fields] for p in r["predictions"]] == [[p[f] for f in fields] for p in w["predictions"]]
+    assert {p["model"] for r in got for p in r["predictions"]} == {"ensemble", "holt", "recent_level"}
+    assert any(p["trusted"] for r in got for p in r["predictions"])
+    surges = {(r["camera_id"], r["t"]): tuple(r)[4:8] for r in X.surge(back).collect()}
+    assert surges and surges == {(r["camera_id"], r["t"]): tuple(r["surge"]) for r in got if r["surge"]}
+
+
+def test_open_predictions_go_when_a_camera_is_silent(spark, tmp_path, two_partitions):
+    from crowdlake.streaming import forecasts as FS
+
+    schema = "camera_id string, session_id int, t double, event_id long, value double"
+    path = str(tmp_path / "in")
+    rows = [[("quiet", 0, 15.0 + 15.0 * i, i, 5.0) for i in range(20)], [("other", 0, 30_000.0, 900, 5.0)], [("other", 0, 30_015.0, 901, 5.0)]]
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = FS.with_event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    out = FS.forecast_rows(FS.candidate_stream(stream))
+    cp = str(tmp_path / "cp")
+    q = out.writeStream.format("noop").option("checkpointLocation", cp).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    found = []
+    for operator in range(3):
+        reader = spark.read.format("statestore").option("operatorId", operator)
+        if "open" in {v for r in spark.read.format("state-metadata").load(cp).collect() if r["operatorId"] == operator for v in re.findall(r'"stateName":"(\w+)"', r["operatorProperties"])}:
+            found.append({r["camera_id"] for r in reader.option("stateVarName", "open").load(cp).select("key.camera_id").collect()})
+    assert found == [{"other"}, {"other"}]
+
+
+def test_notifications(spark, tmp_path, two_partitions):
+    from crowdlake.operators import alerts as L, forecast as X
+    from crowdlake.operators.scale import number_rows
+    from crowdlake.streaming import forecasts as FS
+
+    schema = "camera_id string, session_id int, t double, event_id long, value double"
+    samples = spark.createDataFrame(counts_of_two_cameras(), schema)
+    state = lambda d, *more: d.select(
+        "camera_id", "t", "event_id", S.half_even("value").alias("people_count"), F.bround("value").alias("risk_index"),
+        S.band("value", (65.0,), ("NO STAMPEDE", "STAMPEDE")).alias("risk_level"), F.lit(0.9).alias("confidence"), *more,
+    )
+    dims = spark.createDataFrame([("b", "Gate", 16.0, 16.5, 81.0, 81.5)], "camera_id string, location string, lat_min double, lat_max double, lon_min double, lon_max double")
+    path = str(tmp_path / "in")
+    for i in range(3):
+        samples.where(F.floor((F.col("t") - 1000) / 800) == i).coalesce(1).write.mode("append").parquet(path)
+    # A last row of another camera moves the watermark past all others.
+    spark.createDataFrame([("z", 0, 9000.0, 9999, 1.0)], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = FS.with_event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    surges = FS.surge_stream(FS.snapshot_stream(FS.forecast_rows(FS.candidate_stream(stream))))
+    got = drain(spark, FS.notification_stream(state(stream, FS.EVENT_TIME), surges, dims), "m_notes")
+
+    hist = number_rows(samples, X.KEYS, ["t", "event_id"])
+    want = L.notifications(state(samples), X.surge(X.backtest(hist)), dims, limit=100_000)
+    assert want.where("horizon is null").count() and want.where("horizon is not null").count()
+    same(got, want, want.columns)
