@@ -16,12 +16,34 @@ from crowdlake import constants as K
 from crowdlake.operators import autoregressive, fleet, forecast
 from crowdlake.operators.scale import join_keys, keep_latest
 from crowdlake.operators.temporal import mode_gate
-from crowdlake.streaming.processors import dedupe_stream
+from crowdlake.streaming.processors import lateness_stream
 
 
-def with_lateness(df: DataFrame, event_time: str, delay: str = "10 minutes") -> DataFrame:
-    """Watermark and sequence filter: late rows are dropped by state, stale sequences by number."""
-    return dedupe_stream(df.withWatermark(event_time, delay))
+def with_lateness(df: DataFrame, event_time: str, delay: str = "10 minutes", keep: str = "1 hour") -> DataFrame:
+    """Rows in time, each camera's stale sequence numbers left out. :func:`write_with_lateness` keeps the late ones too."""
+    return lateness_stream(df, event_time, delay, keep).where("not late").drop("late")
+
+
+def write_with_lateness(
+    df: DataFrame, event_time: str, path: str, checkpoint: str, delay: str = "10 minutes", keep: str = "1 hour", **options: str
+):
+    """Rows in time go to ``path`` under ``late=false``, late ones to the side table under ``late=true``, per micro-batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("late").parquet(f"{path}/batch_id={batch_id}")
+
+    return lateness_stream(df, event_time, delay, keep, **options).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def read_with_lateness(spark: SparkSession, path: str) -> DataFrame:
+    """Both tables of :func:`write_with_lateness`, with ``batch_id`` and ``late``."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.withColumn("late", F.col("late").cast("boolean"))
+
+
+def late_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows in time and late ones of each micro-batch that :func:`write_with_lateness` wrote."""
+    return read_with_lateness(spark, path).groupBy("batch_id").agg(F.count_if(~F.col("late")).alias("in_time"), F.count_if("late").alias("late"))
 
 
 def session_summary(df: DataFrame, event_time: str, gap: str, delay: str = "10 minutes") -> DataFrame:

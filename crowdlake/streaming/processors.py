@@ -75,6 +75,54 @@ class DedupeSeq(_Keyed):
         yield d.iloc[kept]
 
 
+class Lateness(StatefulProcessor):
+    """Marks rows that came later than allowed (``late``) and de-duplicates the others by sequence number.
+
+    The stream's watermark stands ``keep`` milliseconds behind the allowed one, so that late rows still arrive here; what
+    is later than both Spark drops and counts. State, the highest number, goes when a key was silent for ``idle``
+    milliseconds of event time.
+    """
+
+    def __init__(self, event_time: str, seq: str, keep: int, idle: int, order: Sequence[str]):
+        self.event_time, self.seq, self.keep, self.idle, self.order = event_time, seq, keep, idle, list(order)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("value", "top BIGINT, due BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues):
+        d = ordered_rows(rows, self.order)
+        top, due = tuple(self.state.get()) if self.state.exists() else (-1, None)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        allowed = watermark + self.keep if watermark > 0 else 0
+        kept, late, newest = [], [], None
+        for i, (s, ts) in enumerate(zip(d[self.seq].tolist(), d[self.event_time].tolist())):
+            ms = None if pd.isna(ts) else ts.value // 1_000_000
+            is_late = ms is not None and ms < allowed
+            if not is_late:
+                if not pd.isna(s):
+                    if int(s) <= top:
+                        continue
+                    top = int(s)
+                newest = ms if newest is None or (ms is not None and ms > newest) else newest
+            kept.append(i)
+            late.append(is_late)
+        if newest is not None and (due is None or newest + self.idle > due):
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = newest + self.idle
+            self.handle.registerTimer(due)
+        self.state.update((int(top), due))
+        yield d.iloc[kept].assign(late=pd.Series(late, index=kept, dtype=bool))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 class Presence(_Keyed):
     """Columns ``poll_ok, ready`` in; adds ``online`` and ``change``. Failed polls are dropped."""
 
@@ -175,6 +223,19 @@ def dedupe_stream(df: DataFrame, keys: Sequence[str] = ("camera_id",), seq: str
     return kept.withColumn(seq, F.col(seq).cast(df.schema[seq].dataType))
 
 
+def lateness_stream(
+    df: DataFrame, event_time: str, delay: str = "10 minutes", keep: str = "1 hour", idle: str = "1 day",
+    keys: Sequence[str] = ("camera_id",), seq: str = "seq", order=("t", "event_id"),
+) -> DataFrame:
+    """De-duplicated rows and, marked ``late``, those that arrived more than ``delay`` and at most ``delay + keep``
+    behind the newest event time. Rows later still are dropped and counted by Spark (``numRowsDroppedByWatermark``)."""
+    ms = lambda text: int(pd.Timedelta(text).total_seconds() * 1000)
+    text = df.withColumn(seq, F.col(seq).cast("string")).withWatermark(event_time, f"{ms(delay) + ms(keep)} milliseconds")
+    schema = T.StructType([*text.schema, T.StructField("late", T.BooleanType())])
+    marked = _apply(text, keys, Lateness(event_time, seq, ms(keep), ms(idle), order), schema, "EventTime")
+    return marked.withColumn(seq, F.col(seq).cast(df.schema[seq].dataType))
+
+
 def presence_stream(polls: DataFrame, confirm: int = 2) -> DataFrame:
     schema = T.StructType([*polls.schema, T.StructField("online", T.BooleanType()), T.StructField("change", T.StringType())])
     return _apply(polls, ["camera_id"], Presence(confirm, ("t", "poll_id")), schema)

@@ -287,3 +287,30 @@ def test_notifications(spark, tmp_path, two_partitions):
     want = L.notifications(state(samples), X.surge(X.backtest(hist)), dims, limit=100_000)
     assert want.where("horizon is null").count() and want.where("horizon is not null").count()
     same(got, want, want.columns)
+
+
+def test_late_rows_go_to_a_side_table(spark, tmp_path, two_partitions):
+    schema = "camera_id string, event_id int, t double, seq bigint"
+    parts = [
+        [("a", 1, 20_000.0, 1), ("b", 2, 20_010.0, 1)],
+        [("a", 3, 30_000.0, 5)],
+        # In time by 60 s; late by 90 s and by 500 s, one of them with a new number; older than all that is kept.
+        [("a", 4, 29_945.0, 6), ("a", 5, 29_910.0, 99), ("b", 6, 29_500.0, 2), ("a", 7, 10_000.0, 7), ("a", 8, 30_001.0, 6), ("a", 9, 30_002.0, 7)],
+        [("c", 10, 200_000.0, 1)],
+        [("c", 11, 200_001.0, 2)],
+    ]
+    path, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    for part in parts:
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds("t")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(f"{schema}, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    q = jobs.write_with_lateness(stream, "ts", out, cp, "1 minute", "1 hour", idle="1 hour").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    rows = jobs.read_with_lateness(spark, out)
+    assert sorted(r["event_id"] for r in rows.where("late").collect()) == [5, 6]
+    # The late number 99 has not moved the camera's own on.
+    assert sorted(r["event_id"] for r in rows.where("not late").collect()) == [1, 2, 3, 4, 9, 10, 11]
+    assert {tuple(r) for r in jobs.late_counts(spark, out).where("late > 0").collect()} == {(2, 2, 2)}
+    dropped = sum(int(s["numRowsDroppedByWatermark"]) for p in q.recentProgress for s in p["stateOperators"])
+    assert dropped == 1
+    state = spark.read.format("statestore").option("stateVarName", "value").load(cp)
+    assert {r[0] for r in state.select("key.camera_id").collect()} == {"c"}  # the silent ones have expired
