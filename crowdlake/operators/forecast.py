@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crowdlake import constants as K
 from crowdlake.functions import scalars as S
+from crowdlake.operators.learned import registered_predictions
 from crowdlake.operators.materialize import materialize
 from crowdlake.operators.scale import (
     asof,
@@ -148,11 +149,17 @@ def candidates(
 ) -> DataFrame:
     """One row per origin and horizon with ``preds MAP<model, prediction>``.
 
-    ``extra`` holds further models' predictions by name; ``shadow`` models stay out of the ensemble.
+    ``extra`` holds further models' predictions by name; ``shadow`` models stay out of the ensemble, and so do
+    single predictions whose ``votes``, if there is such a column, is false.
     """
     d = holt_features(hist, keys)
+    votes = {}
     for name, preds in (extra or {}).items():
-        d = d.join(preds.select(*keys, "rn", F.col("preds").alias(f"_{name}")), [*keys, "rn"], "left")
+        mine = [F.col("preds").alias(f"_{name}")]
+        if "votes" in preds.columns:
+            votes[name] = F.col(f"_votes_{name}")
+            mine.append(F.col("votes").alias(f"_votes_{name}"))
+        d = d.join(preds.select(*keys, "rn", *mine), [*keys, "rn"], "left")
     horizons = []
     for i, (label, seconds) in enumerate(K.HORIZONS):
         steps = S.horizon_steps(seconds, interval)
@@ -173,7 +180,7 @@ def candidates(
     }
     for name in extra or {}:
         each[name] = F.get(F.col(f"_{name}"), F.col("_h.pos") - 1)
-    voting = F.array_compact(F.array(*[c for n, c in each.items() if n not in shadow]))
+    voting = F.array_compact(F.array(*[F.when(votes[n], c) if n in votes else c for n, c in each.items() if n not in shadow]))
     mean = F.aggregate(voting, F.lit(0.0), lambda a, x: a + x) / F.size(voting)
     d = d.withColumns({f"p_{n}": c for n, c in each.items()}).withColumn("p_ensemble", mean)
     return d.select(
@@ -231,6 +238,25 @@ def _horizon_target(target: float) -> Column:
     return F.when(F.col("label").isin(K.SHORT_HORIZONS), F.lit(K.TARGET_ACCURACY)).otherwise(F.lit(target))
 
 
+def with_registry(df: DataFrame, registry: DataFrame) -> DataFrame:
+    """Add the validation of the learned model's version in force at each forecast's time: ``v_accuracy, v_training,
+    v_validation, v_approved`` of its horizon, null before the first version. ``registry`` is made of
+    :func:`learned.model_version` rows; a rejected version keeps its validation, and is not approved."""
+    versions = registry.select(
+        "label", F.col("valid_from").alias("t"), F.col("accuracy_percent").alias("v_accuracy"), F.col("training_samples").alias("v_training"),
+        F.col("validation_samples").alias("v_validation"), F.col("approved").alias("v_approved"),
+    )
+    return asof(df, versions, ["label"], ["v_accuracy", "v_training", "v_validation", "v_approved"]).drop("matched_t")
+
+
+def _validated(df: DataFrame, target: float) -> Column | None:
+    """Has the version in force been validated for the horizon's target?"""
+    if "v_accuracy" not in df.columns:
+        return None
+    enough = (F.col("v_training") >= 64) & (F.col("v_validation") >= 30)
+    return F.coalesce((F.col("v_accuracy") >= _horizon_target(target)) & enough, F.lit(False))
+
+
 def select_model(
     df: DataFrame,
     approved: Sequence[str] = (),
@@ -239,17 +265,23 @@ def select_model(
 ) -> DataFrame:
     """Champion per origin and horizon: least mean error among models with enough scores, ties by
     name; the ensemble before that. A learned model leads horizons it is ``approved`` for until it is
-    scored; ``shadow`` models need the target accuracy to be chosen."""
+    scored; ``shadow`` models need the target accuracy to be chosen. After :func:`with_registry` the version in force
+    decides both for the learned model, so they change at the time of an approval."""
     choices = []
+    validated = _validated(df, target)
     for m in models_of(df):
         ok = (F.col(f"e_{m}_n") >= K.MIN_MODEL_SCORES) & F.col(f"p_{m}").isNotNull()
+        reached = 100.0 * (1.0 - F.col(f"e_{m}_mean")) >= _horizon_target(target)
         if m in shadow:
-            ok &= 100.0 * (1.0 - F.col(f"e_{m}_mean")) >= _horizon_target(target)
+            ok &= reached
+        elif m == "learned" and validated is not None:
+            ok &= F.coalesce("v_approved", F.lit(False)) | reached
         choices.append(F.when(ok, F.struct(F.col(f"e_{m}_mean").alias("error"), F.lit(m).alias("model"))))
     best = F.array_min(F.array_compact(F.array(*choices)))["model"]
     chosen = F.coalesce(best, F.lit("ensemble"))
-    if approved and "learned" in models_of(df):
-        leads = F.col("label").isin(list(approved)) & F.col("p_learned").isNotNull()
+    if (approved or validated is not None) and "learned" in models_of(df):
+        named = F.col("label").isin(list(approved)) if approved else F.lit(False)
+        leads = (named if validated is None else named | validated) & F.col("p_learned").isNotNull()
         unscored = F.coalesce(F.col("e_learned_n"), F.lit(0)) < K.MIN_MODEL_SCORES
         chosen = F.when(leads & unscored, "learned").otherwise(chosen)
     d = df.withColumn("model", chosen)
@@ -265,7 +297,7 @@ def _pick(df: DataFrame, of) -> Column:
     return out
 
 
-def prediction_interval(df: DataFrame, confidence_floor: bool = True) -> DataFrame:
+def prediction_interval(df: DataFrame, confidence_floor: bool = True, target: float = K.TARGET_ACCURACY) -> DataFrame:
     """Rounded prediction, bounds and confidence. Measured errors are used once there are enough;
     before that recent noise grows with the square root of the steps.
 
@@ -284,14 +316,21 @@ def prediction_interval(df: DataFrame, confidence_floor: bool = True) -> DataFra
     scored = F.bround(F.greatest(F.lit(0.0), 100.0 * (1.0 - F.col("chosen_mean"))), 1)
     margin = F.greatest(F.lit(2.0), F.col("predicted") * error)
     zero = F.lit(0).cast("bigint")
+    samples, confidence = F.coalesce("chosen_n", zero), F.when(measured, scored).otherwise(plain)
+    validated = _validated(df, target)
+    if validated is not None:
+        # A validated version brings its own validation along.
+        own = validated & (F.col("model") == "learned")
+        samples = F.when(own, F.greatest(samples, F.col("v_validation"))).otherwise(samples)
+        confidence = F.coalesce(confidence, F.when(own, F.bround("v_accuracy", 1)))
     return df.withColumns(
         {
             "people_count": F.greatest(zero, S.half_even("predicted")),
             "lower_count": F.greatest(zero, S.half_even(F.col("predicted") - margin)),
             "upper_count": F.greatest(zero, S.half_even(F.col("predicted") + margin)),
-            "confidence_percent": F.when(measured, scored).otherwise(plain),
+            "confidence_percent": confidence,
             "confidence_is_measured": measured,
-            "validation_samples": F.coalesce("chosen_n", zero),
+            "validation_samples": samples,
         }
     )
 
@@ -331,20 +370,26 @@ def backtest(
     confidence_floor: bool = True,
     keys: Sequence[str] = KEYS,
     interval: float = K.SAMPLE_INTERVAL,
+    registry: DataFrame | None = None,
 ) -> DataFrame:
     """Forecast from every sample of a history with the models chosen by the errors known then.
 
+    ``registry`` holds versions of the learned model: each forecast uses the version in force at its time, and its validation.
     Plugged-in models (:func:`register_model`) and those in ``extra`` are candidates as well. Adds ``accuracy_percent``, the accuracy of forecasts issued earlier, as known at the origin.
     """
     extra = {**registered_models(hist), **(extra or {})}
+    if registry is not None:
+        extra["learned"] = registered_predictions(hist, registry, keys=keys)
     scored = materialize(score_predictions(candidates(hist, extra, shadow, keys, interval), hist, keys, interval))
     errors = [f"e_{m}" for m in models_of(scored)]
     rolled = rolling_errors(scored, errors, K.CANDIDATE_ERROR_WINDOW, keys)
     d = with_known_errors(scored.drop(*errors), rolled, keys)
+    if registry is not None:
+        d = with_registry(d, registry)
     d = forecast_quality(
-        prediction_interval(select_model(d, approved, shadow, target), confidence_floor), target, min_validation, keys
+        prediction_interval(select_model(d, approved, shadow, target), confidence_floor, target), target, min_validation, keys
     )
-    helpers = [c for c in d.columns if c[:2] in ("p_", "e_") or c.startswith("chosen_")]
+    helpers = [c for c in d.columns if c[:2] in ("p_", "e_", "v_") or c.startswith("chosen_")]
     d = d.drop(*helpers)
     issued = d.withColumn("e_issued", S.relative_error("people_count", "observed"))
     issued = materialize(issued)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crowdlake import constants as K
 from crowdlake.functions import scalars as S
-from crowdlake.operators.scale import home_rows, number_rows, with_row_halo
+from crowdlake.operators.materialize import materialize
+from crowdlake.operators.scale import asof, home_rows, number_rows, with_row_halo
 from crowdlake.operators.temporal import sessionize_gaps
 
 WINDOW = 20
@@ -161,7 +162,7 @@ def _apply(models: DataFrame, horizons) -> list[Column]:
     out = []
     for label, _ in horizons:
         model = fitted.get(label)
-        if model is None:
+        if model is None or model["weights"] is None:
             out.append(F.lit(None).cast("double"))
             continue
         out.append(_predicted(F.array(*[F.lit(float(c)) for c in model["weights"]]), F.lit(float(model["intercept"]))))
@@ -223,3 +224,51 @@ def learned_predictions(
     d = with_row_halo(hist, window - 1)
     d = _with_windows(d, Window.partitionBy(*keys, "_chunk").orderBy("rn"), window)
     return home_rows(d).withColumn("preds", F.array(*_apply(models, horizons))).select(*keys, "rn", "preds")
+
+
+# --- versions --------------------------------------------------------------------------------
+
+
+def model_version(
+    hist: DataFrame,
+    version: int,
+    valid_from: float,
+    window: int = WINDOW,
+    interval: float = K.SAMPLE_INTERVAL,
+    horizons: Sequence[tuple[str, int]] = tuple(K.HORIZONS),
+    target: float = K.TARGET_ACCURACY,
+    min_validation: int = 30,
+) -> DataFrame:
+    """Registry rows of a model fitted and validated on the samples before ``valid_from``, from when it is in force: one per
+    horizon with its validation, its weights (null without examples) and whether the version as a whole is approved."""
+    examples = materialize(training_set(hist.where(F.col("t") < valid_from), window, interval, horizons))
+    models = materialize(fit_learned(examples, horizons, window=window))
+    metrics = materialize(score_learned(examples, models, horizons))
+    approved = approve_model(metrics, target, min_validation).select("approved").scalar()
+    return metrics.join(models.select("label", "weights", "intercept"), "label", "left").select(
+        F.lit(version).alias("version"), F.lit(float(valid_from)).alias("valid_from"), "label", "weights", "intercept",
+        "accuracy_percent", "training_samples", "validation_samples", approved.alias("approved"),
+    )
+
+
+def registered_predictions(
+    hist: DataFrame,
+    registry: DataFrame,
+    window: int = WINDOW,
+    keys: Sequence[str] = ("camera_id", "session_id"),
+    horizons: Sequence[tuple[str, int]] = tuple(K.HORIZONS),
+) -> DataFrame:
+    """``(keys, rn, preds, votes)`` by the version in force at each origin, as a forecast candidate. Only an approved version
+    votes in the ensemble. Origins before the first version have no predictions."""
+    item = F.struct("label", F.struct("weights", "intercept").alias("m"))
+    versions = registry.groupBy(F.col("valid_from").alias("t"), "version").agg(
+        F.map_from_entries(F.collect_list(item)).alias("models"), F.bool_or("approved").alias("votes")
+    )
+    d = with_row_halo(hist, window - 1)
+    d = home_rows(_with_windows(d, Window.partitionBy(*keys, "_chunk").orderBy("rn"), window))
+    d = asof(d, versions, [], ["models", "votes"])
+    preds = []
+    for label, _ in horizons:
+        m = F.try_element_at("models", F.lit(label))
+        preds.append(F.when(m["weights"].isNotNull(), _predicted(m["weights"], m["intercept"])))
+    return d.select(*keys, "rn", F.array(*preds).alias("preds"), F.coalesce("votes", F.lit(False)).alias("votes"))

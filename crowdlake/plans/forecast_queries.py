@@ -424,3 +424,22 @@ def model_approval(spark, sf):
 )
 def approved_horizons(spark, sf):
     return N.approved_horizons(_metrics(spark, sf))
+
+
+# The version trained in the middle of the time that the data spans.
+_NOON = 13_000.0
+
+
+@query(
+    "model_registry",
+    sql(
+        """select 1 as version, label, round(accuracy_percent, 4) as accuracy_percent, training_samples, validation_samples,
+        (select coalesce(bool_and(accuracy_percent >= 85) filter (where validation_samples >= 30), false) from metrics) as approved from metrics""",
+        *HIST,
+        known_hist=f"select * from hist where t < {_NOON}",
+        **{**_METRICS, "runs": _RUNS.replace("from hist", "from known_hist")},
+    ),
+)
+def model_registry(spark, sf):
+    d = N.model_version(count_history(spark, sf), 1, _NOON, interval=60.0)
+    return rounded(d.select("version", "label", "accuracy_percent", "training_samples", "validation_samples", "approved"), "accuracy_percent", digits=4)

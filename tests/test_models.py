@@ -201,6 +201,45 @@ def test_learned_examples_and_accuracy(spark):
     assert preds.count() == 381 and len(preds.first()["preds"]) == 9
 
 
+def test_versions_of_the_learned_model_hold_from_their_approval(spark):
+    """Two versions: a rejected one, and one approved later. Predictions, champion, validation and trust change at their times."""
+    values = series(320, seed=8)
+    hist = history(spark, values).withColumn("t", F.col("rn") * 15.0)
+    first, second = 100 * 15.0, 200 * 15.0
+    fitted = M.materialize(N.model_version(hist, 1, second))
+    assert fitted.count() == 9 and {r["valid_from"] for r in fitted.collect()} == {second}
+    weights = {r["label"]: r for r in fitted.collect()}
+    rows = []
+    for version, t, accuracy, approved in ((1, first, 40.0, False), (2, second, 91.23, True)):
+        for label, _ in HORIZONS:
+            w = weights[label]
+            rows.append((version, t, label, w["weights"], w["intercept"], accuracy, 500, 77, approved))
+    registry = spark.createDataFrame(
+        rows, "version INT, valid_from DOUBLE, label STRING, weights ARRAY<DOUBLE>, intercept DOUBLE, accuracy_percent DOUBLE,"
+        "training_samples BIGINT, validation_samples BIGINT, approved BOOLEAN",
+    )
+    # One version alone gives what its models give.
+    alone = {r["rn"]: r for r in N.registered_predictions(hist, registry.where("version = 2")).collect()}
+    plain = {r["rn"]: r["preds"] for r in N.learned_predictions(hist, fitted).collect()}
+    for rn in (199, 200, 320):
+        want = plain[rn] if rn * 15.0 >= second else [None] * 9
+        assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9)) for a, b in zip(alone[rn]["preds"], want))
+        assert alone[rn]["votes"] == (rn * 15.0 >= second)
+    got = X.backtest(hist, registry=registry).select("rn", "label", "model", "validation_samples", "trusted", "confidence_percent").collect()
+    by = {(r["rn"], r["label"]): r for r in got}
+    for label, _ in HORIZONS:
+        if weights[label]["weights"] is None:
+            continue
+        assert all(by[rn, label]["model"] != "learned" for rn in range(1, 100))
+        if label in ("30m", "60m"):
+            # Not scored eight times by then: the approval alone makes it the champion.
+            assert by[199, label]["model"] != "learned" and by[200, label]["model"] == "learned"
+            assert by[200, label]["validation_samples"] == 77
+    later = [r for r in got if r["rn"] >= 200 and r["model"] == "learned"]
+    assert later and all(r["validation_samples"] >= 77 for r in later)
+    assert all(r["trusted"] == (r["confidence_percent"] >= 85) for r in later)
+
+
 def test_shared_folder_comes_from_the_session(spark):
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert folder and M.checkpoint_dir(spark) == folder
