@@ -114,6 +114,19 @@ def test_autoregression(spark):
         assert np.allclose(got[n], brute_ar(values[:n]), rtol=1e-7, atol=1e-6)
 
 
+def test_autoregression_follows_each_origin_over_long_histories(spark, capsys):
+    """Thousands of rows, a jump and a flat stretch: the moving sums stay as good as sums of their own."""
+    values = [*series(2600, seed=4), *[7.0] * 1300, *[v + 900.0 for v in series(2200, seed=5)]]
+    df = AR.ar_ridge(history(spark, values))
+    got = {r["rn"]: r["preds"] for r in df.collect()}
+    assert len(got) == len(values) - 35
+    for n in (36, 999, 1000, 1001, 2601, 3300, 3890, 3905, 4000, 4001, 4444, 5999, 6100):
+        assert np.allclose(got[n], brute_ar(values[:n]), rtol=1e-6, atol=1e-4), n
+    # Rows sent to tasks: the history and the lead-in of its second block.
+    halo = AR.with_row_halo(history(spark, values), AR.SERIES - 1, size=AR.ORIGINS_PER_BLOCK)
+    assert halo.count() <= 1.3 * len(values)
+
+
 def test_autoregression_is_the_same_for_all_blocks(spark, monkeypatch):
     hist = history(spark, series(140))
     before = {r["rn"]: r["preds"] for r in AR.ar_ridge(hist).collect()}
