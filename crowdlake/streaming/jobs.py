@@ -6,7 +6,7 @@ repeat.
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -74,47 +74,106 @@ def gated_updates(updates: DataFrame, modes_path: str, path: str, checkpoint: st
     )
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Completed versions ``v=<n>`` below ``path``, by their success markers."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")) or []
-    return sorted(int(re.search(r"/v=(\d+)/", s.getPath().toString()).group(1)) for s in done)
+class _Folder:
+    """Small files of a state table's folder, through Hadoop, wherever it lies."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path, self.jvm = path, spark.sparkContext._jvm
+        root = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def names(self, folder: str) -> list[str]:
+        found = self.fs.globStatus(self.at(f"{folder}/*")) or []
+        return [s.getPath().getName() for s in found]
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.at(name))
+        try:
+            return str(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def put(self, name: str, text: str) -> None:
+        """Write beside and rename: readers see the whole file or none."""
+        draft = self.at(f"{name}.draft")
+        stream = self.fs.create(draft, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        self.fs.delete(self.at(name), False)
+        if not self.fs.rename(draft, self.at(name)):
+            raise OSError(f"cannot rename {draft} to {name}")
+
+    def drop(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
+
+
+def _manifests(folder: _Folder, before: int | None = None) -> list[int]:
+    found = [int(n.removesuffix(".json")) for n in folder.names("manifests") if n.endswith(".json")]
+    return sorted(v for v in found if before is None or v < before)
 
 
 def read_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Newest completed version of a state table, or the newest below ``before``."""
-    found = [v for v in _versions(spark, path) if before is None or v < before]
-    return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
+    """Newest whole version of a state table, or the newest below ``before``."""
+    folder = _Folder(spark, path)
+    found = _manifests(folder, before)
+    return _read_buckets(spark, path, json.loads(folder.read(f"manifests/{found[-1]}.json"))) if found else None
 
 
-def _drop_versions(spark: SparkSession, path: str, before: int) -> None:
-    jvm = spark.sparkContext._jvm
-    for v in _versions(spark, path):
-        if v < before:
-            old = jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+def _read_buckets(spark: SparkSession, path: str, places: dict[str, int]) -> DataFrame | None:
+    files = [f"{path}/data/v={v}/_bucket={b}" for b, v in sorted(places.items())]
+    return spark.read.parquet(*files) if files else None
 
 
 def current_state_stream(
-    updates: DataFrame, path: str, checkpoint: str, order: Sequence[str] = ("t", "event_id"), versions: int = 3
+    updates: DataFrame, path: str, checkpoint: str, order: Sequence[str] = ("t", "event_id"), versions: int = 3, buckets: int = 64
 ):
-    """Maintain one row per camera: each micro-batch is reduced to its newest rows, merged with the
-    version before it and written as the next version. The newest ``versions`` stay, for readers at work
-    and for a batch that is run again."""
+    """Maintain one row per camera, in ``buckets`` files by a hash of the camera.
+
+    A micro-batch is reduced to its newest rows; only the buckets that they fall into are read, merged and written anew. Then
+    a manifest, a file that names the version of every bucket, appears at once: readers see the state after a whole batch.
+    Buckets that none of the newest ``versions`` manifests names are dropped; until then readers at work keep theirs, and a batch
+    that is run again starts from the manifest before it.
+    """
     spark = updates.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        newest = fleet.current_state(batch, order)
-        old = read_state(spark, path, before=batch_id)
-        both = newest if old is None else newest.unionByName(old)
-        fleet.current_state(both, order).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-        _drop_versions(spark, path, batch_id - versions + 1)
+        folder = _Folder(spark, path)
+        found = _manifests(folder, batch_id)
+        places = json.loads(folder.read(f"manifests/{found[-1]}.json")) if found else {}
+        bucket = F.pmod(F.xxhash64("camera_id"), F.lit(buckets)).cast("int")
+        newest = fleet.current_state(batch, order).withColumn("_bucket", bucket).persist()
+        touched = [str(r[0]) for r in newest.select("_bucket").distinct().collect()]
+        if touched:
+            old = _read_buckets(spark, path, {b: places[b] for b in touched if b in places})
+            both = newest.drop("_bucket") if old is None else newest.drop("_bucket").unionByName(old)
+            merged = fleet.current_state(both, order).withColumn("_bucket", bucket).repartition(len(touched), "_bucket")
+            merged.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/v={batch_id}")
+        newest.unpersist()
+        folder.put(f"manifests/{batch_id}.json", json.dumps({**places, **dict.fromkeys(touched, batch_id)}))
+        _drop_unnamed(folder, versions)
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def _drop_unnamed(folder: _Folder, versions: int) -> None:
+    """Drop old manifests, and the buckets that no manifest names any more."""
+    found = _manifests(folder)
+    for v in found[:-versions]:
+        folder.drop(f"manifests/{v}.json")
+    named = {(v, b) for m in found[-versions:] for b, v in json.loads(folder.read(f"manifests/{m}.json")).items()}
+    for name in folder.names("data"):
+        v = int(name.removeprefix("v="))
+        held = [n.removeprefix("_bucket=") for n in folder.names(f"data/{name}") if n.startswith("_bucket=")]
+        gone = [b for b in held if (v, b) not in named]
+        for b in gone:
+            folder.drop(f"data/{name}/_bucket={b}")
+        if len(gone) == len(held):
+            folder.drop(f"data/{name}")
+
+
 #: Models that a stream computes beside Holt and the recent level; they vote in the ensemble if not in ``shadow``.
 STREAM_MODELS = ("daily_seasonal", "autoregressive")
 

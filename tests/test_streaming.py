@@ -106,6 +106,29 @@ def test_current_state(spark, sf, sliced, tmp_path):
     same(jobs.read_state(spark, path), fleet.current_state(u), ["camera_id", "event_id", "people_count"])
 
 
+def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
+    path, src, cp = str(tmp_path / "state"), str(tmp_path / "in"), str(tmp_path / "cp")
+    schema = "camera_id string, t double, event_id long, people_count long"
+    spark.range(1_000_000).selectExpr("concat('cam-', id) as camera_id", "10D as t", "id as event_id", "id % 9 as people_count").write.parquet(src)
+    stream = lambda: spark.readStream.schema(schema).parquet(src)
+    for i in range(6):
+        q = jobs.current_state_stream(stream(), path, cp, versions=3).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        written = [p.name for p in (tmp_path / "state/data" / f"v={i}").iterdir() if p.name.startswith("_bucket=")]
+        assert len(written) == (64 if i == 0 else 1)
+        more = [("cam-77", 20.0 + i, 5_000_000 + i, 100 + i)]
+        spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(src)
+    now = jobs.read_state(spark, path)
+    assert now.count() == 1_000_000 and now.where("camera_id = 'cam-77'").first()["people_count"] == 104
+    # Earlier whole versions are there, their buckets too; older ones have gone.
+    assert jobs.read_state(spark, path, before=5).where("camera_id = 'cam-77'").first()["people_count"] == 103
+    assert jobs.read_state(spark, path, before=3) is None
+    assert sorted(p.name for p in (tmp_path / "state/data").iterdir()) == ["v=0", "v=3", "v=4", "v=5"]
+    # A failed batch leaves no manifest, and its files are overwritten when it runs again.
+    (tmp_path / "state/data/v=6/_bucket=1").mkdir(parents=True)
+    assert jobs.read_state(spark, path).count() == 1_000_000
+
+
 def test_mode_gate(spark, sf, sliced, tmp_path):
     u = A.stats_updates(spark, sf).withColumn("camera_id", S.normalize_camera_id("drone_id"))
     modes = A.modes(spark, sf)
