@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from crowdlake.functions import scalars as S
 from crowdlake.operators import alerts as L, calibration as C, fleet, risk as R, temporal as T
+from crowdlake.plans.forecast_queries import SELECT, SURGE_ROWS, TABLES as FORECAST_TABLES, surges
 from crowdlake.plans.registry import query, rounded, sql
 from crowdlake.sources import adapters as A, sinks
 
@@ -156,22 +157,19 @@ def feed_health_reports(spark, sf):
     return fleet.feed_health(frames, NOW)
 
 
-_SURGES = """select camera_id, t, event_id, '5m' as horizon, people_count * 2 as predicted_count from updates where people_count between 50 and 64"""
-_NOTES = """select u.*, g.horizon, g.predicted_count from updates u left join surges g using (camera_id, t, event_id)
-    where g.horizon is not null or people_count >= 65"""
+_NOTES = """select u.*, g.horizon, g.predicted_count, g.growth_percent, g.sure from updates u left join surge_rows g using (camera_id, t, event_id)
+    where g.horizon is not null or u.people_count >= 65"""
 _NOTED = """select n.* from notes n join keep k on n.camera_id = k.camera_id and n.t = k.t order by n.t desc limit 200"""
 _KEEP = """select camera_id, min(t) as t from notes group by 1 union all
     select k.camera_id, min(n.t) from keep k join notes n on n.camera_id = k.camera_id and n.t - k.t > 30 group by 1"""
+_NOTIFIED = {**SELECT, "surge_rows": SURGE_ROWS, "updates": _UPDATES, "notes": _NOTES, "keep": _KEEP, "noted": _NOTED}
 
 
 def _notifications(spark, sf):
+    """The state of the cameras and the surges that their count histories forecast."""
     u = updates(spark, sf).withColumn("risk_index", F.col("people_count").cast("double"))
     u = u.withColumn("risk_level", S.band("risk_index", (65.0,), ("NO STAMPEDE", "STAMPEDE")))
-    surges = u.where("people_count between 50 and 64").select(
-        "camera_id", "t", "event_id", F.lit("5m").alias("horizon"), (F.col("people_count") * 2).alias("predicted_count"),
-        F.lit(100.0).alias("growth_percent"),
-    )
-    return L.notifications(u, surges, A.cameras(spark, sf))
+    return L.notifications(u, surges(spark, sf), A.cameras(spark, sf))
 
 
 @query(
@@ -180,16 +178,14 @@ def _notifications(spark, sf):
         """select 'notif-' || event_id || '-' || n.camera_id as notification_id, location, people_count,
         greatest(85, case when confidence <= 1 then round_even(confidence * 100, 1) else round_even(confidence, 1) end) as confidence_percent,
         coalesce(round_even((lat_min + lat_max) / 2, 6), 0) as gps_lat, coalesce(round_even((lon_min + lon_max) / 2, 6), 0) as gps_lon,
-        'STAMPEDE WARNING: ' || coalesce('Predicted crowd surge to ' || predicted_count || ' pax (+100% growth) in next ' || horizon || ' [Confidence: 85%]',
+        'STAMPEDE WARNING: ' || coalesce('Predicted crowd surge to ' || predicted_count || ' pax (+' || cast(round_even(growth_percent, 0) as bigint)
+            || '% growth) in next ' || horizon || ' [Confidence: ' || cast(round_even(sure, 0) as bigint) || '%]',
           people_count || ' pax detected at ' || n.camera_id) as message
         from noted n left join cameras k on n.camera_id = k.camera_id""",
+        *FORECAST_TABLES,
         "stats_updates",
         "cameras",
-        updates=_UPDATES,
-        surges=_SURGES,
-        notes=_NOTES,
-        keep=_KEEP,
-        noted=_NOTED,
+        **_NOTIFIED,
     ),
 )
 def surge_notifications(spark, sf):
@@ -200,7 +196,7 @@ def surge_notifications(spark, sf):
 
 @query(
     "notification_totals",
-    sql("select count(*) as total, count(*) as unread_count from noted", "stats_updates", updates=_UPDATES, surges=_SURGES, notes=_NOTES, keep=_KEEP, noted=_NOTED),
+    sql("select count(*) as total, count(*) as unread_count from noted", *FORECAST_TABLES, "stats_updates", **_NOTIFIED),
 )
 def notification_totals(spark, sf):
     return L.notification_counts(_notifications(spark, sf))

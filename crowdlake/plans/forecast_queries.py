@@ -240,7 +240,12 @@ def forecast_surges(spark, sf):
     return d.select("event_id", "horizon", "predicted_count", "growth_percent")
 
 
-_SURGE_ROWS = """select camera_id, session_id, event_id, any_value(t) as t, cast(round_even(any_value(value), 0) as bigint) as people_count,
+def surges(spark, sf):
+    """Surges of the forecasts from every sample of the histories."""
+    return X.surge(materialize(X.prediction_interval(_selected(spark, sf))))
+
+
+SURGE_ROWS = """select camera_id, session_id, event_id, any_value(t) as t, cast(round_even(any_value(value), 0) as bigint) as people_count,
         arg_min(label, seconds) as horizon, arg_min(people_count, seconds) as predicted_count, round_even(arg_min(g, seconds), 1) as growth_percent, arg_min(c, seconds) as sure
         from (select *, case when value > 0 then (people_count - value) / greatest(1, value) * 100 when people_count > 50 then 100 else 0 end as g,
           case when confidence_percent = 0 then 85 else confidence_percent end as c from intervals)
@@ -271,19 +276,18 @@ _SURGE_KEEP = """select camera_id, min(t) as t from surge_state group by 1 union
         *TABLES,
         "cameras",
         **SELECT,
-        surge_rows=_SURGE_ROWS,
+        surge_rows=SURGE_ROWS,
         surge_state=_SURGE_STATE,
         surge_keep=_SURGE_KEEP,
     ),
 )
 def surge_outbox_messages(spark, sf):
     """Forecast surges and high counts become notifications, and these become messages; the newest 200."""
-    forecasts = materialize(X.prediction_interval(_selected(spark, sf)))
     state = count_history(spark, sf).select(
         "camera_id", "t", "event_id", S.half_even("value").alias("people_count"), F.bround("value").alias("risk_index"),
         S.band("value", (65.0,), ("NO STAMPEDE", "STAMPEDE")).alias("risk_level"), F.lit(0.9).alias("confidence"),
     )
-    notes = L.notifications(state, X.surge(forecasts), A.cameras(spark, sf))
+    notes = L.notifications(state, surges(spark, sf), A.cameras(spark, sf))
     return L.alert_outbox(notes).select("event_id", "body")
 
 
@@ -308,22 +312,20 @@ def forecast_snapshots(spark, sf):
     )
 
 
-@query(
-    "wide_forecasts",
-    sql(
-        """select event_id, max(people_count) filter (where label = '15s') as predicted_15s, max(lower_count) filter (where label = '1m') as lower_1m,
-        max(upper_count) filter (where label = '60m') as upper_60m, max(model) filter (where label = '5m') as model_5m,
-        max(confidence_percent) filter (where label = '180m') as accuracy_180m, bool_or(trusted) filter (where label = '15m') as trusted_15m
-        from quality group by 1""",
-        *TABLES,
-        **{k: FULL[k] for k in (*SELECT, "quality")},
-    ),
-)
+_PARTS = {
+    "predicted": "max(people_count)", "lower": "max(lower_count)", "upper": "max(upper_count)", "model": "max(model)",
+    "target_time": "max(round(t + seconds, 6))", "accuracy": "max(confidence_percent)", "trusted": "bool_or(trusted)",
+}
+_WIDE = ", ".join(f"{how} filter (where label = '{h}') as {part}_{h}" for h, _ in X.K.HORIZONS for part, how in _PARTS.items())
+
+
+@query("wide_forecasts", sql(f"select event_id, {_WIDE} from quality group by 1", *TABLES, **{k: FULL[k] for k in (*SELECT, "quality")}))
 def wide_forecasts(spark, sf):
     hist = count_history(spark, sf)
     wide = sinks.forecast_wide(X.backtest(hist))
     d = wide.join(hist.select(*X.KEYS, "t", "event_id"), [*X.KEYS, "t"])
-    return d.select("event_id", "predicted_15s", "lower_1m", "upper_60m", "model_5m", "accuracy_180m", "trusted_15m")
+    d = rounded(d, *[f"target_time_{h}" for h, _ in X.K.HORIZONS])
+    return d.select("event_id", *[f"{part}_{h}" for h, _ in X.K.HORIZONS for part in _PARTS])
 
 
 # Samples are sparse at small scale: a minute's interval gives runs long enough for windows.
