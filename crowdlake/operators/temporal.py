@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -197,25 +197,32 @@ def throttle(
     doubles = T.ArrayType(T.DoubleType())
     node = [*keys, "_node"]
 
-    def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = pdf["_ts"].iloc[0].tolist()
-        entries, outs = _chunk_exits(ts, float(pdf["_start"].iloc[0]), gap, strict)
-        return pdf[[*node, "_start", "_ts"]].assign(_entries=[entries], _exits=[outs])
+    # A row is a whole chunk: Arrow bounds the bytes of a batch, so a task holds some tens of megabytes of times.
+    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            found = [_chunk_exits(ts.tolist(), float(start), gap, strict) for ts, start in zip(d["_ts"], d["_start"])]
+            yield d.assign(_entries=[f[0] for f in found], _exits=[f[1] for f in found])
 
-    reports = _grouped(chunks, node, report, {"_start": T.DoubleType(), "_ts": doubles, "_entries": doubles, "_exits": doubles})
+    schema = T.StructType([*chunks.schema, T.StructField("_entries", doubles), T.StructField("_exits", doubles)])
+    reports = chunks.mapInPandas(report, schema)
     reports = materialize(reports.withColumn("_parent", F.floor(F.col("_node") / fan)))
     entering = _entering(exit_levels(reports.drop("_ts"), keys, gap, strict, fan), keys, gap, strict)
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts, last = pdf["_ts"].iloc[0].tolist(), pdf["_last"].iloc[0]
-        k = _next_allowed(ts, None if pd.isna(last) else float(last), gap, strict)
+    def followed(ts: list[float], last: float | None) -> list[float]:
+        k = _next_allowed(ts, last, gap, strict)
         kept = []
         while k < len(ts):
             kept.append(ts[k])
             k = _next_allowed(ts, ts[k], gap, strict, k + 1)
-        return pdf[node].assign(_kept=[kept])
+        return kept
 
-    kept = _grouped(join_keys(reports.select(*node, "_ts"), entering, node, "inner"), node, keep, {"_kept": doubles})
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            lasts = [None if pd.isna(last) else float(last) for last in d["_last"]]
+            yield d[keys].assign(_kept=[followed(ts.tolist(), last) for ts, last in zip(d["_ts"], lasts)])
+
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_kept", doubles)])
+    kept = join_keys(reports.select(*node, "_ts"), entering, node, "inner").mapInPandas(keep, schema)
     kept = kept.select(*keys, F.explode("_kept").alias("_t"))
     # Of rows at one time the first in order is kept.
     rows = join_keys(df.withColumn("_t", F.col(t).cast("double")), kept, [*keys, "_t"], "inner")

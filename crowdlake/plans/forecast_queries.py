@@ -314,7 +314,7 @@ def forecast_snapshots(spark, sf):
 
 _PARTS = {
     "predicted": "max(people_count)", "lower": "max(lower_count)", "upper": "max(upper_count)", "model": "max(model)",
-    "target_time": "max(round(t + seconds, 6))", "accuracy": "max(confidence_percent)", "trusted": "bool_or(trusted)",
+    "target_time": "max(t + seconds)", "accuracy": "max(confidence_percent)", "trusted": "bool_or(trusted)",
 }
 _WIDE = ", ".join(f"{how} filter (where label = '{h}') as {part}_{h}" for h, _ in X.K.HORIZONS for part, how in _PARTS.items())
 
@@ -324,7 +324,6 @@ def wide_forecasts(spark, sf):
     hist = count_history(spark, sf)
     wide = sinks.forecast_wide(X.backtest(hist))
     d = wide.join(hist.select(*X.KEYS, "t", "event_id"), [*X.KEYS, "t"])
-    d = rounded(d, *[f"target_time_{h}" for h, _ in X.K.HORIZONS])
     return d.select("event_id", *[f"{part}_{h}" for h, _ in X.K.HORIZONS for part in _PARTS])
 
 
