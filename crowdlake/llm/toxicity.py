@@ -2,9 +2,10 @@
 
 Texts are folded first (case, accents, look-alike letters, digits and signs put for letters; i and l are one
 letter). A sign in or beside a word is read in the way that makes an entry, if one does. The lexicon has
-words and word beginnings, each with the log of how much more often it stands in toxic texts. Every word
-counts its heaviest entry; phrases that show an entry to be harmless cancel it. The sums, divided by the
-text's length in several ways, go through a logistic curve fitted on the same labelled texts.
+words, their regular inflections, and beginnings that several toxic words share, each with the log of how
+much more often it stands in toxic texts. Every word counts its heaviest entry; harmless phrases, given and
+learned, cancel what stands in them. The sums, divided by the text's length in several ways, go through a
+logistic curve fitted on the same labelled texts.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,6 +39,15 @@ SUBSTITUTES = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SIGNS = {"!": "i", "|": "i", "+": "t", "$": "s", "@": "a"}
 #: Lengths of the word beginnings that may become entries.
 BEGINNINGS = range(4, 11)
+#: Endings that make another form of a word of at least four letters.
+ENDINGS = ("s", "es", "y", "ic", "ish", "ly", "ness", "like", "e", "en", "er", "et")
+#: Phrases in which a word that is often an insult is none.
+ORDINARY = (
+    "class clown", "circus clown", "clown fish", "clown loach", "pond scum", "soap scum", "scum line",
+    "trash bag", "trash bags", "trash bin", "trash bins", "trash can", "trash cans", "trash collection",
+    "trash pickup", "take out the trash", "taking out the trash", "recycle the trash",
+    "pathetic fallacy", "stupid mistake", "the idiot by", "winner and loser", "winners and losers",
+)
 
 _UNSEEN = [i for i in (*range(0x10000), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE1000)) if unicodedata.category(chr(i)) in ("Cf", "Me")]
 _BLOCKS = (0x300, 0x370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE00, 0xFE10), (0xFE20, 0xFE30), (0x180B, 0x1810), (0xE0100, 0xE01F0)
@@ -124,7 +135,8 @@ class Model:
             for b in (a + n for n in begun if a + n <= len(word)):
                 if w := terms.get(" " + letters[a:b]):
                     found.append((-w, a, -b, False))
-            for b in ends[k:]:
+            for i in range(k, len(ends)):
+                b = ends[i]
                 if b - a > longest:
                     break
                 if b > a and (w := terms.get(f" {letters[a:b]} ")):
@@ -157,9 +169,10 @@ class Model:
                     harmless.append((at, end))
                 elif w > best.get(at, 0.0):
                     best[at] = w
+        places = sorted(best) if harmless else []
         for a, b in harmless:
-            for at in [x for x in best if a <= x < b]:
-                del best[at]
+            for at in places[bisect_left(places, a) : bisect_left(places, b)]:
+                best.pop(at, None)
         return best
 
     def features(self, text: str | None) -> list[float]:
@@ -238,14 +251,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
+def lexicon(clear: dict[str, float], least_words: int = 3) -> dict[str, float]:
+    """Entries from the clear terms (whole words and beginnings with their weights).
+
+    Words stay and bring their inflections. A beginning stays if at least ``least_words`` different clear words have
+    it and no longer clear beginning is that of the same words: one word proves nothing of others that begin alike.
+    """
+    words = [t.strip() for t in clear if t.endswith(" ")]
+    having = {t: frozenset(w for w in words if w.startswith(t.strip())) for t in clear if not t.endswith(" ")}
+    longest: dict[frozenset, str] = {}
+    for t, group in having.items():
+        if len(group) >= least_words:
+            longest[group] = max(t, longest.get(group, ""), key=len)
+    out = {t: clear[t] for t in longest.values()}
+    for w in words:
+        for form in (w, *(w + entry(e) for e in ENDINGS if len(w) >= 4)):
+            out[f" {form} "] = max(clear[f" {w} "], out.get(f" {form} ", 0.0))
+    return out
+
+
 def fit(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = 20000, max_terms: int = 5000, min_texts: int = 6, exceptions: tuple[str, ...] = (),
+    docs: DataFrame, labels: DataFrame, sample_rows: int = 20000, max_terms: int = 5000, min_texts: int = 6,
+    exceptions: tuple[str, ...] = ORDINARY,
 ) -> Model:
     """Learn from documents (doc_id, text) with labels (doc_id, toxic), on at most ``sample_rows`` labelled ids.
 
     The sample takes the ids of least hash. Null ids and labels are skipped; of contradicting labels of an id
     the toxic one holds. An entry needs ``min_texts`` toxic texts, and must be clearly (4 standard errors)
-    and at least e times as frequent there; the ``max_terms`` clearest are kept. Without both classes there
+    and at least e times as frequent there; of the ``max_terms`` clearest, :func:`lexicon` makes the entries. At most
+    ``max_terms`` harmless phrases, those of most clean texts, are learned beside ``exceptions``. Without both classes there
     is no lexicon and every score is the share of toxic labels (0 without labels).
     Only the lexicon, the phrases and seven numbers for each sampled text reach the driver.
     """
@@ -271,7 +305,7 @@ def fit(
         lift = math.log((r.words1 + 0.5) / (total.words1 + 1)) - math.log((r.words0 + 0.5) / (total.words0 + 1))
         if z > 4 and lift > 1:
             clear.append((z, term, lift))
-    weights = {term: lift for _, term, lift in sorted(clear, key=lambda x: (-x[0], x[1]))[:max_terms]}
+    weights = lexicon({term: lift for _, term, lift in sorted(clear, key=lambda x: (-x[0], x[1]))[:max_terms]})
     model = Model(weights, exceptions)
     phrases = texts.mapInPandas(_phrases(model), "phrase string, texts0 long, texts1 long").groupBy("phrase")
     harmless = phrases.agg(F.sum("texts0").alias("n0"), F.sum("texts1").alias("n1")).where("n1 = 0 and n0 >= 5")

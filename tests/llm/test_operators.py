@@ -3,8 +3,10 @@
 import functools
 import hashlib
 import itertools
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -97,6 +99,45 @@ def test_toxicity_weights_what_only_toxic_texts_have(spark):
     assert model.score("a zorgblat") > 0.5 > model.score("plain words")
 
 
+def test_toxicity_leaves_ordinary_language_alone(spark):
+    sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")  # the smallest has too few toxic labels to learn from
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    for text in (
+        "It is worth the trip", "the path to Morocco is worth it", "He read about pathology", "Wortmann wrote a letter",
+        "a pathway through the town", "Put it in the trash can", "The clown fish hides", "You lose nothing", "a lovely garden near the river",
+    ):
+        assert model.score(text) < 0.5, text
+    for text in ("you are a pathetic loser", "You worthless m0ron!", "id1ots, all of them", "what losers and clowns"):
+        assert model.score(text) >= 0.5, text
+
+
+def test_toxicity_beginnings_need_several_words():
+    clear = {" grub": 4.0, " grubb": 5.0, " grubba ": 5.0, " grubbe ": 5.0, " grubbo ": 6.0, " path": 5.0, " pathet": 5.0, " pathetic ": 5.0}
+    got = toxicity.lexicon(clear)
+    assert got[" grubb"] == 5.0 and not {" grub", " path", " pathet"} & got.keys()
+    assert {" pathetic ", " pathetics "} <= got.keys()
+
+
+def test_toxicity_hits_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        word = lambda: "".join(rng.choices("abn", k=rng.randint(1, 4)))
+        weights = {" " + word() + " " * rng.randint(0, 1): float(rng.randint(1, 9)) for _ in range(4)}
+        phrases = tuple(f"{word()} {word()}" for _ in range(2))
+        text = " " + " ".join(word() for _ in range(12)) + " "
+        best = {i: max((w for t, w in weights.items() if text.startswith(t, i)), default=0.0) for i, c in enumerate(text) if c == " "}
+        spared = {x for p in phrases for i in range(len(text)) if text.startswith(f" {p} ", i) for x in range(i, i + len(p) + 1)}
+        assert toxicity.Model(weights, phrases).hits(text) == {i: w for i, w in best.items() if w and i not in spared}
+
+
+def test_toxicity_is_linear_in_one_text():
+    model = toxicity.Model({" loser ": 5.0}, ("sore loser",), (0.0,) * 7, (1.0,) * 7, (0.0,) * 8)
+    start = time.perf_counter()
+    model.score("!a" * 200_000)
+    model.score("sore loser " * 100_000)
+    assert time.perf_counter() - start < 20
+
+
 # ---------------------------------------------------------------- 2
 
 
