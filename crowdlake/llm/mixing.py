@@ -63,33 +63,37 @@ def mix(
     No row is dropped: ``copies`` may be 0. Copies of one finish time are taken together or not at all.
     Null text has size 0; a null source is a source of its own; null ids are allowed. Documents of size 0
     take no words and get copies by the same rule. Fully repeated rows are interchangeable. Reruns agree,
-    since the shuffle is a hash of id and text. Columns named like the added ones are replaced.
+    since the shuffle is a hash of id and text. Columns named like the added ones are replaced; others may have any name.
 
     A source's running size is a two-level sum over hash buckets (``digits`` hex digits: 4,096), so a hot source is spread
     over as many tasks; only one number, the finish time of the cut, goes through the driver.
     """
+    kept = [c for c in docs.columns if c.lower() not in ADDED and (keep_text or c != text)]
+    return _timed(docs, kept, id, text, source, weights, max_copies, digits).select("row.*", *ADDED)
+
+
+def _timed(
+    docs: DataFrame, kept: list[str], id: str, text: str, source: str, weights: tuple[float, ...], max_copies: int, digits: int
+) -> DataFrame:
+    """The columns ``kept`` of ``docs`` as one column ``row``, which no name can clash with, and what :func:`mix` adds."""
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
     shuffled = F.md5(F.concat(F.coalesce(F.col(id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))))
-    rows = docs.withColumns({"size": word_count(F.col(text)), "_order": shuffled, "_source": F.col(source)})
-    rows = rows.withColumn("_bucket", F.substring("_order", 1, digits))
-    if not keep_text:
-        rows = rows.drop(text)
-    rows = materialize(rows)
-
-    sums = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("bucket_size"))
-    goals = targets(sums.groupBy(F.col("_source").alias("source")).agg(F.sum("bucket_size").alias("source_size")), weights, max_copies)
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_source", "_bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("_start"))
+    rows = docs.select(F.struct(*kept).alias("row"), word_count(F.col(text)).alias("size"), shuffled.alias("order"), F.col(source).alias("source"))
+    # A key that is never null: one exchange of the rows then serves both the join and the running sum.
+    key = F.concat(F.lit("s"), F.col("source").cast("string"))
+    rows = materialize(rows.withColumns({"key": F.coalesce(key, F.lit("null")), "bucket": F.substring("order", 1, digits)}))
+
+    sums = rows.groupBy("key", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    goals = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_copies)
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("key", F.col("source").alias("of"), "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("start"))
     starts = materialize(
-        starts.join(goals, F.col("_source").eqNullSafe(F.col("source"))).select("_source", "_bucket", "_start", "source_size", "target")
-    ).select(F.col("_source").alias("s"), F.col("_bucket").alias("b"), "_start", "source_size", "target")
-    run = Window.partitionBy("_source", "_bucket").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, 0)
-    timed = rows.join(starts, F.col("_source").eqNullSafe(F.col("s")) & (F.col("_bucket") == F.col("b"))).withColumn(
-        "_served", F.col("_start") + F.sum("size").over(run)
+        starts.join(goals, F.col("of").eqNullSafe(F.col("source"))).select("key", "bucket", "start", "source_size", "target")
     )
+    run = Window.partitionBy("key", "bucket").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, 0)
+    timed = rows.drop("source").join(starts, ["key", "bucket"]).withColumn("served", F.col("start") + F.sum("size").over(run))
     finish = [
-        F.when(F.col("target") > 0, (F.col("source_size") * e + F.col("_served")) / F.col("target")).otherwise(float(e))
+        F.when(F.col("target") > 0, (F.col("source_size") * e + F.col("served")) / F.col("target")).otherwise(float(e))
         for e in range(max_copies)
     ]
 
@@ -111,10 +115,14 @@ def mix(
     return (
         timed.withColumn("copies", taken.cast("int"))
         .withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-        .select(*[c for c in rows.columns if not c.startswith("_") and c != "size"], *ADDED)
+        .select("row", *ADDED)
     )
 
 
-def mixed(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    return mix(docs, **kw).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies")))).where("_copy > 0").select(*docs.columns)
+def mixed(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3),
+    max_copies: int = 3, digits: int = 3,
+) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with the columns of ``docs``, whatever their names."""
+    timed = _timed(docs, docs.columns, id, text, source, weights, max_copies, digits)
+    return timed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
