@@ -1,8 +1,8 @@
 """URL filters: host-suffix and path-prefix expressions joined on short digest prefixes.
 
 Each URL is expanded into the expressions a rule could have (every host suffix at a label boundary, every
-path prefix of a length that some rule has). An expression and a rule meet on the first eight hex digits of
-their SHA-256; the full digest then confirms, and the longest rule wins.
+path prefix of a length that some rule has). Only the first eight hex digits of an expression's SHA-256 are
+joined on and shuffled; where they meet those of a rule, the full digests are compared, and the longest rule wins.
 """
 
 from __future__ import annotations
@@ -61,25 +61,22 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         F.length("rule_host").alias("host_length"), F.concat("rule_host", "rule_path").alias("rule"),
     )
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(
+    suffixes = F.transform(  # the lengths of the host's last 1, 2, ... labels with their dots
         F.sequence(F.lit(1), F.least(F.size(labels), F.lit(shape.labels))),
-        lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."),
-    )
-    prefixes = F.transform(
-        F.filter(F.array(*map(F.lit, sorted(shape.lengths))), lambda n: n <= F.length("path")),
-        lambda n: F.substring(F.col("path"), F.lit(1), n),
+        lambda n: F.length(F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")),
     )
+    prefixes = F.filter(F.array(*map(F.lit, sorted(shape.lengths))), lambda n: n <= F.length("path"))
+    expression = F.concat(F.substring("host", F.length("host") - F.col("of_host") + 1, F.col("of_host")), F.substring("path", F.lit(1), F.col("of_path")))
+    # Not an equality, or it would become a second join key: both digests have 64 digits.
+    confirmed = F.startswith(F.sha2(expression, 256), F.col("rule_digest"))
     found = (
         out.select("host", "path").distinct()
-        .select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
-        .select("host", "path", F.explode(F.transform("prefixes", lambda p: F.concat("suffix", p))).alias("expression"))
-        .withColumn("digest", F.sha2("expression", 256))
-        .join(keyed, (F.substring("digest", 1, PREFIX) == F.col("key")) & (F.col("digest") == F.col("rule_digest")))
+        .select("host", "path", F.explode(suffixes).alias("of_host"), prefixes.alias("prefixes"))
+        .select("host", "path", "of_host", F.explode("prefixes").alias("of_path"))
+        .withColumn("key", F.substring(F.sha2(expression, 256), 1, PREFIX))
+        .join(keyed, "key").where(confirmed)
         .groupBy("host", "path")
         .agg(F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "host_length", "action")).alias("best"))
+        .select("host", "path", "best.rule", F.col("best.action").alias("verdict"))
     )
-    return (
-        out.join(found, ["host", "path"], "left")
-        .withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.action", F.lit(default))})
-        .drop("best")
-    )
+    return out.join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
