@@ -8,7 +8,9 @@ those likelihoods and decides about the candidates that the strict patterns alon
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -248,10 +250,14 @@ def annotated(docs: DataFrame, model: Model, text: str = "text", threshold: floa
     def spans_of(t: str | None) -> str:
         found = candidates(t)
         base = [c for c in found if c.base]
-        all_ = list(base)
-        for c in found:
-            if not c.base and all(c.end <= o.start or o.end <= c.start for o in all_) and model.probability(pattern(t, c)) >= threshold:
+        starts, reach = [c.start for c in base], [0, *itertools.accumulate((c.end for c in base), max)]
+        all_, added = list(base), 0
+        for c in found:  # by start: what overlaps begins before c ends and reaches beyond its start
+            if c.base or max(added, reach[bisect_left(starts, c.end)]) > c.start:
+                continue
+            if model.probability(pattern(t, c)) >= threshold:
                 all_.append(c)
+                added = c.end
         all_.sort(key=lambda c: (c.start, KINDS.index(c.kind), c.end))
         joined = lambda cs: ",".join(f"{c.kind}:{c.start}:{c.end}" for c in cs)
         return f"{joined(base)}|{joined(all_)}"
@@ -261,12 +267,12 @@ def annotated(docs: DataFrame, model: Model, text: str = "text", threshold: floa
         for part in texts:
             yield pd.Series([spans_of(t) for t in part], dtype=object)
 
-    base = F.split_part("_both", F.lit("|"), F.lit(1))
+    base = F.split_part("spans", F.lit("|"), F.lit(1))
     return (
-        docs.withColumn("_both", both(F.col(text)))
+        docs.withColumn("spans", both(F.col(text)))  # a name that docs no longer have
         .withColumns({f"n_{k}": F.regexp_count(base, F.lit(f"{k}:")).cast("long") for k in BASE_KINDS})
-        .withColumns({"base_sha256": F.sha2(base, 256), "spans": F.split_part("_both", F.lit("|"), F.lit(2))})
-        .drop("_both")
+        .withColumns({"base_sha256": F.sha2(base, 256), "spans": F.split_part("spans", F.lit("|"), F.lit(2))})
+        .select(*docs.columns, *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans")
     )
 
 
