@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -262,9 +263,12 @@ class Index:
                 if matched >= self.least * length - 1e-9 and self.decided(t, found, a, b):
                     candidates.append((-matched / length, -matched, self.names[t], a, b))
         chosen: list = []
+        starts: list[int] = []
         for c in sorted(set(candidates)):
-            if all(c[4] < o[3] or o[4] < c[3] for o in chosen):
-                chosen.append(c)
+            at = bisect_left(starts, c[3])  # chosen spans are disjoint: only the neighbours can overlap
+            if (at == 0 or chosen[at - 1][4] < c[3]) and (at == len(chosen) or c[4] < chosen[at][3]):
+                starts.insert(at, c[3])
+                chosen.insert(at, c)
         if not chosen:
             return []
         place = [m.span() for m in _WORD.finditer(text)]
