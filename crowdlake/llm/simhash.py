@@ -147,13 +147,12 @@ def grouped(printed: DataFrame, id: str = "doc_id", root: str | None = None) ->
     fingerprint of the group, which tells groups apart that have no id.
     """
     printed = materialize(printed)
-    found = classes(printed.select(F.col("fingerprint").alias("fp"), F.col(id).alias("id")))
+    found = classes(printed.select(F.col("fingerprint").alias("fp"), F.col(id).alias("id"))).withColumnRenamed("fp", "fingerprint")
     found = found.withColumnRenamed("root", root) if root else found.drop("root")
-    return (
-        printed.join(found, F.col("fingerprint") == F.col("fp"))
-        .withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
-        .drop("fp")
-    )
+    return printed.join(found, "fingerprint").select(
+        *[c for c in printed.columns if c != "fingerprint"], F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        "component_id", *([root] if root else []),
+    )
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,27 +160,22 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
     Texts without a word share fingerprint zero and so a group. Columns named like the added ones are replaced.
     """
-    return _near_duplicates(docs, id, text)
-
-
-def _near_duplicates(docs: DataFrame, id: str, text: str, root: str | None = None) -> DataFrame:
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("fingerprint", "component_id")])
-    return grouped(with_fingerprint(docs, text), id, root)
+    return grouped(with_fingerprint(docs, text), id)
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each near-duplicate group, that of the least id, with the columns of ``docs``.
 
-    Repeated rows of that id leave one; a group of null ids leaves one.
+    Repeated rows of that id leave one; a group of null ids leaves one. Columns may have any name.
     """
-    root = "_root" + "_" * max((len(c) for c in docs.columns), default=0)  # no column of docs is as long
-    ranked = Window.partitionBy("component_id", "_lone").orderBy(F.col(id).asc_nulls_last(), F.xxhash64(*docs.columns))
-    lone = F.when(F.col("component_id").isNull(), F.col(root))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id).alias("id"), F.xxhash64(*docs.columns).alias("hash"), F.col(text).alias("text"))
+    lone = F.when(F.col("component_id").isNull(), F.col("root"))
+    ranked = Window.partitionBy("component_id", lone).orderBy(F.col("id").asc_nulls_last(), "hash")
     return (
-        _near_duplicates(docs, id, text, root)
-        .withColumn("_lone", lone)
-        .where(F.col("component_id").isNull() | (F.col(id) == F.col("component_id")))
-        .withColumn("_rank", F.row_number().over(ranked))
-        .where("_rank = 1")
-        .select(*docs.columns)
+        grouped(with_fingerprint(rows, "text").drop("text"), "id", "root")
+        .where(F.col("component_id").isNull() | (F.col("id") == F.col("component_id")))
+        .withColumn("rank", F.row_number().over(ranked))
+        .where("rank = 1")
+        .select("row.*")
     )
