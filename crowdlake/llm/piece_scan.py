@@ -341,9 +341,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "tokens",
             yield _array([encoder.encode(t) for t in part])
 
     short = docs.where(~giant).withColumn(into, tokens(F.col(text)))
-    long = docs.where(giant).withColumn("_key", F.sha2(text, 256))
-    found = scanned(long.select(F.col("_key").alias("key"), F.col(text).alias("text")).dropDuplicates(["key"]), path, size)
-    long = long.join(found.withColumnRenamed("tokens", into), F.col("_key") == F.col("key")).select(*docs.columns, into)
+    long = docs.where(giant).select(F.struct(*docs.columns).alias("row"), F.sha2(text, 256).alias("key"), F.col(text).alias("text"))
+    found = scanned(long.select("key", "text").dropDuplicates(["key"]), path, size)
+    long = long.drop("text").join(found, "key").select("row.*", F.col("tokens").alias(into))
     return short.unionByName(long)
 
 
