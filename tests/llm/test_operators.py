@@ -594,3 +594,58 @@ def test_url_filters_against_all_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best[3], best[2]), r.url
     assert url_filter.judge(pages.limit(0), table).count() == 0
     assert {r.verdict for r in url_filter.judge(pages, table.limit(0), default="block").collect()} == {"block"}
+
+
+# ---------------------------------------------------------------- names and giant texts
+
+
+CLASHES = [
+    "s", "b", "fp", "key", "best", "row", "order", "bucket", "start", "served", "finish", "part", "id", "hash", "rank", "root", "least",
+    "_both", "_key", "_start", "_bucket", "_order", "_source", "_root", "_rank", "_lone", "_copy", "expression", "of_host", "prefixes",
+]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "simhash", "near_duplicates", "pii", "mix", "mixing", "sentencepiece", "url_filter"])
+def test_columns_of_any_name_come_back(spark, name):
+    giant = "".join(random.Random(3).choices("abc de\n", k=70_000))
+    rows = [(i, t, f"http://a{i}.net/es/x") for i, t in enumerate(["", "one two", giant, None, "mail a@b.com now"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, url string").withColumn("source", F.lit("here"))
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    rules = url_filter.rules_table(spark, [("block", "net/es/")])
+    got = {
+        "toxicity": lambda: toxicity.scored(docs, toxicity.Model({})),
+        "simhash": lambda: simhash.deduplicated(docs),
+        "near_duplicates": lambda: simhash.near_duplicates(docs),
+        "pii": lambda: pii.annotated(docs, pii.Model({}, {"": -30.0})),
+        "mix": lambda: mixing.mix(docs),
+        "mixing": lambda: mixing.mixed(docs),
+        "sentencepiece": lambda: piece_scan.encode(docs, VOCABULARY),
+        "url_filter": lambda: url_filter.judge(docs, rules),
+    }[name]().collect()
+    assert {r.doc_id for r in got} >= {1, 2, 4} and set(docs.columns) <= set(got[0].asDict())
+    for r in got:
+        assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHES)
+        assert r.text == rows[r.doc_id][1]
+
+
+def test_url_filter_joins_on_the_prefix_alone(spark, capsys):
+    pages = spark.createDataFrame([("http://www.example.net/es/",)], "url string")
+    url_filter.judge(pages, url_filter.rules_table(spark, [("block", "net/es/")])).explain("simple")
+    plan = capsys.readouterr().out
+    assert re.search(r"Join \[key#\d+\], \[key#\d+\]", plan), plan
+    assert not re.search(r"Join \[[^]]*\], \[[^]]*rule_digest", plan), plan
+
+
+def test_pii_added_spans_keep_clear_of_all_others():
+    text = "mail a@b.com, +1 212 555 0100, (212) 555-9876 or john [at] example [dot] com; " * 500
+    docs = pii.candidates(text)
+    base = [c for c in docs if c.base]
+    assert len(base) >= 1000 and len(docs) > len(base)
+
+
+def test_many_notices_and_spans_in_one_text_take_linear_time():
+    index = licenses._index(tuple(licenses.TEMPLATES.items()), tuple(licenses.DECIDING.items()), 0.8)
+    start = time.perf_counter()
+    found = index.matches("Released under the MIT License. Then other words follow here. " * 8000)
+    assert len(found) == 8000 and all(a[4] <= b[3] for a, b in zip(found, found[1:]))
+    assert time.perf_counter() - start < 30
