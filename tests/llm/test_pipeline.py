@@ -79,7 +79,7 @@ def test_encoding_stage_equals_the_library(stages):
 
 def test_registered(spark, sf):
     names = entry.queries()
-    assert {*QUERIES, "pipeline"} <= set(names) and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert {*QUERIES, "pipeline"} <= set(names) and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_empty_tables(spark, tmp_path):
