@@ -106,7 +106,80 @@ DECIDING = {
     "MPL-2.0": ("mozilla", "v 2 0|version 2 0|mpl 2 0"),
     "All rights reserved": ("all rights reserved",),
 }
-# The GNU licenses, in a short form and with the header of a file.
+# Whole bodies of short licenses.
+TEMPLATES["MIT body"] = TEMPLATES["MIT notice"] + (
+    ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE'
+    " WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR"
+    " COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR"
+    " OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_AS_IS = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,'
+    " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE"
+    " DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,"
+    " SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR"
+    " SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,"
+    " WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE"
+    " OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+for _kind in ("BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause"):
+    TEMPLATES[f"{_kind} body"] = TEMPLATES[f"{_kind} notice"] + _AS_IS
+TEMPLATES["ISC body"] = TEMPLATES["ISC notice"] + (
+    ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL'
+    " IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,"
+    " INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN"
+    " AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR"
+    " PERFORMANCE OF THIS SOFTWARE."
+)
+TEMPLATES["Zlib body"] = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held"
+    " liable for any damages arising from the use of this software. Permission is granted to anyone to use this software"
+    " for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the"
+    " following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you"
+    " wrote the original software. If you use this software in a product, an acknowledgment in the product documentation"
+    " would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be"
+    " misrepresented as being the original software. 3. This notice may not be removed or altered from any source"
+    " distribution."
+)
+TEMPLATES["Unlicense"] = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,"
+    " compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,"
+    " commercial or non-commercial, and by any means."
+)
+# Titles that stand above a whole license.
+TEMPLATES |= {
+    "MIT title": "The MIT License (MIT)",
+    "Apache-2.0 title": "Apache License Version 2.0, January 2004",
+    "MPL-2.0 title": "Mozilla Public License Version 2.0",
+    "GPL-2.0 title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0 title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1 title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0 title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0 title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+}
+DECIDING |= {
+    "MIT body": ("shall be included in all copies", "noninfringement"),
+    "BSD-2-Clause body": ("redistributions in binary form",),
+    "BSD-3-Clause body": ("neither the name", "redistributions in binary form"),
+    "BSD-4-Clause body": ("all advertising materials", "neither the name"),
+    "ISC body": ("permission to use copy modify", "appear in all copies"),
+    "Zlib body": ("altered source versions",),
+    "Unlicense": ("free and unencumbered",),
+}
+for _key, _text in TEMPLATES.items():
+    if _key.endswith(" title"):
+        DECIDING[_key] = (" ".join(re.findall(r"\w+", _text.lower())),)
+# Machine-readable tags, by the identifiers of the public list.
+for _key in (
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0"
+    " CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CDDL-1.0 EPL-1.0 EPL-2.0"
+    " EUPL-1.2 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later"
+    " LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OpenSSL PostgreSQL Python-2.0 Unlicense WTFPL"
+    " X11 Zlib ZPL-2.1"
+).split():
+    TEMPLATES[f"{_key} tag"] = f"SPDX-License-Identifier: {_key}"
+    DECIDING[f"{_key} tag"] = (" ".join(re.findall(r"\w+", TEMPLATES[f"{_key} tag"].lower())),)
+# The GNU licenses, in short forms and with the header of a file.
 for _kind, _name, _versions in (("GPL", "", "23"), ("LGPL", "Lesser ", ("2.1", "3")), ("AGPL", "Affero ", "3")):
     for _v in _versions:
         _key, _gnu = f"{_kind}-{_v if '.' in _v else _v + '.0'}", f"gnu {_name.lower()}general"
@@ -117,10 +190,14 @@ for _kind, _name, _versions in (("GPL", "", "23"), ("LGPL", "Lesser ", ("2.1", "
         _any = f"{_head} either version {_v} of the License, or (at your option) any later version."
         TEMPLATES.setdefault(_key, f"This work is licensed under the GNU {_name}General Public License, version {_v}.")
         TEMPLATES[f"{_key} short"] = f"This work is licensed under the GNU {_name}General Public License v{_v}."
+        TEMPLATES[f"{_key} abbreviated"] = f"distributed under the terms of the GNU {_kind} version {_v}"
+        TEMPLATES[f"{_key} abbreviation"] = f"licensed under the {_kind}v{_v}"
         TEMPLATES.setdefault(f"{_key}-or-later header", _any)
         TEMPLATES.setdefault(f"{_key}-only header", f"{_head} version {_v} of the License.")
         _n = _v.replace(".", " ")
         DECIDING[_key] = DECIDING[f"{_key}-only header"] = _gnu, f"version {_n}"
+        DECIDING[f"{_key} abbreviated"] = f"gnu {_kind.lower()} version {_n}|gnu {_kind.lower()} v{_n}|gnu {_kind.lower()}v{_n}",
+        DECIDING[f"{_key} abbreviation"] = (f"under the {_kind.lower()}v{_n}|under {_kind.lower()}v{_n}",)
         DECIDING[f"{_key} short"] = _gnu, f"v{_n}"
         DECIDING[f"{_key}-or-later header"] = _gnu, f"version {_n}", "any later version"
 # The Creative Commons licenses of each version.

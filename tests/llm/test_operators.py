@@ -592,6 +592,25 @@ def test_licenses_need_their_deciding_words():
         assert [m[0] for m in index.matches(text)] == want, text
 
 
+def test_licenses_by_tag_title_and_body():
+    index = licenses._index(tuple(licenses.TEMPLATES.items()), tuple(licenses.DECIDING.items()))
+    for text, want in {
+        "# SPDX-License-Identifier: MIT": ["MIT tag"],
+        "// SPDX-License-Identifier: GPL-3.0-or-later": ["GPL-3.0-or-later tag"],
+        "The SPDX license identifier names a license.": [],
+        "The MIT License (MIT) Copyright (c) 2020 Somebody": ["MIT title"],
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": ["GPL-3.0 title"],
+        "this file is distributed under the terms of the GNU GPL version 2 and nothing else": ["GPL-2.0 abbreviated"],
+        "it is licensed under the GPLv3, see below": ["GPL-3.0 abbreviation"],
+        "the terms of the GNU project, version 2 of the story": [],
+        licenses.TEMPLATES["MIT body"]: ["MIT body"],
+        licenses.TEMPLATES["BSD-3-Clause body"]: ["BSD-3-Clause body"],
+        licenses.TEMPLATES["BSD-2-Clause body"]: ["BSD-2-Clause body"],
+        licenses.TEMPLATES["ISC body"]: ["ISC body"],
+    }.items():
+        assert [m[0] for m in index.matches(text)] == want, text
+
+
 def test_every_text_at_the_threshold_becomes_a_license_candidate():
     rng = random.Random(5)
     known = tuple(licenses.TEMPLATES.items())
