@@ -346,7 +346,10 @@ def test_quality_orders_by_rejections_per_cost(spark):
     rows = [(i, "an ordinary line of text with enough words " + (" ".join(f"###{k}" for k in range(9)) if i % 2 else "plain")) for i in range(100)]
     found = quality.ordered(spark.createDataFrame(rows, "doc_id long, text string"), quality.rules())
     assert found[0][0] == "symbols" and found[0][1] >= 0.5
+    assert len(found) == len(quality.rules()) and all(share < 0.1 for _, share, _ in found[1:])  # of what is left
     assert quality.judge(empty_docs(spark)).count() == 0
+    kept = quality.judge(spark.createDataFrame([("a b", 1, 2)], "text string, _w int, _w_ int")).first()
+    assert (kept["_w"], kept["_w_"], kept["n_words"]) == (1, 2, 2)
 
 
 def test_quality_is_native(spark, sf):
