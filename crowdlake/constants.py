@@ -66,3 +66,6 @@ CHUNK_SECONDS = 3600.0
 CHUNK_ROWS = 1_000_000
 # Rows of one key's timeline handled together where frames count rows.
 BLOCK_ROWS = 1000
+# Rows that a task which sorts or groups them should not exceed, and rows worth a task of their own.
+TASK_ROWS = 2_000_000
+SMALL_TASK_ROWS = 100_000

@@ -15,12 +15,13 @@ Only chunk totals are ever ordered per whole key; they grow with elapsed time, n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from crowdlake.constants import BLOCK_ROWS, CHUNK_ROWS, CHUNK_SECONDS
+from crowdlake.constants import BLOCK_ROWS, CHUNK_ROWS, CHUNK_SECONDS, SMALL_TASK_ROWS, TASK_ROWS
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -98,11 +99,12 @@ def with_running(
     values: dict[str, tuple[str, Column]],
     t: str = "t",
     width: Width = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Running values per key in ``order``: ``values`` maps an output name to (kind, expression).
 
     Kinds are ``sum``, ``max`` and ``last`` (newest non-null); ``max_before`` and ``last_before`` leave
-    out the current row.
+    out the current row. Chunks are dealt into ``parts`` partitions if given.
     """
     d = df.withColumn("_chunk", chunk_of(t, chunk_width(df, keys, t, width)))
     for name, (_, expr) in values.items():
@@ -123,6 +125,8 @@ def with_running(
 
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     local = []
+    if parts:
+        d = d.repartition(parts, *keys, "_chunk")
     for name, (kind, _) in values.items():
         frame = inside.rowsBetween(Window.unboundedPreceding, -1 if kind.endswith("_before") else 0)
         local.append(_over(kinds[name], F.col(f"_in_{name}"), frame).alias(f"_loc_{name}"))
@@ -165,9 +169,10 @@ def number_rows(
     t: str = "t",
     width: Width = None,
     name: str = "rn",
+    parts: int | None = None,
 ) -> DataFrame:
     """1-based row number per key."""
-    return with_running(df, keys, order, {name: ("sum", F.lit(1))}, t, width).withColumn(
+    return with_running(df, keys, order, {name: ("sum", F.lit(1))}, t, width, parts).withColumn(
         name, F.col(name).cast("bigint")
     )
 
@@ -246,6 +251,17 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
+def task_parts(df: DataFrame) -> int:
+    """Partitions into which the rows of ``df`` should be dealt where each task sorts or groups its rows in memory.
+
+    The configured number, fewer for a small table and more once a task would get over ``TASK_ROWS`` rows. Adaptive
+    execution merges by compressed bytes, and 64 MB of narrow rows can be several million. Counts ``df`` in a job of its own.
+    """
+    rows = df.count()
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(rows / TASK_ROWS), min(configured, math.ceil(rows / SMALL_TASK_ROWS)))
+
+
 def frame_percentile(value: Column | str, q: float, window) -> Column:
     """Linear-interpolated percentile of the non-null values in a short row frame."""
     ordered = F.sort_array(F.collect_list(value).over(window))

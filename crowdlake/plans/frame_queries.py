@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from crowdlake.functions import scalars as S
 from crowdlake.operators import detections as D, flow as V, frames as M
+from crowdlake.operators.scale import task_parts
 from crowdlake.plans.registry import query, rounded, sql
 from crowdlake.sources import adapters as A
 
@@ -215,7 +216,9 @@ _ALLOC_IN = """select camera_id, frame_id, r, c, floor(score) as density, (frame
     ),
 )
 def allocated_zone_people(spark, sf):
-    z = A.zones(spark, sf).selectExpr(
+    zones = A.zones(spark, sf)
+    # Dealt by frame once, for the frame's sum and for the allocation.
+    z = zones.select("camera_id", "frame_id", "r", "c", "score").repartition(task_parts(zones), "camera_id", "frame_id").selectExpr(
         "camera_id",
         "frame_id",
         "r",

@@ -343,3 +343,69 @@ def test_path_changes_follow_each_path(spark):
     cameras = spark.createDataFrame([("a",), ("c",), ("c",)], "camera_id STRING")
     missed = fleet.missed_cameras(polls, ready.withColumnRenamed("path", "camera_id"), cameras).collect()
     assert sorted(map(tuple, missed)) == [(0, "c"), (1, "a"), (1, "c"), (3, "c"), (4, "a"), (4, "c")]
+
+
+# --- work and memory of the growth and zone queries ------------------------------------------
+
+
+def growth_by_hand(rows, seconds):
+    """{id: (growth, entries)} of rows (key, id, t, y): the history of each row, one by one."""
+    out = {}
+    for key, i, t, _ in rows:
+        seen = [(u, y) for k, _, u, y in rows if k == key and (u is None if t is None else u is not None and t - seconds <= u <= t)]
+        known = [(u, y) for u, y in seen if y is not None]
+        if t is None or len(seen) < 3 or max(u for u, _ in seen) == min(u for u, _ in seen):
+            out[i] = (0.0, len(seen))
+            continue
+        u, y = np.array([u for u, _ in known]), np.array([y for _, y in known])
+        sxx = ((u - u.mean()) ** 2).sum() if known else 0.0
+        slope = ((u - u.mean()) * (y - y.mean())).sum() / sxx if sxx else None
+        out[i] = (None if slope is None else slope / max(y.mean(), 1e-6), len(seen))
+    return out
+
+
+def test_growth_equals_each_rows_own_history(spark):
+    rnd = random.Random(5)
+    # Ties, entries exactly a history apart, times before zero, gaps, null values and null times.
+    rows = [(rnd.choice("ab"), i, rnd.choice([rnd.uniform(-40, 200), float(rnd.randrange(-4, 20) * 10)]), rnd.choice([rnd.uniform(0, 50), rnd.uniform(0, 50), None])) for i in range(400)]
+    rows += [("a", 1000 + i, None, 2.0) for i in range(3)] + [("c", 2000, 0.0, 3.0), ("c", 2001, 20.0, 4.0), ("c", 2002, 20.0, 9.0), (None, 2003, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "camera_id STRING, event_id INT, t DOUBLE, y DOUBLE")
+    want = growth_by_hand(rows, 20)
+    for parts in (None, 3):
+        got = {r["event_id"]: (r["growth"], r["growth_n"]) for r in H.growth_rate(df, "y", 20, id_col="event_id", parts=parts).collect()}
+        assert len(got) == len(rows) and {i: n for i, (_, n) in got.items()} == {i: n for i, (_, n) in want.items()}
+        for i, (g, _) in want.items():
+            assert got[i][0] == g if g is None else abs(got[i][0] - g) < 1e-9 * max(1.0, abs(g)), i
+
+
+def test_growth_never_goes_over_a_history_again(hot):
+    """Frames that slide are computed anew for each row: the square of the rows in a history."""
+    for d in (H.growth_rate(hot, "count", 30, id_col="event_id"), H.growth_rate(hot, "count", 30, id_col="event_id", present=F.col("tag") > 0)):
+        plan = d._jdf.queryExecution().optimizedPlan().toString().lower()
+        frames = plan.count("specifiedwindowframe(")
+        assert frames and frames == plan.count("frame, unboundedpreceding$(), currentrow$())")
+
+
+@pytest.fixture(scope="module")
+def small_tables(spark, tmp_path_factory):
+    top = str(tmp_path_factory.mktemp("zones"))
+    spark.range(300).selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 97) as ts", "id % 13 as user_id",
+        "'click' as event_type", "cast(id % 50 as double) as value", "'' as props",
+    ).write.parquet(f"{top}/events.parquet")
+    spark.range(3000).selectExpr(
+        "cast(id / 4 as bigint) as l_orderkey", "id % 4 as l_linenumber", "id % 70 as l_partkey", "id % 9 as l_suppkey",
+        "cast(id % 50 as double) as l_quantity", "0.05e0 as l_discount",
+    ).write.parquet(f"{top}/lineitem.parquet")
+    return top
+
+
+@pytest.mark.parametrize("name", ["zone_trend_labels", "allocated_zone_people", "smoothed_cell_speed", "detection_zone_counts"])
+def test_tasks_hold_a_bounded_number_of_rows(spark, small_tables, monkeypatch, name):
+    """Adaptive execution merges by compressed bytes; narrow rows by the million then meet in one task."""
+    query = entry.queries()[name]
+    plain = sorted(map(tuple, query(spark, small_tables).collect()))
+    monkeypatch.setattr(scale, "TASK_ROWS", 100)
+    dealt = query(spark, small_tables)
+    assert dealt.rdd.getNumPartitions() >= 27
+    assert sorted(map(tuple, dealt.collect())) == plain
