@@ -304,8 +304,10 @@ def presence_states(polls: DataFrame, confirm: int = 2, keys: Sequence[str] = CA
 # --- smoothing -------------------------------------------------------------------------------
 
 
-def ensure_rn(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: Width = None) -> DataFrame:
-    return df if "rn" in df.columns else number_rows(df, keys, order, order[0], width)
+def ensure_rn(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], width: Width = None, parts: int | None = None
+) -> DataFrame:
+    return df if "rn" in df.columns else number_rows(df, keys, order, order[0], width, parts=parts)
 
 
 def rolling_median(
@@ -333,21 +335,28 @@ def ema(
     keys: Sequence[str] = CAMERA,
     order: Sequence[str] = ORDER,
     width: Width = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Exponential average seeded with 0; rows where ``reset_on`` holds give 0 and start over.
 
     ``s[t] = alpha * sum((1-alpha)**(t-i) * x[i])``: a running sum of values scaled by position,
-    scaled back. Values older than the lead-in weigh less than a rounding error.
+    scaled back. Values older than the lead-in weigh less than a rounding error. Chunks and blocks are dealt into
+    ``parts`` partitions if given.
     """
     lead, size = _decay_layout(alpha)
-    d = with_row_halo(ensure_rn(df, keys, order, width), lead, size=size)
-    reset = F.coalesce(reset_on, F.lit(False)) if reset_on is not None else F.lit(False)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("rn")
-    d = d.withColumn("_seg", F.sum(reset.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = with_row_halo(ensure_rn(df, keys, order, width, parts), lead, size=size)
+    if parts:
+        d = d.repartition(parts, *keys, "_chunk")
+    block = Window.partitionBy(*keys, "_chunk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
     pos = F.col("rn") - F.col("_chunk") * size + lead
     grow = F.pow(F.lit(1.0 - alpha), -pos)
+    value = F.col(col) * alpha * grow
+    if reset_on is None:
+        return home_rows(d.withColumn(out, F.sum(value).over(block) / grow))
+    reset = F.coalesce(reset_on, F.lit(False))
+    d = d.withColumn("_seg", F.sum(reset.cast("int")).over(block))
     seg = Window.partitionBy(*keys, "_chunk", "_seg").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.when(reset, 0.0).otherwise(F.col(col) * alpha * grow)).over(seg)
+    total = F.sum(F.when(reset, 0.0).otherwise(value)).over(seg)
     return home_rows(d.withColumn(out, total / grow).drop("_seg"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from crowdlake.functions import scalars as S
 from crowdlake.operators import alerts, forecast as X, history as H, hotspots as P, risk as R, temporal as T
 from crowdlake.operators.materialize import materialize
-from crowdlake.operators.scale import asof, exact_percentile, keep_latest
+from crowdlake.operators.scale import asof, exact_percentile, keep_latest, task_parts
 from crowdlake.plans.registry import query, rounded, sql
 from crowdlake.plans.scalar_queries import _ALERTS, _DIMMED, _dimmed
 from crowdlake.sources import adapters as A
@@ -242,7 +242,8 @@ def smoothed_pressure(spark, sf):
     ),
 )
 def smoothed_cell_speed(spark, sf):
-    d = T.ema(A.zones(spark, sf), "score", 0.35, "speed", None, ["camera_id", "r", "c"], ["t", "frame_id"])
+    zones = A.zones(spark, sf)
+    d = T.ema(zones, "score", 0.35, "speed", None, ["camera_id", "r", "c"], ["t", "frame_id"], parts=task_parts(zones))
     return rounded(d.select("frame_id", "r", "c", "speed"), "speed", nudge=1e-9)
 
 
