@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crowdlake.functions import scalars as S
-from crowdlake.operators.frames import CELL, FRAME, fill_grid
-from crowdlake.operators.scale import spread
+from crowdlake.operators.frames import CELL, FRAME
+from crowdlake.operators.scale import spread, task_parts
 
 
 def qualifies(cls: int = 0, min_conf: float = 0.30) -> Column:
@@ -56,9 +56,11 @@ def _centres(df: DataFrame, rows: int, cols: int, frame_h: int, frame_w: int, wh
 
 def detection_zones(df: DataFrame, frame_h: int, frame_w: int, where: Column | None = None) -> DataFrame:
     """Centres of the boxes that ``where`` holds for counted into the 3x3 grid; frames without a valid one give zeros."""
-    d = _centres(df, 3, 3, frame_h, frame_w, where)
-    counts = d.groupBy(*FRAME, (F.col("_gr") * 3 + F.col("_gc")).alias("_z")).agg(F.count(F.lit(1)).alias("people"))
-    return fill_grid(counts, {"people": F.lit(0).cast("bigint")})
+    d = _centres(df, 3, 3, frame_h, frame_w, where).select(*FRAME, (F.col("_gr") * 3 + F.col("_gc")).alias("_z"))
+    # Dealt by frame first: no task groups more frames than its share, before the exchange or after it.
+    d = d.repartition(task_parts(df), *FRAME)
+    cells = [F.struct(F.lit(k // 3).alias("r"), F.lit(k % 3).alias("c"), F.count_if(F.col("_z") == k).alias("people")) for k in range(9)]
+    return d.groupBy(*FRAME).agg(F.array(*cells).alias("_cells")).select(*FRAME, F.inline("_cells"))
 
 
 def detections_to_density(
@@ -108,6 +110,8 @@ def allocate_zones(df: DataFrame) -> DataFrame:
 
     Needs ``r, c, density, detected, total`` with the frame's total on each of its rows. What is left
     after the detections follows density by largest remainder; ties go to the higher cell.
+
+    Many frames are best dealt by frame before (``task_parts``): the windows keep that partitioning.
     """
     cell = F.col("r") * 3 + F.col("c")
     frame = Window.partitionBy(*FRAME)
