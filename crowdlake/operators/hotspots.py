@@ -8,11 +8,13 @@ from crowdlake import constants as K
 from crowdlake.functions import scalars as S
 from crowdlake.operators.frames import FRAME
 from crowdlake.operators.history import growth_rate
+from crowdlake.operators.scale import task_parts
 
 
-def trend_labels(zones: DataFrame, seconds: float = 8.0) -> DataFrame:
+def trend_labels(zones: DataFrame, seconds: float = 8.0, parts: int | None = None) -> DataFrame:
     """Growth of each cell over the last seconds and its label; quiet cells are STABLE."""
-    d = growth_rate(zones, "score", seconds, ["camera_id", "r", "c"]).drop("growth_n")
+    parts = parts or task_parts(zones)
+    d = growth_rate(zones, "score", seconds, ["camera_id", "r", "c"], parts=parts).drop("growth_n")
     g = F.col("growth")
     label = (
         F.when(F.col("score") < K.MIN_HOTSPOT, "STABLE")
@@ -24,8 +26,11 @@ def trend_labels(zones: DataFrame, seconds: float = 8.0) -> DataFrame:
     return d.withColumn("trend", label)
 
 
-def hotspots(labelled: DataFrame, n: int = 3) -> DataFrame:
-    """Per frame: its densest ``n`` cells of at least 30 and the expanding alert they raise."""
+def hotspots(labelled: DataFrame, n: int = 3, parts: int | None = None) -> DataFrame:
+    """Per frame: its densest ``n`` cells of at least 30 and the expanding alert they raise. Frames are dealt into
+    ``parts`` partitions if given."""
+    if parts:
+        labelled = labelled.select(*FRAME, "t", "r", "c", "score", "trend").repartition(parts, *FRAME)
     cell = F.col("r") * 3 + F.col("c")
     rank = Window.partitionBy(*FRAME).orderBy(F.col("score").desc(), cell.desc())
     top = labelled.withColumn("_rank", F.row_number().over(rank))
