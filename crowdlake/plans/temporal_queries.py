@@ -317,7 +317,9 @@ def zone_trend_labels(spark, sf):
     ),
 )
 def zone_hotspots(spark, sf):
-    return P.hotspots(P.trend_labels(A.zones(spark, sf), 90)).select("frame_id", "hotspots", "expanding", "alert_text")
+    zones = A.zones(spark, sf)
+    parts = task_parts(zones)
+    return P.hotspots(P.trend_labels(zones, 90, parts), parts=parts).select("frame_id", "hotspots", "expanding", "alert_text")
 
 
 @query(
