@@ -34,10 +34,19 @@ def _joined_by_document(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+#: Any character but ASCII and those of Latin-1 and usual punctuation that have no lower case of their own.
+_CASED = r"[^\x00-\x7F\u00A0-\u00BF\u00D7\u00DF-\u00FF\u2010-\u2027\u20AC]"
+
+
+def _lowered(text: Column) -> Column:
+    """:func:`ascii_lower`, which looks up each character, only for texts in which ``lower`` might change more than A-Z."""
+    return F.when(text.rlike(_CASED), ascii_lower(text)).otherwise(F.lower(text))
+
+
 def _words(text: Column) -> Column:
     """The words of a text; the end of a piece is an element of its own, a line feed, so that words on both sides
     of it have no adjacent positions."""
-    ended = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), ENDS, " \n ")
+    ended = F.regexp_replace(_lowered(F.coalesce(text, F.lit(""))), ENDS, " \n ")
     return F.split(ended, "[ \t]+")
 
 

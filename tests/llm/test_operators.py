@@ -718,3 +718,12 @@ def test_many_notices_and_spans_in_one_text_take_linear_time():
     found = index.matches("Released under the MIT License. Then other words follow here. " * 8000)
     assert len(found) == 8000 and all(a[4] <= b[3] for a, b in zip(found, found[1:]))
     assert time.perf_counter() - start < 30
+
+
+def test_collocations_lower_only_latin_capitals(spark):
+    from crowdlake.llm import collocations
+
+    texts = ["A plain TEXT", "ÉCOLE École", "straße über naïve – ‘Café’ €", "İstanbul ΣΑΣ Œuvre", "", None, "K\u212a \u1e9e", *map(chr, range(0x20, 0x2500))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for got, want in df.select(collocations._lowered(F.col("text")), collocations.ascii_lower(F.col("text"))).collect():
+        assert got == want
