@@ -27,6 +27,8 @@ SEED = 42
 #: Widths of the segments, lowest bits first.
 SEGMENTS = (22, 21, 21)
 LINK = 4
+#: Crowded keys that tasks hold at once, some tens of megabytes.
+SMALL = 300_000
 
 
 def fingerprint_of(text: str | None) -> int:
@@ -106,15 +108,18 @@ def links(prints: DataFrame, dense: int = 64, block: int = 4096) -> DataFrame:
     Keys of at most ``dense`` fingerprints give every pair. Members of a key with more are dealt into blocks
     of about ``block`` and each pair of blocks gives the links of a spanning forest: no connection is lost,
     and a key with n members gives no more than about n links for each of its blocks.
+
+    Index entries are never broadcast: before it ran, Spark sizes them like the fingerprints they are expanded from.
     """
     keyed = prints.select("fp", F.inline(_keys(F.col("fp"))))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
     crowded = materialize(counts.where(F.col("n") > dense))
+    crowded = F.broadcast(crowded) if crowded.count() <= SMALL else crowded.hint("merge")
     sparse = keyed.join(crowded.select("key"), "key", "left_anti")
     left = sparse.where("bit is null or bit = 0").select("key", F.col("fp").alias("u"), F.col("bit").isNull().alias("whole"))
     right = sparse.where("bit is null or bit = 1").select("key", F.col("fp").alias("v"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= LINK
-    pairs = left.join(right, "key").where(near & (~F.col("whole") | (F.col("u") < F.col("v")))).select("u", "v")
+    pairs = left.join(right.hint("merge"), "key").where(near & (~F.col("whole") | (F.col("u") < F.col("v")))).select("u", "v")
 
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")

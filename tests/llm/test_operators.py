@@ -499,6 +499,16 @@ def test_links_lose_no_connection(spark, dense, block):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
 
 
+def test_index_entries_are_never_broadcast(spark, tmp_path):
+    """The table of fingerprints is below the threshold, its index entries, 67 for each, are not; Spark sizes both alike."""
+    spark.range(2000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "prints"))
+    found = simhash.links(spark.read.parquet(str(tmp_path / "prints")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin [key") == 1 and plan.count("BroadcastHashJoin [key") == 3
+    # The crowded keys are the right, broadcast side: the left one is what is expanded.
+    assert plan.count("BuildRight") == 3 and "BuildLeft" not in plan
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501), (7, 7), (None, 3)], "u long, v long")
     assert {(r.node, r.root) for r in components(links).collect()} == {(i, 0) for i in range(1, 101)} | {(501, 500)}
