@@ -154,7 +154,8 @@ def grouped(printed: DataFrame, id: str = "doc_id", root: str | None = None) ->
     printed = materialize(printed)
     found = classes(printed.select(F.col("fingerprint").alias("fp"), F.col(id).alias("id"))).withColumnRenamed("fp", "fingerprint")
     found = found.withColumnRenamed("root", root) if root else found.drop("root")
-    return printed.join(found, "fingerprint").select(
+    # No broadcast of the rows: they may take much less space in files than in memory.
+    return printed.hint("merge").join(found, "fingerprint").select(
         *[c for c in printed.columns if c != "fingerprint"], F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id", *([root] if root else []),
     )

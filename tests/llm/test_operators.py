@@ -509,6 +509,15 @@ def test_index_entries_are_never_broadcast(spark, tmp_path):
     assert plan.count("BuildRight") == 3 and "BuildLeft" not in plan
 
 
+def test_rows_of_documents_are_never_broadcast(spark):
+    """Texts of few letters take little space in files and much in memory."""
+    rows = spark.createDataFrame([(i, "x y " * 1000) for i in range(50)], "doc_id long, text string")
+    kept = simhash.deduplicated(rows)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [fingerprint" in plan and "BroadcastHashJoin [fingerprint" not in plan
+    assert [r.doc_id for r in kept.collect()] == [0]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501), (7, 7), (None, 3)], "u long, v long")
     assert {(r.node, r.root) for r in components(links).collect()} == {(i, 0) for i in range(1, 101)} | {(501, 500)}
