@@ -1,25 +1,30 @@
 """Phrase collocations by set-oriented mining (SETM).
 
-The relation of a length holds that length's frequent phrases, one row per occurrence: document, position of the
-first word and phrase number. The next length is the merge join of the relation with itself on document and adjacent
-position, written in buckets of documents, so that the following joins need no exchange; its groups are counted and the infrequent ones go by a semi-join before the next
-join. Every part of a frequent phrase is frequent, so nothing is lost.
+The relation of a length holds that length's phrases that may be frequent, one row per occurrence: document, position of the
+first word and the numbers of the words. The next length is the merge join of the relation with itself on document and adjacent
+position, written in buckets of documents, so that the following joins need no exchange; its groups are counted and most of the
+infrequent ones go by a broadcast bitmap of the frequent ones before the next join, so that no occurrence is shuffled again
+however many phrases there are. Every part of a frequent phrase is frequent, so nothing is lost; what passes the bitmap by
+chance goes at the next count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crowdlake.llm.common import ascii_lower
-from crowdlake.operators.materialize import materialize, materialize_by
+from crowdlake.operators.materialize import freeing_shuffles, materialize, materialize_by, release
 
 #: What ends a piece; within it, words are runs of anything but space and tab.
 ENDS = r"[.,;:!?\x0A-\x0D]"
-#: Phrases that tasks hold at once, some tens of megabytes.
+#: Words with their numbers that tasks hold at once, some tens of megabytes.
 SMALL = 300_000
+#: Bits of the bitmap for each frequent phrase, and the binary logarithm of its least and most bits (16 MB).
+BITS, BITMAP = 16, (18, 27)
 
 
 @contextmanager
@@ -53,9 +58,47 @@ def _words(text: Column) -> Column:
 _IS_WORD = "word <> '' and word <> '\n'"
 
 
-def _small(phrases: DataFrame) -> DataFrame:
-    """A written table of phrases, to be broadcast if it has at most ``SMALL`` rows; else joins shuffle both sides."""
-    return F.broadcast(phrases) if phrases.count() <= SMALL else phrases
+def _sieve(phrases: DataFrame, words: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Drops rows whose columns ``words`` are not among ``phrases``, but for at most one in about ``BITS`` of them.
+
+    A bitmap of the hashes, broadcast in chunks of 4,096 longs, one row each.
+    """
+    size = min(max((BITS * phrases.count()).bit_length(), BITMAP[0]), BITMAP[1])
+    at = F.xxhash64(*words).bitwiseAND(F.lit((1 << size) - 1))
+    cells = phrases.select(at.alias("_at")).selectExpr("_at >> 6 as cell", "shiftleft(1L, cast(_at & 63 as int)) as bits")
+    cells = cells.unionByName(phrases.sparkSession.range(1 << (size - 6)).selectExpr("id as cell", "0L as bits"))
+    cells = cells.groupBy("cell").agg(F.bit_or("bits").alias("bits"))
+    chunks = cells.groupBy(F.shiftright("cell", 12).alias("_chunk")).agg(F.sort_array(F.collect_list(F.struct("cell", "bits")))["bits"].alias("_bits"))
+    chunks = materialize(chunks)
+
+    def sieved(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumn("_at", at).withColumn("_chunk", F.shiftright("_at", 18))
+        found = placed.join(F.broadcast(chunks), "_chunk")  # 16 MB at most
+        return found.where("get(_bits, cast(_at >> 6 & 4095 as int)) & shiftleft(1L, cast(_at & 63 as int)) <> 0").select(rows.columns)
+
+    return sieved
+
+
+def _hashed(seed: int) -> Column:
+    """A negative number for a word."""
+    return F.xxhash64(F.lit(seed), "lang", "word").bitwiseOR(F.lit(-(2**63)))
+
+
+def _numbered(counts: DataFrame, least: int) -> tuple[DataFrame, Column]:
+    """The frequent of all words (lang, word, f) with a number ``w1`` of their own, and the number of the others.
+
+    About ``SMALL`` most frequent ones are counted up. The others have a hash, which a broadcast need not hold; its seed
+    is one by which no frequent word meets any other.
+    """
+    frequent = counts.where(F.col("f") >= least)
+    n, common, seed = frequent.count(), F.lit(0), 0
+    if n > SMALL:
+        common = F.lit(frequent.agg(F.percentile_approx("f", 1 - SMALL / n, 10000)).first()[0])
+        met = lambda seed: counts.where(F.col("f") <= common).groupBy(_hashed(seed)).agg(F.count("*").alias("n"), F.max("f").alias("f"))
+        while not met(seed).where((F.col("n") > 1) & (F.col("f") >= least)).isEmpty():
+            seed += 1
+    number = F.when(F.col("f") > common, F.monotonically_increasing_id()).otherwise(_hashed(seed))
+    return materialize(frequent.withColumn("w1", number)), _hashed(seed)
 
 
 def _parts(spark: SparkSession) -> int:
@@ -85,8 +128,16 @@ def mined(
 
     Counts and scores are exact: decimals of 38 digits hold ``1000 * a * n`` up to 10^17 words. A document's positions are
     merged in one task, its sort spilling to disk; a frequent word or phrase is spread with the documents that hold it and
-    counted before each exchange. Tables of frequent words or pairs are broadcast up to ``SMALL`` rows. The driver sees a few numbers a length.
+    counted before each exchange. Only occurrences of words are shuffled, as numbers and once; about ``SMALL`` words and a bitmap are
+    broadcast. The files of a length go when the next one is written. The driver sees a few numbers a length.
     """
+    with freeing_shuffles(docs.sparkSession):
+        known, totals = _mined(docs, lang, text, least, longest)
+    return _ranked(known, totals, first)
+
+
+def _mined(docs: DataFrame, lang: str, text: str, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
+    """All frequent phrases (lang, words, f) and the words of each language (lang, n)."""
     spark = docs.sparkSession
     parts = _parts(spark)
     rows = docs.select(
@@ -96,31 +147,43 @@ def mined(
     )
     counts = materialize(rows.select("lang", F.explode("words").alias("word")).where(_IS_WORD).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f")))
     totals = materialize(counts.groupBy("lang").agg(F.sum("f").alias("n")))
-    frequent = counts.where(F.col("f") >= least)
-    level = materialize(frequent.select("lang", F.array("word").alias("words"), "f", F.monotonically_increasing_id().alias("phrase")))
+    names, other = _numbered(counts, least)
+    level = names.select("lang", F.array("word").alias("words"), "f", "w1")
     levels = [level]
 
-    names = level.select("lang", F.col("words")[0].alias("word"), "phrase")
     placed = rows.select("lang", "doc", F.posexplode("words").alias("pos", "word")).where(_IS_WORD)
-    relation = placed.join(_small(names), ["lang", "word"]).select("doc", "pos", "phrase").repartition(parts, "doc")
+    common = F.broadcast(names.where("w1 >= 0").select("lang", "word", "w1"))
+    if names.where("w1 < 0").isEmpty():
+        placed = placed.join(common, ["lang", "word"])
+    else:
+        placed = placed.join(common, ["lang", "word"], "left").withColumn("w1", F.coalesce("w1", other))
+        placed = _sieve(names, ["w1"])(placed.select("doc", "pos", "w1"))
+    relation = placed.select("doc", "pos", "w1").repartition(parts, "doc").select("doc", "pos", F.struct("w1").alias("phrase"))
+    pairs = None
     for size in range(2, longest + 1):
+        head, last = [f"w{i}" for i in range(1, size)], f"w{size}"
+        longer = _longer(relation).select("doc", "pos", *[F.col(f"head.{w}").alias(w) for w in head], F.col(f"tail.{head[-1]}").alias(last))
+        before = pairs
         with _joined_by_document(spark):
-            pairs = materialize_by(_longer(relation), "doc", parts)
-        groups = pairs.groupBy("head", "tail").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least)
-        groups = materialize(groups.withColumn("phrase", F.monotonically_increasing_id()))
+            pairs = materialize_by(longer, "doc", parts)
+        if before:
+            release(before)
+        groups = materialize(pairs.groupBy(*head, last).agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least))
         if groups.isEmpty():
             break
-        heads = level.select(F.col("phrase").alias("head"), "lang", "words")
-        tails = level.select(F.col("phrase").alias("tail"), F.element_at("words", -1).alias("last"))
-        level = materialize(groups.join(heads, "head").join(tails, "tail").select("lang", F.concat("words", F.array("last")).alias("words"), "f", "phrase"))
+        heads = level.select("lang", "words", *head)
+        tails = names.select(F.col("w1").alias(last), "word")
+        level = materialize(groups.join(heads, head).join(tails, last).select("lang", F.concat("words", F.array("word")).alias("words"), "f", *head, last))
         levels.append(level)
         if size < longest:
-            relation = pairs.join(_small(groups.drop("f")), ["head", "tail"]).select("doc", "pos", "phrase")
+            relation = _sieve(groups, [*head, last])(pairs).select("doc", "pos", F.struct(*head, last).alias("phrase"))
+    if pairs:
+        release(pairs)
 
     known = levels[0].select("lang", "words", "f")
     for longer in levels[1:]:
         known = known.unionByName(longer.select("lang", "words", "f"))
-    return _ranked(known, totals, first)
+    return known, totals
 
 
 def _ranked(known: DataFrame, totals: DataFrame, first: int) -> DataFrame:

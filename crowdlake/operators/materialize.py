@@ -67,3 +67,24 @@ def materialize_by(df: DataFrame, key: str, parts: int) -> DataFrame:
     written = spark.table(name)
     spark.sql(f"drop table {name}")
     return written
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a table of :func:`materialize` or :func:`materialize_by` that no later step reads."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def freeing_shuffles(spark: SparkSession):
+    """Within this block, the shuffle files of a step go when it ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -1,6 +1,7 @@
 """Whitening, collocations and sharding against brute force, on small tables with nulls, ties, repeats and clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -8,8 +9,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from crowdlake.llm import collocations, sharding, whitening
+from crowdlake.operators import materialize
 from tests.llm.test_operators import DOCS, empty_docs, odd_docs
 
 # ---------------------------------------------------------------- 11
@@ -134,6 +137,45 @@ def test_collocations_edge_cases(spark):
     assert sorted(tuple(r) for r in collocations.mined(odd, least=30).collect()) == brute_collocations(rows, 30)
 
 
+def test_collocations_shuffle_words_once_however_many_there_are(spark, monkeypatch):
+    """With more frequent words and phrases than a broadcast may hold, occurrences still go to their document only, and old files go."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["en", "de"]), " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 80)))) for _ in range(60)]
+    plans, folder, write = [], materialize._folder(spark).removeprefix("file:"), collocations.materialize_by
+
+    def spied(df, *a):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *a)
+
+    monkeypatch.setattr(collocations, "materialize_by", spied)
+    monkeypatch.setattr(collocations, "SMALL", 3)
+    tables = lambda: {f for f in os.listdir(folder) if f.startswith("crowdlake_")} if os.path.exists(folder) else set()
+    before = tables()
+    assert mined(spark, rows, least=3) == brute_collocations(rows, 3)
+    assert len(plans) > 2 and tables() <= before
+    exchanges = [re.findall(r"hashpartitioning\(([^)]*)", plan) for plan in plans]
+    assert {key.split("#")[0] for key in exchanges[0]} == {"doc"} and not any(exchanges[1:])
+
+
+def test_collocations_are_exact_whatever_numbers_meet_or_pass(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(rng.choice(["en", None]), " ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 80)))) for _ in range(60)]
+    hashed = collocations._hashed
+    monkeypatch.setattr(collocations, "SMALL", 3)
+    monkeypatch.setattr(collocations, "_hashed", lambda seed: hashed(seed) if seed > 1 else (F.length("word") % 2 - 7).cast("long"))
+    assert mined(spark, rows, least=3) == brute_collocations(rows, 3)
+    monkeypatch.setattr(collocations, "_sieve", lambda *a: lambda df: df)
+    assert mined(spark, rows, least=3) == brute_collocations(rows, 3)
+
+
+def test_sieve_keeps_all_and_drops_most(spark):
+    phrases = spark.range(20000).selectExpr("id as w1", "id % 7 as w2")
+    sieved = collocations._sieve(phrases, ["w1", "w2"])
+    rows = spark.range(100000).selectExpr("id as w1", "id % 7 as w2", "id as kept")
+    kept = [r.kept for r in sieved(rows).collect()]
+    assert set(range(20000)) <= set(kept) and len(kept) == len(set(kept)) < 28000
+
+
 def test_collocation_scores_are_exact_beyond_64_bits(spark):
     """Counts as of a very large corpus; products have about 31 digits."""
     f = 987_654_321_123
