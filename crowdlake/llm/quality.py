@@ -103,7 +103,7 @@ def ordered(docs: DataFrame, named: dict[str, Column], text: str = "text", sampl
     """``(rule, rejected share, seconds)`` in the order of a cascade, estimated on about ``sample_rows`` rows.
 
     Next comes the rule that rejects most per second of what the earlier ones left; the share is that of the rest, with
-    one made-up rejection and one acceptance. Seconds are the least of three counts over the sample beyond the least of
+    one made-up rejection and one acceptance, and 0 if nothing is left. Seconds are the least of three counts over the sample beyond the least of
     three counts without a rule. The sample steers only the order of evaluation.
     """
     share = min(1.0, sample_rows / max(1, docs.count()))
@@ -124,8 +124,8 @@ def ordered(docs: DataFrame, named: dict[str, Column], text: str = "text", sampl
     place, rest, found = {name: i for i, name in enumerate(named)}, [(r.hit, r.n) for r in answers], []
     while cost:
         rows = sum(n for _, n in rest)
-        left = {name: (sum(n for hit, n in rest if hit[place[name]]) + 1) / (rows + 2) for name in cost}
-        name = min(cost, key=lambda x: (-left[x] / cost[x], x))
+        left = {name: (sum(n for hit, n in rest if hit[place[name]]) + 1) / (rows + 2) if rows else 0.0 for name in cost}
+        name = min(cost, key=lambda x: (-left[x] / cost[x], cost[x], x))
         found.append((name, left[name], cost.pop(name)))
         rest = [(hit, n) for hit, n in rest if not hit[place[name]]]
     return found
